@@ -377,11 +377,12 @@ def make_chunks(
     keys = ["document_id", "clause_id", "part"]
     whole = (
         parts.join(children, keys, "full")
-        .join(tree.select("document_id", "clause_id", "title"), ["document_id", "clause_id"], "left")
+        .join(tree.select("document_id", "clause_id", "title", "first_pos"), ["document_id", "clause_id"], "left")
         .join(before, keys, "left")
     )
     return whole.selectExpr(
-        "document_id", "clause_id AS chunk_id", "part", "title",
+        "document_id", "clause_id AS chunk_id", "part", "title", "first_pos",
+        f"part = {segment_of('first_pos', segment_rows)} AS is_first",
         f"{tx.parent_by_last_dot('clause_id')} AS parent_id",
         _in_order("content", "type", "text"),
         _in_order("tables", "html", "number", "caption", "rows"),
