@@ -15,7 +15,7 @@ SEGMENT_ROWS = 65_536
 
 
 def segment_of(pos: str, size: int = SEGMENT_ROWS) -> str:
-    return f"CAST(floor({pos} / {size}) AS BIGINT)"
+    return f"CAST(floor(({pos}) / {size}) AS BIGINT)"
 
 
 def ordinal(df: DataFrame, keys: list[str], segment: list[str], order: list[str], name: str) -> DataFrame:
