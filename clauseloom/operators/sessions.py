@@ -57,7 +57,7 @@ def list_users(users: DataFrame, n: int = 50) -> DataFrame:
     """The newest ``n`` users and the number of all."""
     return (
         users.sparkSession.sql("SELECT *, (SELECT count(*) FROM {u}) AS total_users FROM {u}", u=users)
-        .orderBy(F.expr("created_at DESC NULLS LAST"), "user_id")
+        .orderBy(F.desc_nulls_last("created_at"), "user_id")
         .limit(n)
     )
 
@@ -83,9 +83,8 @@ MAX_MESSAGE_LENGTH = 4000
 
 def message_rules(messages: DataFrame, limit: int = MAX_MESSAGE_LENGTH) -> DataFrame:
     """``verdict``: ``empty`` (dropped), ``too_long`` (rejected, with the error) or ``ok``."""
-    trimmed = r"regexp_replace(content, r'^\s+|\s+$', '')"
-    return messages.selectExpr("*", f"{trimmed} AS _c").selectExpr(
-        "* EXCEPT (_c)",
-        f"CASE WHEN coalesce(_c, '') = '' THEN 'empty' WHEN length(_c) > {limit} THEN 'too_long' ELSE 'ok' END AS verdict",
-        f"CASE WHEN length(_c) > {limit} THEN 'Message too long. Maximum {limit} characters allowed.' END AS error",
+    return messages.selectExpr(
+        "*",
+        f"CASE WHEN coalesce(content, '') = '' THEN 'empty' WHEN length(content) > {limit} THEN 'too_long' ELSE 'ok' END AS verdict",
+        f"CASE WHEN length(content) > {limit} THEN 'Message too long. Maximum {limit} characters allowed.' END AS error",
     )
