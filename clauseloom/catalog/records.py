@@ -259,7 +259,7 @@ QUERIES = {
     "clean_markdown": lambda s, d: markdown(s, d).select("doc_id", "md"),
     "markdown_blocks": lambda s, d: md.markdown_blocks(markdown(s, d), "doc_id", "md").filter("kind <> 'table'").select("doc_id", "token_no", "line_no", "kind", "level", "text"),
     "markdown_table_cells": lambda s, d: md.markdown_table_cells(md.markdown_blocks(markdown(s, d), "doc_id", "md"), "doc_id"),
-    "inline_runs": lambda s, d: md.inline_runs(md.markdown_table_cells(md.markdown_blocks(markdown(s, d), "doc_id", "raw"), "doc_id"), ["doc_id", "token_no", "row_no", "col_no"], "cell").groupBy("kind").agg(F.count("*").alias("n"), F.expr("sum(length(text))").alias("chars")),
+    "inline_runs": lambda s, d: md.inline_runs(md.markdown_blocks(markdown(s, d), "doc_id", "md").filter("kind = 'paragraph'"), ["doc_id", "token_no", "line_no"], "text"),
     "active_documents": lambda s, d: rg.active_documents(registry(s, d)).select("id", "status", "processing_duration_seconds"),
     "failed_documents": lambda s, d: rg.failed_documents(registry(s, d), fx.read(s, d, "lineitem").filter("l_returnflag = 'R'").selectExpr(
         "concat('d', l_orderkey) AS document_id", "concat('stage', l_linenumber) AS failure_stage", "l_linestatus = 'F' AS reviewed", "CAST(NULL AS STRING) AS reviewed_by")).select("id", "failure_stage", "reviewed"),
@@ -386,6 +386,18 @@ SQL = {
             list_filter(string_split(token, chr(10)), lambda x: {fx.sql_strip('x')} <> '') AS ls FROM rest WHERE NOT regexp_matches(token, '^-{{3,}}$'))"""),
     "markdown_table_cells": fx.with_ctes(SQL_MARKDOWN, f"""SELECT doc_id, token_no, row_no, col_no, {fx.sql_strip('cell')} AS cell FROM (
         SELECT doc_id, token_no, row_no, ncol, unnest(string_split(trim(r, '|'), '|')) AS cell, unnest(range(len(string_split(trim(r, '|'), '|')))) AS col_no FROM md_rows WHERE ncol > 0) WHERE col_no < ncol"""),
+    "inline_runs": fx.with_ctes(SQL_MARKDOWN, f"""
+        , paras AS (SELECT doc_id, token_no, unnest(range(len(ls))) AS line_no, unnest(ls) AS x FROM (SELECT doc_id, token_no,
+            list_filter(string_split(token, chr(10)), lambda x: {fx.sql_strip('x')} <> '') AS ls FROM toks
+            WHERE NOT starts_with(token, '#') AND NOT starts_with(token, '|') AND NOT regexp_matches(token, '^-{{3,}}$'))),
+        cut AS (SELECT doc_id, token_no, line_no, unnest(rs) AS run, unnest(range(len(rs))) AS run_no FROM (SELECT *, list_filter(string_split(
+            regexp_replace(x, '(?i)(\\*\\*.*?\\*\\*|<br\\s*/?>|<sub>.*?</sub>)', chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda r: r <> '') AS rs FROM paras))
+        SELECT doc_id, token_no, line_no, run_no, CASE WHEN length(run) >= 4 AND run[1:2] = '**' AND run[-2:] = '**' THEN 'bold' WHEN lower(run) LIKE '<sub>%</sub>' THEN 'subscript'
+            WHEN lower(run) LIKE '<br%>' THEN 'line_break' ELSE 'plain' END AS kind,
+          CASE WHEN length(run) >= 4 AND run[1:2] = '**' AND run[-2:] = '**' THEN run[3:length(run)-2] WHEN lower(run) LIKE '<sub>%</sub>' THEN run[6:length(run)-6]
+            WHEN lower(run) LIKE '<br%>' THEN '' ELSE run END AS text FROM cut"""),
+    "extract_documents": """SELECT CAST(doc_id AS VARCHAR) AS document_id, count(*) AS n_blocks, count(*) - 1 AS last_pos, sum(length(CASE WHEN starts_with(x, '#') THEN trim(ltrim(x, '#')) ELSE x END)) AS chars
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE trim(x) <> '' GROUP BY doc_id""",
     "active_documents": _r("SELECT id, status, (epoch_us(processing_completed) - epoch_us(processing_started)) / 1000000.0::DOUBLE AS processing_duration_seconds FROM registry WHERE status IN ('PENDING', 'PROCESSING')"),
     "failed_documents": _r("""SELECT r.id, 'stage' || l_linenumber AS failure_stage, l_linestatus = 'F' AS reviewed FROM registry r
         LEFT JOIN lineitem l ON l.l_orderkey = r.o_orderkey AND l_returnflag = 'R' WHERE status = 'FAILED'"""),

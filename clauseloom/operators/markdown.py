@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from clauseloom.functions.text import strip
+from clauseloom.functions.text import quote, strip
 
 # What a report leaves behind, and how its blocks and runs are marked.
 CHAPTER_TAIL = r"(?is)---.*?(End of Chapter|Next:).*?---"
@@ -13,17 +12,19 @@ NOTE_LINE = r"(?id)> Note:.*?\n"
 TABLE_OR_HEADING = r"(?md)(^\s*\|.*\|(?:\n\s*\|.*\|)*)|(^\s*#{1,6}\s+.*$)"
 SEPARATOR_ROW = r"^\|?[\s\-:|]+\|?$"
 INLINE = r"(?id)(\*\*.*?\*\*|<br\s*/?>|<sub>.*?</sub>)"
-_CUT = "\x01"
+PAGE_BREAK = r"^-{3,}$"
+_CUT = r"'\u0001'"
 
 
-def clean_markdown(col: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(col, CHAPTER_TAIL, ""), NOTE_LINE, "")
+def clean_markdown(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, {quote(CHAPTER_TAIL)}, ''), {quote(NOTE_LINE)}, '')"
 
 
-def _pieces(col: Column, pattern: str) -> Column:
+def _pieces(x: str, pattern: str) -> str:
     """The text cut before and after every match, matches kept, empty pieces dropped."""
-    marked = F.regexp_replace(col, pattern, f"{_CUT}$0{_CUT}")
-    return F.filter(F.split(marked, _CUT), lambda t: t != "")
+    return (
+        f"filter(split(regexp_replace({x}, {quote(pattern)}, concat({_CUT}, '$0', {_CUT})), {_CUT}), t -> t <> '')"
+    )
 
 
 def markdown_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -31,86 +32,59 @@ def markdown_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
 
     A level-1 heading starts a new page, so a page break stands before it.
     """
-    tokens = F.filter(F.transform(_pieces(F.col(text), TABLE_OR_HEADING), strip), lambda t: t != "")
-    tok = F.col("token")
-    kind = (
-        F.when(tok.startswith("|"), "table")
-        .when(tok.startswith("#"), "heading")
-        .when(F.regexp_like(tok, F.lit(r"^-{3,}$")), "page_break")
-        .otherwise("paragraph")
-    )
-    marks = F.length(F.regexp_extract(tok, r"^#+", 0))
-    title = strip(F.regexp_replace(tok, r"^#+", ""))
-    block = F.struct
-
-    def one(k: str, level: Column, t: Column) -> Column:
-        return block(F.lit(k).alias("kind"), level.cast("int").alias("level"), t.alias("text"))
-
-    none = F.lit(None)
-    heading = F.filter(
-        F.array(
-            F.when(marks == 1, one("page_break", none, F.lit(""))),
-            F.when(title != "", one("heading", F.least(marks, F.lit(9)), title)),
-        ),
-        lambda b: b.isNotNull(),
-    )
-    paragraph = F.transform(
-        F.filter(F.split(tok, "\n"), lambda line: strip(line) != ""), lambda line: one("paragraph", none, line)
-    )
+    tokens = f"filter(transform({_pieces(text, TABLE_OR_HEADING)}, p -> {strip('p')}), p -> p <> '')"
+
+    def block(kind: str, level: str, body: str) -> str:
+        return f"struct('{kind}' AS kind, CAST({level} AS INT) AS level, {body} AS text)"
+
+    page_break = block("page_break", "NULL", "''")
+    title = strip("regexp_replace(token, '^#+', '')")
     blocks = (
-        F.when(F.col("kind") == "table", F.array(one("table", none, tok)))
-        .when(F.col("kind") == "heading", heading)
-        .when(F.col("kind") == "page_break", F.array(one("page_break", none, F.lit(""))))
-        .otherwise(paragraph)
+        f"CASE WHEN startswith(token, '|') THEN array({block('table', 'NULL', 'token')})"
+        f" WHEN startswith(token, '#') THEN array_compact(array(CASE WHEN marks = 1 THEN {page_break} END,"
+        f" CASE WHEN title <> '' THEN {block('heading', 'least(marks, 9)', 'title')} END))"
+        f" WHEN regexp_like(token, {quote(PAGE_BREAK)}) THEN array({page_break})"
+        f" ELSE transform(filter(split(token, '\\n'), x -> {strip('x')} <> ''), x -> {block('paragraph', 'NULL', 'x')}) END"
     )
     return (
-        df.select(key, F.posexplode(tokens).alias("token_no", "token"))
-        .withColumn("kind", kind)
-        .select(key, "token_no", F.posexplode(blocks).alias("line_no", "b"))
+        df.selectExpr(key, f"posexplode({tokens}) AS (token_no, token)")
+        .selectExpr("*", "length(regexp_extract(token, '^#+', 0)) AS marks", f"{title} AS title")
+        .selectExpr(key, "token_no", f"posexplode({blocks}) AS (line_no, b)")
         .select(key, "token_no", "line_no", "b.kind", "b.level", "b.text")
     )
 
 
 def markdown_table_cells(blocks: DataFrame, key: str) -> DataFrame:
     """Cells of the table blocks; separator rows and cells beyond the widest row's pipes are dropped."""
-    rows = F.filter(
-        F.filter(F.transform(F.split("text", "\n"), strip), lambda r: r != ""),
-        lambda r: ~F.regexp_like(r, F.lit(SEPARATOR_ROW)),
+    rows = (
+        f"filter(transform(split(text, '\\n'), r -> {strip('r')}),"
+        f" r -> r <> '' AND NOT regexp_like(r, {quote(SEPARATOR_ROW)}))"
     )
-    pipes = F.transform(F.col("rows"), lambda r: F.length(r) - F.length(F.replace(r, F.lit("|"), F.lit(""))))
     return (
         blocks.filter("kind = 'table'")
-        .select(key, "token_no", rows.alias("rows"))
-        .withColumn("columns", F.array_max(pipes) - 1)
+        .selectExpr(key, "token_no", f"{rows} AS rows")
+        .selectExpr("*", "array_max(transform(rows, r -> length(r) - length(replace(r, '|', '')))) - 1 AS columns")
         .filter("columns > 0")
-        .select(key, "token_no", "columns", F.posexplode("rows").alias("row_no", "row"))
-        .select(
-            key, "token_no", "columns", "row_no",
-            F.posexplode(F.split(F.btrim(F.col("row"), F.lit("|")), r"\|")).alias("col_no", "cell"),
-        )
+        .selectExpr(key, "token_no", "columns", "posexplode(rows) AS (row_no, row)")
+        .selectExpr(key, "token_no", "columns", "row_no", r"posexplode(split(btrim(row, '|'), r'\|')) AS (col_no, cell)")
         .filter("col_no < columns")
-        .select(key, "token_no", "row_no", "col_no", strip(F.col("cell")).alias("cell"))
+        .selectExpr(key, "token_no", "row_no", "col_no", f"{strip('cell')} AS cell")
     )
 
 
 def inline_runs(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Bold, subscript, line-break and plain runs of a line, in order."""
-    run = F.col("run")
-    low = F.lower(run)
     kind = (
-        F.when(run.startswith("**") & run.endswith("**") & (F.length(run) >= 4), "bold")
-        .when(low.startswith("<sub>") & low.endswith("</sub>"), "subscript")
-        .when(F.regexp_like(run, F.lit(r"(?i)^<br\s*/?>")), "line_break")
-        .otherwise("plain")
+        "CASE WHEN startswith(run, '**') AND endswith(run, '**') AND length(run) >= 4 THEN 'bold'"
+        " WHEN startswith(lower(run), '<sub>') AND endswith(lower(run), '</sub>') THEN 'subscript'"
+        r" WHEN regexp_like(run, r'(?i)^<br\s*/?>') THEN 'line_break' ELSE 'plain' END"
     )
     inner = (
-        F.when(F.col("kind") == "bold", F.substring(run, F.lit(3), F.length(run) - 4))
-        .when(F.col("kind") == "subscript", F.substring(run, F.lit(6), F.length(run) - 11))
-        .when(F.col("kind") == "line_break", "")
-        .otherwise(run)
+        "CASE kind WHEN 'bold' THEN substring(run, 3, length(run) - 4)"
+        " WHEN 'subscript' THEN substring(run, 6, length(run) - 11) WHEN 'line_break' THEN '' ELSE run END"
     )
     return (
-        df.select(*keys, F.posexplode(_pieces(F.col(text), INLINE)).alias("run_no", "run"))
-        .withColumn("kind", kind)
-        .select(*keys, "run_no", "kind", inner.alias("text"))
+        df.selectExpr(*keys, f"posexplode({_pieces(text, INLINE)}) AS (run_no, run)")
+        .selectExpr("*", f"{kind} AS kind")
+        .selectExpr(*keys, "run_no", "kind", f"{inner} AS text")
     )

@@ -57,35 +57,36 @@ _PROFILES = {
 _CUT = {"server": 300, "container": 300, "container_tail": 500, "server_tail": 500, "health": 200}
 
 
-def parse_http_errors(lines: DataFrame) -> DataFrame:
-    """Access-log lines with status 400 and above, without test paths and refused sign-ups."""
+def parse_http_errors(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Access-log lines with status 400 and above, without test paths and refused sign-ups. ``keep`` names
+    further columns to carry along."""
     part = lambda g: f"regexp_extract(line, {quote(HTTP_LINE)}, {g})"
     return (
         lines.filter(_HTTP)
-        .selectExpr("source", "line_no", f"{part(1)} AS method", f"{part(2)} AS path", f"CAST({part(3)} AS INT) AS status")
+        .selectExpr("source", "line_no", *keep, f"{part(1)} AS method", f"{part(2)} AS path", f"CAST({part(3)} AS INT) AS status")
         .filter(
             f"status >= 400 AND NOT contains(path, '{TEST_PATH}') AND path <> '{NULL_RENAME}'"
             f" AND NOT (status = 400 AND contains(path, '{SIGNUP_PATH}'))"
         )
         .selectExpr(
-            "source", "line_no",
+            "source", "line_no", *keep,
             "CASE WHEN status >= 500 THEN 'critical' WHEN status >= 404 THEN 'error' ELSE 'warning' END AS severity",
             "concat('HTTP ', status, ': ', method, ' ', path) AS message", "'http' AS type",
         )
     )
 
 
-def classify_log_lines(lines: DataFrame, profile: str = "server") -> DataFrame:
+def classify_log_lines(lines: DataFrame, profile: str = "server", keep: tuple[str, ...] = ()) -> DataFrame:
     """Errors and warnings among log lines by the rules of a profile; the first rule that matches decides."""
     rules = _PROFILES[profile]
     level = " ".join(f"WHEN {cond} THEN {sev or 'NULL'}" for cond, sev, _ in rules)
     kind = " ".join(f"WHEN {cond} THEN {quote(t) if t else 'NULL'}" for cond, _, t in rules)
     return (
-        lines.selectExpr("source", "line_no", r"regexp_replace(line, r'^\s+|\s+$', '') AS line")
+        lines.selectExpr("source", "line_no", *keep, r"regexp_replace(line, r'^\s+|\s+$', '') AS line")
         .filter("line <> ''")
         .selectExpr("*", "lower(line) AS low")
         .selectExpr(
-            "source", "line_no", f"CASE {level} END AS severity", f"substring(line, 1, {_CUT[profile]}) AS message",
+            "source", "line_no", *keep, f"CASE {level} END AS severity", f"substring(line, 1, {_CUT[profile]}) AS message",
             f"CASE {kind} END AS type",
         )
         .filter("severity IS NOT NULL")

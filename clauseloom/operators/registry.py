@@ -125,24 +125,28 @@ def insert_if_absent(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 _OPTIONAL = ("error_message", "marker_version", "s3_json_path", "page_count")
 
 
-def apply_status_updates(registry: DataFrame, updates: DataFrame) -> DataFrame:
-    """Registry after ``updates(document_id, ts, seq, status, optional fields)``.
+def document_states(updates: DataFrame) -> DataFrame:
+    """State of each document after ``updates(document_id, ts, seq, status, optional fields)``.
 
     The latest status wins; the start is set at PROCESSING, the end at COMPLETED or FAILED; an optional
-    field keeps its value unless a later update gives one. All of it is a map-side combinable aggregate.
+    field keeps its value unless a later update gives one. A plain aggregate, so it combines on the map
+    side and runs the same on a stream.
     """
     at = "struct(ts, seq)"
-    given = [c for c in _OPTIONAL if c in updates.columns]
-    last = updates.groupBy(F.col("document_id").alias("id")).agg(
-        F.expr(f"max_by(status, {at})").alias("_status"),
-        F.expr("max(ts) FILTER (WHERE status = 'PROCESSING')").alias("_started"),
-        F.expr("max(ts) FILTER (WHERE status IN ('COMPLETED', 'FAILED'))").alias("_completed"),
-        *[F.expr(f"max_by({c}, {at}) FILTER (WHERE {c} IS NOT NULL)").alias(f"_{c}") for c in given],
+    return updates.groupBy(F.col("document_id").alias("id")).agg(
+        F.expr(f"max_by(status, {at})").alias("status"),
+        F.expr("max(ts) FILTER (WHERE status = 'PROCESSING')").alias("processing_started"),
+        F.expr("max(ts) FILTER (WHERE status IN ('COMPLETED', 'FAILED'))").alias("processing_completed"),
+        *[F.expr(f"max_by({c}, {at}) FILTER (WHERE {c} IS NOT NULL)").alias(c) for c in _OPTIONAL if c in updates.columns],
     )
-    new = {"status": "_status", "processing_started": "_started", "processing_completed": "_completed"}
-    new.update({c: f"_{c}" for c in given})
-    return registry.join(last, "id", "left").selectExpr(
-        *[f"coalesce({new[c]}, {c}) AS {c}" if c in new else c for c in registry.columns]
+
+
+def apply_status_updates(registry: DataFrame, updates: DataFrame) -> DataFrame:
+    """The registry after status updates, see :func:`document_states`."""
+    states = document_states(updates)
+    new = states.select("id", *[F.col(c).alias(f"_{c}") for c in states.columns if c != "id"])
+    return registry.join(new, "id", "left").selectExpr(
+        *[f"coalesce(_{c}, {c}) AS {c}" if c in states.columns and c != "id" else c for c in registry.columns]
     )
 
 
