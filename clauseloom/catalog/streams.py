@@ -122,5 +122,7 @@ SQL = {
     "error_stream": """SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS window_start, 'app' AS source, CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'warning'
           ELSE CASE WHEN event_id % 3 = 1 THEN 'error' ELSE 'critical' END END AS severity, count(*) AS n FROM events
         WHERE event_type IN ('error', 'click') OR (event_type = 'view' AND event_id % 3 <> 0) GROUP BY ALL""",
-    "incremental_graph": cg.SQL["graph_statistics"],
+    "incremental_graph": cg._g("""
+        , seen AS (SELECT * FROM nodes WHERE label <> 'Document' OR document_id IN (SELECT document_id FROM clauses))
+        """ + cg._STATS.format(n="seen", e="edges")),
 }
