@@ -82,6 +82,7 @@ def _two_lists(spark, sf):
 
 
 def hybrid_fuse(spark, sf):
+    """Scores in whole hundredths, so that rounding cannot swap two ranks."""
     return _rounded(rt.hybrid_fuse(*_two_lists(spark, sf)))
 
 
@@ -323,7 +324,7 @@ SQL = {
         UNION ALL SELECT source_uid, 'child', c.clause_id, c.title, NULL, NULL, NULL FROM edges JOIN clauses c ON target_uid = {cg._CL}
           WHERE rel_type = 'CONTAINS' AND source_uid LIKE 'clause:%'
         UNION ALL SELECT target_uid, 'parent', c.clause_id, c.title, NULL, NULL, NULL FROM edges JOIN clauses c ON source_uid = {cg._CL} WHERE rel_type = 'CONTAINS'"""),
-    "hybrid_fuse": fx.with_ctes(_FUSE, """SELECT query_id, uid, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY -floor(s * 100), s DESC, uid) AS rank
+    "hybrid_fuse": fx.with_ctes(_FUSE, """SELECT query_id, uid, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, uid) AS rank
         FROM (SELECT coalesce(v.query_id, g.query_id) AS query_id, coalesce(v.uid, g.uid) AS uid,
           0.6::DOUBLE * coalesce(v.score, 0) + 0.4::DOUBLE * coalesce(g.score, 0) AS s FROM v FULL JOIN g ON v.query_id = g.query_id AND v.uid = g.uid)"""),
     "hybrid_fuse_rrf": fx.with_ctes(_FUSE, """SELECT coalesce(v.query_id, g.query_id) AS query_id, coalesce(v.uid, g.uid) AS uid,

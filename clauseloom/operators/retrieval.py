@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from clauseloom.functions import ids
 from clauseloom.functions import text as tx
 from clauseloom.plans.bounded import bounded_rows
-from clauseloom.plans.ordered import SEGMENT_ROWS, ordinal, segment_of, spread, top_per_key
+from clauseloom.plans.ordered import SEGMENT_ROWS, ordinal, rank_all, segment_of, spread, top_per_key
 from clauseloom.plans.stage import stage
 
 #: Queries whose vectors travel together; 4,096 of 384 doubles are 12 MB.
@@ -297,9 +297,7 @@ def hybrid_fuse(vector: DataFrame, graph: DataFrame, alpha: float = 0.6, method:
         "rrf": f"coalesce(1.0D / ({rrf} + v_rank), 0) + coalesce(1.0D / ({rrf} + g_rank), 0)",
     }[method]
     both = v.join(g, ["query_id", "uid"], "full").selectExpr("query_id", "uid", f"{fused} AS score")
-    # Hundred score bands cut the ranking of a hot query.
-    banded = both.selectExpr("*", "-floor(score * 100) AS _band")
-    return ordinal(banded, ["query_id"], ["_band"], ["score DESC", "uid"], "rank").drop("_band")
+    return rank_all(both, ["query_id"], ["score DESC", "uid"], "rank")
 
 
 def assemble_context(results: DataFrame, n: int = 5, form: str = "plain") -> DataFrame:

@@ -2,7 +2,9 @@
 
 Which clause a block belongs to and which caption a table takes depend on what came before. All of it
 is one pass: one shuffle by (document, segment) and windows over the same order. A document longer than
-a segment gets one extra row at the start of each later segment, carrying the state so far.
+a segment gets one extra row at the start of each later segment, carrying the state so far. Whether there
+is such a document is checked first; on a stored table the statistics of ``pos`` answer that without
+reading. Callers that know pass ``long_documents``.
 """
 
 from __future__ import annotations
@@ -57,6 +59,11 @@ def classify_blocks(blocks: DataFrame, mode: str = "full", segment_rows: int = S
     )
 
 
+def has_long_documents(blocks: DataFrame, segment_rows: int = SEGMENT_ROWS) -> bool:
+    """Whether any document reaches past its first segment."""
+    return not blocks.filter(f"pos >= {segment_rows}").isEmpty()
+
+
 def _entry_states(b: DataFrame, segment_rows: int) -> DataFrame:
     """One row per later segment of a long document: last header, open clause, waiting caption."""
     segments = (
@@ -104,11 +111,16 @@ def _entry_states(b: DataFrame, segment_rows: int) -> DataFrame:
     )
 
 
-def assign_blocks(blocks: DataFrame, mode: str = "full", segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+def assign_blocks(
+    blocks: DataFrame, mode: str = "full", segment_rows: int = SEGMENT_ROWS, long_documents: bool | None = None
+) -> DataFrame:
     """Every block with the clause it opens (``opened_id``, ``opened_title``), the clause it belongs to
     (``clause_id``) and, for tables and pictures, its caption (``caption_text``)."""
-    b = classify_blocks(blocks, mode, segment_rows)
-    rows = b.unionByName(_entry_states(b, segment_rows), allowMissingColumns=True)
+    rows = classify_blocks(blocks, mode, segment_rows)
+    if has_long_documents(blocks, segment_rows) if long_documents is None else long_documents:
+        rows = rows.unionByName(_entry_states(rows, segment_rows), allowMissingColumns=True)
+    else:
+        rows = rows.selectExpr("*", "CAST(NULL AS STRING) AS entry_clause", "CAST(NULL AS BOOLEAN) AS is_entry")
     return (
         rows.selectExpr("*", f"last(head, true) OVER ({_LOCAL} {_PRIOR}) AS prev")
         .selectExpr("*", f"CASE WHEN is_entry IS NULL THEN {_OPENED} END AS opened_id")
@@ -339,6 +351,7 @@ def make_chunks(
     mode: str = "full",
     words: dict[str, str] = tx.NORMATIVE_WORDS,
     segment_rows: int = SEGMENT_ROWS,
+    long_documents: bool | None = None,
 ) -> DataFrame:
     """One chunk per clause with its content, tables, figures, requirements and children.
 
@@ -346,7 +359,9 @@ def make_chunks(
     grows without bound; title and parent stand in every part, and a part lists the children that open in
     its segment. The grouping reuses the (document, segment) shuffle of ``assign_blocks``.
     """
-    assigned = assign_blocks(blocks, mode, segment_rows)
+    if long_documents is None:
+        long_documents = has_long_documents(blocks, segment_rows)
+    assigned = assign_blocks(blocks, mode, segment_rows, long_documents)
     parts = (
         _items(assigned, mode, words)
         .groupBy("document_id", "seg", "clause_id")
@@ -358,12 +373,8 @@ def make_chunks(
         )
         .withColumnRenamed("seg", "part")
     )
-    # Only documents longer than a segment take part here; for all others both sides are empty.
-    long_docs = blocks.filter(f"pos >= {segment_rows}").select("document_id").distinct()
-    long_blocks = blocks.join(long_docs, "document_id", "left_semi")
-    before = _pieces_before(_items(assign_blocks(long_blocks, mode, segment_rows), mode, words))
-
-    tree = clause_tree(clause_dim(open_clauses(assign_blocks(headers_only(blocks), mode, segment_rows))))
+    openings = open_clauses(assign_blocks(headers_only(blocks), mode, segment_rows, long_documents))
+    tree = clause_tree(clause_dim(openings))
     # Children are collected per segment of their first position, so this list is bounded as well.
     children = (
         tree.filter("tree_parent_id IS NOT NULL")
@@ -375,11 +386,17 @@ def make_chunks(
         .agg(F.expr("transform(array_sort(collect_list(kid)), x -> x.child)").alias("children_ids"))
     )
     keys = ["document_id", "clause_id", "part"]
-    whole = (
-        parts.join(children, keys, "full")
-        .join(tree.select("document_id", "clause_id", "title", "first_pos"), ["document_id", "clause_id"], "left")
-        .join(before, keys, "left")
+    # Without long documents every clause opens in the part that holds its blocks.
+    whole = parts.join(children, keys, "full" if long_documents else "left").join(
+        tree.select("document_id", "clause_id", "title", "first_pos"), ["document_id", "clause_id"], "left"
     )
+    if long_documents:
+        # Only documents longer than a segment take part here.
+        long_docs = blocks.filter(f"pos >= {segment_rows}").select("document_id").distinct()
+        long_blocks = blocks.join(long_docs, "document_id", "left_semi")
+        whole = whole.join(_pieces_before(_items(assign_blocks(long_blocks, mode, segment_rows, True), mode, words)), keys, "left")
+    else:
+        whole = whole.selectExpr("*", *[f"CAST(NULL AS BIGINT) AS {c}_before" for c in ("tables", "figures", "requirements")])
     return whole.selectExpr(
         "document_id", "clause_id AS chunk_id", "part", "title", "first_pos",
         f"part = {segment_of('first_pos', segment_rows)} AS is_first",

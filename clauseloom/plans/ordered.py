@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clauseloom.plans.stage import stage
+
 #: Positions per segment. A window or an array never holds more rows than this.
 SEGMENT_ROWS = 65_536
 
 
 def segment_of(pos: str, size: int = SEGMENT_ROWS) -> str:
-    return f"CAST(floor(({pos}) / {size}) AS BIGINT)"
+    return f"(({pos}) DIV {size})"
 
 
 def ordinal(df: DataFrame, keys: list[str], segment: list[str], order: list[str], name: str) -> DataFrame:
@@ -45,6 +47,17 @@ def ordinal(df: DataFrame, keys: list[str], segment: list[str], order: list[str]
     )
 
 
+def rank_all(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Number all rows of each key by any order, however many a key has.
+
+    The rows are range-partitioned by (keys, order) and written, so that the partition number is fixed and
+    cuts a hot key at places that respect the order; :func:`ordinal` does the rest. (keys, order) must be unique.
+    """
+    ranged = df.repartitionByRange(*keys, *[F.desc(o[:-5]) if o.endswith(" DESC") else F.col(o) for o in order])
+    kept = stage(ranged.selectExpr("*", "spark_partition_id() AS _range"), "ranged")
+    return ordinal(kept, keys, ["_range"], order, name).drop("_range")
+
+
 def top_per_key(df: DataFrame, keys: list[str], order: list[str], n: int, rank: str = "rank") -> DataFrame:
     """The first ``n`` rows of each key. ``row_number() <= n`` becomes a group limit that prunes
     before the shuffle, so a hot key moves at most ``n`` rows per task."""
