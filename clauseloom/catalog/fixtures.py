@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clauseloom.plans.stage import stage
+
 # One mark per position; {c} is the running section, l the line.
 _MARKED = """
 SELECT concat('doc', doc_id) AS document_id, pos, doc_id, l, (pos + doc_id) % 13 AS k,
@@ -57,7 +59,7 @@ def marked_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """``documents`` as layout blocks."""
+    """``documents`` as a stored table of layout blocks, as an extractor would leave it."""
     marked = marked_lines(spark, sf).selectExpr(
         "concat('doc', doc_id) AS document_id", "pos", "doc_id", "l", "(pos + doc_id) % 13 AS k",
         "CAST(1 + floor(pos / 13) AS INT) AS c", "CASE WHEN doc_id % 5 = 0 THEN 'A.' ELSE '' END AS annex",
@@ -68,13 +70,14 @@ def document_blocks(spark: SparkSession, sf: str) -> DataFrame:
         " concat('/page/', pos, '/Picture/1'), '!!')"
     )
     body = _BLOCKS.replace("{S}", "STRING").strip().removeprefix("SELECT")
-    return spark.sql(
+    blocks = spark.sql(
         f"""SELECT document_id, pos, block_type, html, caption,
               CASE WHEN k = 5 THEN array(array(l, 'x'), array(CAST(c AS STRING))) END AS rows,
               CASE WHEN k = 9 AND doc_id % 8 <> 7 THEN {picture} END AS images
             FROM (SELECT {body} FROM {{marked}})""",
         marked=marked,
     )
+    return stage(blocks, "layout-blocks")
 
 
 def _sql_blocks() -> str:

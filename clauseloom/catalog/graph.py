@@ -14,7 +14,15 @@ from clauseloom.plans.stage import stage
 
 def chunks(spark, sf):
     """The chunk table, written once because everything below reads it several times."""
-    return stage(st.chunk_references(st.make_chunks(fx.document_blocks(spark, sf))), "chunks")
+    return _chunks(fx.document_blocks(spark, sf))
+
+
+def _chunks(blocks):
+    return stage(st.chunk_references(st.make_chunks(blocks)), "chunks")
+
+
+def _stats(blocks):
+    return stage(st.document_statistics(st.assign_blocks(blocks)), "stats")
 
 
 def uniform(spark, sf):
@@ -25,8 +33,14 @@ def stats(spark, sf):
     return st.document_statistics(st.assign_blocks(fx.document_blocks(spark, sf)))
 
 
+def batch(spark, sf):
+    """Uniform chunks and document statistics, both from one block table."""
+    blocks = fx.document_blocks(spark, sf)
+    return gr.uniform_chunks(_chunks(blocks)), _stats(blocks)
+
+
 def graph(spark, sf):
-    return gr.build_graph(uniform(spark, sf), stage(stats(spark, sf), "stats"))
+    return gr.build_graph(*batch(spark, sf))
 
 
 def nested_chunks(spark, sf):
@@ -155,9 +169,9 @@ def merge_edges(spark, sf):
 
 def build_graph(spark, sf):
     """The same batch twice: the second merge changes nothing."""
-    batch, counts = uniform(spark, sf), stage(stats(spark, sf), "stats")
-    nodes, edges = gr.build_graph(batch, counts)
-    again, edges_again = gr.build_graph(batch, counts, stage(nodes, "nodes"), stage(edges, "edges"))
+    rows, counts = batch(spark, sf)
+    nodes, edges = gr.build_graph(rows, counts)
+    again, edges_again = gr.build_graph(rows, counts, stage(nodes, "nodes"), stage(edges, "edges"))
     out = again.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("uid").alias("uids"))
     return out.unionByName(edges_again.groupBy(F.col("rel_type").alias("label")).agg(
         F.count("*").alias("n"), F.count_distinct("target_uid").alias("uids")))
@@ -175,8 +189,8 @@ def graph_statistics(spark, sf):
 
 
 def graph_transactions(spark, sf):
-    u = uniform(spark, sf)
-    sent = gr.sent_nodes(u, stage(stats(spark, sf), "stats"))
+    u, counts = batch(spark, sf)
+    sent = gr.sent_nodes(u, counts)
     nodes = gr.merge_nodes(None, sent)
     edges = gr.sent_edges(u)
     gate = ql.document_gate(ql.validation_gate(nested_chunks(spark, sf)))
