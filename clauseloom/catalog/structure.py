@@ -91,6 +91,24 @@ def structure_basic(spark, sf):
     )
 
 
+def _one_document(spark, sf):
+    """All documents as one, so that it spans many segments."""
+    return fx.document_blocks(spark, sf).selectExpr(
+        "'all' AS document_id", "CAST(substring(document_id, 4) AS BIGINT) * 4096 + pos AS pos", "block_type", "html",
+        "caption", "rows", "images")
+
+
+def make_chunks_long(spark, sf):
+    parts = st.make_chunks(_one_document(spark, sf))
+    return parts.groupBy("chunk_id").agg(
+        F.expr("max(title)").alias("title"),
+        F.expr("sum(size(content))").alias("n_content"), F.expr("sum(size(tables))").alias("n_tables"),
+        F.expr("sum(size(requirements))").alias("n_requirements"), F.expr("sum(size(children_ids))").alias("n_children"),
+        F.expr("sum(size(figures))").alias("n_figures"),
+        F.expr("max(figures_before + size(figures))").alias("last_figure"),
+    )
+
+
 QUERIES = {
     "strip_html": strip_html_pages,
     "classify_header": lambda s, d: st.classify_headers(fx.document_blocks(s, d)),
@@ -114,9 +132,14 @@ QUERIES = {
     "dedup_references": dedup_references,
     "extract_references": lambda s, d: st.extract_references(st.content_blocks(_assigned(s, d))),
     "structure_basic": structure_basic,
+    "assign_long_document": lambda s, d: st.assign_blocks(_one_document(s, d)).select("pos", "clause_id", "opened_title", "caption_text"),
+    "make_chunks_long_document": make_chunks_long,
 }
 
 _P = fx.SQL_PARTS
+_ONE = fx.SQL_PARTS.replace("blocks AS (", "own_blocks AS (", 1).replace(
+    "texts AS (",
+    "blocks AS (SELECT 'all' AS document_id, doc_id * 4096 + pos AS pos, * EXCLUDE (document_id, pos) FROM own_blocks),\ntexts AS (", 1)
 _LISTED = """
 docs AS (SELECT document_id, concat_ws(chr(10), html, caption, html) AS t FROM blocks),
 found AS (SELECT document_id,
@@ -199,6 +222,15 @@ SQL = {
           UNION ALL SELECT document_id, clause_id, pos, 'table', unnest(regexp_extract_all(text, '(?i)(?:^|[^\\p{L}\\p{N}_])table\\s+([A-Z]?\\d+(?:\\.\\d+)*)', 1)) FROM content
           UNION ALL SELECT document_id, clause_id, pos, 'figure', unnest(regexp_extract_all(text, '(?i)(?:^|[^\\p{L}\\p{N}_])(?:figure|fig\\.?)\\s+([A-Z]?\\d+(?:\\.\\d+)*)', 1)) FROM content
           UNION ALL SELECT document_id, clause_id, pos, 'standard', unnest(regexp_extract_all(text, '(?:^|[^\\p{L}\\p{N}_])((?:ISO/IEC|IEC|ISO|CISPR|EN)\\s+\\d+(?:-\\d+)*)', 1)) FROM content)"""),
+    "assign_long_document": fx.with_ctes(_ONE, "SELECT pos, clause_id, opened_title, caption_text FROM assigned"),
+    "make_chunks_long_document": fx.with_ctes(_ONE, """
+        SELECT clause_id AS chunk_id, title,
+          (SELECT count(*) FROM content x WHERE x.clause_id = c.clause_id) AS n_content,
+          (SELECT count(*) FROM tabs x WHERE x.clause_id = c.clause_id) AS n_tables,
+          (SELECT count(*) FROM reqs x WHERE x.clause_id = c.clause_id) AS n_requirements,
+          (SELECT count(*) FROM tree x WHERE x.tree_parent_id = c.clause_id) AS n_children,
+          (SELECT count(*) FROM figs x WHERE x.clause_id = c.clause_id) AS n_figures,
+          (SELECT count(*) FROM figs x WHERE x.clause_id = c.clause_id) AS last_figure FROM clauses c"""),
     "structure_basic": fx.with_ctes(_P, f"""
         , b_flag AS (SELECT h.*, o.opened_id,
             CASE WHEN o.opened_id IS NOT NULL THEN 'clear' WHEN block_type = 'Caption' AND text <> '' THEN 'set'

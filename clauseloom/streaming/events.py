@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from clauseloom.functions import ids
-from clauseloom.operators import ops
 from clauseloom.operators import registry as rg
+from clauseloom.operators.ops import KEY_BUCKET, TOKEN, classify_log_lines, parse_http_errors, spend
 from clauseloom.streaming.run import for_each_batch
 
 LATE = "1 hour"
@@ -131,7 +131,7 @@ class _Bucket(StatefulProcessor):
     """The token bucket of one key; an idle one is forgotten."""
 
     def __init__(self, bucket: dict, idle_ms: int | None):
-        self.start, self.cap = bucket["start"] * ops.TOKEN, bucket["cap"] * ops.TOKEN
+        self.start, self.cap = bucket["start"] * TOKEN, bucket["cap"] * TOKEN
         self.rate, self.idle_ms = bucket["rate"], idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -145,8 +145,8 @@ class _Bucket(StatefulProcessor):
             tokens, at = min(self.start, self.cap), int(pdf["ts_us"].iloc[0])
         allowed, wait = [], []
         for ts, cost in zip(pdf["ts_us"].tolist(), pdf["cost"].tolist()):
-            need = int(cost) * ops.TOKEN
-            tokens, ok = ops.spend(tokens, max(0, ts - at), need, self.rate, self.cap)
+            need = int(cost) * TOKEN
+            tokens, ok = spend(tokens, max(0, ts - at), need, self.rate, self.cap)
             at = max(at, ts)
             allowed.append(ok)
             wait.append(0.0 if ok else (need - tokens) / (self.rate * 1_000_000))
@@ -157,7 +157,7 @@ class _Bucket(StatefulProcessor):
         pass
 
 
-def rate_limit_stream(requests: DataFrame, bucket: dict = ops.KEY_BUCKET, idle_ms: int | None = 600_000) -> DataFrame:
+def rate_limit_stream(requests: DataFrame, bucket: dict = KEY_BUCKET, idle_ms: int | None = 600_000) -> DataFrame:
     """Live token buckets for requests ``(key, request_id, ts_us, cost)``.
 
     Idle time is processing time, so a replay of old requests keeps its buckets. Run it with a
@@ -173,7 +173,7 @@ def rate_limit_stream(requests: DataFrame, bucket: dict = ops.KEY_BUCKET, idle_m
 
 def error_stream(lines: DataFrame, profile: str = "server", size: str = "5 minutes") -> DataFrame:
     """Errors in arriving lines ``(source, line_no, ts, line)``, counted per window, source and severity."""
-    found = ops.parse_http_errors(lines, ("ts",)).unionByName(ops.classify_log_lines(lines, profile, ("ts",)))
+    found = parse_http_errors(lines, ("ts",)).unionByName(classify_log_lines(lines, profile, ("ts",)))
     return (
         found.withWatermark("ts", LATE)
         .groupBy(F.window("ts", size).alias("w"), "source", "severity")
