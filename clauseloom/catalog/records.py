@@ -265,6 +265,10 @@ QUERIES = {
         "concat('d', l_orderkey) AS document_id", "concat('stage', l_linenumber) AS failure_stage", "l_linestatus = 'F' AS reviewed", "CAST(NULL AS STRING) AS reviewed_by")).select("id", "failure_stage", "reviewed"),
     "processing_summary": lambda s, d: rg.processing_summary(registry(s, d), registry_chunks(s, d)).drop("filename", "processing_completed"),
     "daily_statistics": lambda s, d: rg.daily_statistics(registry(s, d)).withColumn("avg_total_time", F.expr("CAST(avg_total_time AS DOUBLE)")),
+    "stage_times": lambda s, d: rg.stage_times(fx.read(s, d, "events").selectExpr(
+        "user_id AS document_id", "CAST(ts AS TIMESTAMP) AS ts",
+        "CASE event_type WHEN 'click' THEN 'PROCESSING_MARKER' WHEN 'view' THEN 'COMPLETED_MARKER' WHEN 'purchase' THEN 'PROCESSING_GRAPH' WHEN 'error' THEN 'COMPLETED_GRAPH' ELSE 'PENDING' END AS status",
+    )).withColumn("avg_time", F.expr("CAST(avg_time AS DOUBLE)")),
     "insert_if_absent": lambda s, d: rg.insert_if_absent(
         fx.read(s, d, "customer").selectExpr("c_custkey AS k", "c_mktsegment AS v"),
         fx.read(s, d, "orders").selectExpr("o_custkey * 2 AS k", "o_orderpriority AS v"), "k"),
@@ -407,6 +411,10 @@ SQL = {
         count(*) FILTER (status = 'FAILED') AS documents_failed, count(*) FILTER (status = 'PENDING') AS documents_pending,
         round(CAST(avg((epoch_us(processing_completed) - epoch_us(processing_started)) / 1000000.0::DOUBLE) AS DECIMAL(18, 6)), 2)::DOUBLE AS avg_total_time,
         sum(page_count) AS total_pages, sum(clause_count) AS total_clauses, sum(chunk_count) AS total_chunks FROM registry GROUP BY 1"""),
+    "stage_times": """WITH t AS (SELECT user_id, CASE WHEN event_type IN ('click', 'view') THEN 'MARKER' ELSE 'GRAPH' END AS stage,
+          min(ts) FILTER (event_type IN ('click', 'purchase')) AS a, max(ts) FILTER (event_type IN ('view', 'error')) AS b
+          FROM events WHERE event_type <> 'signup' GROUP BY ALL)
+        SELECT CAST(a AS DATE) AS stat_date, stage, round(CAST(avg((epoch_us(b) - epoch_us(a)) / 1000000.0::DOUBLE) AS DECIMAL(18, 6)), 2)::DOUBLE AS avg_time FROM t WHERE b >= a GROUP BY ALL""",
     "insert_if_absent": """SELECT c_custkey AS k, c_mktsegment AS v FROM customer UNION ALL
         SELECT o_custkey * 2, min(o_orderpriority) FROM orders WHERE o_custkey * 2 NOT IN (SELECT c_custkey FROM customer) GROUP BY 1""",
     "apply_status_updates": fx.with_ctes(SQL_REGISTRY + "," + SQL_UPDATES, """

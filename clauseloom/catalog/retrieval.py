@@ -34,6 +34,12 @@ def ann_search(spark, sf):
     return _rounded(rt.ann_search(centroids(spark, sf), indexed, centres, k=10))
 
 
+def ann_search_all_lists(spark, sf):
+    """Probing every list is exact."""
+    indexed, centres = rt.inverted_lists(_vectors(spark, sf))
+    return _rounded(rt.ann_search(centroids(spark, sf), indexed, centres, k=10, probe=len(centres)))
+
+
 def embedding_text(spark, sf):
     return rt.embedding_text(cg.chunks(spark, sf)).selectExpr(
         "document_id", "chunk_id", "md5(embed_text) AS embed_hash", "length(content) AS kept")
@@ -205,6 +211,7 @@ QUERIES = {
     "vector_search": lambda s, d: _rounded(rt.vector_search(centroids(s, d), _vectors(s, d), 10)),
     "vector_search_filtered": lambda s, d: _rounded(rt.vector_search(centroids(s, d), _vectors(s, d), 10, match="label")),
     "ann_search": ann_search,
+    "ann_search_all_lists": ann_search_all_lists,
     "expand_context": expand_context,
     "anchor_expand": anchor_expand,
     "graph_expand": graph_expand,
@@ -314,6 +321,8 @@ g AS (SELECT query_id, uid, t AS score, row_number() OVER (PARTITION BY query_id
 SQL = {
     "embedding_text": fx.with_ctes(fx.SQL_PARTS, """SELECT document_id, clause_id AS chunk_id,
         md5((title || '. ' || content_text)[1:8000]) AS embed_hash, least(length(title || '. ' || content_text), 2000) AS kept FROM levels"""),
+    "embed_chunks": fx.with_ctes(fx.SQL_PARTS, f"SELECT {cg._CL} AS uid, 384 AS dim, 1.0::DOUBLE AS norm FROM levels"),
+    "ann_search_all_lists": fx.with_ctes(_COS, _TOPK.format(where="")),
     "vector_search": fx.with_ctes(_COS, _TOPK.format(where="")),
     "vector_search_filtered": fx.with_ctes(_COS, _TOPK.format(where="WHERE label = query_id")),
     "expand_context": _c("SELECT query_id, seed_uid, seed_rank, rel_rank, uid, title, md5(content) AS content_hash, node_type FROM near"),

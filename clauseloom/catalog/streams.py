@@ -25,7 +25,7 @@ def upload_stream(spark, sf):
     path = rc.written_texts(spark, sf)
     ups = ev.upload_stream(spark, path, files_per_trigger=2)
     events = ev.ingest_uploads(ups, fresh_path(spark, "registry"), fresh_path(spark, "uploads"))
-    return events.agg(F.count("*").alias("documents"), F.count_distinct("content_hash").alias("hashes"), F.sum("file_size").alias("bytes"))
+    return events.agg(F.expr("count(*) = count(DISTINCT content_hash)").alias("all_distinct"), F.sum("file_size").alias("bytes"))
 
 
 def route_events(spark, sf):
@@ -105,6 +105,7 @@ QUERIES = {
 }
 
 SQL = {
+    "upload_stream": "SELECT true AS all_distinct, sum(strlen(text) + 1) AS bytes FROM documents",
     "route_events": "SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'purchase')",
     "exactly_once_events": "SELECT min(event_id) AS event_id, user_id AS document_id FROM events GROUP BY ts, user_id",
     "document_lifecycle": """SELECT 'd' || user_id AS id, arg_max(CASE event_type WHEN 'signup' THEN 'PENDING' WHEN 'click' THEN 'PROCESSING' WHEN 'view' THEN 'COMPLETED_MARKER'

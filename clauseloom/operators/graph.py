@@ -224,10 +224,9 @@ def merge_nodes(existing: DataFrame | None, incoming: DataFrame, order: list[str
     """
     keys = ["label", "uid"]
     fields = [c for c in incoming.columns if c not in keys]
-    ranked = [c for c in (order or fields) if c in incoming.columns]
-    last = incoming.groupBy(*keys).agg(
-        F.expr(f"max_by(struct({', '.join(fields)}), struct({', '.join(ranked)}))").alias("_new")
-    )
+    row = f"struct({', '.join(fields)})"
+    pick = f"max_by({row}, struct({', '.join(order)}))" if order else f"max({row})"
+    last = incoming.groupBy(*keys).agg(F.expr(pick).alias("_new"))
     if existing is None:
         return last.select(*keys, "_new.*")
     both = existing.join(last, keys, "full")

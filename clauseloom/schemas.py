@@ -10,12 +10,6 @@ CONTENT = "array<struct<type:string,text:string>>"
 TABLES = "array<struct<html:string,number:string,caption:string,rows:array<array<string>>>>"
 FIGURES = "array<struct<number:string,path:string,format:string,original_key:string,size_bytes:int,caption:string>>"
 REQUIREMENTS = "array<struct<type:string,keyword:string,text:string>>"
-REFERENCES = "struct<clauses:array<string>,tables:array<string>,figures:array<string>,standards:array<string>>"
-CHUNKS = (
-    "document_id string, chunk_id string, part long, title string, parent_id string, "
-    f"content {CONTENT}, tables {TABLES}, figures {FIGURES}, requirements {REQUIREMENTS}, "
-    "children_ids array<string>, tables_before long, figures_before long, requirements_before long"
-)
 NESTED_CHUNKS = (
     "chunk_id string, document_id string, document_metadata struct<id:string>, title string, parent_id string, "
     "hierarchy struct<parent_id:string,children_ids:array<string>,level:int>, "
@@ -23,16 +17,6 @@ NESTED_CHUNKS = (
     f"children_ids array<string>, enrichment struct<requirements:{REQUIREMENTS},"
     "internal_refs:struct<clauses:array<string>>,external_refs:array<string>>"
 )
-EVENT = (
-    "event_id string, event_type string, document_id string, ts timestamp, routing_key string, payload string"
-)
-REGISTRY = (
-    "id string, hash string, filename string, upload_timestamp timestamp, status string, "
-    "marker_version string, processing_started timestamp, processing_completed timestamp, error_message string, "
-    "s3_raw_path string, s3_json_path string, s3_schema_path string, retry_count int, max_retries int, "
-    "page_count int, clause_count int, chunk_count int, total_images int, total_tables int"
-)
-LOG_LINES = "source string, line_no long, line string"
 SESSIONS = (
     "session_id string, user_id string, title string, created_at timestamp, updated_at timestamp, "
     "starred boolean, test_plan_files map<string,string>, "

@@ -33,8 +33,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session somebody else created."""
+def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
+    """Apply the runtime settings to a session somebody else created.
+
+    With ``input_bytes`` the shuffles get one partition per 128 MiB of input, but never fewer than set; AQE
+    merges what turns out small.
+    """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    if input_bytes:
+        wanted = -(-input_bytes // (128 << 20))
+        spark.conf.set("spark.sql.shuffle.partitions", str(max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     return spark

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions import ids
 from clauseloom.plans.stage import stage
-from clauseloom.schemas import EVENT, SESSIONS
+from clauseloom.schemas import SESSIONS
 
 # Fixed value: the file types taken.
 SUPPORTED = ("pdf", "docx", "txt", "md")
