@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import mixing, sharding
+from clauseloom.llm import bpe, mixing, sharding
 from clauseloom.llm.common import table
 
 #: Bytes of text in a shard at most.
@@ -24,6 +24,17 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), "doc_id", "text", SHARD_BYTES)
 
 
+def vocabulary() -> tuple[bytes, str]:
+    """The public vocabulary of 50,256 byte-level tokens and its pattern."""
+    import public_tokenizers
+
+    return bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), "doc_id", "text", *vocabulary())
+
+
 def with_domain(docs: DataFrame) -> DataFrame:
     """Five neighbouring sources form a domain."""
     number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]+)$", 1)
@@ -43,7 +54,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).drop("place")
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op6_mixing": op6_mixing}
+QUERIES = {"op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op6_mixing": op6_mixing}
 
 _OP2 = f"""
 WITH rows AS (

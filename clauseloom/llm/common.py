@@ -11,7 +11,7 @@ from clauseloom.plans.stage import stage
 HASH_BITS = 60
 
 #: Rows of whole texts that travel to Python at once.
-TEXT_BATCH = "256"
+TEXT_BATCH = "512"
 
 
 def hash60(value: Column) -> Column:
