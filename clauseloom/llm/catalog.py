@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import bpe, mixing, sharding
+from clauseloom.llm import bpe, mixing, quality, sharding, substring
 from clauseloom.llm.common import table
 
 #: Bytes of text in a shard at most.
@@ -54,7 +54,37 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).drop("place")
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op6_mixing": op6_mixing}
+#: Words of a window that must not occur twice.
+REPEAT_WORDS = 35
+
+
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(table(spark, sf_dir, "documents"), "doc_id", "text", REPEAT_WORDS)
+
+
+#: Documents that score less are of low quality.
+GOOD = 0.7
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Voters | None:
+    """Learned from labelled documents outside the held-out quarter."""
+    labels = table(spark, sf_dir, "labels").filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    return quality.fit(docs, labels, "doc_id", "text", "quality")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, "text", quality_model(spark, docs, sf_dir), ["doc_id"])
+    return scored.select(
+        "doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score",
+        (F.col("score") >= GOOD).cast("int").alias("predicted"),
+    )
+
+
+QUERIES = {
+    "op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op6_mixing": op6_mixing,
+    "op7_substring": op7_substring, "op10_quality": op10_quality,
+}
 
 _OP2 = f"""
 WITH rows AS (
