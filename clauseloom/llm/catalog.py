@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import bpe, mixing, quality, sharding, substring
+from clauseloom.llm import bpe, mixing, neardup, quality, sharding, substring
 from clauseloom.llm.common import table
 
 #: Bytes of text in a shard at most.
@@ -20,6 +20,11 @@ EPOCHS = 3
 SEED = 7
 
 
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.classes(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.drop("v").withColumnRenamed("k", "doc_id")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), "doc_id", "text", SHARD_BYTES)
 
@@ -82,7 +87,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op6_mixing": op6_mixing,
+    "op1_neardup": op1_neardup,     "op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op6_mixing": op6_mixing,
     "op7_substring": op7_substring, "op10_quality": op10_quality,
 }
 
