@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import bpe, mixing, neardup, quality, sharding, substring
+from clauseloom.llm import bpe, mixing, neardup, quality, sharding, substring, warc
 from clauseloom.llm.common import table
 
 #: Bytes of text in a shard at most.
@@ -67,6 +67,10 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(table(spark, sf_dir, "documents"), "doc_id", "text", REPEAT_WORDS)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"), "page_id", "url", "html")
+
+
 #: Documents that score less are of low quality.
 GOOD = 0.7
 
@@ -88,7 +92,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_neardup": op1_neardup,     "op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op6_mixing": op6_mixing,
-    "op7_substring": op7_substring, "op10_quality": op10_quality,
+    "op7_substring": op7_substring, "op9_warc": op9_warc, "op10_quality": op10_quality,
 }
 
 _OP2 = f"""
@@ -150,4 +154,13 @@ SELECT doc_id, domain, lang, source, n_tokens, leaf_tokens, leaf_budget,
   CAST(epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS INT) AS copies FROM ranked
 """
 
-SQL = {"op2_sharding": _OP2, "op6_mixing": _OP6}
+_OP9 = f"""
+WITH rows AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+heads AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS head FROM rows)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} AND page_id <> head THEN head END AS refers_to FROM heads
+"""
+
+SQL = {"op2_sharding": _OP2, "op6_mixing": _OP6, "op9_warc": _OP9}
