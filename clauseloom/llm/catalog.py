@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import bpe, mixing, neardup, quality, sharding, substring, warc
+from clauseloom.llm import bpe, html, mixing, neardup, quality, sharding, substring, warc
 from clauseloom.llm.common import table
 
 #: Bytes of text in a shard at most.
@@ -67,6 +67,10 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(table(spark, sf_dir, "documents"), "doc_id", "text", REPEAT_WORDS)
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"), "page_id", "url", "html")
 
@@ -92,7 +96,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_neardup": op1_neardup,     "op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op6_mixing": op6_mixing,
-    "op7_substring": op7_substring, "op9_warc": op9_warc, "op10_quality": op10_quality,
+    "op7_substring": op7_substring, "op8_html": op8_html, "op9_warc": op9_warc, "op10_quality": op10_quality,
 }
 
 _OP2 = f"""
