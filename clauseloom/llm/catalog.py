@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import bpe, html, mixing, neardup, quality, sharding, substring, warc
+from clauseloom.llm import ann, bpe, html, mixing, neardup, quality, sharding, substring, topk, warc
 from clauseloom.llm.common import table
 
 #: Bytes of text in a shard at most.
@@ -40,6 +40,15 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), "doc_id", "text", *vocabulary())
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20)
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.transform("v", lambda x: F.floor(x * 256))
+    return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", whole, F.col("vec_id") % 50 == 0, 5)
+
+
 def with_domain(docs: DataFrame) -> DataFrame:
     """Five neighbouring sources form a domain."""
     number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]+)$", 1)
@@ -95,7 +104,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_neardup": op1_neardup,     "op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op6_mixing": op6_mixing,
+    "op1_neardup": op1_neardup,     "op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op4_ann": op4_ann,
+    "op5_topk": op5_topk, "op6_mixing": op6_mixing,
     "op7_substring": op7_substring, "op8_html": op8_html, "op9_warc": op9_warc, "op10_quality": op10_quality,
 }
 
@@ -158,6 +168,18 @@ SELECT doc_id, domain, lang, source, n_tokens, leaf_tokens, leaf_budget,
   CAST(epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS INT) AS copies FROM ranked
 """
 
+_OP5 = """
+WITH rows AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM rows q JOIN rows c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 _OP9 = f"""
 WITH rows AS (
   SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
@@ -167,4 +189,4 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} AND page_id <> head THEN head END AS refers_to FROM heads
 """
 
-SQL = {"op2_sharding": _OP2, "op6_mixing": _OP6, "op9_warc": _OP9}
+SQL = {"op2_sharding": _OP2, "op5_topk": _OP5, "op6_mixing": _OP6, "op9_warc": _OP9}
