@@ -9,7 +9,7 @@ Texts are cut at white space first, as the pattern does, and every distinct unit
 through in blocks, so memory does not grow with a text's length beyond its ids.
 
 Edge cases: a null text is empty and has no tokens; every byte is a token, so any text can be encoded; special
-tokens in a text are ordinary text; repeated rows are encoded like any other; extra columns are not read.
+tokens in a text are ordinary text; repeated rows are encoded like any other; extra columns stay.
 """
 
 from __future__ import annotations
@@ -18,14 +18,13 @@ import base64
 import hashlib
 import re
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from clauseloom.llm.common import small_batches
+from clauseloom.llm.common import with_made
 
 #: Characters of the Unicode property White_Space (fixed values).
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -249,24 +248,40 @@ class Encoder(dict):
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids))
 
 
-def encode(df: DataFrame, key: str, text: str, ranks: bytes, pattern: str, keep: list[str] = ()) -> DataFrame:
-    """Key and ``keep`` with n_tokens and ``ids``, an array of the token ids of the whole text."""
-    small_batches(df.sparkSession)
+def encode(df: DataFrame, text: str, ranks: bytes, pattern: str) -> DataFrame:
+    """``df`` without the text, with n_tokens, ``ids`` (the token ids of the whole text) and decoded_sha256 of their bytes."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made() -> Callable:
         encoder = Encoder.of_process(ranks, pattern)
-        for batch in batches:
-            ids = [list(chain.from_iterable(blocks)) for blocks in encoder.encode_all(list(batch["t"].fillna("")))]
-            yield batch.drop(columns="t").assign(n_tokens=[len(x) for x in ids], ids=ids)
 
-    rows = df.select(key, *keep, F.col(text).alias("t"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("t").schema]
-    return rows.mapInPandas(run, ", ".join([*fields, "n_tokens long", "ids array<int>"]))
+        def make(texts: list[str | None]) -> dict:
+            ids = [list(chain.from_iterable(blocks)) for blocks in encoder.encode_all([t or "" for t in texts])]
+            decoded = [hashlib.sha256(encoder.decode(x)).hexdigest() for x in ids]
+            return {
+                "n_tokens": pa.array(map(len, ids), pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32())),
+                "decoded_sha256": pa.array(decoded, pa.string()),
+            }
 
+        return make
 
-def digests(df: DataFrame, key: str, text: str, ranks: bytes, pattern: str) -> DataFrame:
-    """Key, n_tokens, ids_sha256 of the decimal ids joined by spaces, decoded_sha256 of the bytes they decode to."""
-    small_batches(df.sparkSession)
+    return with_made(df, [text], made, "n_tokens long, ids array<int>, decoded_sha256 string", [text])
+
+
+def decode(df: DataFrame, ids: str, ranks: bytes, pattern: str) -> DataFrame:
+    """``df`` without the ids, with ``decoded``, the bytes that they stand for; null ids are none."""
+
+    def made() -> Callable:
+        encoder = Encoder.of_process(ranks, pattern)
+        return lambda rows: {"decoded": pa.array([encoder.decode(r or []) for r in rows], pa.binary())}
+
+    return with_made(df, [ids], made, "decoded binary", [ids])
+
+
+def digests(df: DataFrame, text: str, ranks: bytes, pattern: str) -> DataFrame:
+    """``df`` without the text, with n_tokens, ids_sha256 of the decimal ids joined by spaces, decoded_sha256.
+
+    The ids of a text are digested and decoded block by block and never leave the task.
+    """
 
     def digest(encoder: Encoder, decimal: dict[int, str], blocks: Iterator[list[int]]) -> tuple[int, str, str]:
         n, ids_hash, bytes_hash = 0, hashlib.sha256(), hashlib.sha256()
@@ -277,15 +292,17 @@ def digests(df: DataFrame, key: str, text: str, ranks: bytes, pattern: str) -> D
                 n += len(ids)
         return n, ids_hash.hexdigest(), bytes_hash.hexdigest()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made() -> Callable:
         encoder = Encoder.of_process(ranks, pattern)
         decimal = {i: str(i) for i in encoder.vocabulary.tokens}
-        for batch in batches:
-            out = [digest(encoder, decimal, blocks) for blocks in encoder.encode_all(list(batch["t"].fillna("")))]
-            made = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            made.insert(0, "k", batch["k"].to_numpy())
-            yield made
-
-    kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return rows.mapInPandas(run, f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("k", key)
+
+        def make(texts: list[str | None]) -> dict:
+            out = [digest(encoder, decimal, blocks) for blocks in encoder.encode_all([t or "" for t in texts])]
+            n, ids, decoded = zip(*out) if out else ((), (), ())
+            return {
+                "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string()),
+            }
+
+        return make
+
+    return with_made(df, [text], made, "n_tokens long, ids_sha256 string, decoded_sha256 string", [text])

@@ -37,7 +37,7 @@ def vocabulary() -> tuple[bytes, str]:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), "doc_id", "text", *vocabulary())
+    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", *vocabulary())
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,15 +57,15 @@ def with_domain(docs: DataFrame) -> DataFrame:
     )
 
 
-def mixed(docs: DataFrame) -> DataFrame:
+def mixed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return mixing.mix(
         with_domain(docs), "doc_id", F.expr(f"regexp_count(text, r'{WORD}')"), ["domain", "lang", "source"],
-        WEIGHTS, max_epochs=EPOCHS, seed=SEED,
+        WEIGHTS, max_epochs=EPOCHS, seed=SEED, carry=carry,
     )
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents")).drop("place")
+    return mixed(table(spark, sf_dir, "documents"))
 
 
 #: Words of a window that must not occur twice.
@@ -77,7 +77,7 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "page_id", "url", "html")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +96,7 @@ def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = quality.score(docs, "text", quality_model(spark, docs, sf_dir), ["doc_id"])
+    scored = quality.score(docs.select("doc_id", "text"), "text", quality_model(spark, docs, sf_dir), ("text",))
     return scored.select(
         "doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score",
         (F.col("score") >= GOOD).cast("int").alias("predicted"),
@@ -170,9 +170,9 @@ SELECT doc_id, domain, lang, source, n_tokens, leaf_tokens, leaf_budget,
 
 _OP5 = """
 WITH rows AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
+  SELECT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
   FROM rows q JOIN rows c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,3 +33,32 @@ def small_batches(spark: SparkSession) -> None:
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder with each row's ``place`` and a hash ``h2`` of it that parts even equal rows."""
     return stage(df.withColumn("place", F.monotonically_increasing_id()).withColumn("h2", hash60(F.col("place"))), name)
+
+
+def fields(df: DataFrame) -> list[str]:
+    """The columns of ``df`` as a schema string takes them."""
+    return [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema]
+
+
+def beside(batch: pa.RecordBatch, names: list[str], more: dict[str, object], rows: object = None) -> pa.RecordBatch:
+    """The columns ``names`` of a batch, or of some of its ``rows``, with further ones. Nulls and types stay exact."""
+    kept = batch.select(names)
+    kept = kept if rows is None else kept.take(pa.array(rows))
+    added = [x if isinstance(x, pa.Array) else pa.array(x) for x in more.values()]
+    return pa.RecordBatch.from_arrays([*kept.columns, *added], names=[*names, *more])
+
+
+def with_made(df: DataFrame, read: list[str], made: Callable[[], Callable], schema: str, drop: list[str]) -> DataFrame:
+    """``df`` without ``drop`` and with the columns of ``schema``.
+
+    ``made`` is called once per task and returns a function from lists of the values of ``read`` to those columns.
+    """
+    small_batches(df.sparkSession)
+    names = [c for c in df.columns if c not in drop]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = made()
+        for batch in batches:
+            yield beside(batch, names, make(*[batch.column(c).to_pylist() for c in read]))
+
+    return df.mapInArrow(run, ", ".join([*fields(df.select(*names)), schema]))

@@ -19,14 +19,15 @@ a host belongs to the host of the empty name. Repeated rows are extracted like a
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import small_batches
+from clauseloom.llm.common import small_batches, with_made
 from clauseloom.plans.stage import stage
 
 #: Fixed values of HTML: elements without content, and elements whose text is never shown or never main text.
@@ -303,23 +304,25 @@ def extract(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
     )
     wrappers = stage(pilots.join(template, "_host"), "wrappers")
 
-    rest = [c for c in df.columns if c != html]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*rest).schema]
-
-    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made() -> Callable:
         known: dict[str, tuple[list, dict]] = {}
-        for batch in batches:
+
+        def make(hosts: list, htmls: list, pilots: list, templates: list) -> dict:
             out = []
-            for host, h, pilots, template in zip(batch["_host"], batch["_html"], batch["pilots"], batch["template"]):
+            for host, h, drawn, template in zip(hosts, htmls, pilots, templates):
                 root, fixed = parsed(h), set()
                 if template is not None:
                     if host not in known:
-                        known = {} if len(known) > 100 else known
-                        known[host] = [json.loads(p) for p in pilots], {(x["nth"], x["node"], x["text"]): x["share"] for x in template}
+                        if len(known) > 100:
+                            known.clear()
+                        known[host] = [json.loads(p) for p in drawn], {(x["nth"], x["node"], x["text"]): x["share"] for x in template}
                     trees, constant = known[host]
                     page, least = outline([root]), INSIDE if article(root)[1] else SUPPORT
                     fixed = {t for nth, pilot in enumerate(trees) for node, t in same_places(page, pilot) if constant.get((nth, node, t), 0) >= least}
                 out.append("\n".join(t for t, _ in blocks(root) if not fixed or _hash(t) not in fixed))
-            yield batch[rest].assign(text=out, n_chars=[len(t) for t in out])
+            return {"text": pa.array(out, pa.string()), "n_chars": pa.array(map(len, out), pa.int64())}
+
+        return make
 
-    return pages.join(wrappers, "_host", "left").mapInPandas(take, ", ".join([*fields, "text string", "n_chars long"]))
+    whole = pages.drop("text", "n_chars").join(wrappers, "_host", "left")
+    return with_made(whole, ["_host", "_html", "pilots", "template"], made, "text string, n_chars long", ["_host", "_html", "pilots", "template"])

@@ -114,16 +114,17 @@ def _partial(rows: DataFrame, levels: list[str]) -> DataFrame:
 
 def mix(
     df: DataFrame, key: str, tokens: Column, levels: list[str], weights: dict[str, dict[str, float]],
-    share: float = 1.0, max_epochs: int = 4, seed: int = 0,
+    share: float = 1.0, max_epochs: int = 4, seed: int = 0, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per row of ``df``: key, the levels, n_tokens, place, leaf_tokens, leaf_budget and copies.
+    """One row per row of ``df``: key, the levels, n_tokens, leaf_tokens, leaf_budget, copies and the columns ``carry``.
 
     The budget is ``share`` of all tokens, as far as ``max_epochs`` epochs of every leaf can fill it. ``copies`` says
-    in how many epochs the row is taken; 0 means not at all. Extra columns of ``df`` are not read.
+    in how many epochs the row is taken; 0 means not at all. Other columns of ``df`` are not read.
     """
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in levels]
+    carried = [F.col(c).alias(f"_carry_{c}") for c in carry]
     rows = numbered(
-        df.select(F.col(key).alias("k"), *named, F.coalesce(tokens.cast("long"), F.lit(0).cast("long")).alias("n_tokens")),
+        df.select(F.col(key).alias("k"), *carried, *named, F.coalesce(tokens.cast("long"), F.lit(0).cast("long")).alias("n_tokens")),
         "mixing",
     )
     leaves = rows.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"))
@@ -141,5 +142,6 @@ def mix(
     one = partial.withColumn("one", F.lit(1))
     return rows.join(one, "place", "left").select(
         F.col("k").alias(key), *levels, "n_tokens", "leaf_tokens", "leaf_budget",
-        (F.col("epochs") + F.coalesce("one", F.lit(0))).alias("copies"), "place",
+        (F.col("epochs") + F.coalesce("one", F.lit(0))).alias("copies"),
+        *[F.col(f"_carry_{c}").alias(c) for c in carry],
     )

@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import small_batches
+from clauseloom.llm.common import beside, small_batches
 from clauseloom.llm.components import components
 from clauseloom.llm.substring import Rolling, mixed
 from clauseloom.plans.stage import stage
@@ -109,10 +110,10 @@ def _sign(docs: DataFrame) -> DataFrame:
     """k, v, the node ``g``, the bands, and one byte per component, for rows that have words."""
     kind = docs.schema["k"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for batch in batches:
-            sets = [shingles(rolling, t) for t in batch["t"]]
+            sets = [shingles(rolling, t) for t in batch.column("t").to_pylist()]
             some = [i for i, s in enumerate(sets) if len(s[0])]
             if not some:
                 continue
@@ -120,11 +121,12 @@ def _sign(docs: DataFrame) -> DataFrame:
             signature = signatures(sets)
             whole = [[int(mixed(mixed(h + np.uint64(i)) ^ w.view(np.uint64)).sum(dtype=np.uint64)) for i in (1, 2)] for h, w in sets]
             g = np.array(whole, np.uint64).view(np.int64)
-            yield batch[["k", "v"]].iloc[some].assign(
-                a=g[:, 0], b=g[:, 1], bands=list(bands(signature)), sketch=[x.tobytes() for x in signature.astype(np.uint8)]
-            )
+            yield beside(batch, ["k", "v"], {
+                "a": g[:, 0], "b": g[:, 1], "bands": pa.array(list(bands(signature)), pa.list_(pa.int64())),
+                "sketch": pa.array([x.tobytes() for x in signature.astype(np.uint8)], pa.binary()),
+            }, some)
 
-    made = docs.mapInPandas(run, f"k {kind}, v int, a long, b long, bands array<long>, sketch binary")
+    made = docs.mapInArrow(run, f"k {kind}, v int, a long, b long, bands array<long>, sketch binary")
     return made.select("k", "v", F.struct("a", "b").alias("g"), "bands", "sketch")
 
 

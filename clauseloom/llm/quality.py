@@ -17,14 +17,14 @@ columns do no harm: only the key and the text are read, never language, source,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import hash60, small_batches
+from clauseloom.llm.common import hash60, small_batches, with_made
 
 #: Terms that byte pairs are hashed to, and terms for the share of words that repeat.
 PAIR_TERMS, REPEAT_TERMS = 2048, 16
@@ -100,21 +100,19 @@ def fit(
     return Voters(counts, found["label"].to_numpy(), rank, neighbours, sharpness)
 
 
-def score(docs: DataFrame, text: str, voters: Voters | None, keep: list[Column | str]) -> DataFrame:
-    """The columns ``keep`` of every row with ``score``, from 0 to 1: the weighted share of neighbours of label 1."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+def score(docs: DataFrame, text: str, voters: Voters | None, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` without ``drop`` and with ``score``, from 0 to 1: the weighted share of neighbours of label 1."""
     if voters is None:
-        return rows.drop("_text").withColumn("score", F.lit(0.5))
+        return docs.drop(*drop).withColumn("score", F.lit(0.5))
     model = docs.sparkSession.sparkContext.broadcast(voters)
 
-    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def made() -> Callable:
+        def make(texts: list[str | None]) -> dict:
             parts = [
-                model.value.score(np.stack([terms(t) for t in batch["_text"].iloc[i : i + BLOCK]]))
-                for i in range(0, len(batch), BLOCK)
+                model.value.score(np.stack([terms(t or "") for t in texts[i : i + BLOCK]])) for i in range(0, len(texts), BLOCK)
             ]
-            yield batch.drop(columns="_text").assign(score=np.concatenate(parts) if parts else np.zeros(0))
+            return {"score": np.concatenate(parts) if parts else np.zeros(0)}
+
+        return make
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema]
-    return rows.mapInPandas(vote, ", ".join([*fields, "score double"]))
+    return with_made(docs, [text], made, "score double", list(drop))

@@ -24,11 +24,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import small_batches
+from clauseloom.llm.common import beside, small_batches, with_made
 from clauseloom.plans.stage import stage
 
 #: Words are runs without a space or one of the five control characters that count as white space.
@@ -127,16 +127,16 @@ def repeats(df: DataFrame, key: str, text: str, length: int) -> DataFrame:
     docs = _with_row(df, key, text, [])
     kind = docs.schema["k"].dataType.simpleString()
 
-    def seed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for batch in batches:
-            found = [anchors(rolling, WORD.findall(t), length) for t in batch["t"]]
-            rows = np.repeat(np.arange(len(batch)), [len(f[0]) for f in found])
-            columns = [np.concatenate(c) for c in zip(*found)] if found else []
-            if len(rows):
-                yield batch[["k", "v"]].iloc[rows].assign(**dict(zip(("anchor", "around", "lo", "hi"), columns)))
+            found = [anchors(rolling, WORD.findall(t), length) for t in batch.column("t").to_pylist()]
+            if found:
+                rows = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+                columns = dict(zip(("anchor", "around", "lo", "hi"), map(np.concatenate, zip(*found))))
+                yield beside(batch, ["k", "v"], columns, rows)
 
-    seeds = stage(docs.mapInPandas(seed, f"k {kind}, v int, anchor long, around long, lo int, hi int"), "substring-seeds")
+    seeds = stage(docs.mapInArrow(seed, f"k {kind}, v int, anchor long, around long, lo int, hi int"), "substring-seeds")
     groups = (
         seeds.groupBy("anchor")
         .agg(F.count(F.lit(1)).alias("n"), (F.min("around") != F.max("around")).alias("differ"))
@@ -144,27 +144,23 @@ def repeats(df: DataFrame, key: str, text: str, length: int) -> DataFrame:
     )
     met = stage(seeds.drop("around").join(groups, "anchor").select("k", "v", "lo", "hi", "differ"), "substring-met")
 
-    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for batch in batches:
-            waiting, size = [], 0
-            for k, v, t, spans in zip(batch["k"], batch["v"], batch["t"], batch["spans"]):
+            parts, size = [], 0
+            for row, (t, spans) in enumerate(zip(batch.column("t").to_pylist(), batch.column("spans").to_pylist())):
                 rolling.load(WORD.findall(t))
-                s = np.concatenate([np.arange(x["lo"], x["hi"] + 1) for x in spans]).astype(np.int32)
-                waiting.append(pd.DataFrame({
-                    "k": pd.Series([k], dtype=batch["k"].dtype).repeat(len(s)).to_numpy(), "v": v, "s": s,
-                    "a": rolling.run(0, s, s + length).view(np.int64), "b": rolling.run(1, s, s + length).view(np.int64),
-                }))
+                s = np.concatenate([np.arange(x["lo"], x["hi"] + 1) for x in spans])
+                parts.append((np.full(len(s), row), s.astype(np.int32), *(rolling.run(i, s, s + length).view(np.int64) for i in (0, 1))))
                 size += len(s)
-                if size >= CHUNK:
-                    yield pd.concat(waiting)
-                    waiting, size = [], 0
-            if waiting:
-                yield pd.concat(waiting)
+                if size >= CHUNK or row == batch.num_rows - 1:
+                    rows, *columns = map(np.concatenate, zip(*parts))
+                    yield beside(batch, ["k", "v"], dict(zip(("s", "a", "b"), columns)), rows)
+                    parts, size = [], 0
 
     open_spans = met.filter("differ").groupBy("k", "v").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     windows = stage(
-        _same_row(docs, open_spans, "inner").mapInPandas(extend, f"k {kind}, v int, s int, a long, b long"), "substring-windows"
+        _same_row(docs, open_spans, "inner").mapInArrow(extend, f"k {kind}, v int, s int, a long, b long"), "substring-windows"
     )
     again = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     extended = windows.join(again, ["a", "b"]).select("k", "v", F.col("s").alias("lo"), F.col("s").alias("hi"))
@@ -182,52 +178,42 @@ def _mask(n: int, spans: object) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def _cut_out(t: str, spans: list) -> str:
+    """A text without the words of the spans; what is kept keeps its white space."""
+    at = [m.span() for m in WORD.finditer(t)]
+    edges = np.diff(np.concatenate(([False], _mask(len(at), spans), [False])).astype(np.int8))
+    kept, start = [], 0
+    for first, end in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)):
+        kept.append(t[start : at[first][0]])
+        start = at[end][0] if end < len(at) else len(t)
+    return "".join([*kept, t[start:]])
+
+
 def digests(df: DataFrame, key: str, text: str, length: int) -> DataFrame:
     """Key, n_words, n_removed and kept_sha256 of the kept words joined by one space."""
     docs = _same_row(_with_row(df, key, text, []), repeats(df, key, text, length), "left")
-    kind = docs.schema["k"].dataType.simpleString()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for t, spans in zip(batch["t"], batch["spans"]):
-                words = WORD.findall(t)
-                if spans is None:
-                    gone, kept = 0, words
-                else:
-                    mask = _mask(len(words), spans)
-                    gone, kept = int(mask.sum()), [w for w, m in zip(words, mask) if not m]
-                out.append((len(words), gone, hashlib.sha256(" ".join(kept).encode("utf-8", "replace")).hexdigest()))
-            made = pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"])
-            made.insert(0, "k", batch["k"].to_numpy())
-            yield made
-
-    return docs.drop("v").mapInPandas(cut, f"k {kind}, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("k", key)
+    def make(texts: list[str], spans: list) -> dict:
+        n, gone, digest = [], [], []
+        for t, s in zip(texts, spans):
+            words = WORD.findall(t)
+            mask = _mask(len(words), s)
+            kept = words if s is None else [w for w, m in zip(words, mask.tolist()) if not m]
+            n.append(len(words))
+            gone.append(len(words) - len(kept))
+            digest.append(hashlib.sha256(" ".join(kept).encode("utf-8", "replace")).hexdigest())
+        return {"n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
+
+    made = with_made(docs, ["t", "spans"], lambda: make, "n_words long, n_removed long, kept_sha256 string", ["t", "spans", "v"])
+    return made.withColumnRenamed("k", key)
 
 
 def remove(df: DataFrame, key: str, text: str, length: int) -> DataFrame:
     """``df`` with the repeats cut out of ``text``; what is kept keeps its white space. Other columns stay."""
     rest = [c for c in df.columns if c not in (key, text)]
     docs = _same_row(_with_row(df, key, text, rest), repeats(df, key, text, length), "left")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop("v", "spans").schema]
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for t, spans in zip(batch["t"], batch["spans"]):
-                if spans is not None:
-                    at = [m.span() for m in WORD.finditer(t)]
-                    mask = _mask(len(at), spans)
-                    kept, start = [], 0
-                    for i in np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8)) == 1):
-                        kept.append(t[start : at[i][0]])
-                        stop = i + int(np.argmin(np.append(mask[i:], False)))
-                        start = at[stop][0] if stop < len(at) else len(t)
-                    t = "".join([*kept, t[start:]])
-                out.append(t)
-            yield batch.drop(columns=["v", "spans"]).assign(t=out)
-
-    made = docs.mapInPandas(cut, ", ".join(fields))
+    make = lambda texts, spans: {"kept": pa.array([_cut_out(t, s) if s else t for t, s in zip(texts, spans)], pa.string())}
+    made = with_made(docs, ["t", "spans"], lambda: make, "kept string", ["t", "spans", "v"])
     return made.select(*[
-        F.col("k").alias(c) if c == key else F.col("t").alias(c) if c == text else F.col(f"_keep_{c}").alias(c) for c in df.columns
+        F.col("k").alias(c) if c == key else F.col("kept").alias(c) if c == text else F.col(f"_keep_{c}").alias(c) for c in df.columns
     ])
