@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import logging
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of local sessions that name none, by application.
+_local: dict[str, str] = {}
+
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; only a local session may fall back to a temporary one."""
+    """The shared folder that the session names in ``spark.checkpoint.dir``; only a local session may do without."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="clauseloom-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="clauseloom-"))
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -36,4 +38,21 @@ def stage(df: DataFrame, name: str = "stage", partition_by: list[str] | None = N
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete what ``stage`` wrote, once everything made from it has been written itself.
+
+    A folder that cannot be reached from here stays; it does no harm but for its size.
+    """
+    from pyarrow import fs
+
+    for df in staged:
+        try:
+            store, path = fs.FileSystem.from_uri(df.staged_at)
+            store.delete_dir(path)
+        except (OSError, ValueError) as why:
+            logging.getLogger(__name__).warning("%s stays: %s", df.staged_at, why)
