@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from clauseloom.llm.common import beside, small_batches
 from clauseloom.llm.components import components
 from clauseloom.llm.substring import Rolling, mixed
-from clauseloom.plans.stage import stage
+from clauseloom.plans.stage import discard, stage
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -227,6 +227,7 @@ def classes(df: DataFrame, key: str, text: str) -> DataFrame:
     else:
         of_row = of_row.join(labels.withColumnRenamed("node", "g"), "g", "left").withColumn("label", F.coalesce("label", "g"))
     of_row = stage(of_row.drop("g"), "labelled")
+    discard(rows, signed)
     heads = of_row.groupBy("label").agg(F.min(F.struct("k", "v")).alias("head"), F.count(F.lit(1)).alias("class_size"))
     found = of_row.join(heads, "label").select(
         "k", "v", F.col("head.k").alias("class_id"), (F.struct("k", "v") == F.col("head")).alias("representative"), "class_size"

@@ -6,7 +6,7 @@ alone, so equal windows have equal anchors at equal places. Documents meet on an
 
 Extension: around an anchor lie all windows that chose it, from its first to its last word. Where all occurrences
 of an anchor have the same words there, all of those windows match as far as they go, and a count settles thousands
-of copies. Otherwise each alignment is extended: the windows around the anchor are hashed with 128 bits, and those
+of copies. Otherwise each alignment is extended: the windows around the anchor are hashed with 96 bits, and those
 that occur again are matches. This is what extending all pairs of occurrences to both sides would find, at a cost
 that is linear in the occurrences, however many share an anchor.
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.llm.common import beside, small_batches, with_made
-from clauseloom.plans.stage import stage
+from clauseloom.plans.stage import discard, stage
 
 #: Words are runs without a space or one of the five control characters that count as white space.
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -40,7 +40,7 @@ SEED = 12
 #: Distinct words that a task remembers before it starts over.
 REMEMBERED = 300_000
 
-#: Odd numbers that the rolling hashes are built on, one for each half of the 128 bits, and their inverses.
+#: Odd numbers that the rolling hashes are built on, one for each of two hashes, and their inverses.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 INVERSES = tuple(pow(b, -1, 1 << 64) for b in BASES)
 
@@ -143,6 +143,7 @@ def repeats(df: DataFrame, key: str, text: str, length: int) -> DataFrame:
         .filter("n > 1").drop("n")
     )
     met = stage(seeds.drop("around").join(groups, "anchor").select("k", "v", "lo", "hi", "differ"), "substring-met")
+    discard(seeds)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
@@ -151,7 +152,8 @@ def repeats(df: DataFrame, key: str, text: str, length: int) -> DataFrame:
             for row, (t, spans) in enumerate(zip(batch.column("t").to_pylist(), batch.column("spans").to_pylist())):
                 rolling.load(WORD.findall(t))
                 s = np.concatenate([np.arange(x["lo"], x["hi"] + 1) for x in spans])
-                parts.append((np.full(len(s), row), s.astype(np.int32), *(rolling.run(i, s, s + length).view(np.int64) for i in (0, 1))))
+                a, b = (rolling.run(i, s, s + length).view(np.int64) for i in (0, 1))
+                parts.append((np.full(len(s), row), s.astype(np.int32), a, b.astype(np.int32)))
                 size += len(s)
                 if size >= CHUNK or row == batch.num_rows - 1:
                     rows, *columns = map(np.concatenate, zip(*parts))
@@ -160,7 +162,7 @@ def repeats(df: DataFrame, key: str, text: str, length: int) -> DataFrame:
 
     open_spans = met.filter("differ").groupBy("k", "v").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     windows = stage(
-        _same_row(docs, open_spans, "inner").mapInArrow(extend, f"k {kind}, v int, s int, a long, b long"), "substring-windows"
+        _same_row(docs, open_spans, "inner").mapInArrow(extend, f"k {kind}, v int, s int, a long, b int"), "substring-windows"
     )
     again = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     extended = windows.join(again, ["a", "b"]).select("k", "v", F.col("s").alias("lo"), F.col("s").alias("hi"))
