@@ -9,8 +9,8 @@ than the last first arrival of all components, so most shingles arrive once or t
 Texts with the same weighted shingles have the same signature and are one node from here on. Signatures are cut into
 bands; nodes with an equal band meet in a bucket. In a bucket every node is compared with one centre only, the member
 whose buckets are largest, which in a group of copies is the text they come from. Pairs are weeded by their signatures
-and then verified exactly. Members that were not similar to their centre meet again in buckets of two equal bands, as long
-as that finds links between different groups. So no bucket ever makes all its pairs.
+and then verified exactly. Members that were not similar to their centre meet again without it, around the next centre, as
+long as that finds links between different groups. So no bucket ever makes all its pairs.
 
 Edge cases: words are separated by white space; null texts and texts without words have no shingles and are classes of
 their own; a text with fewer than five words is one shingle. Rows with equal keys are told apart by their texts, and a
@@ -186,7 +186,6 @@ def _links(signed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame |
     """``node`` and ``label`` of all nodes that are similar to another one; none if there are no such nodes."""
     buckets = signed.select(F.explode("bands").alias("bucket"), "g")
     links = labels = None
-    first = True
     while True:
         starred = stage(_centres(buckets).filter("g <> centre"), "stars")
         pairs = starred.select("g", "centre").distinct()
@@ -206,10 +205,7 @@ def _links(signed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame |
         group = F.coalesce("label", "g")
         mixed_up = left.join(named, "g", "left").groupBy("bucket").agg(F.min(group).alias("lo"), F.max(group).alias("hi")).filter("lo <> hi")
         left = left.join(mixed_up.select("bucket"), "bucket")
-        if first:
-            finer = left.join(signed.select("g", "bands"), "g").select("g", "bucket", F.explode("bands").alias("other"))
-            left = finer.filter("other <> bucket").select(F.xxhash64("bucket", "other").alias("bucket"), "g").distinct()
-        first, buckets = False, stage(left, "rest")
+        buckets = stage(left, "rest")
 
 
 def classes(df: DataFrame, key: str, text: str) -> DataFrame:
