@@ -48,10 +48,10 @@ def _settle(leaves: DataFrame, start: int, end: int, limit: int) -> DataFrame:
         .agg(F.sum("bytes").alias("shard_bytes"), F.sum("rows").alias("shard_rows"))
         .filter((F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1) | (F.col("d") >= 2 * HASH_BITS))
     )
-    found = levels.select("d", "q", "p").join(buckets, ["d", "q"]).groupBy("p").agg(
+    found = levels.select("d", "q", "p").join(buckets.hint("merge"), ["d", "q"]).groupBy("p").agg(
         F.min(F.struct("d", "q", "shard_bytes", "shard_rows")).alias("s")
     )
-    return leaves.select("p").join(found, "p", "left").select("p", "s.*")
+    return leaves.select("p").join(found.hint("merge"), "p", "left").select("p", "s.*")
 
 
 def _bits(depth: Column, q: str) -> Column:
@@ -86,11 +86,11 @@ def shard(df: DataFrame, key: str, text: str, limit: int) -> DataFrame:
         directory = stage(_settle(leaves, start, end, limit), "shard-directory")
         depth, unsettled = directory.agg(F.max("d"), F.count_if(F.col("d").isNull())).first()
         deepest = max(deepest, depth or 0)
-        placed = at.join(directory, "p")
+        placed = at.join(directory.hint("merge"), "p")
         parts.append(placed.filter("d IS NOT NULL"))
         if not unsettled:
             break
-        open_rows = placed.filter("d IS NULL").select("k", "h", "n_bytes", "h2")
+        open_rows = placed.filter("d IS NULL").select(*rows.columns)
         start, end = end + 1, min(end + STEP_BITS, 2 * HASH_BITS)
     out = parts[0]
     for part in parts[1:]:
