@@ -297,7 +297,7 @@ found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY turn) AS n
 _PLANS = """
 good AS (SELECT doc_id AS query_id, doc_id, text, lang, source FROM documents WHERE doc_id % 5 >= 2),
 cited AS (SELECT query_id, NULL AS case_id, unnest(['s' || doc_id % 7, 's' || doc_id % 3]) AS source FROM good
-  UNION ALL SELECT query_id, CASE WHEN doc_id % 2 = 0 THEN 'TC_A' END, 's' || doc_id % 4 FROM good
+  UNION ALL SELECT query_id, CASE WHEN doc_id % 2 = 0 THEN 'TC_A' ELSE 'TC_001' END, 's' || doc_id % 4 FROM good
   UNION ALL SELECT query_id, 'TC_B', unnest(['s9', 's1']) FROM good),
 warned AS (SELECT * FROM cited WHERE source NOT IN ('s0', 's1', 's2', 's3'))"""
 _SENT = """

@@ -40,7 +40,7 @@ def uniform_chunks(chunks: DataFrame, hashes: DataFrame | None = None) -> DataFr
         f"{pick('document_id', 'document_metadata.id', 'CAST(NULL AS STRING)')} AS document_id",
         f"{ids.clause_of_chunk('chunk_id')} AS clause_id",
         "title",
-        f"{pick('parent_id', 'hierarchy.parent_id', 'CAST(NULL AS STRING)')} AS parent_id",
+        f"{pick('parent_id', "nullif(hierarchy.parent_id, '')", 'CAST(NULL AS STRING)')} AS parent_id",
         f"{first_filled('children_ids', 'hierarchy.children_ids', 'ARRAY<STRING>')} AS children_ids",
         ("coalesce(hierarchy.level, 0)" if nested else "0") + " AS given_level",
         "content", "tables", "figures",

@@ -93,8 +93,9 @@ def source_warnings(plans: DataFrame, context: DataFrame) -> DataFrame:
         "query_id",
         "explode(concat("
         "transform(coalesce(parsed.sources_used, array()), s -> struct(CAST(NULL AS STRING) AS case_id, s AS source)),"
-        " flatten(transform(coalesce(parsed.test_cases, array()), t ->"
-        " transform(coalesce(t.source_chunks, array()), s -> struct(t.id AS case_id, s AS source)))))) AS c",
+        # A case without an id is named by its place, as in test_cases; only the plan level has no case id.
+        " flatten(transform(coalesce(parsed.test_cases, array()), (t, i) -> transform(coalesce(t.source_chunks, array()), s ->"
+        " struct(coalesce(t.id, format_string('TC_%03d', i + 1)) AS case_id, s AS source)))))) AS c",
     ).selectExpr("query_id", "c.case_id AS case_id", "c.source AS source")
     known = context.selectExpr("query_id", "uid AS source").distinct()
     return cited.join(known, ["query_id", "source"], "left_anti").selectExpr(

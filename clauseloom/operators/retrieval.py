@@ -77,6 +77,18 @@ def embed_chunks(texts: DataFrame, encoder=None) -> DataFrame:
     return encode(texts, "embed_text").drop("embed_text")
 
 
+def usable(df: DataFrame) -> DataFrame:
+    """Rows whose ``embedding`` is there and holds finite numbers only."""
+    return df.filter("embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf'))")
+
+
+def one_per_query(queries: DataFrame) -> DataFrame:
+    """One usable row per ``query_id``, so blocks that are cut by its hash always get smaller."""
+    rest = [c for c in queries.columns if c not in ("query_id", "embedding")]
+    first = F.min(F.struct("embedding", *rest)).alias("r")
+    return usable(queries).groupBy("query_id").agg(first).select("query_id", "r.*").select(*queries.columns)
+
+
 def _query_blocks(queries: DataFrame, block: int) -> Iterator[list]:
     """The query rows in lists of at most ``block``; a batch that fits needs one pass."""
     rows = bounded_rows(queries, block)
@@ -163,7 +175,10 @@ def vector_search(
     """Exact cosine top-k: ``query_id, <key>, score, rank``.
 
     ``match`` names a payload column that must equal the query's value; a query with null there searches all.
+    Vectors and queries that are null or hold null or non-finite numbers take no part. Of query rows with one id the
+    one with the smallest vector asks.
     """
+    queries, vectors = one_per_query(queries), usable(vectors)
     found = [_scan(vectors, rows, k, key, match, None) for rows in _query_blocks(queries, QUERY_BLOCK) if rows]
     if not found:
         return vectors.sparkSession.createDataFrame([], f"query_id long, {key} {vectors.schema[key].dataType.simpleString()}, score double, rank int")
@@ -189,12 +204,16 @@ def ann_search(
 ) -> DataFrame:
     """Top-k among the ``probe`` lists nearest to each query."""
     found = []
-    for rows in _query_blocks(queries, QUERY_BLOCK):
+    for rows in _query_blocks(one_per_query(queries), QUERY_BLOCK):
+        if not rows:
+            continue
         q = _unit(np.array([r["embedding"] for r in rows], dtype="float64"))
         near = np.argsort(-(q @ _unit(centres).T), axis=1)[:, :probe]
         lists = {int(r["query_id"]): near[i] for i, r in enumerate(rows)}
         wanted = sorted({int(x) for x in near.ravel()})
-        found.append(_scan(indexed.filter(F.col("list_id").isin(wanted)), rows, k, key, None, lists))
+        found.append(_scan(usable(indexed).filter(F.col("list_id").isin(wanted)), rows, k, key, None, lists))
+    if not found:
+        return indexed.sparkSession.createDataFrame([], f"query_id long, {key} {indexed.schema[key].dataType.simpleString()}, score double, rank int")
     return top_per_key(reduce(DataFrame.unionByName, found), ["query_id"], ["score DESC", key], k)
 
 

@@ -94,6 +94,9 @@ def test_plans(spark):
     warnings = {r.source for r in gd.source_warnings(plans, context).collect()}
     assert warnings == {"z", "y"}
     assert gd.validate_sources(plans, context).first().is_valid is False
+    told = {r.source: (r.case_id, r.warning) for r in gd.source_warnings(plans, context).collect()}
+    assert told["z"] == (None, "Referenced source 'z' not in provided context")
+    assert told["y"] == ("TC_001", "Test case TC_001 references unknown source 'y'")
 
 
 def test_intent_and_types(spark):
@@ -117,3 +120,12 @@ def test_coverage(spark):
     for r in gd.covered_by(reqs, cases, part_rows=1).collect():
         lists.setdefault(r.requirement_id, []).extend(r.covered_by_tests)
     assert {k: sorted(v) for k, v in lists.items()} == {"r1": ["a", "b"], "r3": ["c"]}
+
+
+def test_search_leaves_out_odd_vectors_and_repeated_queries(spark):
+    nan = float("nan")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [nan, 1.0]), (5, [None, 1.0])], "vec_id long, embedding array<float>")
+    queries = spark.createDataFrame([(7, [1.0, 0.1]), (7, [1.0, 0.1]), (8, None), (9, [nan, 0.0])], "query_id long, embedding array<float>")
+    got = [(r.query_id, r.vec_id, r["rank"]) for r in rt.vector_search(queries, vectors, 3).collect()]
+    assert sorted(got) == [(7, 1, 1), (7, 2, 2)]
+    assert rt.vector_search(queries.limit(0), vectors, 3).count() == 0
