@@ -261,7 +261,7 @@ QUERIES = {
     "markdown_table_cells": lambda s, d: md.markdown_table_cells(md.markdown_blocks(markdown(s, d), "doc_id", "md"), "doc_id"),
     "inline_runs": lambda s, d: md.inline_runs(md.markdown_blocks(markdown(s, d), "doc_id", "md").filter("kind = 'paragraph'"), ["doc_id", "token_no", "line_no"], "text"),
     "active_documents": lambda s, d: rg.active_documents(registry(s, d)).select("id", "status", "processing_duration_seconds"),
-    "failed_documents": lambda s, d: rg.failed_documents(registry(s, d), fx.read(s, d, "lineitem").filter("l_returnflag = 'R'").selectExpr(
+    "failed_documents": lambda s, d: rg.failed_documents(registry(s, d), fx.read(s, d, "lineitem").selectExpr(
         "concat('d', l_orderkey) AS document_id", "concat('stage', l_linenumber) AS failure_stage", "l_linestatus = 'F' AS reviewed", "CAST(NULL AS STRING) AS reviewed_by")).select("id", "failure_stage", "reviewed"),
     "processing_summary": lambda s, d: rg.processing_summary(registry(s, d), registry_chunks(s, d)).drop("filename", "processing_completed"),
     "daily_statistics": lambda s, d: rg.daily_statistics(registry(s, d)).withColumn("avg_total_time", F.expr("CAST(avg_total_time AS DOUBLE)")),
@@ -404,7 +404,7 @@ SQL = {
         FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE trim(x) <> '' GROUP BY doc_id""",
     "active_documents": _r("SELECT id, status, (epoch_us(processing_completed) - epoch_us(processing_started)) / 1000000.0::DOUBLE AS processing_duration_seconds FROM registry WHERE status IN ('PENDING', 'PROCESSING')"),
     "failed_documents": _r("""SELECT r.id, 'stage' || l_linenumber AS failure_stage, l_linestatus = 'F' AS reviewed FROM registry r
-        LEFT JOIN lineitem l ON l.l_orderkey = r.o_orderkey AND l_returnflag = 'R' WHERE status = 'FAILED'"""),
+        LEFT JOIN lineitem l ON l.l_orderkey = r.o_orderkey WHERE status = 'FAILED'"""),
     "processing_summary": _r("""SELECT id, status, upload_timestamp, (epoch_us(processing_completed) - epoch_us(upload_timestamp)) / 1000000.0::DOUBLE AS total_processing_seconds,
         page_count, clause_count, chunk_count, (SELECT count(DISTINCT l_partkey % 5) FROM lineitem WHERE l_orderkey * 2 = o_orderkey) AS actual_chunk_count FROM registry"""),
     "daily_statistics": _r("""SELECT CAST(upload_timestamp AS DATE) AS stat_date, count(*) AS total_documents, count(*) FILTER (status = 'COMPLETED') AS documents_completed,

@@ -81,8 +81,8 @@ def graph_expand(spark, sf):
 
 def _two_lists(spark, sf):
     li = fx.read(spark, sf, "lineitem").selectExpr("l_suppkey AS query_id", "concat('p', l_partkey) AS uid", "l_discount", "l_tax")
-    v = li.groupBy("query_id", "uid").agg(F.max("l_discount").alias("score")).filter("score > 0.05")
-    g = li.groupBy("query_id", "uid").agg(F.max("l_tax").alias("score")).filter("score > 0.04")
+    v = li.groupBy("query_id", "uid").agg(F.max("l_discount").alias("score"))
+    g = li.groupBy("query_id", "uid").agg(F.max("l_tax").alias("score"))
     num = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uid) AS rank"
     return v.selectExpr("*", num), g.selectExpr("*", num)
 
@@ -180,7 +180,7 @@ def _reqs(spark, sf):
 
 
 def _cases(spark, sf):
-    return fx.read(spark, sf, "lineitem").filter("l_linenumber = 4").selectExpr(
+    return fx.read(spark, sf, "lineitem").selectExpr(
         "concat('REQ-', l_partkey) AS requirement_id", "concat('TC-', l_orderkey) AS test_case_id")
 
 
@@ -309,14 +309,14 @@ words AS (SELECT DISTINCT {key}, sentence_no, w FROM (SELECT {key}, sentence_no,
 _REQS = """
 reqs AS (SELECT 'REQ-' || p_partkey AS requirement_id, p_type AS requirement_text, p_brand AS source_clause,
   CASE p_size % 4 WHEN 0 THEN 'mandatory' WHEN 1 THEN 'prohibition' WHEN 2 THEN 'recommendation' ELSE 'permission' END AS type FROM part),
-links AS (SELECT DISTINCT 'REQ-' || l_partkey AS requirement_id, 'TC-' || l_orderkey AS test_case_id FROM lineitem WHERE l_linenumber = 4),
+links AS (SELECT DISTINCT 'REQ-' || l_partkey AS requirement_id, 'TC-' || l_orderkey AS test_case_id FROM lineitem),
 matrix AS (SELECT r.*, count(test_case_id) AS n_tests, min(test_case_id) AS first_test,
   CASE WHEN count(test_case_id) > 0 THEN 'covered' ELSE 'not_covered' END AS coverage_status
   FROM reqs r LEFT JOIN links USING (requirement_id) GROUP BY ALL)"""
 _FUSE = """
 li AS (SELECT l_suppkey AS query_id, 'p' || l_partkey AS uid, max(l_discount) AS d, max(l_tax) AS t FROM lineitem GROUP BY ALL),
-v AS (SELECT query_id, uid, d AS score, row_number() OVER (PARTITION BY query_id ORDER BY d DESC, uid) AS r FROM li WHERE d > 0.05),
-g AS (SELECT query_id, uid, t AS score, row_number() OVER (PARTITION BY query_id ORDER BY t DESC, uid) AS r FROM li WHERE t > 0.04)"""
+v AS (SELECT query_id, uid, d AS score, row_number() OVER (PARTITION BY query_id ORDER BY d DESC, uid) AS r FROM li),
+g AS (SELECT query_id, uid, t AS score, row_number() OVER (PARTITION BY query_id ORDER BY t DESC, uid) AS r FROM li)"""
 
 SQL = {
     "embedding_text": fx.with_ctes(fx.SQL_PARTS, """SELECT document_id, clause_id AS chunk_id,
