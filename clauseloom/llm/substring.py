@@ -34,7 +34,7 @@ from clauseloom.plans.stage import discard, stage
 #: Words are runs without a space or one of the five control characters that count as white space.
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
-#: Words of a seed.
+#: Words of a seed; a shorter window is its own seed.
 SEED = 12
 
 #: Distinct words that a task remembers before it starts over.
@@ -97,9 +97,10 @@ def anchors(rolling: Rolling, words: list[str], length: int) -> tuple[np.ndarray
     if n <= 0:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32))
     rolling.load(words)
-    grams = np.arange(len(words) - SEED + 1)
-    seeds = rolling.run(0, grams, grams + SEED)
-    views = np.lib.stride_tricks.sliding_window_view(seeds, length - SEED + 1)
+    seed = min(SEED, length)
+    grams = np.arange(len(words) - seed + 1)
+    seeds = rolling.run(0, grams, grams + seed)
+    views = np.lib.stride_tricks.sliding_window_view(seeds, length - seed + 1)
     at = np.arange(n) + views.argmin(axis=1)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     last = np.concatenate((first[1:] - 1, [n - 1]))
