@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clauseloom.catalog import fixtures as fx
+from clauseloom.catalog.structure import long_chunks, one_document
 from clauseloom.functions import ids
 from clauseloom.operators import graph as gr
 from clauseloom.operators import quality as ql
@@ -125,8 +126,12 @@ def uid_columns(spark, sf):
     )
 
 
-def clause_nodes(spark, sf):
-    return gr.clause_nodes(uniform(spark, sf)).selectExpr(
+def long_uniform(spark, sf):
+    return gr.uniform_chunks(st.chunk_references(long_chunks(spark, sf)))
+
+
+def _clause_nodes(chunks):
+    return gr.clause_nodes(chunks).selectExpr(
         "uid", "title", "parent_uid", "array_join(children_uids, '|') AS children_uids", "level", "content_length",
         "md5(content_text) AS text_hash", "has_requirements", "has_tables", "has_figures",
     )
@@ -214,7 +219,8 @@ QUERIES = {
     "fk_violations": fk_violations,
     "uid_columns": uid_columns,
     "document_nodes": lambda s, d: gr.document_nodes(stats(s, d)),
-    "clause_nodes": clause_nodes,
+    "clause_nodes": lambda s, d: _clause_nodes(uniform(s, d)),
+    "clause_nodes_long": lambda s, d: _clause_nodes(long_uniform(s, d)),
     "requirement_nodes": requirement_nodes,
     "table_nodes": lambda s, d: gr.table_nodes(uniform(s, d)).drop("document_hash", "transaction_id"),
     "figure_nodes": lambda s, d: gr.figure_nodes(uniform(s, d)).drop("document_hash", "transaction_id"),
@@ -286,6 +292,16 @@ def _g(select):
 _EDGE = "SELECT source_uid, rel_type, target_uid, reference_text FROM "
 _STATS = """SELECT label, count(*) AS n FROM {n} GROUP BY label UNION ALL SELECT 'relationships', count(*) FROM {e}"""
 
+_SQL_CLAUSES = f"""SELECT {_CL} AS uid, title, 'clause:' || document_id || ':' || parent_id AS parent_uid,
+        coalesce((SELECT string_agg('clause:' || t.document_id || ':' || t.clause_id, '|' ORDER BY first_pos) FROM tree t
+          WHERE t.document_id = l.document_id AND t.tree_parent_id = l.clause_id), '') AS children_uids, level,
+        length(content_text) AS content_length, md5(content_text) AS text_hash,
+        EXISTS (SELECT 1 FROM reqs r WHERE r.document_id = l.document_id AND r.clause_id = l.clause_id) AS has_requirements,
+        EXISTS (SELECT 1 FROM tabs r WHERE r.document_id = l.document_id AND r.clause_id = l.clause_id) AS has_tables,
+        EXISTS (SELECT 1 FROM figs r WHERE r.document_id = l.document_id AND r.clause_id = l.clause_id) AS has_figures FROM levels l"""
+#: The same CTEs over all documents as one.
+SQL_ONE_GRAPH = "WITH " + one_document(SQL_GRAPH).strip() + "\n"
+
 SQL = {
     "check_structural": _g("SELECT document_id, chunk_id, form <> 0 AND filled AS structural_ok FROM forms"),
     "check_referential": _g("SELECT document_id, chunk_id, parent_ok FROM forms"),
@@ -313,13 +329,8 @@ SQL = {
     "document_nodes": _g("""SELECT 'document:' || document_id AS uid, 'Document' AS label, document_id, document_id || '.pdf' AS filename,
         total_clauses, total_tables, total_images AS total_figures, CAST(NULL AS VARCHAR) AS document_hash,
         sha256(document_id || ':')[1:16] AS transaction_id FROM stats"""),
-    "clause_nodes": _g(f"""SELECT {_CL} AS uid, title, 'clause:' || document_id || ':' || parent_id AS parent_uid,
-        coalesce((SELECT string_agg('clause:' || t.document_id || ':' || t.clause_id, '|' ORDER BY first_pos) FROM tree t
-          WHERE t.document_id = l.document_id AND t.tree_parent_id = l.clause_id), '') AS children_uids, level,
-        length(content_text) AS content_length, md5(content_text) AS text_hash,
-        EXISTS (SELECT 1 FROM reqs r WHERE r.document_id = l.document_id AND r.clause_id = l.clause_id) AS has_requirements,
-        EXISTS (SELECT 1 FROM tabs r WHERE r.document_id = l.document_id AND r.clause_id = l.clause_id) AS has_tables,
-        EXISTS (SELECT 1 FROM figs r WHERE r.document_id = l.document_id AND r.clause_id = l.clause_id) AS has_figures FROM levels l"""),
+    "clause_nodes": _g(_SQL_CLAUSES),
+    "clause_nodes_long": SQL_ONE_GRAPH + _SQL_CLAUSES,
     "requirement_nodes": _g(f"""SELECT uid, type AS requirement_type, keyword, {_CL} AS source_clause_uid FROM req_n
         UNION ALL SELECT 'requirement:' || document_id || ':' || clause_id || ':' || idx, type, keyword, {_CL} FROM req_n"""),
     "table_nodes": _g(f"""SELECT uid, 'Table' AS label, document_id, clause_id, table_number, caption, 2 AS row_count,

@@ -124,6 +124,13 @@ def errors(spark, sf):
     return ops.parse_http_errors(lines).unionByName(ops.classify_log_lines(lines, "server"))
 
 
+def _messages(spark, sf):
+    """Whole messages, some of them long, and an empty one beside each third."""
+    told = fx.read(spark, sf, "conversations")
+    return told.selectExpr("conv_id", "turn", "CASE WHEN turn = 4 THEN repeat(text, 9) ELSE text END AS content").unionByName(
+        told.filter("turn = 3").selectExpr("conv_id", "-1 AS turn", "'' AS content"))
+
+
 def requests(spark, sf):
     """Events as requests: one bucket per event type, time pressed together 3000 times."""
     return ops.request_costs(fx.read(spark, sf, "events").selectExpr(
@@ -289,7 +296,7 @@ QUERIES = {
         fx.read(s, d, "orders").selectExpr("o_orderkey AS signup_id", "concat('u', o_custkey * 3) AS username"),
         fx.read(s, d, "customer").selectExpr("concat('u', c_custkey) AS username")),
     "generated_file_lookup": lambda s, d: ss.generated_file_lookup(sessions(s, d), fx.read(s, d, "conversations").selectExpr("concat('m', conv_id, '-', turn) AS message_id")),
-    "message_rules": lambda s, d: ss.message_rules(fx.read(s, d, "conversations").selectExpr("conv_id", "turn", "CASE WHEN turn = 3 THEN '' WHEN turn = 4 THEN repeat(text, 9) ELSE text END AS content")).drop("content"),
+    "message_rules": lambda s, d: ss.message_rules(_messages(s, d)).drop("content"),
     "parse_http_errors": lambda s, d: ops.parse_http_errors(log_lines(s, d)),
     "classify_log_lines": lambda s, d: ops.classify_log_lines(log_lines(s, d), "server"),
     "classify_log_lines_container": lambda s, d: ops.classify_log_lines(log_lines(s, d), "container").drop("message"),
@@ -456,7 +463,7 @@ SQL = {
         FROM conversations c LEFT JOIN sessions s ON s.message_id = 'm' || c.conv_id || '-' || turn"""),
     "message_rules": """SELECT conv_id, turn, CASE WHEN c = '' THEN 'empty' WHEN length(c) > 4000 THEN 'too_long' ELSE 'ok' END AS verdict,
         CASE WHEN length(c) > 4000 THEN 'Message too long. Maximum 4000 characters allowed.' END AS error
-        FROM (SELECT conv_id, turn, CASE WHEN turn = 3 THEN '' WHEN turn = 4 THEN repeat(text, 9) ELSE text END AS c FROM conversations)""",
+        FROM (SELECT conv_id, turn, CASE WHEN turn = 4 THEN repeat(text, 9) ELSE text END AS c FROM conversations UNION ALL SELECT conv_id, -1, '' FROM conversations WHERE turn = 3)""",
     "parse_http_errors": _l("SELECT * FROM http_errors"),
     "classify_log_lines": _l("SELECT * FROM server WHERE severity IS NOT NULL"),
     "classify_log_lines_container": _l(f"""SELECT * FROM (SELECT 'app' AS source, line_no, CASE

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.catalog import fixtures as fx
 from clauseloom.catalog import graph as cg
+from clauseloom.catalog.structure import long_chunks, one_document
 from clauseloom.operators import graph as gr
 from clauseloom.operators import grounding as gd
 from clauseloom.operators import retrieval as rt
@@ -40,14 +41,28 @@ def ann_search_all_lists(spark, sf):
     return _rounded(rt.ann_search(centroids(spark, sf), indexed, centres, k=10, probe=len(centres)))
 
 
-def embedding_text(spark, sf):
-    return rt.embedding_text(cg.chunks(spark, sf)).selectExpr(
-        "document_id", "chunk_id", "md5(embed_text) AS embed_hash", "length(content) AS kept")
+def _texts(chunks, passage_chars=8000):
+    return rt.embedding_text(chunks, passage_chars).selectExpr(
+        "document_id", "chunk_id", "passage", "md5(embed_text) AS embed_hash", "length(content) AS kept")
 
 
 def embed_chunks(spark, sf):
     return rt.embed_chunks(rt.embedding_text(cg.chunks(spark, sf))).selectExpr(
-        "uid", "size(embedding) AS dim", "round(aggregate(embedding, 0D, (a, x) -> a + x * x), 3) AS norm")
+        "uid", "passage", "size(embedding) AS dim", "round(aggregate(embedding, 0D, (a, x) -> a + x * x), 3) AS norm")
+
+
+#: Least share of the exact ten nearest that the inverted lists must find.
+LEAST_RECALL = 0.9
+
+
+def ann_recall(spark, sf):
+    """Whether the inverted lists find enough of what the exact search finds."""
+    exact = rt.vector_search(centroids(spark, sf), _vectors(spark, sf), 10).select("query_id", "vec_id")
+    indexed, centres = rt.inverted_lists(_vectors(spark, sf))
+    near = rt.ann_search(centroids(spark, sf), indexed, centres, k=10).selectExpr("query_id", "vec_id", "true AS hit")
+    return exact.join(near, ["query_id", "vec_id"], "left").agg(
+        F.expr("count(DISTINCT query_id)").alias("queries"), F.expr("count(*)").alias("wanted"),
+        F.expr(f"count(hit) >= {LEAST_RECALL} * count(*)").alias("enough"))
 
 
 def _seeds(nodes):
@@ -138,12 +153,12 @@ def answers(spark, sf):
     """An answer per document: prose around a JSON plan, a broken one, or none."""
     return fx.read(spark, sf, "documents").selectExpr(
         "doc_id AS query_id",
-        """CASE doc_id % 5 WHEN 0 THEN concat('Sure. ', substring(regexp_replace(text, '[{}]', ''), 1, 40), ' {"test_plan_summary": ')
+        """CASE doc_id % 5 WHEN 0 THEN concat('Sure. ', regexp_replace(text, '[{}]', ''), ' {"test_plan_summary": ')
            WHEN 1 THEN regexp_replace(text, '[{}]', '')
            ELSE concat('Here is the plan: ', to_json(named_struct('test_plan_summary', source, 'applicable_standard', lang,
              'sources_used', array(concat('s', doc_id % 7), concat('s', doc_id % 3)),
              'test_cases', array(
-               named_struct('id', CASE WHEN doc_id % 2 = 0 THEN 'TC_A' END, 'procedure', substring(text, 1, 30),
+               named_struct('id', CASE WHEN doc_id % 2 = 0 THEN 'TC_A' END, 'procedure', text,
                  'equipment_required', array(lang, source), 'source_chunks', array(concat('s', doc_id % 4))),
                named_struct('id', 'TC_B', 'procedure', '', 'equipment_required', array(lang), 'source_chunks', array('s9', 's1'))))),
              ' Done.') END AS response""")
@@ -201,12 +216,16 @@ def test_type_lookup(spark, sf):
 
 
 def message_intent(spark, sf):
-    msgs = fx.read(spark, sf, "conversations").selectExpr("conv_id", "turn", "CASE WHEN turn = 2 THEN concat(substring(text, 1, instr(text, ' ') - 1), '!') ELSE text END AS text")
+    msgs = fx.read(spark, sf, "conversations").selectExpr("conv_id", "turn", "text")
+    # Whole messages, and the first word of the second as a message of its own.
+    msgs = msgs.unionByName(msgs.filter("turn = 2").selectExpr("conv_id", "-1 AS turn", "concat(substring(text, 1, instr(text, ' ') - 1), '!') AS text"))
     return gd.message_intent(msgs, "text", phrases=["the of", "que le", "in the"], greetings=["the", "que", "in", "and"]).drop("text")
 
 
 QUERIES = {
-    "embedding_text": embedding_text,
+    "embedding_text": lambda s, d: _texts(cg.chunks(s, d)),
+    "embedding_text_long": lambda s, d: _texts(long_chunks(s, d), 1000),
+    "ann_recall": ann_recall,
     "embed_chunks": embed_chunks,
     "vector_search": lambda s, d: _rounded(rt.vector_search(centroids(s, d), _vectors(s, d), 10)),
     "vector_search_filtered": lambda s, d: _rounded(rt.vector_search(centroids(s, d), _vectors(s, d), 10, match="label")),
@@ -318,10 +337,20 @@ li AS (SELECT l_suppkey AS query_id, 'p' || l_partkey AS uid, max(l_discount) AS
 v AS (SELECT query_id, uid, d AS score, row_number() OVER (PARTITION BY query_id ORDER BY d DESC, uid) AS r FROM li),
 g AS (SELECT query_id, uid, t AS score, row_number() OVER (PARTITION BY query_id ORDER BY t DESC, uid) AS r FROM li)"""
 
+
+def _passages(columns, chars):
+    return f"""SELECT document_id, chunk_id, CAST(p AS INTEGER) AS passage, {columns} FROM (
+      SELECT document_id, chunk_id, p, full_text[p * {chars} + 1:(p + 1) * {chars}] AS t FROM (
+        SELECT document_id, clause_id AS chunk_id, title || '. ' || content_text AS full_text,
+          unnest(range((length(title || '. ' || content_text) + {chars} - 1) // {chars})) AS p FROM levels))"""
+
+
 SQL = {
-    "embedding_text": fx.with_ctes(fx.SQL_PARTS, """SELECT document_id, clause_id AS chunk_id,
-        md5((title || '. ' || content_text)[1:8000]) AS embed_hash, least(length(title || '. ' || content_text), 2000) AS kept FROM levels"""),
-    "embed_chunks": fx.with_ctes(fx.SQL_PARTS, f"SELECT {cg._CL} AS uid, 384 AS dim, 1.0::DOUBLE AS norm FROM levels"),
+    "embedding_text": fx.with_ctes(fx.SQL_PARTS, _passages("md5(t) AS embed_hash, least(length(t), 2000) AS kept", 8000)),
+    "embedding_text_long": fx.with_ctes(one_document(fx.SQL_PARTS), _passages("md5(t) AS embed_hash, least(length(t), 2000) AS kept", 1000)),
+    "embed_chunks": f"SELECT 'clause:' || document_id || ':' || chunk_id AS uid, passage, 384 AS dim, 1.0::DOUBLE AS norm FROM ("
+    + fx.with_ctes(fx.SQL_PARTS, _passages("1", 8000)) + ")",
+    "ann_recall": "SELECT count(DISTINCT label) AS queries, 10 * count(DISTINCT label) AS wanted, true AS enough FROM embeddings",
     "ann_search_all_lists": fx.with_ctes(_COS, _TOPK.format(where="")),
     "vector_search": fx.with_ctes(_COS, _TOPK.format(where="")),
     "vector_search_filtered": fx.with_ctes(_COS, _TOPK.format(where="WHERE label = query_id")),
@@ -358,12 +387,12 @@ SQL = {
     "source_warnings": fx.with_ctes(_PLANS, """SELECT query_id, case_id, source, CASE WHEN case_id IS NULL THEN 'Referenced source ''' || source || ''' not in provided context'
         ELSE 'Test case ' || case_id || ' references unknown source ''' || source || '''' END AS warning FROM warned"""),
     "test_cases": fx.with_ctes(_PLANS, """SELECT query_id, CASE WHEN doc_id % 2 = 0 THEN 'TC_A' ELSE 'TC_001' END AS id, 'informative' AS requirement_type,
-          text[1:30] AS procedure, lang || '|' || source AS equipment, 's' || doc_id % 4 AS sources FROM good
+          text AS procedure, lang || '|' || source AS equipment, 's' || doc_id % 4 AS sources FROM good
         UNION ALL SELECT query_id, 'TC_B', 'informative', '', lang, 's9|s1' FROM good"""),
     "plan_rollup": fx.with_ctes(_PLANS, """SELECT query_id, lang AS applicable_standard, 2 AS total_test_cases, 2 AS equipment,
         CASE WHEN doc_id % 7 = doc_id % 3 THEN 1 ELSE 2 END AS sources FROM good"""),
     "extract_json": """SELECT doc_id AS query_id, length('{"test_plan_summary":"' || source || '","applicable_standard":"' || lang || '","sources_used":["s' || doc_id % 7 || '","s' || doc_id % 3
-          || '"],"test_cases":[{' || CASE WHEN doc_id % 2 = 0 THEN '"id":"TC_A",' ELSE '' END || '"procedure":' || CAST(to_json(text[1:30]) AS VARCHAR) || ',"equipment_required":["' || lang || '","' || source
+          || '"],"test_cases":[{' || CASE WHEN doc_id % 2 = 0 THEN '"id":"TC_A",' ELSE '' END || '"procedure":' || CAST(to_json(text) AS VARCHAR) || ',"equipment_required":["' || lang || '","' || source
           || '"],"source_chunks":["s' || doc_id % 4 || '"]},{"id":"TC_B","procedure":"","equipment_required":["' || lang || '"],"source_chunks":["s9","s1"]}]}') AS json_length, source AS summary, 2 AS n_cases
         FROM documents WHERE doc_id % 5 >= 2 UNION ALL SELECT doc_id, NULL, NULL, NULL FROM documents WHERE doc_id % 5 < 2""",
     "groundedness": fx.with_ctes(_SENT.format(key="doc_id", src="documents") + """,
@@ -388,5 +417,5 @@ SQL = {
         "SELECT document_id, pos, target || ':2012' AS standard, coalesce(test_type, 'other') AS test_type FROM m LEFT JOIN t ON t.std = m.target"),
     "message_intent": """SELECT conv_id, turn, contains(lower(t), 'the of') OR contains(lower(t), 'que le') OR contains(lower(t), 'in the') AS is_test_plan_request,
         regexp_replace(trim(lower(t)), '[^\\p{L}\\p{N}_\\s]', '', 'g') IN ('the', 'que', 'in', 'and') AS is_greeting
-        FROM (SELECT conv_id, turn, CASE WHEN turn = 2 THEN text[1:instr(text, ' ') - 1] || '!' ELSE text END AS t FROM conversations)""",
+        FROM (SELECT conv_id, turn, text AS t FROM conversations UNION ALL SELECT conv_id, -1, text[1:instr(text, ' ') - 1] || '!' FROM conversations WHERE turn = 2)""",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from clauseloom.catalog import fixtures as fx
 from clauseloom.functions import text as tx
 from clauseloom.operators import structure as st
+from clauseloom.plans.stage import stage
 
 
 def _assigned(spark, sf):
@@ -59,8 +60,18 @@ def make_chunks(spark, sf):
     )
 
 
-def chunk_levels(spark, sf):
-    return st.chunk_levels(_chunks(spark, sf)).selectExpr(
+#: Positions per segment in the long-document queries, so that most clauses have many parts.
+SHORT_SEGMENT = 64
+
+
+def long_chunks(spark, sf):
+    """All documents as one, cut into short segments."""
+    blocks = _one_document(spark, sf)
+    return stage(st.make_chunks(blocks, segment_rows=SHORT_SEGMENT), "long-chunks")
+
+
+def _levels(chunks):
+    return st.chunk_levels(chunks).selectExpr(
         "document_id", "chunk_id", "level", "sha2(content_text, 256) AS text_hash", "content_length",
         "has_requirements", "has_tables", "has_figures",
     )
@@ -128,7 +139,8 @@ QUERIES = {
     "document_statistics": lambda s, d: st.document_statistics(_assigned(s, d)),
     "misc_images": lambda s, d: st.misc_images(_assigned(s, d)),
     "make_chunks": make_chunks,
-    "chunk_levels": chunk_levels,
+    "chunk_levels": lambda s, d: _levels(_chunks(s, d)),
+    "chunk_levels_long": lambda s, d: _levels(long_chunks(s, d)),
     "dedup_references": dedup_references,
     "extract_references": lambda s, d: st.extract_references(st.content_blocks(_assigned(s, d))),
     "structure_basic": structure_basic,
@@ -137,15 +149,29 @@ QUERIES = {
 }
 
 _P = fx.SQL_PARTS
-_ONE = fx.SQL_PARTS.replace("blocks AS (", "own_blocks AS (", 1).replace(
-    "texts AS (",
-    "blocks AS (SELECT 'all' AS document_id, doc_id * 4096 + pos AS pos, * EXCLUDE (document_id, pos) FROM own_blocks),\ntexts AS (", 1)
+
+
+def one_document(ctes: str) -> str:
+    """CTEs over the blocks of all documents as one document."""
+    one = "blocks AS (SELECT 'all' AS document_id, doc_id * 4096 + pos AS pos, * EXCLUDE (document_id, pos) FROM own_blocks)"
+    return ctes.replace("blocks AS (", "own_blocks AS (", 1).replace("texts AS (", one + ",\ntexts AS (", 1)
+
+
+_ONE = one_document(fx.SQL_PARTS)
 _LISTED = """
 docs AS (SELECT document_id, concat_ws(chr(10), html, caption, html) AS t FROM blocks),
 found AS (SELECT document_id,
   regexp_extract_all(t, '(?i)(?:^|[^\\p{L}\\p{N}_])clause\\s+([A-Z]?\\d+(?:\\.\\d+)*)', 1) AS cl,
   regexp_extract_all(t, '(?:^|[^\\p{L}\\p{N}_])((?:ISO/IEC|IEC|ISO|CISPR|EN)\\s+\\d+(?:-\\d+)*)', 1) AS sd FROM docs)"""
 
+_SQL_LEVELS = """
+        SELECT l.document_id, l.clause_id AS chunk_id, level, sha256(content_text) AS text_hash,
+          length(content_text) AS content_length,
+          EXISTS (SELECT 1 FROM reqs r WHERE r.document_id = l.document_id AND r.clause_id = l.clause_id) AS has_requirements,
+          EXISTS (SELECT 1 FROM tabs r WHERE r.document_id = l.document_id AND r.clause_id = l.clause_id) AS has_tables,
+          EXISTS (SELECT 1 FROM figs r WHERE r.document_id = l.document_id AND r.clause_id = l.clause_id) AS has_figures
+        FROM levels l"""
+
 SQL = {
     "strip_html": f"SELECT page_id, {fx.sql_strip_html('html')} AS text FROM pages",
     "classify_header": fx.with_ctes(_P, f"""
@@ -205,13 +231,8 @@ SQL = {
           FROM reqs GROUP BY ALL) r USING (document_id, clause_id)
         LEFT JOIN (SELECT document_id, tree_parent_id AS clause_id, string_agg(tree.clause_id, '|' ORDER BY first_pos) AS kids
           FROM tree WHERE tree_parent_id IS NOT NULL GROUP BY ALL) k USING (document_id, clause_id)"""),
-    "chunk_levels": fx.with_ctes(_P, """
-        SELECT l.document_id, l.clause_id AS chunk_id, level, sha256(content_text) AS text_hash,
-          length(content_text) AS content_length,
-          EXISTS (SELECT 1 FROM reqs r WHERE r.document_id = l.document_id AND r.clause_id = l.clause_id) AS has_requirements,
-          EXISTS (SELECT 1 FROM tabs r WHERE r.document_id = l.document_id AND r.clause_id = l.clause_id) AS has_tables,
-          EXISTS (SELECT 1 FROM figs r WHERE r.document_id = l.document_id AND r.clause_id = l.clause_id) AS has_figures
-        FROM levels l"""),
+    "chunk_levels_long": fx.with_ctes(_ONE, _SQL_LEVELS),
+    "chunk_levels": fx.with_ctes(_P, _SQL_LEVELS),
     "dedup_references": fx.with_ctes(fx.SQL_BLOCKS + "," + _LISTED, """
         SELECT document_id, sum(len(cl)) AS clauses_listed, sum(len(sd)) AS standards_listed,
           sum(len(list_distinct(cl))) AS clauses_kept, sum(len(list_distinct(sd))) AS standards_kept

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions import ids
 from clauseloom.functions import text as tx
+from clauseloom.operators.structure import whole_clauses
 from clauseloom.plans.stage import stage
 
 _CLAUSE = ids.clause_uid("document_id", "clause_id")
@@ -67,30 +68,14 @@ def document_nodes(stats: DataFrame) -> DataFrame:
 
 
 def clause_nodes(chunks: DataFrame) -> DataFrame:
-    """One node per clause. Length and flags cover all parts of a long clause, the text its first part;
-    the other parts stand in :func:`clause_texts`."""
-    body = chunks.selectExpr(
-        "*", f"{tx.joined_text('content')} AS content_text",
-        r"CASE WHEN given_level = 0 THEN size(split(clause_id, r'\.')) ELSE given_level END AS level",
-    )
-    more = (
-        body.filter("NOT is_first")
-        .groupBy("document_id", "clause_id")
-        .agg(
-            F.expr("sum(CASE WHEN size(content) > 0 THEN length(content_text) + 1 ELSE 0 END)").alias("more_length"),
-            F.expr("bool_or(size(requirements) > 0)").alias("more_requirements"),
-            F.expr("bool_or(size(tables) > 0)").alias("more_tables"),
-            F.expr("bool_or(size(figures) > 0)").alias("more_figures"),
-        )
-    )
-    return body.filter("is_first").join(more, ["document_id", "clause_id"], "left").selectExpr(
+    """One node per clause with the text, children and flags of all its parts; :func:`clause_texts` gives the text
+    in bounded rows."""
+    return whole_clauses(chunks, ("document_id", "clause_id")).selectExpr(
         f"{_CLAUSE} AS uid", "'Clause' AS label", "document_id", "clause_id", "coalesce(title, '') AS title",
         f"CASE WHEN parent_id <> '' THEN {ids.clause_uid('document_id', 'parent_id')} END AS parent_uid",
         f"transform(children_ids, c -> {ids.clause_uid('document_id', 'c')}) AS children_uids",
-        "level", "content_text", "length(content_text) + coalesce(more_length, 0) AS content_length",
-        "size(requirements) > 0 OR coalesce(more_requirements, false) AS has_requirements",
-        "size(tables) > 0 OR coalesce(more_tables, false) AS has_tables",
-        "size(figures) > 0 OR coalesce(more_figures, false) AS has_figures",
+        r"CASE WHEN given_level = 0 THEN size(split(clause_id, r'\.')) ELSE given_level END AS level",
+        "content_text", "CAST(length(content_text) AS BIGINT) AS content_length", "has_requirements", "has_tables", "has_figures",
         "document_hash", _TXN,
     )
 
@@ -302,26 +287,22 @@ def graph_transactions(sent_n: DataFrame, sent_e: DataFrame, stored_e: DataFrame
     )
 
 
-def clause_counts(nodes: DataFrame, edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def clause_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Clauses each document reaches over CONTAINS, zero kept.
 
-    One join per level of the hierarchy. Every level is written to the shared folder, so a lost executor
-    costs no recomputation and the plan does not grow.
+    One join per level of the hierarchy; a clause that was reached before is not followed again, so the loop ends
+    at any depth and also on a cycle. Every level is written to the shared folder, so a lost executor costs no
+    recomputation and the plan does not grow.
     """
     contains = stage(edges.filter("rel_type = 'CONTAINS'").select("source_uid", "target_uid"), "contains")
     documents = stage(nodes.filter("label = 'Document'").selectExpr("document_id", "uid"), "documents")
-    frontier, levels = documents, []
-    for _ in range(max_depth):
-        step = frontier.join(contains, F.expr("uid = source_uid")).selectExpr("document_id", "target_uid AS uid")
-        frontier = stage(step, "frontier")
-        if frontier.isEmpty():
-            break
+    frontier, levels = documents, [documents]
+    while not frontier.isEmpty():
+        step = frontier.join(contains, F.expr("uid = source_uid")).selectExpr("document_id", "target_uid AS uid").distinct()
+        frontier = stage(step.join(_union(levels), ["document_id", "uid"], "left_anti"), "frontier")
         levels.append(frontier)
-    else:
-        raise ValueError(f"CONTAINS is deeper than {max_depth} levels or has a cycle")
-    reached = _union(levels) if levels else frontier
     is_clause = nodes.filter("label = 'Clause'").select("uid")
-    counts = reached.join(is_clause, "uid", "left_semi").groupBy("document_id").agg(F.count("*").alias("n"))
+    counts = _union(levels).join(is_clause, "uid", "left_semi").groupBy("document_id").agg(F.count("*").alias("n"))
     return documents.join(counts, "document_id", "left").selectExpr("document_id", "coalesce(n, 0) AS clause_count")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.functions import ids
-from clauseloom.functions import text as tx
+from clauseloom.operators import structure as st
 from clauseloom.plans.bounded import bounded_rows
 from clauseloom.plans.ordered import SEGMENT_ROWS, ordinal, rank_all, segment_of, spread, top_per_key
 from clauseloom.plans.stage import stage
@@ -26,18 +26,17 @@ from clauseloom.plans.stage import stage
 QUERY_BLOCK = 4096
 
 
-def embedding_text(chunks: DataFrame) -> DataFrame:
-    """The text a chunk is embedded by (first 8,000 characters) and the payload kept (first 2,000).
+def embedding_text(chunks: DataFrame, passage_chars: int = 8000, kept_chars: int = 2000) -> DataFrame:
+    """The text a clause is embedded by and the payload kept with it, the first ``kept_chars`` characters.
 
-    Uses the first part of a chunk, which holds far more than 8,000 characters before a second one starts.
+    A text of more than ``passage_chars`` characters goes on in further rows, numbered by ``passage`` from 0.
     """
-    first = chunks.filter("is_first") if "is_first" in chunks.columns else chunks
     return (
-        first.selectExpr("document_id", "chunk_id", "title", f"concat(coalesce(title, ''), '. ', {tx.joined_text('content')}) AS _t")
-        .filter("btrim(_t) <> ''")
+        st.text_passages(chunks, passage_chars)
+        .filter("btrim(text) <> ''")
         .selectExpr(
-            "document_id", "chunk_id", f"{ids.clause_uid('document_id', 'chunk_id')} AS uid", "title",
-            "substring(_t, 1, 8000) AS embed_text", "substring(_t, 1, 2000) AS content",
+            "document_id", "chunk_id", "passage", f"{ids.clause_uid('document_id', 'chunk_id')} AS uid", "title",
+            "text AS embed_text", f"substring(text, 1, {int(kept_chars)}) AS content",
         )
     )
 

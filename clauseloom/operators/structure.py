@@ -421,15 +421,77 @@ def make_chunks(
     )
 
 
+def whole_clauses(chunks: DataFrame, keys: tuple[str, str] = ("document_id", "chunk_id")) -> DataFrame:
+    """One row per clause, however many parts it has: that of its first part with ``content_text``, ``children_ids``,
+    ``has_requirements``, ``has_tables`` and ``has_figures`` of all parts. The text is one value, at most 2 GB;
+    :func:`text_passages` gives it in bounded rows.
+    """
+    seen = {name: f"size({name}) > 0" for name in ("requirements", "tables", "figures")}
+    body = chunks.selectExpr("*", f"CASE WHEN size(content) > 0 THEN {tx.joined_text('content')} END AS _own")
+    if "is_first" not in chunks.columns:
+        flags = [f"{cond} AS has_{name}" for name, cond in seen.items()]
+        return body.selectExpr("* EXCEPT (_own)", "coalesce(_own, '') AS content_text", *flags)
+    rest = (
+        body.filter("NOT is_first")
+        .groupBy(*keys)
+        .agg(
+            F.expr("array_sort(collect_list(struct(part, _own)) FILTER (WHERE _own IS NOT NULL))").alias("_texts"),
+            F.expr("array_sort(collect_list(struct(part, children_ids)) FILTER (WHERE size(children_ids) > 0))").alias("_kids"),
+            *[F.expr(f"bool_or({cond})").alias(f"_more_{name}") for name, cond in seen.items()],
+        )
+    )
+    return body.filter("is_first").join(rest, list(keys), "left").selectExpr(
+        "* EXCEPT (_own, children_ids, _texts, _kids, _more_requirements, _more_tables, _more_figures)",
+        "concat(children_ids, coalesce(flatten(transform(_kids, x -> x.children_ids)), array())) AS children_ids",
+        "array_join(concat(array(_own), coalesce(transform(_texts, x -> x._own), array())), ' ') AS content_text",
+        *[f"{cond} OR coalesce(_more_{name}, false) AS has_{name}" for name, cond in seen.items()],
+    )
+
+
+def text_passages(chunks: DataFrame, chars: int) -> DataFrame:
+    """``title. text`` of each clause in rows ``(document_id, chunk_id, title, passage, text)`` of ``chars`` characters.
+
+    Each part is cut at the passage ends that fall into it and only pieces of one passage meet, so neither a long
+    clause nor the size of a segment shows in the result. What stands before a part is a sum over one number per part.
+    """
+    rows = chunks if "is_first" in chunks.columns else chunks.selectExpr("*", "0L AS part", "true AS is_first")
+    keys = ["document_id", "chunk_id"]
+    own = rows.selectExpr(
+        *keys, "part", "title", "size(content) > 0 AS filled",
+        f"concat(CASE WHEN is_first THEN concat(coalesce(title, ''), '. ') ELSE '' END, {tx.joined_text('content')}) AS t",
+    )
+    prior = f"OVER (PARTITION BY document_id, chunk_id ORDER BY part {_PRIOR})"
+    sizes = own.selectExpr(*keys, "part", "length(t) AS n", "CAST(filled AS INT) AS filled")
+    # One space stands between two filled parts.
+    before = (
+        sizes.selectExpr("*", f"coalesce(sum(filled) {prior}, 0) AS full_before")
+        .selectExpr("*", "n + CASE WHEN filled = 1 AND full_before > 0 THEN 1 ELSE 0 END AS taken")
+        .selectExpr(*keys, "part", "full_before", f"sum(taken) {prior} AS start")
+        .filter("start IS NOT NULL")
+    )
+    placed = own.join(before, [*keys, "part"], "left").selectExpr(
+        *keys, "title", "coalesce(start, 0L) AS start", "CASE WHEN filled AND full_before > 0 THEN concat(' ', t) ELSE t END AS t"
+    )
+    cut = placed.filter("t <> ''").selectExpr(
+        "*", f"explode(sequence(start DIV {chars}, (start + length(t) - 1) DIV {chars})) AS passage"
+    )
+    pieces = cut.selectExpr(
+        *keys, "title", "CAST(passage AS INT) AS passage", "start",
+        f"substring(t, CAST(greatest(passage * {chars} - start, 0) + 1 AS INT),"
+        f" CAST(least((passage + 1) * {chars} - start, {chars}) AS INT)) AS t",
+    )
+    return pieces.groupBy(*keys, "passage").agg(
+        F.min("title").alias("title"),
+        F.expr("array_join(transform(array_sort(collect_list(struct(start, t))), x -> x.t), '')").alias("text"),
+    )
+
+
 def chunk_levels(chunks: DataFrame) -> DataFrame:
-    """Level, text length and presence flags of a chunk; the nested form's level wins unless it is 0."""
+    """Level, text length and presence flags of a clause; the nested form's level wins unless it is 0."""
     level = r"size(split(chunk_id, r'\.'))"
     if "hierarchy" in chunks.columns:
         level = f"coalesce(nullif(hierarchy.level, 0), {level})"
-    return chunks.selectExpr("*", f"{level} AS level", f"{tx.joined_text('content')} AS content_text").selectExpr(
-        "*", "length(content_text) AS content_length", "size(requirements) > 0 AS has_requirements",
-        "size(tables) > 0 AS has_tables", "size(figures) > 0 AS has_figures",
-    )
+    return whole_clauses(chunks).selectExpr("*", f"{level} AS level", "length(content_text) AS content_length")
 
 
 def extract_references(content: DataFrame) -> DataFrame:
