@@ -82,13 +82,21 @@ def error_stream(spark, sf):
     return last
 
 
-def incremental(spark, sf):
-    """The chunk table as a stream of three batches or more into the graph."""
+def _incremental(spark, sf):
+    """The chunk table as a stream of three batches or more into the graph; documents are split across batches."""
     path = fresh_path(spark, "chunk-stream")
-    cg.chunks(spark, sf).repartition(3, "document_id").write.parquet(path)
+    cg.chunks(spark, sf).repartition(3, "chunk_id").write.parquet(path)
     stream = file_stream(spark, path, "*.parquet", spark.read.parquet(path).schema, files_per_trigger=1)
-    nodes, edges = incremental_graph(stream, fresh_path(spark, "graph"), fresh_path(spark, "graph-checkpoint"))
-    return gr.graph_statistics(nodes, edges)
+    return incremental_graph(stream, fresh_path(spark, "graph"), fresh_path(spark, "graph-checkpoint"))
+
+
+def incremental_documents(spark, sf):
+    nodes, _ = _incremental(spark, sf)
+    return nodes.filter("label = 'Document'").select("uid", "total_clauses", "total_tables", "total_figures")
+
+
+def incremental_edges(spark, sf):
+    return _incremental(spark, sf)[1].select("source_uid", "rel_type", "target_uid")
 
 
 QUERIES = {
@@ -101,7 +109,9 @@ QUERIES = {
     "processing_rate_sliding": _rate("1 minute"),
     "rate_limit_stream": rate_limit_stream,
     "error_stream": error_stream,
-    "incremental_graph": incremental,
+    "incremental_graph": lambda s, d: gr.graph_statistics(*_incremental(s, d)),
+    "incremental_documents": incremental_documents,
+    "incremental_edges": incremental_edges,
 }
 
 SQL = {
@@ -123,6 +133,10 @@ SQL = {
     "error_stream": """SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS window_start, 'app' AS source, CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'warning'
           ELSE CASE WHEN event_id % 3 = 1 THEN 'error' ELSE 'critical' END END AS severity, count(*) AS n FROM events
         WHERE event_type IN ('error', 'click') OR (event_type = 'view' AND event_id % 3 <> 0) GROUP BY ALL""",
+    "incremental_documents": cg._g("""SELECT 'document:' || document_id AS uid, count(*) FILTER (label = 'Clause') AS total_clauses,
+        count(*) FILTER (label = 'Table') AS total_tables, count(*) FILTER (label = 'Figure') AS total_figures
+        FROM nodes WHERE document_id IN (SELECT document_id FROM clauses) GROUP BY document_id"""),
+    "incremental_edges": cg._g("SELECT source_uid, rel_type, target_uid FROM edges"),
     "incremental_graph": cg._g("""
         , seen AS (SELECT * FROM nodes WHERE label <> 'Document' OR document_id IN (SELECT document_id FROM clauses))
         """ + cg._STATS.format(n="seen", e="edges")),

@@ -166,13 +166,14 @@ def content_edges(tables: DataFrame, figures: DataFrame) -> DataFrame:
     )
 
 
-def reference_edges(chunks: DataFrame) -> DataFrame:
-    """REFERS_TO a clause that exists in the same document, REFERENCES to a standard always."""
-    present = chunks.filter("is_first").selectExpr(f"{_CLAUSE} AS target_uid")
+def reference_edges(chunks: DataFrame, present_only: bool = True) -> DataFrame:
+    """REFERS_TO a clause of the same document, by default only one among ``chunks``; REFERENCES to a standard always."""
     inner = _edge(
         chunks.selectExpr("document_id", "clause_id", "document_hash", "explode(ref_clauses) AS ref"),
         _CLAUSE, "REFERS_TO", ids.clause_uid("document_id", "ref"), "concat('Clause ', ref)",
-    ).join(present, "target_uid", "left_semi")
+    )
+    if present_only:
+        inner = inner.join(chunks.filter("is_first").selectExpr(f"{_CLAUSE} AS target_uid"), "target_uid", "left_semi")
     outer = _edge(_standard_mentions(chunks), _CLAUSE, "REFERENCES", ids.standard_uid("standard_name"), "standard_name")
     return inner.unionByName(outer)
 
@@ -191,12 +192,12 @@ def sent_nodes(chunks: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
-def sent_edges(chunks: DataFrame) -> DataFrame:
-    """All edges a batch sends, also those whose end may be missing."""
+def sent_edges(chunks: DataFrame, present_only: bool = True) -> DataFrame:
+    """All edges a batch sends, also those whose end may be missing; references to clauses as in :func:`reference_edges`."""
     return _union(
         [
             contains_edges(chunks), requires_edges(requirement_nodes(chunks)),
-            content_edges(table_nodes(chunks), figure_nodes(chunks)), reference_edges(chunks),
+            content_edges(table_nodes(chunks), figure_nodes(chunks)), reference_edges(chunks, present_only),
         ]
     )
 
@@ -224,17 +225,36 @@ def merge_nodes(existing: DataFrame | None, incoming: DataFrame, order: list[str
     return both.selectExpr(*keys, *[value(c) for c in every])
 
 
+_EDGE_KEYS = ["source_uid", "rel_type", "target_uid"]
+
+
+def _last_edges(incoming: DataFrame) -> tuple[DataFrame, list[str]]:
+    fields = [c for c in incoming.columns if c not in _EDGE_KEYS]
+    return incoming.groupBy(*_EDGE_KEYS).agg(F.expr(f"max(struct({', '.join(fields)}))").alias("_new")), fields
+
+
+def upsert_edges(existing: DataFrame | None, last: DataFrame, fields: list[str]) -> DataFrame:
+    if existing is None:
+        return last.select(*_EDGE_KEYS, "_new.*")
+    both = existing.join(last, _EDGE_KEYS, "full")
+    return both.selectExpr(*_EDGE_KEYS, *[f"CASE WHEN _new IS NOT NULL THEN _new.{c} ELSE {c} END AS {c}" for c in fields])
+
+
+def closed_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges whose both ends exist."""
+    uids = nodes.select("uid").distinct()
+    return edges.join(uids, F.expr("source_uid = uid"), "left_semi").join(uids, F.expr("target_uid = uid"), "left_semi")
+
+
+def merge_sent_edges(existing: DataFrame | None, incoming: DataFrame) -> DataFrame:
+    """One edge per (source, type, target), whether or not its ends are there yet."""
+    return upsert_edges(existing, *_last_edges(incoming))
+
+
 def merge_edges(existing: DataFrame | None, incoming: DataFrame, nodes: DataFrame) -> DataFrame:
     """One edge per (source, type, target), stored only when both ends exist."""
-    keys = ["source_uid", "rel_type", "target_uid"]
-    fields = [c for c in incoming.columns if c not in keys]
-    last = incoming.groupBy(*keys).agg(F.expr(f"max(struct({', '.join(fields)}))").alias("_new"))
-    uids = nodes.select("uid").distinct()
-    kept = last.join(uids, F.expr("source_uid = uid"), "left_semi").join(uids, F.expr("target_uid = uid"), "left_semi")
-    if existing is None:
-        return kept.select(*keys, "_new.*")
-    both = existing.join(kept, keys, "full")
-    return both.selectExpr(*keys, *[f"CASE WHEN _new IS NOT NULL THEN _new.{c} ELSE {c} END AS {c}" for c in fields])
+    last, fields = _last_edges(incoming)
+    return upsert_edges(existing, closed_edges(last, nodes), fields)
 
 
 def build_graph(

@@ -184,15 +184,18 @@ def vector_search(
     return top_per_key(reduce(DataFrame.unionByName, found), ["query_id"], ["score DESC", key], k)
 
 
-def inverted_lists(vectors: DataFrame, n_lists: int = 16, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
+def inverted_lists(vectors: DataFrame, n_lists: int | None = None, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
     """An approximate index: every vector with the list of its nearest centre, and the centres.
 
+    There are as many lists as the square root of the number of vectors unless ``n_lists`` says otherwise.
     Write the result partitioned by ``list_id`` and a search reads only the lists it probes.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import Normalizer
     from pyspark.ml.functions import array_to_vector
 
+    vectors = usable(vectors)
+    n_lists = n_lists or max(1, round(vectors.count() ** 0.5))
     unit = Normalizer(inputCol="_v", outputCol="_u").transform(vectors.withColumn("_v", array_to_vector("embedding")))
     model = KMeans(k=n_lists, seed=seed, maxIter=10, featuresCol="_u", predictionCol="list_id").fit(unit)
     return model.transform(unit).drop("_v", "_u"), np.array(model.clusterCenters())
@@ -216,6 +219,22 @@ def ann_search(
     return top_per_key(reduce(DataFrame.unionByName, found), ["query_id"], ["score DESC", key], k)
 
 
+def recall(queries: DataFrame, indexed: DataFrame, centres: np.ndarray, k: int, probe: int, exact: DataFrame, key: str = "vec_id") -> float:
+    """The share of the rows of ``exact``, an exact search for the same queries, that ``probe`` lists find."""
+    near = ann_search(queries, indexed, centres, k, probe, key).selectExpr("query_id", key, "true AS hit")
+    hits, wanted = exact.join(near, ["query_id", key], "left").agg(F.count("hit"), F.count("*")).first()
+    return hits / wanted if wanted else 1.0
+
+
+def probes_for(queries: DataFrame, indexed: DataFrame, centres: np.ndarray, k: int, least: float = 0.95, key: str = "vec_id") -> int:
+    """How many lists to probe for a recall of ``least`` on sample ``queries``: doubled until it is reached."""
+    exact = stage(vector_search(queries, indexed, k, key).select("query_id", key), "exact")
+    probe = 1
+    while probe < len(centres) and recall(queries, indexed, centres, k, probe, exact, key) < least:
+        probe = min(2 * probe, len(centres))
+    return probe
+
+
 # The default titles of graph neighbours.
 _PARENT, _CHILD, _REFERENCE, _TABLE, _FIGURE = "Parent Section", "Sub-section", "Referenced Section", "Data Table", "Diagram"
 
