@@ -3,7 +3,7 @@ from clauseloom.operators import graph as gr
 from clauseloom.operators import quality as ql
 from clauseloom.operators import structure as st
 from clauseloom.schemas import NESTED_CHUNKS
-from clauseloom.streaming.graph import create_graph, read_graph, upsert_graph
+from clauseloom.streaming.graph import chunk_statistics, create_graph, read_graph, upsert_graph
 
 from test_structure import CASES, blocks
 
@@ -93,3 +93,25 @@ def test_graph_store_rewrites_only_touched_buckets(spark, tmp_path):
     counts = {r.label: r.n for r in gr.graph_statistics(nodes, edges).collect()}
     assert counts["Document"] == 2 and counts["Clause"] == 9 and counts["Requirement"] == 2
     assert ql.unique_uids(nodes).count() == 0
+
+
+def test_a_document_in_two_batches(spark, tmp_path):
+    chunks = gr.uniform_chunks(st.make_chunks(blocks(spark, {"tree": CASES["tree"]}))).cache()
+    seen = []
+    # Children come before their parents.
+    for name, parts in (("whole", ["true"]), ("split", ["clause_id LIKE '%.%'", "clause_id NOT LIKE '%.%'"])):
+        root = str(tmp_path / name)
+        create_graph(spark, root)
+        for part in parts:
+            some = chunks.filter(part)
+            upsert_graph(spark, root, some, chunk_statistics(some), buckets=2, recount=True)
+        nodes, edges = read_graph(spark, root)
+        assert nodes.filter("label = 'Document'").first().total_clauses == 8
+        seen.append((sorted(map(str, nodes.collect())), sorted(map(str, edges.collect()))))
+    assert seen[0] == seen[1]
+
+
+def test_a_cycle_ends(spark):
+    nodes = spark.createDataFrame([("document:d", "Document", "d"), ("a", "Clause", "d"), ("b", "Clause", "d")], "uid string, label string, document_id string")
+    edges = spark.createDataFrame([("document:d", "CONTAINS", "a"), ("a", "CONTAINS", "b"), ("b", "CONTAINS", "a")], "source_uid string, rel_type string, target_uid string")
+    assert gr.clause_counts(nodes, edges).first().clause_count == 2

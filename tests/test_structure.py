@@ -4,6 +4,8 @@ import re
 
 import pytest
 
+from clauseloom.operators import graph as gr
+from clauseloom.operators import retrieval as rt
 from clauseloom.operators import structure as st
 from clauseloom.schemas import BLOCKS
 
@@ -192,3 +194,28 @@ def test_long_clauses_continue_in_parts(spark):
         return out
 
     assert merged(7) == merged(1000)
+
+
+def test_texts_do_not_depend_on_the_segment_size(spark):
+    doc = [(H, "1 A"), (P, "one"), (P, "two"), (H, "2 B"), *[(P, f"word{i} shall be") for i in range(6)], (H, "2.1 C"), (P, "x"),
+           (T, "<table/>"), (H, "2 again"), (P, "late"), (H, "2.2 D"), (PIC, "", {"images": {"k": PNG}}), (H, "3 E"), (P, ""), (H, "4 F")]
+    b = blocks(spark, {"d": doc, "e": CASES["tree"]}).cache()
+
+    def seen(segment):
+        chunks = st.make_chunks(b, segment_rows=segment).cache()
+        uniform = gr.uniform_chunks(chunks)
+        return (
+            rows(st.chunk_levels(chunks), "document_id", "chunk_id", "level", "content_text", "content_length", "has_requirements", "has_tables", "has_figures"),
+            rows(gr.clause_nodes(uniform), "uid", "title", "children_uids", "content_text", "content_length", "has_tables", "has_figures"),
+            [rows(rt.embedding_text(chunks, n), "uid", "passage", "embed_text", "content") for n in (5, 8000)],
+        )
+
+    whole = seen(1000)
+    assert seen(4) == whole and seen(1) == whole
+    texts = {(d, c): t for d, c, _, t, *_ in whole[0]}
+    assert texts["d", "2"] == " ".join(f"word{i} shall be" for i in range(6)) + " late" and texts["d", "3"] == ""
+    full = {uid: t for uid, _, t, _ in whole[2][1]}
+    assert full["clause:d:2"] == "B. " + texts["d", "2"]
+    for uid, passage, t, kept in whole[2][0]:
+        assert t == full[uid][passage * 5 : passage * 5 + 5] == kept
+    assert "".join(t for uid, _, t, _ in whole[2][0] if uid == "clause:d:2") == full["clause:d:2"]
