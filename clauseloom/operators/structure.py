@@ -442,7 +442,8 @@ def whole_clauses(chunks: DataFrame, keys: tuple[str, str] = ("document_id", "ch
     )
     return body.filter("is_first").join(rest, list(keys), "left").selectExpr(
         "* EXCEPT (_own, children_ids, _texts, _kids, _more_requirements, _more_tables, _more_figures)",
-        "concat(children_ids, coalesce(flatten(transform(_kids, x -> x.children_ids)), array())) AS children_ids",
+        # A child may open in a part before that of its parent.
+        "flatten(transform(array_sort(concat(array(struct(part, children_ids)), coalesce(_kids, array()))), x -> x.children_ids)) AS children_ids",
         "array_join(concat(array(_own), coalesce(transform(_texts, x -> x._own), array())), ' ') AS content_text",
         *[f"{cond} OR coalesce(_more_{name}, false) AS has_{name}" for name, cond in seen.items()],
     )

@@ -198,7 +198,8 @@ def test_long_clauses_continue_in_parts(spark):
 
 def test_texts_do_not_depend_on_the_segment_size(spark):
     doc = [(H, "1 A"), (P, "one"), (P, "two"), (H, "2 B"), *[(P, f"word{i} shall be") for i in range(6)], (H, "2.1 C"), (P, "x"),
-           (T, "<table/>"), (H, "2 again"), (P, "late"), (H, "2.2 D"), (PIC, "", {"images": {"k": PNG}}), (H, "3 E"), (P, ""), (H, "4 F")]
+           (T, "<table/>"), (H, "2 again"), (P, "late"), (H, "2.2 D"), (PIC, "", {"images": {"k": PNG}}), (H, "3 E"), (P, ""), (H, "4 F"),
+           (H, "5.1 G"), *[(P, "y")] * 5, (H, "5 H"), (H, "5.2 I")]
     b = blocks(spark, {"d": doc, "e": CASES["tree"]}).cache()
 
     def seen(segment):
@@ -214,6 +215,7 @@ def test_texts_do_not_depend_on_the_segment_size(spark):
     assert seen(4) == whole and seen(1) == whole
     texts = {(d, c): t for d, c, _, t, *_ in whole[0]}
     assert texts["d", "2"] == " ".join(f"word{i} shall be" for i in range(6)) + " late" and texts["d", "3"] == ""
+    assert [r[2] for r in whole[1] if r[0] == "clause:d:5"] == [["clause:d:5.1", "clause:d:5.2"]]
     full = {uid: t for uid, _, t, _ in whole[2][1]}
     assert full["clause:d:2"] == "B. " + texts["d", "2"]
     for uid, passage, t, kept in whole[2][0]:
