@@ -225,10 +225,13 @@ def register_documents(spark, sf):
 
 
 def markdown(spark, sf):
-    """``documents`` as markdown reports: headings, tables, rules, notes, bold and subscript marks."""
+    """``documents`` as markdown reports: every whole line in a heading, table, rule, note or with bold and subscript marks.
+
+    What stands between a rule and the end of a chapter is cleaned away; two documents of three have no such end."""
     line = """CASE pos % 9 WHEN 0 THEN concat(repeat('#', CAST(1 + doc_id % 6 AS INT)), ' ', l) WHEN 1 THEN concat('| ', l, ' | b |')
-      WHEN 2 THEN '|---|:-:|' WHEN 3 THEN concat('| **', substring(l, 1, 9), '** | ', pos, ' | z |') WHEN 4 THEN concat('some **bold ', substring(l, 1, 5), '** and H<sub>2</sub>O<br/>end')
-      WHEN 5 THEN '---' WHEN 6 THEN concat('> Note: ', l) WHEN 7 THEN concat('--- End of Chapter ', pos, ' ---') ELSE replace(l, '|', '/') END"""
+      WHEN 2 THEN concat('| ', l, ' | c |\n|---|:-:|') WHEN 3 THEN concat('| **', l, '** | ', pos, ' | z |') WHEN 4 THEN concat('some **bold ', l, '** and H<sub>2</sub>O<br/>end')
+      WHEN 5 THEN concat(replace(l, '|', '/'), '\n# ', pos, '\n---\n## rest') WHEN 6 THEN concat('> Note: ', l)
+      WHEN 7 THEN concat(replace(l, '|', '/'), CASE WHEN doc_id % 3 = 0 THEN concat('\n--- End of Chapter ', pos, ' ---') ELSE '' END) ELSE replace(l, '|', '/') END"""
     rows = fx.marked_lines(spark, sf).selectExpr("doc_id", f"struct(pos, {line} AS s) AS x")
     return rows.groupBy("doc_id").agg(F.expr(r"array_join(transform(array_sort(collect_list(x)), y -> y.s), '\n')").alias("md")).selectExpr(
         "doc_id", f"{md.clean_markdown('md')} AS md", "md AS raw")
@@ -236,8 +239,9 @@ def markdown(spark, sf):
 
 SQL_MARKDOWN = fx.SQL_BLOCKS + """,
 md_lines AS (SELECT doc_id, pos, CASE pos % 9 WHEN 0 THEN repeat('#', CAST(1 + doc_id % 6 AS INT)) || ' ' || l WHEN 1 THEN '| ' || l || ' | b |'
-   WHEN 2 THEN '|---|:-:|' WHEN 3 THEN '| **' || l[1:9] || '** | ' || pos || ' | z |' WHEN 4 THEN 'some **bold ' || l[1:5] || '** and H<sub>2</sub>O<br/>end'
-   WHEN 5 THEN '---' WHEN 6 THEN '> Note: ' || l WHEN 7 THEN '--- End of Chapter ' || pos || ' ---' ELSE replace(l, '|', '/') END AS s FROM lines),
+   WHEN 2 THEN '| ' || l || ' | c |' || chr(10) || '|---|:-:|' WHEN 3 THEN '| **' || l || '** | ' || pos || ' | z |' WHEN 4 THEN 'some **bold ' || l || '** and H<sub>2</sub>O<br/>end'
+   WHEN 5 THEN replace(l, '|', '/') || chr(10) || '# ' || pos || chr(10) || '---' || chr(10) || '## rest' WHEN 6 THEN '> Note: ' || l
+   WHEN 7 THEN replace(l, '|', '/') || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '--- End of Chapter ' || pos || ' ---' ELSE '' END ELSE replace(l, '|', '/') END AS s FROM lines),
 raw AS (SELECT doc_id, string_agg(s, chr(10) ORDER BY pos) AS raw FROM md_lines GROUP BY doc_id),
 clean AS (SELECT doc_id, regexp_replace(regexp_replace(raw, '(?is)---.*?(End of Chapter|Next:).*?---', '', 'g'), '(?i)> Note:.*?\\n', '', 'g') AS md FROM raw),
 toks AS (SELECT doc_id, unnest(t) AS token, unnest(range(len(t))) AS token_no FROM (SELECT doc_id, list_filter(list_transform(
@@ -264,7 +268,7 @@ QUERIES = {
     "table_inventory": lambda s, d: rg.table_inventory({t: fx.read(s, d, t) for t in ("documents", "events", "orders", "lineitem", "labels")}),
     "newest_sample": lambda s, d: rg.newest_sample(registry(s, d), "upload_timestamp", "id", 10).select("id", "upload_timestamp"),
     "clean_markdown": lambda s, d: markdown(s, d).select("doc_id", "md"),
-    "markdown_blocks": lambda s, d: md.markdown_blocks(markdown(s, d), "doc_id", "md").filter("kind <> 'table'").select("doc_id", "token_no", "line_no", "kind", "level", "text"),
+    "markdown_blocks": lambda s, d: md.markdown_blocks(markdown(s, d), "doc_id", "md").select("doc_id", "token_no", "line_no", "kind", "level", "text"),
     "markdown_table_cells": lambda s, d: md.markdown_table_cells(md.markdown_blocks(markdown(s, d), "doc_id", "md"), "doc_id"),
     "inline_runs": lambda s, d: md.inline_runs(md.markdown_blocks(markdown(s, d), "doc_id", "md").filter("kind = 'paragraph'"), ["doc_id", "token_no", "line_no"], "text"),
     "active_documents": lambda s, d: rg.active_documents(registry(s, d)).select("id", "status", "processing_duration_seconds"),
@@ -391,6 +395,7 @@ SQL = {
         , heads AS (SELECT doc_id, token_no, length(regexp_extract(token, '^#+', 0)) AS n, {fx.sql_strip("regexp_replace(token, '^#+', '')")} AS t FROM toks WHERE starts_with(token, '#')),
         rest AS (SELECT * FROM toks WHERE NOT starts_with(token, '#') AND NOT starts_with(token, '|'))
         SELECT doc_id, token_no, 0 AS line_no, 'page_break' AS kind, CAST(NULL AS INT) AS level, '' AS text FROM heads WHERE n = 1
+        UNION ALL SELECT doc_id, token_no, 0, 'table', NULL, token FROM toks WHERE starts_with(token, '|')
         UNION ALL SELECT doc_id, token_no, CASE WHEN n = 1 THEN 1 ELSE 0 END, 'heading', least(n, 9), t FROM heads WHERE t <> ''
         UNION ALL SELECT doc_id, token_no, 0, 'page_break', NULL, '' FROM rest WHERE regexp_matches(token, '^-{{3,}}$')
         UNION ALL SELECT doc_id, token_no, unnest(range(len(ls))), 'paragraph', NULL, unnest(ls) FROM (SELECT doc_id, token_no,
