@@ -124,6 +124,16 @@ def assemble_context(spark, sf):
         "query_id", "'tagged' AS form", "md5(context) AS context_hash"))
 
 
+def answer_context(spark, sf):
+    """What users wrote, as questions to the clauses of all documents."""
+    blocks = fx.document_blocks(spark, sf)
+    rows = cg._chunks(blocks)
+    nodes, edges = gr.build_graph(gr.uniform_chunks(rows), cg._stats(blocks))
+    nodes, edges = stage(nodes, "graph"), stage(edges, "graph")
+    asked = fx.read(spark, sf, "conversations").filter("role = 'user'").selectExpr("conv_id * 1000 + turn AS query_id", "text")
+    return rt.answer_context(asked, rt.embedding_text(rows), nodes, edges, n=8)
+
+
 def document_requirements(spark, sf):
     context, _, _ = _context(spark, sf)
     asked = fx.read(spark, sf, "documents").selectExpr("doc_id AS query_id", "concat('doc', doc_id) AS document_id")
@@ -233,6 +243,7 @@ QUERIES = {
     "embedding_text_long": lambda s, d: _texts(long_chunks(s, d), 1000),
     "ann_recall": ann_recall,
     "embed_chunks": embed_chunks,
+    "answer_context": answer_context,
     "vector_search": lambda s, d: _rounded(rt.vector_search(centroids(s, d), _vectors(s, d), 10)),
     "vector_search_filtered": lambda s, d: _rounded(rt.vector_search(centroids(s, d), _vectors(s, d), 10, match="label")),
     "ann_search": ann_search,

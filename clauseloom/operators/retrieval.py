@@ -235,6 +235,32 @@ def probes_for(queries: DataFrame, indexed: DataFrame, centres: np.ndarray, k: i
     return probe
 
 
+def search_clauses(questions: DataFrame, embedded: DataFrame, k: int = 5) -> DataFrame:
+    """The clauses of the ``k`` passages nearest to each question, as seeds for :func:`anchor_expand`.
+
+    ``questions(query_id, embedding)`` against rows of :func:`embed_chunks`. A clause with several passages among the
+    ``k`` comes once, with its nearest one, so there may be fewer clauses than ``k``.
+    """
+    rows = stage(embedded.selectExpr("concat(uid, '#', passage) AS passage_uid", "uid", "document_id", "title", "content", "embedding"), "passages")
+    found = vector_search(questions, rows, k, "passage_uid").join(rows.drop("embedding"), "passage_uid")
+    nearest = found.groupBy("query_id", "uid").agg(F.expr("min_by(struct(score, document_id, title, content, rank AS at), rank)").alias("x"))
+    return top_per_key(nearest.select("query_id", "uid", "x.*"), ["query_id"], ["at"], k).drop("at")
+
+
+def answer_context(
+    questions: DataFrame, texts: DataFrame, nodes: DataFrame, edges: DataFrame, encoder=None, k: int = 5, n: int = 5, form: str = "plain"
+) -> DataFrame:
+    """``query_id, context``: from ``questions(query_id, text)`` to the text an answer is to be grounded in.
+
+    Questions and the rows of :func:`embedding_text` go through one encoder; the nearest clauses bring their neighbours
+    in the graph, and the first ``n`` of both make the context.
+    """
+    encode = encoder or hashing_encoder()
+    asked = encode(questions.select("query_id", "text"), "text").select("query_id", "embedding")
+    seeds = stage(search_clauses(asked, embed_chunks(texts, encode), k), "seeds")
+    return assemble_context(anchor_expand(seeds, nodes, edges), n, form)
+
+
 # The default titles of graph neighbours.
 _PARENT, _CHILD, _REFERENCE, _TABLE, _FIGURE = "Parent Section", "Sub-section", "Referenced Section", "Data Table", "Diagram"
 

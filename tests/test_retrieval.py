@@ -129,3 +129,28 @@ def test_search_leaves_out_odd_vectors_and_repeated_queries(spark):
     got = [(r.query_id, r.vec_id, r["rank"]) for r in rt.vector_search(queries, vectors, 3).collect()]
     assert sorted(got) == [(7, 1, 1), (7, 2, 2)]
     assert rt.vector_search(queries.limit(0), vectors, 3).count() == 0
+
+
+def test_questions_reach_their_clauses_and_neighbours(spark):
+    said = {"1": "pumps and valves", "2": "wind noise level", "3": "oil leak test of pumps", "4": "cable colour"}
+    texts = spark.createDataFrame(
+        [("d", c, p, f"clause:d:{c}", f"T{c}", t, t) for c, t in said.items() for p in (0, 1)],
+        "document_id string, chunk_id string, passage int, uid string, title string, embed_text string, content string",
+    )
+    nodes = spark.createDataFrame(
+        [(f"clause:d:{c}", "Clause", "d", f"T{c}", t) for c, t in said.items()],
+        "uid string, label string, document_id string, title string, content_text string",
+    )
+    edges = spark.createDataFrame([("clause:d:2", "CONTAINS", "clause:d:4")], "source_uid string, rel_type string, target_uid string")
+    questions = spark.createDataFrame([(1, "noise of wind"), (2, "oil pumps")], "query_id long, text string")
+    encode = rt.hashing_encoder(4096)
+    vectors = {r.chunk_id: np.array(r.embedding, float) for r in rt.embed_chunks(texts, encode).collect()}
+    asked = {r.query_id: np.array(r.embedding, float) for r in encode(questions, "text").collect()}
+    got = {r.query_id: r.context for r in rt.answer_context(questions, texts, nodes, edges, encode, k=4, n=9).collect()}
+    for q, v in asked.items():
+        # Both passages of a clause are alike, so four passages are the two nearest clauses.
+        near = sorted(said, key=lambda c: (-round(float(v @ vectors[c]), 6), c))[:2]
+        around = [c for s in near for c in {"2": "4", "4": "2"}.get(s, "") if c not in near]
+        want = [f"[SOURCE: clause:d:{c}]\nT{c}\n{said[c]}" for c in near + around]
+        assert got[q] == "\n\n".join(want)
+    assert got[1].startswith("[SOURCE: clause:d:2]") and got[2].startswith("[SOURCE: clause:d:3]")
