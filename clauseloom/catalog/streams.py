@@ -9,6 +9,7 @@ from clauseloom.catalog import graph as cg
 from clauseloom.catalog import records as rc
 from clauseloom.operators import graph as gr
 from clauseloom.operators import ops
+from clauseloom.operators import quality as ql
 from clauseloom.plans.stage import fresh_path
 from clauseloom.streaming import events as ev
 from clauseloom.streaming.graph import incremental_graph
@@ -82,14 +83,24 @@ def error_stream(spark, sf):
     return last
 
 
-def _incremental(spark, sf):
-    """The chunk table as a stream of three batches or more into the graph; documents are split across batches."""
+def _batches(spark, chunks, by):
+    """A chunk table as a stream of three batches or more into the graph."""
     path = fresh_path(spark, "chunk-stream")
-    cg.chunks(spark, sf).repartition(3, "chunk_id").write.parquet(path)
+    chunks.repartition(3, F.expr(by)).write.parquet(path)
     stream = file_stream(spark, path, "*.parquet", spark.read.parquet(path).schema, files_per_trigger=1)
     return incremental_graph(stream, fresh_path(spark, "graph"), fresh_path(spark, "graph-checkpoint"))
 
 
+def _incremental(spark, sf):
+    """Documents are split across batches."""
+    return _batches(spark, cg.chunks(spark, sf), "chunk_id")
+
+
+def _gated(spark, sf):
+    """Both chunk forms through the gate, each document in one batch."""
+    return _batches(spark, cg.nested_chunks(spark, sf), ql.DOCUMENT)
+
+
 def incremental_documents(spark, sf):
     nodes, _ = _incremental(spark, sf)
     return nodes.filter("label = 'Document'").select("uid", "total_clauses", "total_tables", "total_figures")
@@ -112,6 +123,8 @@ QUERIES = {
     "incremental_graph": lambda s, d: gr.graph_statistics(*_incremental(s, d)),
     "incremental_documents": incremental_documents,
     "incremental_edges": incremental_edges,
+    "gated_nodes": lambda s, d: _gated(s, d)[0].select("label", "uid", "document_id"),
+    "gated_edges": lambda s, d: _gated(s, d)[1].select("source_uid", "rel_type", "target_uid"),
 }
 
 SQL = {
@@ -137,6 +150,10 @@ SQL = {
         count(*) FILTER (label = 'Table') AS total_tables, count(*) FILTER (label = 'Figure') AS total_figures
         FROM nodes WHERE document_id IN (SELECT document_id FROM clauses) GROUP BY document_id"""),
     "incremental_edges": cg._g("SELECT source_uid, rel_type, target_uid FROM edges"),
+    "gated_nodes": cg._g("""SELECT DISTINCT n.label, n.uid, n.document_id FROM sent_n n JOIN gate g USING (document_id) WHERE g.failed = 0
+        UNION ALL SELECT DISTINCT 'Standard', s.uid, CAST(NULL AS VARCHAR) FROM std s JOIN gate g USING (document_id) WHERE g.failed = 0"""),
+    "gated_edges": cg._g("""SELECT DISTINCT source_uid, rel_type, target_uid FROM sent_e JOIN gate USING (document_id)
+        WHERE failed = 0 AND source_uid IN (SELECT uid FROM nodes) AND target_uid IN (SELECT uid FROM nodes)"""),
     "incremental_graph": cg._g("""
         , seen AS (SELECT * FROM nodes WHERE label <> 'Document' OR document_id IN (SELECT document_id FROM clauses))
         """ + cg._STATS.format(n="seen", e="edges")),

@@ -19,7 +19,8 @@ def _in(values) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
-_DOC = "coalesce(nullif(document_metadata.id, ''), document_id, '')"
+#: The document a chunk of either form belongs to.
+DOCUMENT = "coalesce(nullif(document_metadata.id, ''), document_id, '')"
 
 
 def check_structural(chunks: DataFrame) -> DataFrame:
@@ -43,9 +44,9 @@ def check_enums(chunks: DataFrame) -> DataFrame:
 
 def check_referential(chunks: DataFrame, existing_uids: DataFrame | None = None) -> DataFrame:
     """``parent_ok``: the parent is in the graph or in this batch, or there is none."""
-    batch = chunks.selectExpr(f"{ids.clause_uid(_DOC, ids.clause_of_chunk('chunk_id'))} AS _uid")
+    batch = chunks.selectExpr(f"{ids.clause_uid(DOCUMENT, ids.clause_of_chunk('chunk_id'))} AS _uid")
     known = batch if existing_uids is None else batch.unionByName(existing_uids.selectExpr("uid AS _uid"))
-    wanted = f"CASE WHEN coalesce(hierarchy.parent_id, '') <> '' THEN {ids.clause_uid(_DOC, 'hierarchy.parent_id')} END"
+    wanted = f"CASE WHEN coalesce(hierarchy.parent_id, '') <> '' THEN {ids.clause_uid(DOCUMENT, 'hierarchy.parent_id')} END"
     found = known.distinct().selectExpr("_uid AS _parent", "true AS _found")
     return (
         chunks.selectExpr("*", f"{wanted} AS _parent")
@@ -75,7 +76,7 @@ def validation_gate(
 def document_gate(gated: DataFrame) -> DataFrame:
     """Per document the chunks passed and failed. One failed chunk fails the document."""
     return (
-        gated.groupBy(F.expr(_DOC).alias("document_id"))
+        gated.groupBy(F.expr(DOCUMENT).alias("document_id"))
         .agg(F.expr("count_if(error IS NULL)").alias("passed"), F.expr("count_if(error IS NOT NULL)").alias("failed"))
         .selectExpr(
             "*", "failed = 0 AS accepted",
@@ -87,7 +88,7 @@ def document_gate(gated: DataFrame) -> DataFrame:
 def accepted_chunks(chunks: DataFrame, gate: DataFrame) -> DataFrame:
     """The chunks of documents that passed the gate."""
     failed = gate.filter("NOT accepted").select(F.col("document_id").alias("_doc"))
-    return chunks.join(failed, F.expr(f"{_DOC} = _doc"), "left_anti")
+    return chunks.join(failed, F.expr(f"{DOCUMENT} = _doc"), "left_anti")
 
 
 def _violations(df: DataFrame, key: str, rules: dict[str, str]) -> DataFrame:

@@ -2,7 +2,9 @@ from pyspark.sql import functions as F
 
 from clauseloom.operators import ops
 from clauseloom.operators import registry as rg
+from clauseloom.schemas import NESTED_CHUNKS
 from clauseloom.streaming import events as ev
+from clauseloom.streaming.graph import incremental_graph, read_gate
 from clauseloom.streaming.run import drain, file_stream, write_batches
 
 
@@ -61,3 +63,31 @@ def test_uploads_are_registered_once(spark, tmp_path):
     events = ev.ingest_uploads(ev.upload_stream(spark, str(folder)), *args)
     assert sorted(r.document_id for r in events.collect()) == sorted({r.document_id for r in events.collect()})
     assert events.count() == 2
+
+
+def nested(document, clause, parent=None, kind="paragraph"):
+    return (
+        f"{document}:{clause}", None, (document,), "t", None, (parent, [], 1), [(kind, f"text {clause}")], [], [], [], [], ([], ([],), []),
+    )
+
+
+def test_only_documents_that_pass_the_gate_reach_the_graph(spark, tmp_path):
+    frames = [spark.createDataFrame(rows, NESTED_CHUNKS) for rows in (
+        [nested("good", "1"), nested("bad", "1"), nested("bad", "2", kind="poem")],
+        # The parent came in the batch before; that of the last one never does.
+        [nested("good", "1.1", parent="1"), nested("lost", "7.1", parent="7")],
+    )]
+    path, root = str(tmp_path / "in"), str(tmp_path / "graph")
+    nodes, edges = incremental_graph(batches(spark, path, frames), root, str(tmp_path / "checkpoint"), buckets=4)
+    assert {r.uid for r in nodes.collect()} == {"document:good", "clause:good:1", "clause:good:1.1"}
+    assert {(r.source_uid, r.target_uid) for r in edges.collect()} == {("document:good", "clause:good:1"), ("clause:good:1", "clause:good:1.1")}
+    assert nodes.filter("label = 'Document'").first().total_clauses == 2
+    told = {(r.batch_id, r.document_id): r.error_message for r in read_gate(spark, root).collect()}
+    assert told == {(0, "good"): None, (0, "bad"): "Validation failed: 1 chunks invalid",
+                    (1, "good"): None, (1, "lost"): "Validation failed: 1 chunks invalid"}
+
+
+def test_a_batch_that_fails_the_gate_leaves_the_graph_as_it_was(spark, tmp_path):
+    frames = [spark.createDataFrame(rows, NESTED_CHUNKS) for rows in ([nested("d", "1")], [nested("d", "2", kind="poem")])]
+    nodes, _ = incremental_graph(batches(spark, str(tmp_path / "in"), frames), str(tmp_path / "graph"), str(tmp_path / "checkpoint"), buckets=2)
+    assert {r.uid for r in nodes.collect()} == {"document:d", "clause:d:1"}
