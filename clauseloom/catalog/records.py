@@ -170,8 +170,7 @@ def extract_documents(spark, sf):
         "CAST(doc_id AS STRING) AS path", "concat(doc_id, '.txt') AS filename", "encode(text, 'UTF-8') AS content", "true AS supported")
     out = fl.extract_documents(fx.spread_small(files))
     trees, _ = fl.parse_block_trees(out.filter("error IS NULL"), "path", "tree")
-    blocks = fl.flatten_blocks(trees)
-    return blocks.groupBy("document_id").agg(F.count("*").alias("n_blocks"), F.expr("max(pos)").alias("last_pos"), F.expr("sum(length(html))").alias("chars"))
+    return fl.flatten_blocks(trees).selectExpr("document_id", "pos", "block_type", "md5(html) AS html_hash")
 
 
 def flatten_blocks(spark, sf):
@@ -412,8 +411,9 @@ SQL = {
             WHEN lower(run) LIKE '<br%>' THEN 'line_break' ELSE 'plain' END AS kind,
           CASE WHEN length(run) >= 4 AND run[1:2] = '**' AND run[-2:] = '**' THEN run[3:length(run)-2] WHEN lower(run) LIKE '<sub>%</sub>' THEN run[6:length(run)-6]
             WHEN lower(run) LIKE '<br%>' THEN '' ELSE run END AS text FROM cut"""),
-    "extract_documents": """SELECT CAST(doc_id AS VARCHAR) AS document_id, count(*) AS n_blocks, count(*) - 1 AS last_pos, sum(length(CASE WHEN starts_with(x, '#') THEN trim(ltrim(x, '#')) ELSE x END)) AS chars
-        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE trim(x) <> '' GROUP BY doc_id""",
+    "extract_documents": """SELECT CAST(doc_id AS VARCHAR) AS document_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos,
+          CASE WHEN starts_with(x, '#') THEN 'SectionHeader' ELSE 'Text' END AS block_type, md5(CASE WHEN starts_with(x, '#') THEN trim(ltrim(x, '#')) ELSE x END) AS html_hash
+        FROM (SELECT doc_id, unnest(parts) AS x, unnest(range(len(parts))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)) WHERE trim(x) <> ''""",
     "active_documents": _r("SELECT id, status, (epoch_us(processing_completed) - epoch_us(processing_started)) / 1000000.0::DOUBLE AS processing_duration_seconds FROM registry WHERE status IN ('PENDING', 'PROCESSING')"),
     "failed_documents": _r("""SELECT r.id, 'stage' || l_linenumber AS failure_stage, l_linestatus = 'F' AS reviewed FROM registry r
         LEFT JOIN lineitem l ON l.l_orderkey = r.o_orderkey WHERE status = 'FAILED'"""),

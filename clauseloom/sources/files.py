@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseloom.functions import ids
+from clauseloom.functions.text import strip
 from clauseloom.plans.stage import stage
 from clauseloom.schemas import SESSIONS
 
-# Fixed value: the file types taken.
+# The file types taken, and the message for a folder without any.
 SUPPORTED = ("pdf", "docx", "txt", "md")
 NO_FILES = "No supported files found (PDF, DOCX, TXT, MD)"
 
@@ -56,6 +57,7 @@ def source_summary(files: DataFrame) -> DataFrame:
 def validate_folder(spark: SparkSession, root: str, exts=SUPPORTED) -> DataFrame:
     """One row like :func:`source_summary`, also for a path that is missing or no folder."""
     status = _status(spark, root)
+    # The messages.
     problem = "Path does not exist" if status is None else None if status.isDirectory() else "Path is not a directory"
     if problem is None:
         return source_summary(scan_files(spark, root, exts))
@@ -71,9 +73,9 @@ def hashed_files(files: DataFrame) -> DataFrame:
 
 
 def parse_block_trees(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """``(trees, rejects)``: extractor JSON as a variant per document, and the documents that do not parse."""
+    """``(trees, rejects)``: extractor JSON as a variant per document, and the documents that do not parse, with their text."""
     parsed = df.selectExpr(f"CAST({key} AS STRING) AS document_id", f"try_parse_json({text}) AS tree", f"{text} AS _text")
-    rejects = parsed.filter("tree IS NULL").selectExpr("document_id", "substring(_text, 1, 200) AS head", "'invalid JSON' AS error")
+    rejects = parsed.filter("tree IS NULL").selectExpr("document_id", "_text AS text", "'invalid JSON' AS error")
     return parsed.filter("tree IS NOT NULL").select("document_id", "tree"), rejects
 
 
@@ -118,8 +120,26 @@ def flatten_blocks(trees: DataFrame) -> DataFrame:
     )
 
 
+#: Line ends of plain text: those that Python's ``splitlines`` knows.
+LINE_END = r"\r\n|[\n\x0B\x0C\r\x1C-\x1E\x85\u2028\u2029]"
+
+
+def text_trees(files: DataFrame) -> DataFrame:
+    """Plain text and markdown as block-tree JSON: headings and lines as blocks. Bytes that are not UTF-8 are an error."""
+    lines = rf"filter(split(CAST(content AS STRING), r'{LINE_END}'), x -> regexp_like(x, r'(?U)\S'))"
+    title = strip("regexp_replace(x, '^#+', '')")
+    block = (
+        "struct(CASE WHEN startswith(x, '#') THEN 'SectionHeader' ELSE 'Text' END AS block_type,"
+        f" CASE WHEN startswith(x, '#') THEN {title} ELSE x END AS html)"
+    )
+    problem = "CASE WHEN content IS NULL THEN 'no content' WHEN NOT is_valid_utf8(CAST(content AS STRING)) THEN 'invalid UTF-8' END"
+    return files.selectExpr("path", "filename", "content", f"{problem} AS error").selectExpr(
+        "path", "filename", f"CASE WHEN error IS NULL THEN to_json(struct(transform({lines}, x -> {block}) AS children)) END AS tree", "error"
+    )
+
+
 def text_tree(name: str, data: bytes) -> dict:
-    """The built-in extractor for plain text and markdown: headings and lines as blocks."""
+    """The tree of :func:`text_trees` for one file, for extractors that pass some files on."""
     blocks = []
     for line in data.decode("utf-8").splitlines():
         if line.strip():
@@ -128,8 +148,11 @@ def text_tree(name: str, data: bytes) -> dict:
     return {"children": blocks}
 
 
-def extract_documents(files: DataFrame, extractor: Callable[[str, bytes], dict] = text_tree) -> DataFrame:
-    """Bytes to block-tree JSON by a pluggable extractor. A file that fails is a row with its error."""
+def extract_documents(files: DataFrame, extractor: Callable[[str, bytes], dict] | None = None) -> DataFrame:
+    """Bytes to block-tree JSON by a pluggable extractor, or as plain text without one. A file that fails is a row with
+    its error."""
+    if extractor is None:
+        return text_trees(files.filter("supported"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

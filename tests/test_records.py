@@ -124,3 +124,13 @@ def test_event_log_both_forms(spark, tmp_path):
     spark.createDataFrame([('{"event_type": "BARE", "document_id": "d2"}',)], "value string").write.mode("append").text(str(tmp_path / "log"))
     got = {r.event_type: (r.document_id, str(r.ts)) for r in fl.read_event_log(spark, str(tmp_path / "log")).collect()}
     assert got == {"SCHEMA_READY": ("d1", "2024-01-01 10:00:00"), "BARE": ("d2", "None")}
+
+
+def test_plain_text_without_python_equals_the_extractor(spark):
+    texts = {"a.txt": "# Scope #\n  \nline one\r\n##  Sub\n \nx\x0by z ", "b.md": "", "c.md": "#\n\"q\" \\ ü"}
+    rows = [(n, n, bytearray(t.encode()), True) for n, t in texts.items()] + [("d.txt", "d.txt", bytearray(b"\xff\xfe"), True), ("e.txt", "e.txt", None, True)]
+    files = spark.createDataFrame(rows, "path string, filename string, content binary, supported boolean")
+    got = {r.filename: r for r in fl.extract_documents(files).collect()}
+    for name, text in texts.items():
+        assert json.loads(got[name].tree) == fl.text_tree(name, text.encode()) and got[name].error is None
+    assert [(got[n].tree, got[n].error) for n in ("d.txt", "e.txt")] == [(None, "invalid UTF-8"), (None, "no content")]
