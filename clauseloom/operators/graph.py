@@ -18,6 +18,8 @@ from clauseloom.operators.structure import whole_clauses
 from clauseloom.plans.stage import stage
 
 _CLAUSE = ids.clause_uid("document_id", "clause_id")
+#: Where a node stands in its clause, as long as nodes are only sent; the last one of a uid is stored.
+SEQ = "_seq"
 _TXN = "substring(sha2(concat(document_id, ':', coalesce(document_hash, '')), 256), 1, 16) AS transaction_id"
 
 
@@ -99,8 +101,9 @@ def requirement_nodes(chunks: DataFrame, by: str = "text") -> DataFrame:
     )
 
 
-def table_nodes(chunks: DataFrame) -> DataFrame:
-    """One node per table. The width is that of the first row; a table without number takes its index."""
+def table_nodes(chunks: DataFrame, sent: bool = False) -> DataFrame:
+    """One node per table. The width is that of the first row; a table without number takes its index. ``sent`` adds
+    its place in the clause."""
     return (
         chunks.selectExpr("*", "posexplode(tables) AS (idx, t)")
         .selectExpr("*", "coalesce(t.number, CAST(idx + 1 + tables_before AS STRING)) AS table_number")
@@ -108,12 +111,13 @@ def table_nodes(chunks: DataFrame) -> DataFrame:
             f"{ids.table_uid('document_id', 'clause_id', 'table_number')} AS uid", "'Table' AS label", "document_id",
             "clause_id", "table_number", "t.caption AS caption", "coalesce(size(t.rows), 0) AS row_count",
             "coalesce(size(try_element_at(t.rows, 1)), 0) AS column_count", f"{_CLAUSE} AS source_clause_uid",
-            "document_hash", _TXN,
+            "document_hash", _TXN, *([f"CAST(idx + tables_before AS BIGINT) AS {SEQ}"] if sent else []),
         )
     )
 
 
-def figure_nodes(chunks: DataFrame) -> DataFrame:
+def figure_nodes(chunks: DataFrame, sent: bool = False) -> DataFrame:
+    """One node per figure; ``sent`` adds its place in the clause."""
     return (
         chunks.selectExpr("*", "posexplode(figures) AS (idx, f)")
         .selectExpr("*", "coalesce(f.number, CAST(idx + 1 + figures_before AS STRING)) AS figure_number")
@@ -121,6 +125,7 @@ def figure_nodes(chunks: DataFrame) -> DataFrame:
             f"{ids.figure_uid('document_id', 'clause_id', 'figure_number')} AS uid", "'Figure' AS label", "document_id",
             "clause_id", "figure_number", "f.caption AS caption", "f.path AS image_path",
             f"{_CLAUSE} AS source_clause_uid", "document_hash", _TXN,
+            *([f"CAST(idx + figures_before AS BIGINT) AS {SEQ}"] if sent else []),
         )
     )
 
@@ -186,8 +191,8 @@ def sent_nodes(chunks: DataFrame, stats: DataFrame) -> DataFrame:
     """All nodes a batch of uniform chunks sends, repeats included except for standards."""
     return _union(
         [
-            document_nodes(stats), clause_nodes(chunks), requirement_nodes(chunks), table_nodes(chunks),
-            figure_nodes(chunks), standard_nodes(chunks),
+            document_nodes(stats), clause_nodes(chunks), requirement_nodes(chunks), table_nodes(chunks, sent=True),
+            figure_nodes(chunks, sent=True), standard_nodes(chunks),
         ]
     )
 
@@ -205,13 +210,14 @@ def sent_edges(chunks: DataFrame, present_only: bool = True) -> DataFrame:
 def merge_nodes(existing: DataFrame | None, incoming: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Upsert by (label, uid). A field the incoming rows have is overwritten, also by null; one they lack stays.
 
-    Among repeats in the batch the last by ``order`` wins (default: the largest row), through a max that
-    combines on the map side.
+    Among repeats in the batch the last by ``order`` wins, of :func:`sent_nodes` the last in the clause, and of equal ones
+    the largest row, through a max that combines on the map side.
     """
     keys = ["label", "uid"]
-    fields = [c for c in incoming.columns if c not in keys]
+    fields = [c for c in incoming.columns if c not in (*keys, SEQ)]
     row = f"struct({', '.join(fields)})"
-    pick = f"max_by({row}, struct({', '.join(order)}))" if order else f"max({row})"
+    order = order or [c for c in (SEQ,) if c in incoming.columns]
+    pick = f"max_by({row}, struct({', '.join([*order, row + ' AS _row'])}))" if order else f"max({row})"
     last = incoming.groupBy(*keys).agg(F.expr(pick).alias("_new"))
     if existing is None:
         return last.select(*keys, "_new.*")

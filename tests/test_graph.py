@@ -115,3 +115,14 @@ def test_a_cycle_ends(spark):
     nodes = spark.createDataFrame([("document:d", "Document", "d"), ("a", "Clause", "d"), ("b", "Clause", "d")], "uid string, label string, document_id string")
     edges = spark.createDataFrame([("document:d", "CONTAINS", "a"), ("a", "CONTAINS", "b"), ("b", "CONTAINS", "a")], "source_uid string, rel_type string, target_uid string")
     assert gr.clause_counts(nodes, edges).first().clause_count == 2
+
+
+def test_the_last_of_two_tables_with_one_number_is_stored(spark):
+    tables = [("<t/>", "4", caption, [["x"]]) for caption in ("z first", "a last")]
+    figures = [("2", path, "png", "k", 1, "c") for path in ("z", "a")]
+    row = ("d:1", "d", None, "t", None, None, [("paragraph", "x")], tables, figures, [], [], None)
+    chunks = gr.uniform_chunks(spark.createDataFrame([row], NESTED_CHUNKS))
+    nodes, _ = gr.build_graph(chunks, chunk_statistics(chunks))
+    assert gr.SEQ not in nodes.columns
+    got = {r.label: (r.caption, r.image_path) for r in nodes.filter("label IN ('Table', 'Figure')").collect()}
+    assert got == {"Table": ("a last", None), "Figure": ("c", "a")}
