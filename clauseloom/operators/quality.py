@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clauseloom.functions import ids
 from clauseloom.schemas import CONTENT_TYPES, DOCUMENT_STATES, REQUIREMENT_TYPES
 
+# The messages of the gate.
 STAGE_ERRORS = {
     "1": "Stage 1 failed: Missing required keys (chunk_id, document_metadata, content)",
     "2": "Stage 2 failed: Parent node does not exist",

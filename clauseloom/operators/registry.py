@@ -182,6 +182,7 @@ def route_failures(registry: DataFrame, failures: DataFrame) -> tuple[DataFrame,
 def manual_retry(registry: DataFrame, asked: DataFrame) -> DataFrame:
     """Per asked id whether it goes back to PENDING, or why not."""
     found = registry.selectExpr("id", "status AS _status")
+    # The messages.
     return asked.select("id").distinct().join(found, "id", "left").selectExpr(
         "id", "coalesce(_status = 'FAILED', false) AS queued",
         "CASE WHEN _status = 'FAILED' THEN 'PENDING' ELSE _status END AS status",
@@ -214,6 +215,7 @@ def ingestion_report(files: DataFrame) -> DataFrame:
 
 
 def ingestion_errors(files: DataFrame) -> DataFrame:
+    # The error types and the message of a duplicate.
     return files.filter("outcome IN ('failed', 'duplicate')").selectExpr(
         "job_id", "path",
         "CASE outcome WHEN 'duplicate' THEN 'duplicate' ELSE 'processing_error' END AS error_type",

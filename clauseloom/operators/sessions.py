@@ -83,6 +83,7 @@ MAX_MESSAGE_LENGTH = 4000
 
 def message_rules(messages: DataFrame, limit: int = MAX_MESSAGE_LENGTH) -> DataFrame:
     """``verdict``: ``empty`` (dropped), ``too_long`` (rejected, with the error) or ``ok``."""
+    # Fixed value: the message.
     return messages.selectExpr(
         "*",
         f"CASE WHEN coalesce(content, '') = '' THEN 'empty' WHEN length(content) > {limit} THEN 'too_long' ELSE 'ok' END AS verdict",
