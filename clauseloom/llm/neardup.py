@@ -7,10 +7,12 @@ probability Jaccard similarity of their weighted shingles. A shingle's process e
 than the last first arrival of all components, so most shingles arrive once or twice.
 
 Texts with the same weighted shingles have the same signature and are one node from here on. Signatures are cut into
-bands; nodes with an equal band meet in a bucket. In a bucket every node is compared with one centre only, the member
-whose buckets are largest, which in a group of copies is the text they come from. Pairs are weeded by their signatures
-and then verified exactly. Members that were not similar to their centre meet again without it, around the next centre, as
-long as that finds links between different groups. So no bucket ever makes all its pairs.
+bands; nodes with an equal band meet in a bucket. There every node is first compared with one centre, the member whose
+buckets are largest, which in a group of copies is the text they come from. Pairs are weeded by their signatures and
+then verified exactly. A centre that has met all others leaves the bucket; the others stay, linked or not, and meet the
+next centres, several times as many in every round, until those that are left are all in one group. Only members of
+different groups are compared, so a group of copies makes few pairs, and yet every two nodes with an equal band have
+either been compared or are in one group.
 
 Edge cases: words are separated by white space; null texts and texts without words have no shingles and are classes of
 their own; a text with fewer than five words is one shingle. Rows with equal keys are told apart by their texts, and a
@@ -42,6 +44,9 @@ COMPONENTS = BANDS * ROWS
 #: Signatures that agree less are not verified: five and a half standard deviations below the threshold.
 WEED = 0.6
 
+#: Centres of a bucket in the second round, and how many times more there are in every further one.
+CENTRES, MORE = 8, 4
+
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -139,6 +144,27 @@ def _centres(members: DataFrame) -> DataFrame:
     return members.drop("n").join(centres, "bucket")
 
 
+def _unsettled(members: DataFrame, labels: DataFrame | None, centres: int) -> DataFrame:
+    """``members`` (bucket, g) of buckets that hold several groups, with their group and whether they are a centre now.
+
+    About ``centres`` members of a bucket are, and all of a bucket with no more members.
+    """
+    group = F.col("g")
+    if labels is not None:
+        members, group = members.join(labels.withColumnRenamed("node", "g"), "g", "left"), F.coalesce("label", "g")
+    members = members.select("bucket", "g", group.alias("label"))
+    mixed_up = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    now = F.expr(f"pmod(xxhash64(g, bucket), n) < {centres}").alias("now")
+    return stage(members.join(mixed_up, "bucket").select("bucket", "g", "label", now), "rest")
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """Pairs (g, centre) of a bucket's centres with its members of other groups, each pair once."""
+    centres = members.filter("now").selectExpr("bucket", "g AS centre", "label AS theirs")
+    met = members.join(centres, "bucket").filter("label <> theirs AND (NOT now OR g < centre)")
+    return met.select(F.least("g", "centre").alias("g"), F.greatest("g", "centre").alias("centre")).distinct()
+
+
 def _alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     """The pairs whose signatures agree well enough."""
 
@@ -184,28 +210,25 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _links(signed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
     """``node`` and ``label`` of all nodes that are similar to another one; none if there are no such nodes."""
-    buckets = signed.select(F.explode("bands").alias("bucket"), "g")
-    links = labels = None
+    starred = stage(_centres(signed.select(F.explode("bands").alias("bucket"), "g")).filter("g <> centre"), "stars")
+    pairs, rest, centres = starred.select("g", "centre").distinct(), starred.select("bucket", "g"), CENTRES
+    links = labels = tried = None
     while True:
-        starred = stage(_centres(buckets).filter("g <> centre"), "stars")
-        pairs = starred.select("g", "centre").distinct()
-        if labels is not None:
-            # Whoever is in one group already need not be compared.
-            mine, theirs = labels.withColumnsRenamed({"node": "g", "label": "l1"}), labels.withColumnsRenamed({"node": "centre", "label": "l2"})
-            pairs = pairs.join(mine, "g", "left").join(theirs, "centre", "left")
-            pairs = pairs.filter("l1 IS NULL OR l2 IS NULL OR l1 <> l2").select("g", "centre")
-        found = stage(_verified(stage(_alike(pairs, signed), "alike"), nodes, docs), "similar")
-        if found.isEmpty():
+        alike = _alike(pairs, signed)
+        if tried is not None:
+            alike = alike.join(tried, ["g", "centre"], "left_anti")
+        alike = stage(alike, "alike")
+        found = stage(_verified(alike, nodes, docs), "similar")
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            labels = components(links.selectExpr("g AS a", "centre AS b"))
+        # Two nodes may meet in several buckets; in later rounds the smaller one comes first.
+        done = alike.select(F.least("g", "centre").alias("g"), F.greatest("g", "centre").alias("centre"))
+        tried = done if tried is None else tried.unionByName(done)
+        members = _unsettled(rest, labels, centres)
+        if members.isEmpty():
             return labels
-        links = found if links is None else links.unionByName(found)
-        labels = components(links.selectExpr("g AS a", "centre AS b"))
-        named = labels.withColumnRenamed("node", "g")
-        left = starred.join(found.withColumn("linked", F.lit(True)), ["g", "centre"], "left").filter("linked IS NULL").select("bucket", "g")
-        # Buckets whose members are not all in one group yet.
-        group = F.coalesce("label", "g")
-        mixed_up = left.join(named, "g", "left").groupBy("bucket").agg(F.min(group).alias("lo"), F.max(group).alias("hi")).filter("lo <> hi")
-        left = left.join(mixed_up.select("bucket"), "bucket")
-        buckets = stage(left, "rest")
+        pairs, rest, centres = _across(members), members.filter("NOT now").select("bucket", "g"), centres * MORE
 
 
 def classes(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from clauseloom.llm import bpe, catalog, neardup, quality, substring
 
@@ -150,6 +151,45 @@ def test_near_duplicates(spark):
     assert sorted(r.doc_id for r in neardup.keep_one(df, "doc_id", "text").collect()) == sorted(set(groups(texts)))
 
 
+def altered(rnd, words, n):
+    """``words`` with ``n`` of them replaced, far from each other."""
+    words = list(words)
+    for i in rnd.sample(range(0, len(words), 6), n):
+        words[i] = f"x{rnd.random()}"
+    return words
+
+
+def test_near_duplicates_whose_original_is_missing(spark):
+    rnd = random.Random(8)
+    base = [f"w{rnd.randrange(4000)}" for _ in range(300)]
+    # Some variants are similar to each other, some to a few others, some to none; windows of a text make a chain.
+    texts = [" ".join(altered(rnd, base, rnd.choice((2, 3, 4, 5, 6)))) for _ in range(60)]
+    long = [f"c{i}" for i in range(1100)]
+    texts += [" ".join(long[i * 20 : i * 20 + 300]) for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.k: r.class_id for r in neardup.classes(df, "doc_id", "text").collect()}
+    assert [got[i] for i in range(len(texts))] == groups(texts)
+
+
+def test_all_of_one_bucket_meet(spark):
+    rnd = random.Random(9)
+    texts = []
+    for n in range(12):
+        one = [f"p{n}-{i}" for i in range(100)]
+        texts += [" ".join(one), " ".join(altered(rnd, one, 1))]
+    long = [f"c{i}" for i in range(400)]
+    texts += [" ".join(long[i * 8 : i * 8 + 100]) for i in range(12)] + ["nothing like the others"]
+    docs = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "k long, v int, t string")
+    signed = neardup._sign(docs).withColumn("bands", F.expr("array(1L)")).localCheckpoint()
+    labels = neardup._links(signed, signed.select("g", "k", "v"), docs)
+    rows = signed.join(labels.withColumnRenamed("node", "g"), "g", "left").select("k", F.coalesce("label", "g").alias("x")).collect()
+    first = {}
+    for r in sorted(rows):
+        first.setdefault(r.x, r.k)
+    got = {r.k: first[r.x] for r in rows}
+    assert [got[i] for i in range(len(texts))] == groups(texts)
+
+
 def test_near_duplicates_of_given_documents(spark):
     rows = documents()
     got = {r.doc_id: r.class_id for r in catalog.op1_neardup(spark, SF).collect()}
