@@ -14,7 +14,7 @@ next centres, several times as many in every round, until those that are left ar
 different groups are compared, so a group of copies makes few pairs, and yet every two nodes with an equal band have
 either been compared or are in one group.
 
-Edge cases: words are separated by white space; null texts and texts without words have no shingles and are classes of
+Edge cases: words are separated by white space as Python's ``str.split`` knows it; null texts and texts without words have no shingles and are classes of
 their own; a text with fewer than five words is one shingle. Rows with equal keys are told apart by their texts, and a
 class id is the smallest key of the class, nulls first. Repeated rows are in one class. An empty table gives no rows.
 """
@@ -112,14 +112,18 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 
 def _sign(docs: DataFrame) -> DataFrame:
-    """k, v, the node ``g``, the bands, and one byte per component, for rows that have words."""
+    """k, v, the node ``g``, the bands, and one byte per component; all but k and v are null in rows without words."""
     kind = docs.schema["k"].dataType.simpleString()
+    made = {"a": pa.int64(), "b": pa.int64(), "bands": pa.list_(pa.int64()), "sketch": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for batch in batches:
             sets = [shingles(rolling, t) for t in batch.column("t").to_pylist()]
             some = [i for i, s in enumerate(sets) if len(s[0])]
+            if none := [i for i, s in enumerate(sets) if not len(s[0])]:
+                nulls = {n: pa.nulls(len(none), t) for n, t in made.items()}
+                yield beside(batch, ["k", "v"], nulls, none)
             if not some:
                 continue
             sets = [sets[i] for i in some]
@@ -127,12 +131,12 @@ def _sign(docs: DataFrame) -> DataFrame:
             whole = [[int(mixed(mixed(h + np.uint64(i)) ^ w.view(np.uint64)).sum(dtype=np.uint64)) for i in (1, 2)] for h, w in sets]
             g = np.array(whole, np.uint64).view(np.int64)
             yield beside(batch, ["k", "v"], {
-                "a": g[:, 0], "b": g[:, 1], "bands": pa.array(list(bands(signature)), pa.list_(pa.int64())),
+                "a": g[:, 0], "b": g[:, 1], "bands": pa.array(list(bands(signature)), made["bands"]),
                 "sketch": pa.array([x.tobytes() for x in signature.astype(np.uint8)], pa.binary()),
             }, some)
 
-    made = docs.mapInArrow(run, f"k {kind}, v int, a long, b long, bands array<long>, sketch binary")
-    return made.select("k", "v", F.struct("a", "b").alias("g"), "bands", "sketch")
+    signed = docs.mapInArrow(run, f"k {kind}, v int, a long, b long, bands array<long>, sketch binary")
+    return signed.select("k", "v", F.when(F.col("a").isNotNull(), F.struct("a", "b")).alias("g"), "bands", "sketch")
 
 
 def _centres(members: DataFrame) -> DataFrame:
@@ -237,21 +241,22 @@ def classes(df: DataFrame, key: str, text: str) -> DataFrame:
     docs = df.select(F.col(key).alias("k"), F.hash(F.col(text)).alias("v"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = stage(_sign(docs), "signatures")
     # A node's signature is the same in every one of its rows.
-    signed = stage(rows.groupBy("g").agg(F.min(F.struct("k", "v", "bands", "sketch")).alias("r")).select("g", "r.*"), "nodes")
+    with_words = rows.filter("g IS NOT NULL")
+    signed = stage(with_words.groupBy("g").agg(F.min(F.struct("k", "v", "bands", "sketch")).alias("r")).select("g", "r.*"), "nodes")
     nodes = signed.select("g", "k", "v")
     labels = _links(signed, nodes, docs)
-    of_row = rows.select("k", "v", "g")
+    of_row = with_words.select("k", "v", "g")
     if labels is None:
         of_row = of_row.withColumn("label", F.col("g"))
     else:
         of_row = of_row.join(labels.withColumnRenamed("node", "g"), "g", "left").withColumn("label", F.coalesce("label", "g"))
-    of_row = stage(of_row.drop("g"), "labelled")
+    of_row, alone = stage(of_row.drop("g"), "labelled"), stage(rows.filter("g IS NULL").select("k", "v"), "wordless")
     discard(rows, signed)
     heads = of_row.groupBy("label").agg(F.min(F.struct("k", "v")).alias("head"), F.count(F.lit(1)).alias("class_size"))
     found = of_row.join(heads, "label").select(
         "k", "v", F.col("head.k").alias("class_id"), (F.struct("k", "v") == F.col("head")).alias("representative"), "class_size"
     )
-    wordless = docs.filter(~F.col("t").rlike(r"(?U)\S")).select(
+    wordless = alone.select(
         "k", "v", F.col("k").alias("class_id"), F.lit(True).alias("representative"), F.lit(1).cast("long").alias("class_size")
     )
     return found.unionByName(wordless)

@@ -207,6 +207,14 @@ def test_near_duplicate_edges(spark):
     assert neardup.classes(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_texts_of_separators_only_have_no_words(spark):
+    texts = ["\x1c", " \x1d\x1e ", "\x1f\n", "\x85", "\u3000", "", "two words", "two\x1cwords"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = neardup.classes(df, "doc_id", "text").collect()
+    assert sorted((r.k, r.class_id, r.class_size) for r in rows) == [(i, i, 1) for i in range(6)] + [(6, 6, 2), (7, 6, 2)]
+    assert sorted(r.doc_id for r in neardup.keep_one(df, "doc_id", "text").collect()) == [0, 1, 2, 3, 4, 5, 6]
+
+
 def cut_by_hand(rows, length):
     words = [re.findall("[^\x20\x09-\x0d]+", t or "") for _, t in rows]
     seen = collections.Counter(tuple(w[i : i + length]) for w in words for i in range(len(w) - length + 1))
