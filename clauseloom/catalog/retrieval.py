@@ -30,9 +30,18 @@ def _rounded(df):
     return df.withColumn("score", F.expr("round(score, 6)"))
 
 
+def _asked(vectors, rest):
+    """One vector in fifty as a query."""
+    return vectors.filter(f"vec_id % 50 = {rest}").selectExpr("vec_id AS query_id", "embedding")
+
+
 def ann_search(spark, sf):
-    indexed, centres = rt.inverted_lists(_vectors(spark, sf))
-    return _rounded(rt.ann_search(centroids(spark, sf), indexed, centres, k=10))
+    """As many lists probed as sample queries need."""
+    vectors = _vectors(spark, sf)
+    indexed, centres = rt.inverted_lists(vectors)
+    indexed = stage(indexed, "lists")
+    probe = rt.probes_for(_asked(vectors, 25), indexed, centres, 10)
+    return _rounded(rt.ann_search(centroids(spark, sf), indexed, centres, k=10, probe=probe))
 
 
 def ann_search_all_lists(spark, sf):
@@ -61,12 +70,9 @@ def ann_recall(spark, sf):
     indexed, centres = rt.inverted_lists(vectors)
     indexed = stage(indexed, "lists")
 
-    def asked(rest):
-        return vectors.filter(f"vec_id % 50 = {rest}").selectExpr("vec_id AS query_id", "embedding")
-
-    probe = rt.probes_for(asked(25), indexed, centres, 10)
-    exact = stage(rt.vector_search(asked(0), vectors, 10).select("query_id", "vec_id"), "exact")
-    found = rt.recall(asked(0), indexed, centres, 10, probe, exact)
+    probe = rt.probes_for(_asked(vectors, 25), indexed, centres, 10)
+    exact = stage(rt.vector_search(_asked(vectors, 0), vectors, 10).select("query_id", "vec_id"), "exact")
+    found = rt.recall(_asked(vectors, 0), indexed, centres, 10, probe, exact)
     return exact.agg(F.expr("count(DISTINCT query_id)").alias("queries"), F.expr("count(*)").alias("wanted")).withColumn(
         "enough", F.lit(found >= LEAST_RECALL))
 

@@ -202,9 +202,9 @@ def inverted_lists(vectors: DataFrame, n_lists: int | None = None, seed: int = 7
 
 
 def ann_search(
-    queries: DataFrame, indexed: DataFrame, centres: np.ndarray, k: int = 5, probe: int = 4, key: str = "vec_id"
+    queries: DataFrame, indexed: DataFrame, centres: np.ndarray, k: int, probe: int, key: str = "vec_id"
 ) -> DataFrame:
-    """Top-k among the ``probe`` lists nearest to each query."""
+    """Top-k among the ``probe`` lists nearest to each query; :func:`probes_for` says how many a recall needs."""
     found = []
     for rows in _query_blocks(one_per_query(queries), QUERY_BLOCK):
         if not rows:

@@ -1,5 +1,6 @@
 import numpy as np
 
+from clauseloom.catalog import retrieval as catalog
 from clauseloom.operators import grounding as gd
 from clauseloom.operators import retrieval as rt
 
@@ -64,6 +65,14 @@ def test_ann_recall(spark):
     assert len(exact & near) / len(exact) >= 0.9
 
 
+def test_registered_ann_search_finds_nine_of_ten(spark):
+    sf = "/root/testdata/sf0.01"
+    exact = {(r.query_id, r.vec_id) for r in rt.vector_search(catalog.centroids(spark, sf), catalog._vectors(spark, sf), 10).collect()}
+    near = {(r.query_id, r.vec_id) for r in catalog.ann_search(spark, sf).collect()}
+    print("recall", len(exact & near) / len(exact))
+    assert len(exact & near) / len(exact) >= 0.9
+
+
 def test_encoders(spark):
     texts = spark.createDataFrame([("d", "1", "A b. shall c", "x")], "document_id string, chunk_id string, embed_text string, content string")
     hashed = rt.embed_chunks(texts, rt.hashing_encoder(16)).first()
