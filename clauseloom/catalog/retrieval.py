@@ -51,7 +51,7 @@ def ann_search_all_lists(spark, sf):
 
 
 def _texts(chunks, passage_chars=8000):
-    return rt.embedding_text(chunks, passage_chars).selectExpr(
+    return rt.embedding_text(chunks, passage_chars, 2000).selectExpr(
         "document_id", "chunk_id", "passage", "md5(embed_text) AS embed_hash", "length(content) AS kept")
 
 
@@ -137,7 +137,7 @@ def answer_context(spark, sf):
     nodes, edges = gr.build_graph(gr.uniform_chunks(rows), cg._stats(blocks))
     nodes, edges = stage(nodes, "graph"), stage(edges, "graph")
     asked = fx.read(spark, sf, "conversations").filter("role = 'user'").selectExpr("conv_id * 1000 + turn AS query_id", "text")
-    return rt.answer_context(asked, rt.embedding_text(rows), nodes, edges, n=8)
+    return rt.answer_context(asked, rt.embedding_text(rows), nodes, edges, n=8, by_clause=True)
 
 
 def document_requirements(spark, sf):

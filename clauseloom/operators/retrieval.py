@@ -26,8 +26,8 @@ from clauseloom.plans.stage import stage
 QUERY_BLOCK = 4096
 
 
-def embedding_text(chunks: DataFrame, passage_chars: int = 8000, kept_chars: int = 2000) -> DataFrame:
-    """The text a clause is embedded by and the payload kept with it, the first ``kept_chars`` characters.
+def embedding_text(chunks: DataFrame, passage_chars: int = 8000, kept_chars: int | None = None) -> DataFrame:
+    """The text a clause is embedded by and the payload kept with it, the passage or its first ``kept_chars`` characters.
 
     A text of more than ``passage_chars`` characters goes on in further rows, numbered by ``passage`` from 0.
     """
@@ -36,7 +36,7 @@ def embedding_text(chunks: DataFrame, passage_chars: int = 8000, kept_chars: int
         .filter("btrim(text) <> ''")
         .selectExpr(
             "document_id", "chunk_id", "passage", f"{ids.clause_uid('document_id', 'chunk_id')} AS uid", "title",
-            "text AS embed_text", f"substring(text, 1, {int(kept_chars)}) AS content",
+            "text AS embed_text", f"substring(text, 1, {int(passage_chars if kept_chars is None else kept_chars)}) AS content",
         )
     )
 
@@ -169,7 +169,7 @@ def _scan(vectors: DataFrame, rows: list, k: int, key: str, match: str | None, p
 
 
 def vector_search(
-    queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "vec_id", match: str | None = None
+    queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "vec_id", match: str | None = None, block: int | None = None
 ) -> DataFrame:
     """Exact cosine top-k: ``query_id, <key>, score, rank``.
 
@@ -178,7 +178,7 @@ def vector_search(
     one with the smallest vector asks.
     """
     queries, vectors = one_per_query(queries), usable(vectors)
-    found = [_scan(vectors, rows, k, key, match, None) for rows in _query_blocks(queries, QUERY_BLOCK) if rows]
+    found = [_scan(vectors, rows, k, key, match, None) for rows in _query_blocks(queries, block or QUERY_BLOCK) if rows]
     if not found:
         return vectors.sparkSession.createDataFrame([], f"query_id long, {key} {vectors.schema[key].dataType.simpleString()}, score double, rank int")
     return top_per_key(reduce(DataFrame.unionByName, found), ["query_id"], ["score DESC", key], k)
@@ -235,20 +235,38 @@ def probes_for(queries: DataFrame, indexed: DataFrame, centres: np.ndarray, k: i
     return probe
 
 
-def search_clauses(questions: DataFrame, embedded: DataFrame, k: int = 5) -> DataFrame:
+def search_clauses(questions: DataFrame, embedded: DataFrame, k: int = 5, by_clause: bool = False) -> DataFrame:
     """The clauses of the ``k`` passages nearest to each question, as seeds for :func:`anchor_expand`.
 
     ``questions(query_id, embedding)`` against rows of :func:`embed_chunks`. A clause with several passages among the
-    ``k`` comes once, with its nearest one, so there may be fewer clauses than ``k``.
+    ``k`` comes once, with its nearest one, so there may be fewer clauses than ``k``; with ``by_clause`` further passages
+    are read until there are ``k`` clauses or no more passages.
     """
     rows = stage(embedded.selectExpr("concat(uid, '#', passage) AS passage_uid", "uid", "document_id", "title", "content", "embedding"), "passages")
     found = vector_search(questions, rows, k, "passage_uid").join(rows.drop("embedding"), "passage_uid")
+    if by_clause:
+        parts, depth = [], k
+        while True:
+            found = stage(found, "found")
+            short = (
+                found.groupBy("query_id").agg(F.countDistinct("uid").alias("clauses"), F.count(F.lit(1)).alias("n"))
+                .filter(f"clauses < {k} AND n = {depth}").select("query_id")
+            )
+            parts.append(found.join(short, "query_id", "left_anti"))
+            if short.isEmpty():
+                break
+            questions, depth = questions.join(short, "query_id"), depth * 4
+            deeper = vector_search(questions, rows, depth, "passage_uid", block=max(1, QUERY_BLOCK * k // depth))
+            found = deeper.join(rows.drop("embedding"), "passage_uid")
+        found = reduce(DataFrame.unionByName, parts)
     nearest = found.groupBy("query_id", "uid").agg(F.expr("min_by(struct(score, document_id, title, content, rank AS at), rank)").alias("x"))
-    return top_per_key(nearest.select("query_id", "uid", "x.*"), ["query_id"], ["at"], k).drop("at")
+    seeds = top_per_key(nearest.select("query_id", "uid", "x.*"), ["query_id"], ["at"], k)
+    return seeds.drop("at")
 
 
 def answer_context(
-    questions: DataFrame, texts: DataFrame, nodes: DataFrame, edges: DataFrame, encoder=None, k: int = 5, n: int = 5, form: str = "plain"
+    questions: DataFrame, texts: DataFrame, nodes: DataFrame, edges: DataFrame, encoder=None, k: int = 5, n: int = 5, form: str = "plain",
+    by_clause: bool = False,
 ) -> DataFrame:
     """``query_id, context``: from ``questions(query_id, text)`` to the text an answer is to be grounded in.
 
@@ -257,7 +275,7 @@ def answer_context(
     """
     encode = encoder or hashing_encoder()
     asked = encode(questions.select("query_id", "text"), "text").select("query_id", "embedding")
-    seeds = stage(search_clauses(asked, embed_chunks(texts, encode), k), "seeds")
+    seeds = stage(search_clauses(asked, embed_chunks(texts, encode), k, by_clause), "seeds")
     return assemble_context(anchor_expand(seeds, nodes, edges), n, form)
 
 

@@ -163,3 +163,25 @@ def test_questions_reach_their_clauses_and_neighbours(spark):
         want = [f"[SOURCE: clause:d:{c}]\nT{c}\n{said[c]}" for c in near + around]
         assert got[q] == "\n\n".join(want)
     assert got[1].startswith("[SOURCE: clause:d:2]") and got[2].startswith("[SOURCE: clause:d:3]")
+
+
+def test_one_long_clause_leaves_room_for_others(spark):
+    """Twelve near passages are one clause; what matched reaches the context whole."""
+    rows = [("1", p, "wind noise level") for p in range(12)] + [("2", 0, "wind noise"), ("3", 0, "wind"), ("4", 0, "cable")]
+    texts = spark.createDataFrame(
+        [("d", c, p, f"clause:d:{c}", f"T{c}", t, t) for c, p, t in rows],
+        "document_id string, chunk_id string, passage int, uid string, title string, embed_text string, content string",
+    )
+    questions = spark.createDataFrame([(1, "wind noise level"), (2, "cable")], "query_id long, text string")
+    encode = rt.hashing_encoder(4096)
+    asked = encode(questions, "text").select("query_id", "embedding")
+    got = rt.search_clauses(asked, rt.embed_chunks(texts, encode), 3, by_clause=True).collect()
+    assert [r.uid for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 1] == [f"clause:d:{c}" for c in "123"]
+    assert sum(r.query_id == 2 for r in got) == 3
+
+
+def test_passages_are_kept_whole(spark, monkeypatch):
+    said = spark.createDataFrame([("d", "1", 0, "T", "x" * 7000)], "document_id string, chunk_id string, passage int, title string, text string")
+    monkeypatch.setattr(rt.st, "text_passages", lambda chunks, n: chunks)
+    assert rt.embedding_text(said).first().content == "x" * 7000
+    assert rt.embedding_text(said, kept_chars=2000).first().content == "x" * 2000
