@@ -9,7 +9,8 @@ copies of an article never turn it into template.
 
 What the alignment cannot see, a host with too few pages or a menu that changes from page to page, is decided by what
 HTML itself says: elements for navigation, asides, forms, scripts and the like are not main text, nor are elements
-whose class, id or role says so. If the page marks its article, only that is looked at.
+whose class, id or role says so. If the page marks its article, only that is looked at: the smallest element that holds
+all its articles but teasers, or the main element if most of its text stands outside of them.
 
 Edge cases: null and empty html, and pages without content, give an empty text. Broken markup is read as browsers do
 where it matters: a block that begins inside a paragraph ends it, what is never closed ends with the page. A null URL or one without
@@ -51,6 +52,8 @@ NAMED_SO = frozenset(
     "copyright legal disclaimer comment comments commentlist discussion replies reply respond disqus contentinfo complementary "
     "search skip".split()
 )
+#: Words that name an article as a pointer to another page.
+TEASERS = frozenset("card cards teaser teasers preview excerpt snippet tile thumb thumbnail".split())
 HIDES = frozenset("comment comments commentlist discussion replies reply respond disqus".split())
 
 #: Pilots per host, and the share of a host's articles, of so many at least, that makes a text template. Inside what
@@ -147,35 +150,49 @@ def _length(node: Node, all_of_it: bool = False) -> int:
 
 
 def article(root: Node) -> tuple[Node, bool]:
-    """The element that the page marks as its article, if any, and whether it does."""
-    found: list[tuple[int, Node]] = []
+    """The element that holds what the page marks as its article, if anything, and whether it marks it."""
+    stories: list[tuple[Node, ...]] = []
+    mains: list[tuple[Node, ...]] = []
 
-    def look(node: Node, tag: str) -> None:
+    def look(node: Node, way: tuple[Node, ...], told: bool, known: bool) -> None:
         for x in node.items:
             if type(x) is not str and not x.out:
-                if x.tag == tag or tag == "main" and x.words & {"main"} and x.tag not in ("html", "body"):
-                    found.append((_length(x), x))
-                else:
-                    look(x, tag)
-
-    for tag in ("article", "main"):
-        look(root, tag)
-        if found and (best := max(found, key=lambda f: f[0]))[0]:
-            return best[1], True
-    return root, False
-
-
-def blocks(root: Node) -> list[tuple[str, tuple[str, ...]]]:
-    """Main-text candidates in page order: text and the labels of the nodes around it."""
+                here = (*way, x)
+                story = not told and x.tag == "article"
+                main = not known and (x.tag == "main" or bool(x.words & {"main"}) and x.tag not in ("html", "body"))
+                if story and not x.words & TEASERS and _length(x):
+                    stories.append(here)
+                if main:
+                    mains.append(here)
+                look(x, here, told or story, known or main)
+
+    look(root, (root,), False, False)
+    best = None
+    if stories:
+        shared = [same[0] for same in zip(*stories) if all(x is same[0] for x in same)]
+        best = shared[-1]
+    if mains:
+        way = max(mains, key=lambda w: _length(w[-1]))
+        told, inside = sum(_length(w[-1]) for w in stories), sum(_length(w[-1]) for w in stories if way[-1] in w)
+        if _length(way[-1]) - inside > told:
+            # What stands in both is in the smallest element around them.
+            best = way[-1] if inside == told else [a for a, *rest in zip(way, *stories) if all(a is x for x in rest)][-1]
+    if best is None:
+        return root, False
+    return best, best is not root and best.tag not in ("html", "body")
+
+
+def blocks(root: Node) -> list[tuple[str, Node]]:
+    """Main-text candidates in page order: text and the node it stands in."""
     top, marked = article(root)
     whole = _length(top, True)
-    out: list[tuple[str, tuple[str, ...]]] = []
+    out: list[tuple[str, Node]] = []
 
-    def walk(node: Node, path: tuple[str, ...], inside: bool) -> None:
+    def walk(node: Node, inside: bool) -> None:
         for x in node.items:
             if type(x) is str:
                 if text := " ".join(x.split()):
-                    out.append((text, path))
+                    out.append((text, node))
                 continue
             if x.tag in NOT_TEXT or x.tag in NOT_MAIN:
                 continue
@@ -184,9 +201,9 @@ def blocks(root: Node) -> list[tuple[str, tuple[str, ...]]]:
             # A container that holds most of the text is not an advert, whatever its class says; comments may be long.
             if x.out and (x.words & HIDES or not x.words & NAMED_SO or 2 * _length(x, True) < whole):
                 continue
-            walk(x, (*path, x.label), inside or x.tag in ("article", "main"))
+            walk(x, inside or x.tag in ("article", "main"))
 
-    walk(top, (), marked)
+    walk(top, marked)
     return out
 
 
@@ -200,7 +217,8 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) >> 1
 
 
-def outline(nodes: list[Node], label: str = "") -> list:
+def outline(nodes: list[Node], label: str = "", where: dict[int, list] | None = None) -> list:
+    """``where`` takes up the outline node of every node, by identity."""
     texts, runs = [], []
     for node in nodes:
         for x in node.items:
@@ -212,7 +230,10 @@ def outline(nodes: list[Node], label: str = "") -> list:
                     runs[-1][1].append(x)
                 else:
                     runs.append((x.label, [x]))
-    return [label, texts, [outline(run, name) for name, run in runs]]
+    made = [label, texts, [outline(run, name, where) for name, run in runs]]
+    if where is not None:
+        where.update((id(node), made) for node in nodes)
+    return made
 
 
 def match(a: list, b: list) -> tuple[int, list[tuple[list, list]]]:
@@ -249,12 +270,12 @@ def _numbered(tree: list) -> dict[int, int]:
     return order
 
 
-def same_places(page: list, pilot: list) -> Iterator[tuple[int, int]]:
-    """Texts that both have at aligned nodes: the pilot's node and the text's hash."""
+def same_places(page: list, pilot: list) -> Iterator[tuple[int, int, int]]:
+    """Texts that both have at aligned nodes: the page's node by identity, the pilot's by number, and the text's hash."""
     order = _numbered(pilot)
     for ours, theirs in match(page, pilot)[1]:
         for text in set(ours[1]) & set(theirs[1]):
-            yield order[id(theirs)], text
+            yield id(ours), order[id(theirs)], text
 
 
 def _host(url: str) -> F.Column:
@@ -291,7 +312,7 @@ def extract(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
                 page = outline([root])
                 out.append((host, -1, -1, 0, sign))
                 for nth, pilot in enumerate(known[host]):
-                    out += [(host, nth, node, text, sign) for node, text in same_places(page, pilot)]
+                    out += [(host, nth, node, text, sign) for _, node, text in same_places(page, pilot)]
             yield pd.DataFrame(out, columns=["_host", "nth", "node", "text", "sign"])
 
     seen = pages.select("_host", "_html").join(pilots, "_host").mapInPandas(compare, "_host string, nth int, node int, text long, sign long")
@@ -310,16 +331,16 @@ def extract(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
         def make(hosts: list, htmls: list, pilots: list, templates: list) -> dict:
             out = []
             for host, h, drawn, template in zip(hosts, htmls, pilots, templates):
-                root, fixed = parsed(h), set()
+                root, fixed, where = parsed(h), set(), {}
                 if template is not None:
                     if host not in known:
                         if len(known) > 100:
                             known.clear()
                         known[host] = [json.loads(p) for p in drawn], {(x["nth"], x["node"], x["text"]): x["share"] for x in template}
                     trees, constant = known[host]
-                    page, least = outline([root]), INSIDE if article(root)[1] else SUPPORT
-                    fixed = {t for nth, pilot in enumerate(trees) for node, t in same_places(page, pilot) if constant.get((nth, node, t), 0) >= least}
-                out.append("\n".join(t for t, _ in blocks(root) if not fixed or _hash(t) not in fixed))
+                    page, least = outline([root], where=where), INSIDE if article(root)[1] else SUPPORT
+                    fixed = {(ours, t) for nth, pilot in enumerate(trees) for ours, node, t in same_places(page, pilot) if constant.get((nth, node, t), 0) >= least}
+                out.append("\n".join(t for t, n in blocks(root) if not fixed or (id(where[id(n)]), _hash(t)) not in fixed))
             return {"text": pa.array(out, pa.string()), "n_chars": pa.array(map(len, out), pa.int64())}
 
         return make

@@ -171,6 +171,30 @@ def test_template_of_pages_that_mark_nothing(spark):
         assert r.text == f"{n} is the story of {n}.\nIt ends with {n}."
 
 
+def test_whole_story_of_marked_articles(spark):
+    long = "It is a long story that goes on and on. "
+    pages = [
+        "<body><div><article><p>One</p></article><p>Between</p><article><p>Two is longer</p></article></div><p>Aside</p></body>",
+        f"<body><main><p>{long * 3}</p><article class=card><p>Read that too</p></article></main><p>Aside</p></body>",
+        f"<body><main><article><p>{long * 3}</p></article><p>More</p></main></body>",
+        f"<body><article class=card><p>Read that too</p></article><article><p>{long}</p></article></body>",
+    ]
+    df = spark.createDataFrame([(i, f"https://h{i}.org/", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df, "page_id", "url", "html").collect()}
+    said = " ".join(long.split())
+    whole = " ".join([said] * 3)
+    assert got == {0: "One\nBetween\nTwo is longer", 1: f"{whole}\nRead that too", 2: whole, 3: said}
+
+
+def test_words_of_the_menu_stay_in_the_text(spark):
+    page = "<body><nav><ul><li>About</li><li>Contact</li></ul></nav><div class=top>Our site</div><article><h1>About</h1><p>{n} is the story of {n}.</p><h2>Contact</h2></article></body>"
+    other = page.replace("<h1>About</h1>", "<h1>News {n}</h1>").replace("<h2>Contact</h2>", "<h2>End {n}</h2>")
+    rows = [(i, "http://site.org/x", (page if i == 3 else other).format(n=f"word{i} " * 20)) for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n") for r in html.extract(df, "page_id", "url", "html").collect()}
+    assert got[3][0] == "About" and got[3][-1] == "Contact" and len(got[3]) == 3
+
+
 def test_tree_matching_counts_aligned_nodes():
     a = html.outline([html.parsed("<div><p>1</p><ul><li>2</li></ul><p>3</p></div>")])
     b = html.outline([html.parsed("<div><ul><li>2</li></ul><h1>x</h1><p>3</p></div>")])
