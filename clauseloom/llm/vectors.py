@@ -16,13 +16,14 @@ FAN_IN = 64
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     """``vec_id`` and ``v`` (doubles) of rows with an id and a vector of finite numbers.
 
-    If vectors differ in length, those of the greatest length take part.
+    If vectors differ in length, those of the length that most rows have take part, of two such lengths the greater.
     """
     rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).filter(fine)
-    longest = rows.agg(F.max(F.size("v"))).first()[0] or 0
-    return rows.filter(F.size("v") == longest)
+    lengths = rows.groupBy(F.size("v").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    usual = lengths.agg(F.max(F.struct("n", "length"))["length"]).first()[0] or 0
+    return rows.filter(F.size("v") == usual)
 
 
 def matrix(column: pd.Series, dtype: type = np.float64) -> np.ndarray:

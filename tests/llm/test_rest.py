@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from clauseloom.llm import ann, catalog, html, mixing, sharding, topk, warc
+from clauseloom.llm.vectors import usable
 from tools.check import norm
 
 SF = "/root/testdata/sf0.01"
@@ -136,6 +137,13 @@ def test_top_k_is_exact(spark, monkeypatch):
     assert topk.top_k(df.limit(0), "vec_id", "embedding", whole, F.col("vec_id") == 0, 5).count() == 0
 
 
+def test_a_stray_longer_vector_leaves_the_others(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(6)] + [(6, [1.0, 2.0, 3.0]), (7, [1.0]), (8, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(r.vec_id for r in usable(df, "vec_id", "embedding").collect()) == list(range(6))
+    assert usable(df.limit(0), "vec_id", "embedding").count() == 0
+
+
 def test_elimination_saves_scores():
     rnd = np.random.default_rng(9)
     v = np.floor(256 * (rnd.standard_normal((2000, 4)) + 8 * rnd.integers(0, 2, (2000, 1))))
