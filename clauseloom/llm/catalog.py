@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import ann, bpe, html, mixing, neardup, quality, sharding, substring, topk, warc
+from clauseloom.llm import ann, bpe, html, merkle, mixing, neardup, quality, secrets, sharding, substring, topk, warc, whitening
 from clauseloom.llm.common import table
 
 #: Bytes of text in a shard at most.
@@ -103,10 +103,32 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", drop=("text",))
+
+
+#: Components of a whitened embedding.
+COMPONENTS = 16
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", COMPONENTS)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh hash of a document number is tampered with: one character more is claimed."""
+    one_more = F.col("n_chars").cast("decimal(38,0)") + 1
+    return merkle.manifest(
+        table(spark, sf_dir, "documents"), "doc_id", "lang", ["doc_id", "source", "lang", "n_chars", "text"], {"n_chars": one_more},
+        F.crc32(F.col("doc_id").cast("string")) % 7 == 0,
+    ).withColumnRenamed("k", "doc_id")
+
+
 QUERIES = {
     "op1_neardup": op1_neardup,     "op2_sharding": op2_sharding, "op3_bpe": op3_bpe, "op4_ann": op4_ann,
     "op5_topk": op5_topk, "op6_mixing": op6_mixing,
     "op7_substring": op7_substring, "op8_html": op8_html, "op9_warc": op9_warc, "op10_quality": op10_quality,
+    "op11_secrets": op11_secrets, "op12_whitening": op12_whitening, "op13_merkle": op13_merkle,
 }
 
 _OP2 = f"""
@@ -189,4 +211,45 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} AND page_id <> head THEN head END AS refers_to FROM heads
 """
 
-SQL = {"op2_sharding": _OP2, "op5_topk": _OP5, "op6_mixing": _OP6, "op9_warc": _OP9}
+_CRC = """list_reduce([4294967295::UBIGINT] || [CAST(ascii(c) AS UBIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')],
+    lambda crc, b: list_reduce([xor(crc, b)] || [0::UBIGINT FOR i IN range(8)], lambda x, i: xor(x >> 1, 3988292384::UBIGINT * (x & 1))))"""
+_LEAF = "sha256(" + " || ".join(
+    f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "{n_chars}", "text")
+) + ")"
+_OP13 = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, lang, {_LEAF.format(n_chars="n_chars")} AS leaf,
+    CASE WHEN xor({_CRC}, 4294967295::UBIGINT) % 7 = 0 THEN {_LEAF.format(n_chars="(n_chars::HUGEINT + 1)")} END AS altered FROM documents),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM docs),
+groups AS (SELECT lang, count(*) AS n, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM docs GROUP BY lang),
+placed AS (SELECT r.*, g.tree, g.n FROM ranked r JOIN groups g ON r.lang IS NOT DISTINCT FROM g.lang),
+low AS (
+  SELECT tree, 0 AS lev, pos, leaf AS h, n FROM placed
+  UNION ALL
+  SELECT tree, lev + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM low WHERE n > 1 GROUP BY tree, lev, pos // 2, n),
+high AS (
+  SELECT 0 AS lev, tree AS pos, h, count(*) OVER () AS n FROM low WHERE n = 1
+  UNION ALL
+  SELECT lev + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM high WHERE n > 1 GROUP BY lev, pos // 2, n),
+steps AS (
+  SELECT p.doc_id, p.tree, p.pos, l.lev, (p.pos >> l.lev) & 1 AS is_right, s.h FROM placed p
+  JOIN (SELECT DISTINCT tree, lev FROM low WHERE n > 1) l ON l.tree = p.tree
+  LEFT JOIN low s ON s.tree = p.tree AND s.lev = l.lev AND s.pos = xor(p.pos >> l.lev, 1)
+  UNION ALL
+  SELECT p.doc_id, p.tree, p.pos, 100 + l.lev, (p.tree >> l.lev) & 1, s.h FROM placed p
+  JOIN (SELECT DISTINCT lev FROM high WHERE n > 1) l ON true
+  LEFT JOIN high s ON s.lev = l.lev AND s.pos = xor(p.tree >> l.lev, 1)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY tree, pos ORDER BY lev) AS nth FROM steps),
+proofs AS (SELECT tree, pos, sha256(coalesce(string_agg(h, '' ORDER BY nth), '')) AS proof_sha256, max(nth) AS last FROM numbered GROUP BY tree, pos),
+fold AS (
+  SELECT tree, pos, 0::BIGINT AS nth, coalesce(altered, leaf) AS h FROM placed
+  UNION ALL
+  SELECT f.tree, f.pos, s.nth, sha256(CASE WHEN s.is_right = 1 THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END)
+  FROM fold f JOIN numbered s ON s.tree = f.tree AND s.pos = f.pos AND s.nth = f.nth + 1)
+SELECT p.doc_id, p.leaf, sub.h AS subroot, top.h AS root, coalesce(pr.proof_sha256, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = top.h AS verified
+FROM placed p JOIN low sub ON sub.tree = p.tree AND sub.n = 1 JOIN high top ON top.n = 1
+LEFT JOIN proofs pr ON pr.tree = p.tree AND pr.pos = p.pos
+JOIN fold f ON f.tree = p.tree AND f.pos = p.pos AND f.nth = coalesce(pr.last, 0)
+"""
+
+SQL = {"op2_sharding": _OP2, "op5_topk": _OP5, "op6_mixing": _OP6, "op9_warc": _OP9, "op13_merkle": _OP13}
