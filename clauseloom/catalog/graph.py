@@ -359,14 +359,17 @@ SQL = {
     "graph_statistics": _g(_STATS.format(n="nodes", e="edges")),
     "graph_transactions": _g("""
         , n AS (SELECT document_id, count(*) AS c FROM sent_n WHERE document_id IS NOT NULL GROUP BY 1),
+        d AS (SELECT document_id, count(*) AS c FROM nodes WHERE document_id IS NOT NULL GROUP BY 1),
         e AS (SELECT document_id, count(*) AS c FROM sent_e GROUP BY 1),
         s AS (SELECT document_id, count(*) AS c FROM (SELECT DISTINCT document_id, source_uid, rel_type, target_uid FROM sent_e
           WHERE source_uid IN (SELECT uid FROM nodes) AND target_uid IN (SELECT uid FROM nodes)) GROUP BY 1)
-        SELECT document_id, CASE WHEN failed = 0 THEN 'completed' ELSE 'failed' END AS status,
+        SELECT sha256(document_id || ':')[1:16] AS transaction_id, document_id, CAST(NULL AS VARCHAR) AS document_hash,
+          CASE WHEN failed = 0 THEN 'completed' ELSE 'failed' END AS status,
           CASE WHEN failed > 0 THEN 'Validation failed: ' || failed || ' chunks invalid' END AS error_message,
-          CASE WHEN failed = 0 THEN n.c ELSE 0 END AS nodes_sent, CASE WHEN failed = 0 THEN e.c ELSE 0 END AS edges_sent,
+          CASE WHEN failed = 0 THEN n.c ELSE 0 END AS nodes_sent, CASE WHEN failed = 0 THEN d.c ELSE 0 END AS nodes_stored,
+          CASE WHEN failed = 0 THEN e.c ELSE 0 END AS edges_sent,
           CASE WHEN failed = 0 THEN coalesce(s.c, 0) ELSE 0 END AS edges_stored
-        FROM gate JOIN n USING (document_id) JOIN e USING (document_id) LEFT JOIN s USING (document_id)"""),
+        FROM gate JOIN n USING (document_id) JOIN d USING (document_id) JOIN e USING (document_id) LEFT JOIN s USING (document_id)"""),
     "clause_counts": "WITH RECURSIVE " + SQL_GRAPH.strip() + """,
         walk AS (SELECT document_id, uid FROM nodes WHERE label = 'Document'
           UNION ALL SELECT w.document_id, e.target_uid FROM walk w JOIN edges e ON e.source_uid = w.uid AND e.rel_type = 'CONTAINS')

@@ -11,7 +11,8 @@ from clauseloom.operators import graph as gr
 from clauseloom.operators import grounding as gd
 from clauseloom.operators import retrieval as rt
 from clauseloom.operators import structure as st
-from clauseloom.plans.stage import stage
+from clauseloom.operators.vector_index import VectorIndex
+from clauseloom.plans.stage import fresh_path, stage
 
 
 def _vectors(spark, sf):
@@ -35,19 +36,35 @@ def _asked(vectors, rest):
     return vectors.filter(f"vec_id % 50 = {rest}").selectExpr("vec_id AS query_id", "embedding")
 
 
+def _index(spark, vectors):
+    return VectorIndex.create(vectors, fresh_path(spark, "vector-index"))
+
+
 def ann_search(spark, sf):
     """As many lists probed as sample queries need."""
     vectors = _vectors(spark, sf)
-    indexed, centres = rt.inverted_lists(vectors)
-    indexed = stage(indexed, "lists")
-    probe = rt.probes_for(_asked(vectors, 25), indexed, centres, 10)
-    return _rounded(rt.ann_search(centroids(spark, sf), indexed, centres, k=10, probe=probe))
+    index = _index(spark, vectors)
+    return _rounded(index.search(centroids(spark, sf), 10, index.probes_for(_asked(vectors, 25), 10)))
 
 
 def ann_search_all_lists(spark, sf):
-    """Probing every list is exact."""
-    indexed, centres = rt.inverted_lists(_vectors(spark, sf))
-    return _rounded(rt.ann_search(centroids(spark, sf), indexed, centres, k=10, probe=len(centres)))
+    """Probing every list by its vectors is exact."""
+    index = _index(spark, _vectors(spark, sf))
+    return _rounded(index.search(centroids(spark, sf), 10, len(index.model.centres), exact_lists=True))
+
+
+def _appended(spark, sf):
+    """An index of three quarters of the vectors that gets the others later."""
+    vectors = _vectors(spark, sf)
+    index = _index(spark, vectors.filter("vec_id % 4 <> 0"))
+    index.append(vectors.filter("vec_id % 4 = 0"), writer="later", batch=0)
+    index.append(vectors.filter("vec_id % 4 = 0"), writer="later", batch=0)
+    return index
+
+
+def ann_append(spark, sf):
+    index = _appended(spark, sf)
+    return _rounded(index.search(centroids(spark, sf), 10, len(index.model.centres), exact_lists=True))
 
 
 def _texts(chunks, passage_chars=8000):
@@ -64,19 +81,53 @@ def embed_chunks(spark, sf):
 LEAST_RECALL = 0.9
 
 
-def ann_recall(spark, sf):
+def _recall(spark, sf, index):
     """Probes chosen on some rows as queries, the recall measured on others."""
     vectors = _vectors(spark, sf)
-    indexed, centres = rt.inverted_lists(vectors)
-    indexed = stage(indexed, "lists")
-
-    probe = rt.probes_for(_asked(vectors, 25), indexed, centres, 10)
+    probe = index.probes_for(_asked(vectors, 25), 10)
     exact = stage(rt.vector_search(_asked(vectors, 0), vectors, 10).select("query_id", "vec_id"), "exact")
-    found = rt.recall(_asked(vectors, 0), indexed, centres, 10, probe, exact)
+    found = index.recall(_asked(vectors, 0), 10, probe, exact)
     return exact.agg(F.expr("count(DISTINCT query_id)").alias("queries"), F.expr("count(*)").alias("wanted")).withColumn(
         "enough", F.lit(found >= LEAST_RECALL))
 
 
+def ann_recall(spark, sf):
+    return _recall(spark, sf, _index(spark, _vectors(spark, sf)))
+
+
+def ann_append_recall(spark, sf):
+    return _recall(spark, sf, _appended(spark, sf))
+
+
+def _everybody(vectors):
+    return vectors.selectExpr("vec_id AS query_id", "embedding", "label")
+
+
+def vector_search_grid(spark, sf):
+    """Every vector as a query, in blocks of 64: one read of the vectors for all of them."""
+    vectors = _vectors(spark, sf)
+    return _rounded(rt.vector_search(_everybody(vectors), vectors, 5, block=64))
+
+
+def vector_search_grid_filtered(spark, sf):
+    """Every vector asks for those of its label, each seventh for all."""
+    vectors = _vectors(spark, sf)
+    asked = _everybody(vectors).withColumn("label", F.expr("CASE WHEN query_id % 7 <> 0 THEN label END"))
+    return _rounded(rt.vector_search(asked, vectors, 5, match="label", block=64))
+
+
+#: How often each letter stands in a text, as its vector: whole numbers, so that equal texts tie exactly.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_COUNTS = ", ".join(f"CAST(length(text) - length(replace(replace(text, '{c}', ''), '{c.upper()}', '')) AS DOUBLE)" for c in _LETTERS)
+
+
+def message_search(spark, sf):
+    """All that users wrote, every message at once, against all documents."""
+    documents = fx.read(spark, sf, "documents").selectExpr("doc_id AS vec_id", f"array({_COUNTS}) AS embedding")
+    asked = fx.read(spark, sf, "conversations").filter("role = 'user'").selectExpr("conv_id * 1000 + turn AS query_id", f"array({_COUNTS}) AS embedding")
+    return _rounded(rt.vector_search(asked, documents, 5, block=256))
+
+
 def _seeds(nodes):
     """One query per document: its three longest clauses stand for what a vector search returns."""
     ranked = nodes.filter("label = 'Clause'").selectExpr(
@@ -252,6 +303,11 @@ QUERIES = {
     "answer_context": answer_context,
     "vector_search": lambda s, d: _rounded(rt.vector_search(centroids(s, d), _vectors(s, d), 10)),
     "vector_search_filtered": lambda s, d: _rounded(rt.vector_search(centroids(s, d), _vectors(s, d), 10, match="label")),
+    "vector_search_grid": vector_search_grid,
+    "vector_search_grid_filtered": vector_search_grid_filtered,
+    "message_search": message_search,
+    "ann_append": ann_append,
+    "ann_append_recall": ann_append_recall,
     "ann_search": ann_search,
     "ann_search_all_lists": ann_search_all_lists,
     "expand_context": expand_context,
@@ -290,6 +346,11 @@ sims AS (SELECT q.label AS query_id, v.vec_id, v.label,
 _TOPK = """SELECT query_id, vec_id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank
    FROM sims {where}) WHERE rank <= 10"""
 
+_GRID = """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings),
+    sims AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) / (q.l * v.l) AS s FROM v AS q, v {where})
+    SELECT query_id, vec_id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM sims)
+    WHERE rank <= 5"""
+
 #: CTEs down to ``ctx``: seeds, their neighbours and the numbered context.
 SQL_CONTEXT = (
     cg.SQL_GRAPH
@@ -374,6 +435,16 @@ SQL = {
     "embed_chunks": f"SELECT 'clause:' || document_id || ':' || chunk_id AS uid, passage, 384 AS dim, 1.0::DOUBLE AS norm FROM ("
     + fx.with_ctes(fx.SQL_PARTS, _passages("1", 8000)) + ")",
     "ann_recall": "SELECT count(*) AS queries, 10 * count(*) AS wanted, true AS enough FROM embeddings WHERE vec_id % 50 = 0",
+    "vector_search_grid": _GRID.format(where=""),
+    "vector_search_grid_filtered": _GRID.format(where="WHERE q.vec_id % 7 = 0 OR q.label = v.label"),
+    "message_search": f"""WITH d AS (SELECT doc_id AS vec_id, [{_COUNTS}] AS v FROM documents WHERE text IS NOT NULL),
+        q AS (SELECT conv_id * 1000 + turn AS query_id, any_value([{_COUNTS}]) AS v FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY ALL),
+        sims AS (SELECT query_id, vec_id, sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(d.v, d.v)) AS l, list_dot_product(q.v, d.v) AS p FROM q, d),
+        scored AS (SELECT query_id, vec_id, CASE WHEN l > 0 THEN p / l ELSE 0 END AS s FROM sims)
+        SELECT query_id, vec_id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM scored)
+        WHERE rank <= 5""",
+    "ann_append": fx.with_ctes(_COS, _TOPK.format(where="")),
+    "ann_append_recall": "SELECT count(*) AS queries, 10 * count(*) AS wanted, true AS enough FROM embeddings WHERE vec_id % 50 = 0",
     "ann_search_all_lists": fx.with_ctes(_COS, _TOPK.format(where="")),
     "vector_search": fx.with_ctes(_COS, _TOPK.format(where="")),
     "vector_search_filtered": fx.with_ctes(_COS, _TOPK.format(where="WHERE label = query_id")),

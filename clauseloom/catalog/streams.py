@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+from itertools import count
+
 from pyspark.sql import functions as F
 
 from clauseloom.catalog import fixtures as fx
@@ -10,8 +13,9 @@ from clauseloom.catalog import records as rc
 from clauseloom.operators import graph as gr
 from clauseloom.operators import ops
 from clauseloom.operators import quality as ql
-from clauseloom.plans.stage import fresh_path
+from clauseloom.plans.stage import fresh_path, stage
 from clauseloom.streaming import events as ev
+from clauseloom.streaming import graph as sg
 from clauseloom.streaming.graph import incremental_graph
 from clauseloom.streaming.run import drain, file_stream, write_batches
 
@@ -110,7 +114,93 @@ def incremental_edges(spark, sf):
     return _incremental(spark, sf)[1].select("source_uid", "rel_type", "target_uid")
 
 
+#: Which documents come in which commit, by the number in their id; some come twice.
+_SENT = {1: "d % 3 = 0", 2: "d % 3 = 1 OR d % 6 = 0", 3: "d % 3 = 2 OR d % 4 = 0"}
+_START = datetime(2024, 1, 1, tzinfo=timezone.utc)
+
+
+def _clock():
+    """A clock that is read when a commit starts and when it is complete, half an hour each."""
+    ticks = count()
+    return lambda: _START + timedelta(minutes=30 * next(ticks))
+
+
+def _graph_log(spark, sf, steps):
+    """A graph of commits: the numbered batches of documents, and jobs in between."""
+    root, clock = fresh_path(spark, "graph"), _clock()
+    rows = stage(cg.uniform(spark, sf).withColumn("d", F.expr("CAST(substring(document_id, 4) AS BIGINT)")), "rows")
+    for step in steps:
+        if callable(step):
+            step(root, rows, clock)
+        else:
+            sg.append_graph(spark, root, rows.filter(_SENT[step]).drop("d"), clock=clock)
+    return root
+
+
+_AUDIT = ["date_format(created_at, 'yyyy-MM-dd HH:mm') AS created_at", "date_format(updated_at, 'yyyy-MM-dd HH:mm') AS updated_at", "version"]
+
+
+def graph_as_of(spark, sf):
+    """The nodes as they were after the second of three commits, asked for by time."""
+    nodes, _ = sg.read_graph(spark, _graph_log(spark, sf, [1, 2, 3]), _START + timedelta(minutes=100))
+    return nodes.selectExpr("label", "uid", "document_id", *_AUDIT)
+
+
+def graph_as_of_edges(spark, sf):
+    _, edges = sg.read_graph(spark, _graph_log(spark, sf, [1, 2, 3]), 2)
+    return edges.selectExpr("source_uid", "rel_type", "target_uid", *_AUDIT)
+
+
+def graph_compacted(spark, sf):
+    """Compaction between commits, deletion of the toxic documents, every second of which comes back, and a compaction at the end."""
+    toxic = fx.read(spark, sf, "labels").filter("toxic = 1").selectExpr("concat('doc', doc_id) AS document_id")
+
+    def delete(root, rows, clock):
+        sg.delete_documents(spark, root, toxic, clock)
+
+    def again(root, rows, clock):
+        sg.append_graph(spark, root, rows.filter("d % 2 = 0").join(toxic, "document_id", "left_semi").drop("d"), clock=clock)
+
+    def compact(root, rows, clock):
+        sg.compact(spark, root, buckets=4)
+
+    nodes, edges = sg.read_graph(spark, _graph_log(spark, sf, [1, 2, compact, 3, delete, again, compact]))
+    return nodes.selectExpr("label AS kind", "uid", *_AUDIT).unionByName(
+        edges.selectExpr("rel_type AS kind", "concat(source_uid, ' > ', target_uid) AS uid", *_AUDIT))
+
+
+def graph_commits(spark, sf):
+    """One transaction per document and commit."""
+    told = sg.read_transactions(spark, _graph_log(spark, sf, [1, 2, 3]))
+    times = [f"date_format({c}, 'yyyy-MM-dd HH:mm') AS {c}" for c in ("started_at", "completed_at")]
+    return told.selectExpr("transaction_id", "document_id", "status", "nodes_sent", "nodes_stored", "edges_sent", "edges_stored", "number", *times)
+
+
+def _tick(expr):
+    return f"strftime(TIMESTAMP '2024-01-01' + to_minutes(CAST({expr} AS INT)), '%Y-%m-%d %H:%M')"
+
+
+_SENT_SQL = " OR ".join(f"(k = {k} AND ({when}))" for k, when in _SENT.items())
+#: What each commit sends: nodes and edges with the commit's number; deleted documents keep only what comes after.
+_COMMITS_SQL = f"""
+, ks AS (SELECT document_id, k FROM (SELECT DISTINCT document_id, CAST(substring(document_id, 4) AS BIGINT) AS d FROM clauses), range(1, 4) AS t(k)
+   WHERE {_SENT_SQL}),
+sent_all AS (SELECT source_uid, rel_type, target_uid, document_id FROM e_contains UNION ALL SELECT source_uid, rel_type, target_uid, document_id FROM e_req
+   UNION ALL SELECT source_uid, rel_type, target_uid, document_id FROM e_content UNION ALL SELECT source_uid, rel_type, target_uid, document_id FROM e_ref
+   WHERE rel_type = 'REFERENCES' UNION ALL SELECT {cg._CL}, 'REFERS_TO', 'clause:' || document_id || ':' || ref, document_id FROM ref_c),
+of_document AS (SELECT DISTINCT label, uid, document_id FROM sent_n WHERE document_id IN (SELECT document_id FROM clauses)),
+of_any AS (SELECT label, uid, document_id, document_id AS sender FROM of_document
+   UNION ALL SELECT DISTINCT 'Standard', uid, CAST(NULL AS VARCHAR), document_id FROM std),
+edges_of AS (SELECT DISTINCT source_uid, rel_type, target_uid, document_id FROM sent_e
+   WHERE source_uid IN (SELECT uid FROM nodes) AND target_uid IN (SELECT uid FROM nodes))"""
+_AUDIT_SQL = f"{_tick('60 * (min(k) - 1)')} AS created_at, {_tick('60 * (max(k) - 1)')} AS updated_at, CAST(count(DISTINCT k) AS BIGINT) AS version"
+
+
 QUERIES = {
+    "graph_as_of": graph_as_of,
+    "graph_as_of_edges": graph_as_of_edges,
+    "graph_compacted": graph_compacted,
+    "graph_commits": graph_commits,
     "upload_stream": upload_stream,
     "route_events": route_events,
     "exactly_once_events": exactly_once_events,
@@ -128,6 +218,25 @@ QUERIES = {
 }
 
 SQL = {
+    "graph_as_of": cg._g(f"""{_COMMITS_SQL} SELECT label, uid, any_value(o.document_id) AS document_id, {_AUDIT_SQL}
+        FROM of_any o JOIN ks ON ks.document_id = o.sender WHERE k <= 2 GROUP BY label, uid"""),
+    "graph_as_of_edges": cg._g(f"""{_COMMITS_SQL} SELECT source_uid, rel_type, target_uid, {_AUDIT_SQL}
+        FROM edges_of JOIN ks USING (document_id) WHERE k <= 2 GROUP BY source_uid, rel_type, target_uid"""),
+    "graph_compacted": cg._g(f"""{_COMMITS_SQL},
+        toxic AS (SELECT 'doc' || doc_id AS document_id, doc_id % 2 = 0 AS back FROM labels WHERE toxic = 1),
+        again AS (SELECT DISTINCT document_id, 5 AS k FROM clauses WHERE document_id IN (SELECT document_id FROM toxic WHERE back)),
+        kept AS (SELECT * FROM ks WHERE document_id NOT IN (SELECT document_id FROM toxic) UNION ALL SELECT * FROM again),
+        every AS (SELECT * FROM ks UNION ALL SELECT * FROM again)
+        SELECT label AS kind, uid, {_AUDIT_SQL} FROM of_document JOIN kept USING (document_id) GROUP BY label, uid
+        UNION ALL SELECT 'Standard', uid, {_AUDIT_SQL} FROM (SELECT DISTINCT uid, document_id FROM std) JOIN every USING (document_id) GROUP BY uid
+        UNION ALL SELECT rel_type, source_uid || ' > ' || target_uid, {_AUDIT_SQL} FROM edges_of JOIN kept USING (document_id)
+        GROUP BY source_uid, rel_type, target_uid"""),
+    "graph_commits": cg._g(f"""{_COMMITS_SQL},
+        n AS (SELECT document_id, count(*) AS c, count(DISTINCT (label, uid)) AS d FROM sent_n WHERE document_id IS NOT NULL GROUP BY 1),
+        e AS (SELECT document_id, count(*) AS c, count(DISTINCT (source_uid, rel_type, target_uid)) AS d FROM sent_all GROUP BY 1)
+        SELECT sha256(document_id || '::' || k)[1:16] AS transaction_id, document_id, 'completed' AS status, n.c AS nodes_sent, n.d AS nodes_stored,
+          e.c AS edges_sent, e.d AS edges_stored, k AS number, {_tick('60 * (k - 1)')} AS started_at, {_tick('60 * (k - 1) + 30')} AS completed_at
+        FROM ks JOIN n USING (document_id) JOIN e USING (document_id)"""),
     "upload_stream": "SELECT true AS all_distinct, sum(strlen(text) + 1) AS bytes FROM documents",
     "route_events": "SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'purchase')",
     "exactly_once_events": "SELECT min(event_id) AS event_id, user_id AS document_id FROM events GROUP BY ts, user_id",

@@ -295,21 +295,29 @@ def graph_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return by_label.unionByName(total)
 
 
-def graph_transactions(sent_n: DataFrame, sent_e: DataFrame, stored_e: DataFrame, gate: DataFrame) -> DataFrame:
-    """Per document what was sent and stored, and whether the gate let it in."""
+def graph_transactions(
+    sent_n: DataFrame, sent_e: DataFrame, stored_e: DataFrame, gate: DataFrame, stored_n: DataFrame | None = None
+) -> DataFrame:
+    """Per document one transaction: its id, what was sent and stored, and whether the gate let it in. ``gate`` may carry the
+    document's hash; without ``stored_n`` the nodes stored are the distinct ones sent."""
     def per_document(df: DataFrame, name: str) -> DataFrame:
         return df.filter("document_id IS NOT NULL").groupBy("document_id").agg(F.count("*").alias(name))
 
+    stored_n = sent_n.select("document_id", "label", "uid").distinct() if stored_n is None else stored_n
     counted = (
         gate.join(per_document(sent_n, "nodes_sent"), "document_id", "left")
+        .join(per_document(stored_n, "nodes_stored"), "document_id", "left")
         .join(per_document(sent_e, "edges_sent"), "document_id", "left")
         .join(per_document(stored_e, "edges_stored"), "document_id", "left")
     )
+    if "document_hash" not in gate.columns:
+        counted = counted.withColumn("document_hash", F.lit(None).cast("string"))
+    counts = ("nodes_sent", "nodes_stored", "edges_sent", "edges_stored")
     return counted.selectExpr(
-        "document_id",
+        _TXN, "document_id", "document_hash",
         "CASE WHEN accepted THEN 'completed' ELSE 'failed' END AS status",
         "error_message",
-        *[f"CASE WHEN accepted THEN coalesce({c}, 0) ELSE 0 END AS {c}" for c in ("nodes_sent", "edges_sent", "edges_stored")],
+        *[f"CASE WHEN accepted THEN coalesce({c}, 0) ELSE 0 END AS {c}" for c in counts],
     )
 
 

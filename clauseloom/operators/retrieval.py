@@ -1,9 +1,9 @@
 """Vector search, graph expansion and context assembly for a batch of queries.
 
-Vectors are scanned where they lie: the query batch goes to every task as one matrix, a task keeps the
-best ``k`` per query of all it reads, and only those rows are shuffled. The batch is cut into blocks of
-a checked size, so neither the broadcast nor the driver depends on how many queries there are, and no
-query-vector pair is ever a row.
+A small batch of queries goes to every task as one matrix: vectors are scanned where they lie, a task keeps the best
+``k`` per query of all it reads, and only those rows are shuffled. Larger batches meet the vectors in the cells of a grid
+(:func:`_grid`): blocks of queries by blocks of vectors, each read once however many queries there are. No query-vector pair is
+ever a row, and neither the broadcast nor the driver depends on how many queries there are.
 """
 
 from __future__ import annotations
@@ -88,25 +88,12 @@ def one_per_query(queries: DataFrame) -> DataFrame:
     return usable(queries).groupBy("query_id").agg(first).select("query_id", "r.*").select(*queries.columns)
 
 
-def _query_blocks(queries: DataFrame, block: int) -> Iterator[list]:
-    """The query rows in lists of at most ``block``; a batch that fits needs one pass."""
-    rows = bounded_rows(queries, block)
-    if rows is not None:
-        yield rows
-        return
-    kept = stage(queries, "queries")
-    buckets = max(2, -(-kept.count() * 2 // block))
-    for b in range(buckets):
-        part = kept.filter(F.expr(f"pmod(xxhash64(query_id), {buckets}) = {b}"))
-        rows = bounded_rows(part, block)
-        if rows is None:
-            yield from _query_blocks(part, block)
-        else:
-            yield rows
+def _lengths(m: np.ndarray) -> np.ndarray:
+    return np.sqrt((m * m).sum(axis=1))
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    norm = _lengths(m)[:, None]
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
@@ -121,53 +108,154 @@ def _keep(score: np.ndarray, key: Callable[[int, int], object], k: int) -> np.nd
     return pos
 
 
-def _scan(vectors: DataFrame, rows: list, k: int, key: str, match: str | None, probes: dict | None) -> DataFrame:
-    """Best ``k`` vectors per query of one block, by task."""
-    q = _unit(np.array([r["embedding"] for r in rows], dtype="float64"))
+class _Best:
+    """The best ``k`` vectors per query of those it has seen, with the running k-th score of each query."""
+
+    def __init__(self, queries: np.ndarray, qid: np.ndarray, k: int, wanted: np.ndarray | None = None):
+        self.q, self.length, self.qid, self.k = queries, _lengths(queries), qid, k
+        self.score, self.key = np.empty((len(qid), 0)), np.empty((len(qid), 0), dtype=object)
+        self.asking = None
+        if wanted is not None:
+            # Queries by the value they ask for; those without one ask for all.
+            asked = pd.Series(wanted, dtype=object)
+            self.asking = {value: rows.to_numpy() for value, rows in pd.Series(np.arange(len(asked))).groupby(asked)}
+            self.anything = np.flatnonzero(asked.isna())
+        self.step = max(k, 4_000_000 // max(1, len(qid)))
+
+    def see(self, vectors: np.ndarray, keys: np.ndarray, have: np.ndarray | None = None) -> None:
+        for i in range(0, len(keys), self.step):
+            cut = slice(i, i + self.step)
+            part = vectors[cut].astype("float64")
+            # Products before lengths: whole numbers then give equal scores for equal vectors wherever they stand.
+            length = np.outer(self.length, _lengths(part))
+            new = np.divide(self.q @ part.T, length, out=np.zeros(length.shape), where=length > 0)
+            if self.asking is not None:
+                allowed = np.zeros(new.shape, bool)
+                allowed[self.anything] = True
+                for value, columns in pd.Series(np.arange(new.shape[1])).groupby(pd.Series(have[cut], dtype=object)):
+                    if value in self.asking:
+                        allowed[np.ix_(self.asking[value], columns.to_numpy())] = True
+                new[~allowed] = -np.inf
+            self._merge(new, keys[cut])
+
+    def _merge(self, new: np.ndarray, keys: np.ndarray) -> None:
+        held = self.score.shape[1]
+        if held == self.k:
+            # Only vectors that reach some query's k-th score go on.
+            keep = (new >= self.score.min(axis=1, keepdims=True)).any(axis=0)
+            new, keys = new[:, keep], keys[keep]
+        score = np.concatenate([self.score, new], axis=1)
+        if score.shape[1] > self.k:
+            pos = _keep(score, lambda r, j: self.key[r, j] if j < held else keys[j - held], self.k)
+        else:
+            pos = np.broadcast_to(np.arange(score.shape[1]), score.shape)
+        picked = np.empty(pos.shape, dtype=object)
+        old = pos < held
+        r, c = np.nonzero(old)
+        picked[old] = self.key[r, pos[r, c]]
+        picked[~old] = keys[pos[~old] - held]
+        self.score, self.key = np.take_along_axis(score, pos, axis=1), picked
+
+    def rows(self, key: str) -> pd.DataFrame:
+        hit = np.isfinite(self.score)
+        row, _ = np.nonzero(hit)
+        return pd.DataFrame({"query_id": self.qid[row], key: self.key[hit], "score": self.score[hit]})
+
+
+def _stacked(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy())
+
+
+def _scan(vectors: DataFrame, rows: list, k: int, key: str, match: str | None) -> DataFrame:
+    """Best ``k`` vectors per query of a batch that every task gets, by task."""
+    q = np.array([r["embedding"] for r in rows], dtype="float64")
     qid = np.array([r["query_id"] for r in rows], dtype="int64")
-    wanted = [r[match] for r in rows] if match else None
+    wanted = np.array([r[match] for r in rows], dtype=object) if match else None
     cast = vectors.schema[key].dataType.simpleString()
-    shared = vectors.sparkSession.sparkContext.broadcast((q, qid, wanted, probes))
+    shared = vectors.sparkSession.sparkContext.broadcast((q, qid, wanted))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q, qid, wanted, probes = shared.value
-        best_score = np.empty((len(q), 0))
-        best_key = np.empty((len(q), 0), dtype=object)
-        step = max(k, 4_000_000 // len(q))
-        for batch in batches:
-            for pdf in (batch.iloc[i : i + step] for i in range(0, len(batch), step)):
-                new = q @ _unit(np.stack(pdf["embedding"].to_numpy()).astype("float64")).T
-                if wanted is not None:
-                    have = pdf[match].to_numpy()
-                    for i, w in enumerate(wanted):
-                        if w is not None:
-                            new[i, have != w] = -np.inf
-                if probes is not None:
-                    have = pdf["list_id"].to_numpy()
-                    for i, x in enumerate(qid):
-                        new[i, ~np.isin(have, probes[int(x)])] = -np.inf
-                held = best_score.shape[1]
-                keys = pdf[key].to_numpy(dtype=object)
-                score = np.concatenate([best_score, new], axis=1)
-                at = lambda r, j: best_key[r, j] if j < held else keys[j - held]
-                if score.shape[1] > k:
-                    pos = _keep(score, at, k)
-                else:
-                    pos = np.broadcast_to(np.arange(score.shape[1]), score.shape)
-                picked = np.empty(pos.shape, dtype=object)
-                old = pos < held
-                r, c = np.nonzero(old)
-                picked[old] = best_key[r, pos[r, c]]
-                picked[~old] = keys[pos[~old] - held]
-                best_score, best_key = np.take_along_axis(score, pos, axis=1), picked
-        hit = np.isfinite(best_score)
-        row, _ = np.nonzero(hit)
-        yield pd.DataFrame({"query_id": qid[row], key: best_key[hit], "score": best_score[hit]})
-
-    columns = list(dict.fromkeys([key, "embedding", *([match] if match else []), *(["list_id"] if probes else [])]))
+        q, qid, wanted = shared.value
+        best = _Best(q, qid, k, wanted)
+        for pdf in batches:
+            if len(pdf):
+                best.see(_stacked(pdf["embedding"]), pdf[key].to_numpy(dtype=object), pdf[match].to_numpy(dtype=object) if match else None)
+        yield best.rows(key)
+
+    columns = list(dict.fromkeys([key, "embedding", *([match] if match else [])]))
     return vectors.select(*columns).mapInPandas(search, f"query_id long, {key} {cast}, score double")
 
 
+#: Vectors of a cell of the grid, about; and buckets that values of the filter column fall into.
+CELL_VECTORS, MATCH_BUCKETS = 262_144, 1024
+
+
+def in_cells(
+    queries: DataFrame, vectors: DataFrame, k: int, key: str, match: str | None = None, codes: str | None = None,
+    decode: Callable[[str, pd.Series], np.ndarray] | None = None,
+) -> DataFrame:
+    """Best ``k`` vectors per query within each cell.
+
+    ``queries(cell, query_id, embedding)`` and ``vectors(cell, key, embedding)``, both with ``match`` if there is one, are brought
+    together by cell. A task reads a cell's queries, which must be few, and lets its vectors pass by in batches. Vectors may
+    come as bytes in a column ``codes`` instead, which ``decode`` turns into a matrix for a cell.
+    """
+    cast = vectors.schema[key].dataType.simpleString()
+    extra = [F.col(match).cast("string").alias("_match")] if match else []
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    held_v = none("array<double>", "_v") if codes else F.col("embedding").cast("array<double>").alias("_v")
+    asks = queries.select("cell", F.lit(0).alias("_side"), "query_id", none(cast, "_key"), F.col("embedding").cast("array<double>").alias("_v"), none("binary", "_code"), *extra)
+    held = vectors.select("cell", F.lit(1).alias("_side"), none("long", "query_id"), F.col(key).alias("_key"), held_v, F.col(codes).alias("_code") if codes else none("binary", "_code"), *extra)
+    met = asks.unionByName(held).repartition("cell").sortWithinPartitions("cell", "_side")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, asked, best = None, [], None
+        for batch in batches:
+            for (cell, side), pdf in batch.groupby(["cell", "_side"], sort=True):
+                if cell != at:
+                    if best is not None:
+                        yield best.rows(key)
+                    at, asked, best = cell, [], None
+                if side == 0:
+                    asked.append(pdf)
+                elif asked:
+                    if best is None:
+                        q = pd.concat(asked)
+                        best = _Best(_stacked(q["_v"]), q["query_id"].to_numpy("int64"), k, q["_match"].to_numpy(dtype=object) if match else None)
+                        asked = [q]
+                    best.see(decode(cell, pdf["_code"]) if decode else _stacked(pdf["_v"]), pdf["_key"].to_numpy(dtype=object), pdf["_match"].to_numpy(dtype=object) if match else None)
+        if best is not None:
+            yield best.rows(key)
+
+    return met.mapInPandas(search, f"query_id long, {key} {cast}, score double")
+
+
+def _grid(queries: DataFrame, vectors: DataFrame, n: int, k: int, key: str, match: str | None, block: int) -> DataFrame:
+    """Best ``k`` vectors per query and block of vectors, for any number of queries in one read of the vectors.
+
+    Queries are cut into blocks by hash, vectors into blocks of about ``CELL_VECTORS``; each pair of blocks is a cell. A vector goes to as
+    many cells as there are blocks of queries, a query to as many as there are blocks of vectors. With a filter the value's bucket
+    is part of the cell: a vector then meets only the queries of its bucket and those that search all.
+    """
+    home = F.pmod(F.xxhash64(F.col(match).cast("string")), F.lit(MATCH_BUCKETS)).cast("int") if match else F.lit(-1)
+    queries = queries.withColumn("bucket", F.when(F.col(match).isNotNull(), home).otherwise(-1) if match else home)
+    # At most one row per bucket of values comes to the driver.
+    sizes = {r["bucket"]: -(-r["n"] * 2 // block) for r in queries.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+    slices = max(1, -(-n // CELL_VECTORS))
+    blocks = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
+    asked = queries.withColumn("part", F.pmod(F.xxhash64("query_id", F.lit(11)), blocks[F.col("bucket")])).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    to = F.array_distinct(F.array(F.lit(-1), F.coalesce(home, F.lit(-1)))) if match else F.array(F.lit(-1))
+    held = (
+        vectors.withColumn("slice", F.pmod(F.xxhash64(key, F.lit(13)), F.lit(slices)))
+        .withColumn("bucket", F.explode(to)).withColumn("_parts", blocks[F.col("bucket")]).filter("_parts > 0")
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    )
+    cell = F.concat_ws("/", "bucket", "part", "slice").alias("cell")
+    more = [match] if match else []
+    columns = list(dict.fromkeys([key, "embedding", *more]))
+    return in_cells(asked.select(cell, "query_id", "embedding", *more), held.select(cell, *columns), k, key, match)
+
+
 def vector_search(
     queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "vec_id", match: str | None = None, block: int | None = None
 ) -> DataFrame:
@@ -175,64 +263,19 @@ def vector_search(
 
     ``match`` names a payload column that must equal the query's value; a query with null there searches all.
     Vectors and queries that are null or hold null or non-finite numbers take no part. Of query rows with one id the
-    one with the smallest vector asks.
+    one with the smallest vector asks. The vectors are read once: by tasks that all have the queries if there are at most
+    ``block``, else by the cells of a grid.
     """
-    queries, vectors = one_per_query(queries), usable(vectors)
-    found = [_scan(vectors, rows, k, key, match, None) for rows in _query_blocks(queries, block or QUERY_BLOCK) if rows]
-    if not found:
+    queries, every, vectors, block = one_per_query(queries), vectors, usable(vectors), block or QUERY_BLOCK
+    rows = bounded_rows(queries, block)
+    if rows is None:
+        # Counting needs no column of the vectors.
+        found = _grid(stage(queries, "queries"), vectors, every.count(), k, key, match, block)
+    elif rows:
+        found = _scan(vectors, rows, k, key, match)
+    else:
         return vectors.sparkSession.createDataFrame([], f"query_id long, {key} {vectors.schema[key].dataType.simpleString()}, score double, rank int")
-    return top_per_key(reduce(DataFrame.unionByName, found), ["query_id"], ["score DESC", key], k)
-
-
-def inverted_lists(vectors: DataFrame, n_lists: int | None = None, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
-    """An approximate index: every vector with the list of its nearest centre, and the centres.
-
-    There are as many lists as the square root of the number of vectors unless ``n_lists`` says otherwise.
-    Write the result partitioned by ``list_id`` and a search reads only the lists it probes.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    vectors = usable(vectors)
-    n_lists = n_lists or max(1, round(vectors.count() ** 0.5))
-    unit = Normalizer(inputCol="_v", outputCol="_u").transform(vectors.withColumn("_v", array_to_vector("embedding")))
-    model = KMeans(k=n_lists, seed=seed, maxIter=10, featuresCol="_u", predictionCol="list_id").fit(unit)
-    return model.transform(unit).drop("_v", "_u"), np.array(model.clusterCenters())
-
-
-def ann_search(
-    queries: DataFrame, indexed: DataFrame, centres: np.ndarray, k: int, probe: int, key: str = "vec_id"
-) -> DataFrame:
-    """Top-k among the ``probe`` lists nearest to each query; :func:`probes_for` says how many a recall needs."""
-    found = []
-    for rows in _query_blocks(one_per_query(queries), QUERY_BLOCK):
-        if not rows:
-            continue
-        q = _unit(np.array([r["embedding"] for r in rows], dtype="float64"))
-        near = np.argsort(-(q @ _unit(centres).T), axis=1)[:, :probe]
-        lists = {int(r["query_id"]): near[i] for i, r in enumerate(rows)}
-        wanted = sorted({int(x) for x in near.ravel()})
-        found.append(_scan(usable(indexed).filter(F.col("list_id").isin(wanted)), rows, k, key, None, lists))
-    if not found:
-        return indexed.sparkSession.createDataFrame([], f"query_id long, {key} {indexed.schema[key].dataType.simpleString()}, score double, rank int")
-    return top_per_key(reduce(DataFrame.unionByName, found), ["query_id"], ["score DESC", key], k)
-
-
-def recall(queries: DataFrame, indexed: DataFrame, centres: np.ndarray, k: int, probe: int, exact: DataFrame, key: str = "vec_id") -> float:
-    """The share of the rows of ``exact``, an exact search for the same queries, that ``probe`` lists find."""
-    near = ann_search(queries, indexed, centres, k, probe, key).selectExpr("query_id", key, "true AS hit")
-    hits, wanted = exact.join(near, ["query_id", key], "left").agg(F.count("hit"), F.count("*")).first()
-    return hits / wanted if wanted else 1.0
-
-
-def probes_for(queries: DataFrame, indexed: DataFrame, centres: np.ndarray, k: int, least: float = 0.95, key: str = "vec_id") -> int:
-    """How many lists to probe for a recall of ``least`` on sample ``queries``: doubled until it is reached."""
-    exact = stage(vector_search(queries, indexed, k, key).select("query_id", key), "exact")
-    probe = 1
-    while probe < len(centres) and recall(queries, indexed, centres, k, probe, exact, key) < least:
-        probe = min(2 * probe, len(centres))
-    return probe
+    return top_per_key(found, ["query_id"], ["score DESC", key], k)
 
 
 def search_clauses(questions: DataFrame, embedded: DataFrame, k: int = 5, by_clause: bool = False) -> DataFrame:

@@ -43,16 +43,23 @@ def stage(df: DataFrame, name: str = "stage", partition_by: list[str] | None = N
     return out
 
 
+def delete_folder(folder: str) -> bool:
+    """Delete a folder that nothing reads any more; one that cannot be reached from here, or is gone, stays as it is."""
+    from pyarrow import fs
+
+    try:
+        store, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        store.delete_dir(path)
+    except (OSError, ValueError) as why:
+        logging.getLogger(__name__).warning("%s stays: %s", folder, why)
+        return False
+    return True
+
+
 def discard(*staged: DataFrame) -> None:
     """Delete what ``stage`` wrote, once everything made from it has been written itself.
 
     A folder that cannot be reached from here stays; it does no harm but for its size.
     """
-    from pyarrow import fs
-
     for df in staged:
-        try:
-            store, path = fs.FileSystem.from_uri(df.staged_at)
-            store.delete_dir(path)
-        except (OSError, ValueError) as why:
-            logging.getLogger(__name__).warning("%s stays: %s", df.staged_at, why)
+        delete_folder(df.staged_at)

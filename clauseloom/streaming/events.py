@@ -15,7 +15,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from clauseloom.functions import ids
 from clauseloom.operators import registry as rg
 from clauseloom.operators.ops import KEY_BUCKET, TOKEN, classify_log_lines, parse_http_errors, spend
-from clauseloom.streaming.run import for_each_batch
+from clauseloom.plans.commits import BASE, Log, now
+from clauseloom.plans.stage import stage
+from clauseloom.streaming.run import for_each_commit
 
 LATE = "1 hour"
 _FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -32,30 +34,89 @@ def upload_stream(spark: SparkSession, folder: str, files_per_trigger: int | Non
     )
 
 
+#: Hexadecimal digits of a hash that name its bucket in a compacted registry, and bits of the filter per hash.
+REGISTRY_DIGITS, FILTER_BITS = 3, 16
+
+#: Commits that a lookup reads besides the last compaction, at most.
+REGISTRY_COMMITS = 32
+
+_REGISTRY = "id string, hash string, filename string, file_size long, s3_raw_path string, ts timestamp, bucket int"
+_FILTER = "bucket int, slot long, slots long, bits binary"
+_HASH_BUCKET = f"CAST(conv(substring({{0}}, 1, {REGISTRY_DIGITS}), 16, 10) AS INT)"
+#: Where a hash stands in the filter of its bucket, which is cut into bitmaps of 32,768 bits.
+_HASH_BIT = f"CAST(pmod(CAST(conv(substring({{0}}, {REGISTRY_DIGITS + 1}, 12), 16, 10) AS BIGINT), slots * 32768) + 1 AS BIGINT)"
+
+
+def compact_registry(spark: SparkSession, registry_path: str) -> int:
+    """Lay all registered files out by the first digits of their hash, with a filter per bucket that tells which hashes are not in it."""
+    log = Log(spark, registry_path)
+    started, upto, folder = now(), log.last, log.fresh()
+    rows, _ = log.read("files", _REGISTRY)
+    laid = rows.repartitionByRange("bucket", "hash")
+    laid.write.mode("error").partitionBy("bucket").parquet(f"{folder}/files")
+    written = spark.read.schema(_REGISTRY).parquet(f"{folder}/files")
+    slots = max(1, -(-written.count() * FILTER_BITS // (16 ** REGISTRY_DIGITS * 32768)))
+    bits = written.selectExpr("bucket", "hash", f"{slots}L AS slots").selectExpr("bucket", "slots", f"{_HASH_BIT.format('hash')} AS bit")
+    filters = bits.groupBy("bucket", F.expr("bitmap_bucket_number(bit)").alias("slot"), "slots").agg(
+        F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
+    filters.select("bucket", "slot", "slots", "bits").write.mode("error").parquet(f"{folder}/filters")
+    log.commit(folder, ["files", "filters"], started, kind=BASE, number=upto)
+    return upto
+
+
+def known_hashes(log: Log, hashes: DataFrame) -> DataFrame:
+    """Those of ``hashes(content_hash)`` that are in the registry.
+
+    Of the last compaction only the filters and the buckets that hold a likely hit are read; later commits are few and read whole.
+    """
+    spark = log.spark
+    base, later, _ = log.parts("files")
+    frames = [spark.read.schema(_REGISTRY).parquet(*later).selectExpr("hash AS content_hash")] if later else []
+    if base:
+        filters = spark.read.schema(_FILTER).parquet(log.parts("filters")[0])
+        asked = hashes.select("content_hash").withColumn("slots", F.lit((filters.select("slots").first() or [1])[0]))
+        asked = asked.selectExpr("content_hash", f"{_HASH_BUCKET.format('content_hash')} AS bucket", f"{_HASH_BIT.format('content_hash')} AS bit").selectExpr(
+            "content_hash", "bucket", "bitmap_bucket_number(bit) AS slot", "bitmap_bit_position(bit) AS at")
+        byte = "CAST(conv(hex(substring(bits, CAST(at DIV 8 AS INT) + 1, 1)), 16, 10) AS INT)"
+        likely = stage(asked.join(filters, ["bucket", "slot"]).filter(f"shiftright({byte}, CAST(at % 8 AS INT)) % 2 = 1").select("content_hash", "bucket"), "likely")
+        # At most one row per bucket comes to the driver.
+        touched = [r.bucket for r in likely.select("bucket").distinct().collect()]
+        stored = spark.read.schema(_REGISTRY).parquet(base).filter(F.col("bucket").isin(touched)).selectExpr("hash AS content_hash")
+        frames.append(likely.select("content_hash").join(stored, "content_hash", "left_semi"))
+    out = spark.createDataFrame([], "content_hash string")
+    for frame in frames:
+        out = out.unionByName(frame)
+    return out
+
+
 def ingest_uploads(uploads: DataFrame, registry_path: str, checkpoint: str) -> DataFrame:
     """Register each upload whose hash is not known yet and return DOCUMENT_UPLOADED events.
 
-    Known hashes are looked up in the registry table, so no state grows with the number of documents. A
-    batch has its own folder and reads only the folders of earlier batches: repeating it changes nothing.
+    The registry is a log of commits, one per batch of a stream: a batch that is repeated is in it already, and another stream, or
+    one that starts over with a new checkpoint, adds to it. Known hashes are looked up in it (:func:`known_hashes`), so no state grows with the
+    number of documents; it is compacted every ``REGISTRY_COMMITS`` batches.
     """
     spark = uploads.sparkSession
-    empty = spark.createDataFrame([], "id string, hash string, filename string, file_size long, s3_raw_path string, ts timestamp")
-
-    def register(batch: DataFrame, batch_id: int) -> None:
-        known = empty.selectExpr("hash AS content_hash")
-        if batch_id > 0:
-            every = spark.read.schema(empty.schema.add("batch_id", "long")).parquet(registry_path)
-            known = every.filter(f"batch_id < {batch_id}").selectExpr("hash AS content_hash")
-        first = batch.groupBy("content_hash").agg(F.expr("min(struct(path, filename, file_size, ts))").alias("x"))
-        new = first.join(known, "content_hash", "left_anti").selectExpr("content_hash", "x.*")
+
+    def register(batch: DataFrame, batch_id: int, stream_id: str) -> None:
+        log = Log(spark, registry_path)
+        if log.holds(stream_id, batch_id):
+            return
+        started, folder = now(), log.fresh()
+        first = stage(batch.groupBy("content_hash").agg(F.expr("min(struct(path, filename, file_size, ts))").alias("x")), "uploads")
+        new = first.join(known_hashes(log, first), "content_hash", "left_anti").selectExpr("content_hash", "x.*")
         rows = rg.object_key(new, "content_hash", "filename", "ts").selectExpr(
             "concat('doc-', substring(content_hash, 1, 16)) AS id", "content_hash AS hash", "filename", "file_size",
-            "object_key AS s3_raw_path", "ts",
+            "object_key AS s3_raw_path", "ts", f"{_HASH_BUCKET.format('content_hash')} AS bucket",
         )
-        rows.write.mode("overwrite").parquet(f"{registry_path}/batch_id={batch_id}")
-
-    for_each_batch(uploads, register, checkpoint)
-    return spark.read.schema(empty.schema.add("batch_id", "long")).parquet(registry_path).selectExpr(
+        rows.write.mode("error").parquet(f"{folder}/files")
+        log.commit(folder, ["files"], started, writer=stream_id, batch=batch_id)
+        if len(log.parts("files")[1]) >= REGISTRY_COMMITS:
+            compact_registry(spark, registry_path)
+
+    for_each_commit(uploads, register, checkpoint)
+    rows, _ = Log(spark, registry_path).read("files", _REGISTRY)
+    return rows.selectExpr(
         "concat(id, ':uploaded') AS event_id", "'DOCUMENT_UPLOADED' AS event_type", "id AS document_id", "ts",
         "'document.uploaded' AS routing_key", "s3_raw_path", "file_size", "hash AS content_hash",
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,27 @@ def for_each_batch(
     query.awaitTermination()
 
 
+def for_each_commit(stream: DataFrame, write: Callable[[DataFrame, int, str], None], checkpoint: str, mode: str = "append") -> None:
+    """Like :func:`for_each_batch` with the stream's id, ``write(batch, batch_id, stream_id)``.
+
+    The id is kept in the checkpoint, so (stream, batch) names a batch once and for all: a stream that starts over with another
+    checkpoint numbers its batches from 0 again but has another id.
+    """
+    known, named = threading.Event(), {}
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        known.wait()
+        write(batch, batch_id, named["id"])
+
+    query = (
+        stream.writeStream.outputMode(mode).foreachBatch(run).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+    named["id"] = str(query.id)
+    known.set()
+    query.awaitTermination()
+
+
 def write_batches(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None, path: str | None = None) -> DataFrame:
     """Write each batch to its own ``batch_id`` folder. A repeated batch replaces its folder."""
     spark = stream.sparkSession

@@ -3,6 +3,9 @@ import numpy as np
 from clauseloom.catalog import retrieval as catalog
 from clauseloom.operators import grounding as gd
 from clauseloom.operators import retrieval as rt
+from clauseloom.operators import vector_index as vi
+from clauseloom.operators.vector_index import VectorIndex
+from clauseloom.plans.stage import fresh_path
 
 
 def make(spark, n=400, dim=8, seed=3):
@@ -59,12 +62,46 @@ def test_ann_recall(spark):
     v = np.vstack([c + rng.normal(size=(60, 16)) for c in centres])
     vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
     queries = spark.createDataFrame([(i, (c + 0.1).tolist()) for i, c in enumerate(centres)], "query_id long, embedding array<float>")
-    indexed, centers = rt.inverted_lists(vectors, 8)
+    index = VectorIndex.create(vectors, fresh_path(spark, "index"))
     exact = {(r.query_id, r.vec_id) for r in rt.vector_search(queries, vectors, 5).collect()}
-    near = {(r.query_id, r.vec_id) for r in rt.ann_search(queries, indexed, centers, 5, probe=3).collect()}
+    near = {(r.query_id, r.vec_id) for r in index.search(queries, 5, probe=3).collect()}
     assert len(exact & near) / len(exact) >= 0.9
 
 
+def test_an_index_takes_vectors_and_cuts_large_lists(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(900, 10))
+    v[300:600] = v[0]  # a third of all rows in one list
+    rows = [(f"v{i:03}", x.tolist()) for i, x in enumerate(v)] + [("none", None), ("nan", [float("nan")] * 10), ("zero", [0.0] * 10)]
+    vectors = spark.createDataFrame(rows, "name string, embedding array<double>")
+    queries = spark.createDataFrame([(i, (v[i * 7] + 0.01).tolist()) for i in range(40)], "query_id long, embedding array<double>")
+    monkeypatch.setattr(vi, "CELL_ROWS", 50)
+    monkeypatch.setattr(vi, "CELL_QUERIES", 8)
+    index = VectorIndex.create(vectors.filter("name < 'v500'"), str(tmp_path / "index"), "name")
+    index.append(vectors.filter("name >= 'v500'"), writer="w", batch=1)
+    index.append(vectors.filter("name >= 'v500'"), writer="w", batch=1)
+    assert index.rows().count() == 901
+    lists = len(index.model.centres)
+    want = {(r.query_id, r.name, r.rank) for r in rt.vector_search(queries, vectors, 6, "name").collect()}
+    assert {(r.query_id, r.name, r.rank) for r in index.search(queries, 6, lists, exact_lists=True).collect()} == want
+    again = VectorIndex(spark, str(tmp_path / "index"))
+    exact = rt.vector_search(queries, vectors, 6, "name").select("query_id", "name")
+    assert again.recall(queries.filter("query_id > 0"), 6, lists, exact.filter("query_id > 0")) >= 0.9
+    assert index.search(queries.limit(0), 6, 3).count() == 0
+
+
+def test_many_queries_read_the_vectors_once(spark):
+    v, vectors = make(spark)
+    queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(np.random.default_rng(4).normal(size=(300, 8)))], "query_id long, embedding array<double>")
+    path = fresh_path(spark, "vectors")
+    vectors.write.parquet(path)
+    found = rt.vector_search(queries, spark.read.parquet(path), 3, block=16)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(path.rsplit("/", 1)[1]) <= 1 and plan.count("embedding#") > 0
+    want = {(r.query_id, r.vec_id) for r in rt.vector_search(queries, vectors, 3).collect()}
+    assert {(r.query_id, r.vec_id) for r in found.collect()} == want
+
+
 def test_registered_ann_search_finds_nine_of_ten(spark):
     sf = "/root/testdata/sf0.01"
     exact = {(r.query_id, r.vec_id) for r in rt.vector_search(catalog.centroids(spark, sf), catalog._vectors(spark, sf), 10).collect()}
