@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.plans.stage import stage
+from clauseloom.plans.stage import discard, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -32,6 +32,10 @@ def components(edges: DataFrame) -> DataFrame:
             ),
             "labels",
         )
-        labels = moved.drop("was")
-        if not moved.filter("label <> was").limit(1).count():
+        before, labels = labels, moved.drop("was")
+        done = moved.filter("label <> was").isEmpty()
+        discard(before)
+        labels.staged_at = moved.staged_at
+        if done:
+            discard(both)
             return labels

@@ -9,10 +9,13 @@ than the last first arrival of all components, so most shingles arrive once or t
 Texts with the same weighted shingles have the same signature and are one node from here on. Signatures are cut into
 bands; nodes with an equal band meet in a bucket. There every node is first compared with one centre, the member whose
 buckets are largest, which in a group of copies is the text they come from. Pairs are weeded by their signatures and
-then verified exactly. A centre that has met all others leaves the bucket; the others stay, linked or not, and meet the
-next centres, several times as many in every round, until those that are left are all in one group. Only members of
-different groups are compared, so a group of copies makes few pairs, and yet every two nodes with an equal band have
-either been compared or are in one group.
+then verified exactly, and links make groups.
+
+Buckets that then hold several groups are searched once more. They are cut into blocks of ``BLOCK`` members, two blocks meet in a cell, and a
+task compares the signatures of a cell's members of different groups as matrices. A pair that agrees well enough is verified there and then from
+the stored shingles, unless links found before it in the cell have joined the two; a pair that shares several bands is looked at in the first.
+Only links leave the task, fewer than the cell has members, so very many texts that are nearly but not quite similar
+make no pair rows. Every two nodes with an equal band have in the end either been compared or are in one group.
 
 Edge cases: words are separated by white space as Python's ``str.split`` knows it; null texts and texts without words have no shingles and are classes of
 their own; a text with fewer than five words is one shingle. Rows with equal keys are told apart by their texts, and a
@@ -44,8 +47,8 @@ COMPONENTS = BANDS * ROWS
 #: Signatures that agree less are not verified: five and a half standard deviations below the threshold.
 WEED = 0.6
 
-#: Centres of a bucket in the second round, and how many times more there are in every further one.
-CENTRES, MORE = 8, 4
+#: Members of a bucket that are compared with each other, or with as many others, at once.
+BLOCK = 512
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -135,114 +138,173 @@ def _sign(docs: DataFrame) -> DataFrame:
                 "sketch": pa.array([x.tobytes() for x in signature.astype(np.uint8)], pa.binary()),
             }, some)
 
-    signed = docs.mapInArrow(run, f"k {kind}, v int, a long, b long, bands array<long>, sketch binary")
+    v = docs.schema["v"].dataType.simpleString()
+    signed = docs.mapInArrow(run, f"k {kind}, v {v}, a long, b long, bands array<long>, sketch binary")
     return signed.select("k", "v", F.when(F.col("a").isNotNull(), F.struct("a", "b")).alias("g"), "bands", "sketch")
 
 
-def _centres(members: DataFrame) -> DataFrame:
-    """``members`` (bucket, g) of buckets with more than one, each with the bucket's ``centre``."""
+def _starred(members: DataFrame) -> DataFrame:
+    """``members`` (bucket, band, id) of buckets with more than one, with the bucket's size ``n`` and its ``centre``."""
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stage(members.join(sizes, "bucket"), "buckets")
-    known = members.groupBy("g").agg(F.sum("n").alias("weight"))
-    centres = members.join(known, "g").groupBy("bucket").agg(F.max(F.struct("weight", "g"))["g"].alias("centre"))
-    return members.drop("n").join(centres, "bucket")
-
-
-def _unsettled(members: DataFrame, labels: DataFrame | None, centres: int) -> DataFrame:
-    """``members`` (bucket, g) of buckets that hold several groups, with their group and whether they are a centre now.
-
-    About ``centres`` members of a bucket are, and all of a bucket with no more members.
-    """
-    group = F.col("g")
-    if labels is not None:
-        members, group = members.join(labels.withColumnRenamed("node", "g"), "g", "left"), F.coalesce("label", "g")
-    members = members.select("bucket", "g", group.alias("label"))
-    mixed_up = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    now = F.expr(f"pmod(xxhash64(g, bucket), n) < {centres}").alias("now")
-    return stage(members.join(mixed_up, "bucket").select("bucket", "g", "label", now), "rest")
-
-
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs (g, centre) of a bucket's centres with its members of other groups, each pair once."""
-    centres = members.filter("now").selectExpr("bucket", "g AS centre", "label AS theirs")
-    met = members.join(centres, "bucket").filter("label <> theirs AND (NOT now OR g < centre)")
-    return met.select(F.least("g", "centre").alias("g"), F.greatest("g", "centre").alias("centre")).distinct()
+    shared = stage(members.join(sizes, "bucket"), "buckets")
+    known = shared.groupBy("id").agg(F.sum("n").alias("weight"))
+    centres = shared.join(known, "id").groupBy("bucket").agg(F.max(F.struct("weight", "id"))["id"].alias("centre"))
+    out = stage(shared.join(centres, "bucket"), "stars")
+    discard(shared)
+    return out
 
 
 def _alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs whose signatures agree well enough."""
+    """The pairs (a, b) whose signatures agree well enough."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 one, two = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, COMPONENTS) for c in ("s1", "s2"))
-                yield batch.loc[(one == two).mean(axis=1) >= WEED, ["a1", "b1", "a2", "b2"]]
+                yield batch.loc[(one == two).mean(axis=1) >= WEED, ["a", "b"]]
 
-    sketches = signed.select("g", "sketch")
-    both = pairs.join(sketches.withColumnRenamed("sketch", "s1"), "g").join(
-        sketches.select(F.col("g").alias("centre"), F.col("sketch").alias("s2")), "centre"
-    )
-    flat = both.selectExpr("g.a AS a1", "g.b AS b1", "centre.a AS a2", "centre.b AS b2", "s1", "s2")
-    return flat.mapInPandas(run, "a1 long, b1 long, a2 long, b2 long").selectExpr(
-        "named_struct('a', a1, 'b', b1) AS g", "named_struct('a', a2, 'b', b2) AS centre"
-    )
+    both = pairs.join(signed.selectExpr("id AS a", "sketch AS s1"), "a").join(signed.selectExpr("id AS b", "sketch AS s2"), "b")
+    return both.mapInPandas(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (g, centre) whose texts are similar. ``nodes`` says which row (k, v) stands for a node."""
+def _shingled(needed: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, hashes and counts of the shingles of the nodes in ``needed`` (id), from one row of each."""
+    rows = needed.distinct().join(signed.selectExpr("id", "k AS _k", "v AS _v"), "id")
+    on = docs["k"].eqNullSafe(rows["_k"]) & (docs["v"] == rows["_v"])
+    # Rows of equal key and text may come twice.
+    texts = docs.join(rows, on).groupBy("id").agg(F.first("t").alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = Rolling()
+        for batch in batches:
+            sets = [shingles(rolling, t) for t in batch.column("t").to_pylist()]
+            yield beside(batch, ["id"], {
+                "hashes": pa.array([h.tobytes() for h, _ in sets], pa.binary()), "weights": pa.array([w.astype(np.float64).tobytes() for _, w in sets], pa.binary()),
+            })
+
+    return stage(texts.mapInArrow(run, "id long, hashes binary, weights binary"), "neardup-shingles")
+
+
+def _set(hashes: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(hashes, np.uint64), np.frombuffer(weights, np.float64)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose weighted shingles are similar."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rolling, centre, made = Rolling(), None, None
         for batch in batches:
-            good = []
-            for t, c in zip(batch["t"], batch["ct"]):
-                if c != centre:
-                    centre, made = c, shingles(rolling, c)
-                good.append(similarity(shingles(rolling, t), made) >= THRESHOLD - 1e-9)
-            yield batch.loc[np.array(good, bool), ["a1", "b1", "a2", "b2"]]
-
-    needed = pairs.select("g").unionByName(pairs.select(F.col("centre").alias("g"))).distinct()
-    needed = needed.join(nodes, "g").withColumnsRenamed({"k": "_k", "v": "_v"})
-    on = docs["k"].eqNullSafe(needed["_k"]) & (docs["v"] == needed["_v"])
-    texts = stage(docs.join(needed, on).groupBy("g").agg(F.min("t").alias("t")), "neardup-texts")
-    both = pairs.join(texts, "g").join(texts.select(F.col("g").alias("centre"), F.col("t").alias("ct")), "centre")
-    flat = both.selectExpr("g.a AS a1", "g.b AS b1", "centre.a AS a2", "centre.b AS b2", "t", "ct")
-    return flat.mapInPandas(run, "a1 long, b1 long, a2 long, b2 long").selectExpr(
-        "named_struct('a', a1, 'b', b1) AS g", "named_struct('a', a2, 'b', b2) AS centre"
-    )
+            good = [similarity(_set(x, y), _set(z, w)) >= THRESHOLD - 1e-9 for x, y, z, w in zip(batch["h1"], batch["w1"], batch["h2"], batch["w2"])]
+            yield batch.loc[np.array(good, bool), ["a", "b"]]
+
+    both = pairs.join(sets.selectExpr("id AS a", "hashes AS h1", "weights AS w1"), "a").join(sets.selectExpr("id AS b", "hashes AS h2", "weights AS w2"), "b")
+    return both.mapInPandas(run, "a long, b long")
+
+
+class _Groups:
+    """Groups of labels that links have joined."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def of(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+
+def _cell(cell: pd.DataFrame) -> list[tuple[int, int]]:
+    """Links (a, b) between different groups of a cell's members that no links found before have joined."""
+    m, crossing = len(cell), bool((cell["lo"] != cell["hi"]).iloc[0])
+    ids, labels, side = cell["id"].to_numpy(), cell["label"].tolist(), (cell["block"] == cell["hi"]).to_numpy() if crossing else np.zeros(m, bool)
+    band = int(cell["band"].iloc[0])
+    sketch = np.frombuffer(b"".join(cell["sketch"]), np.uint8).reshape(m, -1)
+    earlier = np.stack(cell["bands"].to_numpy())[:, :band]
+    sets = [_set(h, w) for h, w in zip(cell["hashes"], cell["weights"])]
+    groups, links = _Groups(), []
+    own = np.array(labels)
+    for i in range(m - 1):
+        ahead = np.arange(i + 1, m)
+        ahead = ahead[(own[ahead] != own[i]) & (side[ahead] != side[i] if crossing else True)]
+        share = (sketch[ahead] == sketch[i]).mean(axis=1)
+        ahead, share = ahead[share >= WEED], share[share >= WEED]
+        if band and len(ahead):
+            first = ~(earlier[ahead] == earlier[i]).any(axis=1)
+            ahead, share = ahead[first], share[first]
+        for j in ahead[np.argsort(-share, kind="stable")].tolist():
+            x, y = groups.of(labels[i]), groups.of(labels[j])
+            if x != y and similarity(sets[i], sets[j]) >= THRESHOLD - 1e-9:
+                groups.up[x] = y
+                links.append((int(ids[i]), int(ids[j])))
+    return links
+
+
+def _across(members: DataFrame, labels: DataFrame | None, signed: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Links (a, b) between members (bucket, band, id, n) of different groups; none if no bucket holds several groups."""
+    group = F.col("id")
+    if labels is not None:
+        members, group = members.join(labels.withColumnRenamed("node", "id"), "id", "left"), F.coalesce("label", "id")
+    members = members.select("bucket", "band", "id", "n", group.alias("label"))
+    several = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
+    rest = stage(members.join(several, "bucket"), "rest")
+    if rest.isEmpty():
+        return None
+    shingled = _shingled(rest.select("id"), signed, docs)
+    sets = shingled.join(signed.select("id", "bands", "sketch"), "id")
+    blocks = f"CAST((n + {BLOCK - 1}) DIV {BLOCK} AS INT)"
+    placed = rest.selectExpr("*", f"CAST(pmod(xxhash64(id, band), {blocks}) AS INT) AS block").selectExpr("*", f"explode(sequence(0, {blocks} - 1)) AS other")
+    cells = placed.selectExpr("bucket", "band", "least(block, other) AS lo", "greatest(block, other) AS hi", "block", "id", "label").join(sets, "id")
+    met = cells.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, []
+        for batch in batches:
+            for where, part in batch.groupby(["bucket", "lo", "hi"], sort=False):
+                if where != at and held:
+                    yield pd.DataFrame(_cell(pd.concat(held)), columns=["a", "b"])
+                    held = []
+                at = where
+                held.append(part)
+        if held:
+            yield pd.DataFrame(_cell(pd.concat(held)), columns=["a", "b"])
+
+    found = stage(met.mapInPandas(run, "a long, b long").distinct(), "across")
+    discard(rest, shingled)
+    return found
 
 
 def _links(signed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """``node`` and ``label`` of all nodes that are similar to another one; none if there are no such nodes."""
-    starred = stage(_centres(signed.select(F.explode("bands").alias("bucket"), "g")).filter("g <> centre"), "stars")
-    pairs, rest, centres = starred.select("g", "centre").distinct(), starred.select("bucket", "g"), CENTRES
-    links = labels = tried = None
-    while True:
-        alike = _alike(pairs, signed)
-        if tried is not None:
-            alike = alike.join(tried, ["g", "centre"], "left_anti")
-        alike = stage(alike, "alike")
-        found = stage(_verified(alike, nodes, docs), "similar")
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = components(links.selectExpr("g AS a", "centre AS b"))
-        # Two nodes may meet in several buckets; in later rounds the smaller one comes first.
-        done = alike.select(F.least("g", "centre").alias("g"), F.greatest("g", "centre").alias("centre"))
-        tried = done if tried is None else tried.unionByName(done)
-        members = _unsettled(rest, labels, centres)
-        if members.isEmpty():
-            return labels
-        pairs, rest, centres = _across(members), members.filter("NOT now").select("bucket", "g"), centres * MORE
+    """``node`` and ``label`` of all nodes that are similar to another one; none if there are no such nodes.
+
+    ``signed`` has a row (g, k, v, bands, sketch) per node. From here on a node is a number of eight bytes.
+    """
+    signed = signed if "id" in signed.columns else stage(signed.withColumn("id", F.monotonically_increasing_id()), "numbered")
+    starred = _starred(signed.select("id", F.posexplode("bands").alias("band", "bucket")))
+    alike = stage(_alike(starred.filter("id <> centre").selectExpr("id AS a", "centre AS b").distinct(), signed), "alike")
+    sets = _shingled(alike.selectExpr("explode(array(a, b)) AS id"), signed, docs)
+    links = stage(_verified(alike, sets), "similar")
+    discard(alike, sets)
+    labels = None if links.isEmpty() else components(links)
+    more = _across(starred.select("bucket", "band", "id", "n"), labels, signed, docs)
+    if more is not None and not more.isEmpty():
+        labels = components(links.unionByName(more))
+    discard(starred)
+    if labels is None:
+        return None
+    own = signed.select("id", F.col("g").alias("node")).join(labels.withColumnRenamed("node", "id"), "id").select("node", F.col("label").alias("id"))
+    return own.join(signed.select("id", F.col("g").alias("label")), "id").select("node", "label")
 
 
 def classes(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row per row of ``df``: ``k``, ``v`` (tells rows of equal key apart), class_id, representative, class_size."""
     small_batches(df.sparkSession)
-    docs = df.select(F.col(key).alias("k"), F.hash(F.col(text)).alias("v"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    docs = df.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("v"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = stage(_sign(docs), "signatures")
     # A node's signature is the same in every one of its rows.
     with_words = rows.filter("g IS NOT NULL")
-    signed = stage(with_words.groupBy("g").agg(F.min(F.struct("k", "v", "bands", "sketch")).alias("r")).select("g", "r.*"), "nodes")
+    first = with_words.groupBy("g").agg(F.min(F.struct("k", "v", "bands", "sketch")).alias("r")).select("g", "r.*")
+    signed = stage(first.withColumn("id", F.monotonically_increasing_id()), "nodes")
     nodes = signed.select("g", "k", "v")
     labels = _links(signed, nodes, docs)
     of_row = with_words.select("k", "v", "g")
@@ -264,12 +326,12 @@ def classes(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def keep_one(df: DataFrame, key: str, text: str) -> DataFrame:
     """``df`` with one row of each class: that with the smallest key. Rows without words stay."""
-    kept = classes(df, key, text).filter("representative").groupBy("k", "v").agg(F.max("class_size").alias("n"))
-    kept = kept.withColumnsRenamed({"k": "_k", "v": "_v"})
-    docs = df.withColumn("_hash", F.hash(F.col(text)))
-    on = docs[key].eqNullSafe(kept["_k"]) & (docs["_hash"] == kept["_v"])
+    kept = classes(df, key, text).filter("representative").groupBy("k", "v").agg(F.max("class_size").alias("_kept_n"))
+    kept = kept.withColumnsRenamed({"k": "_kept_k", "v": "_kept_v"})
+    docs = df.withColumn("_kept_hash", F.xxhash64(F.col(text)))
+    on = docs[key].eqNullSafe(kept["_kept_k"]) & (docs["_kept_hash"] == kept["_kept_v"])
     out = docs.join(kept, on)
     # Only a class of more than one row can hold the same row twice.
-    alone = out.filter("n = 1")
-    several = out.filter("n > 1").dropDuplicates([key, "_hash"])
+    alone = out.filter("_kept_n = 1")
+    several = out.filter("_kept_n > 1").dropDuplicates([key, "_kept_hash"])
     return alone.unionByName(several).select(*df.columns)

@@ -13,6 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from clauseloom.llm import bpe, catalog, neardup, quality, substring
+from clauseloom.plans.stage import stage
 
 SF = "/root/testdata/sf0.001"
 EDGE = [
@@ -180,7 +181,8 @@ def test_all_of_one_bucket_meet(spark):
     long = [f"c{i}" for i in range(400)]
     texts += [" ".join(long[i * 8 : i * 8 + 100]) for i in range(12)] + ["nothing like the others"]
     docs = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "k long, v int, t string")
-    signed = neardup._sign(docs).withColumn("bands", F.expr("array(1L)")).localCheckpoint()
+    signed = neardup._sign(docs).withColumn("bands", F.expr("array(1L)"))
+    signed = stage(signed, "signed")
     labels = neardup._links(signed, signed.select("g", "k", "v"), docs)
     rows = signed.join(labels.withColumnRenamed("node", "g"), "g", "left").select("k", F.coalesce("label", "g").alias("x")).collect()
     first = {}
@@ -190,6 +192,36 @@ def test_all_of_one_bucket_meet(spark):
     assert [got[i] for i in range(len(texts))] == groups(texts)
 
 
+@pytest.mark.parametrize("with_original", [True, False])
+def test_blocks_of_a_large_bucket_meet(spark, monkeypatch, with_original):
+    monkeypatch.setattr(neardup, "BLOCK", 5)
+    rnd = random.Random(12)
+    base = [f"w{rnd.randrange(4000)}" for _ in range(240)]
+    # Most variants are similar to few others or to none, all share bands with many.
+    texts = [" ".join(altered(rnd, base, rnd.choice((1, 3, 5, 6, 7)))) for _ in range(90)] + [" ".join(base)] * with_original
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in enumerate(texts)], "doc_id long, text string, n int, label int, bucket int")
+    got = {r.k: r.class_id for r in neardup.classes(df, "doc_id", "text").collect()}
+    assert [got[i] for i in range(len(texts))] == groups(texts)
+    kept = neardup.keep_one(df, "doc_id", "text")
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(groups(texts)))
+
+
+def test_pairs_just_over_the_threshold_are_found(spark):
+    rnd = random.Random(13)
+    texts = []
+    for n in range(300):
+        words = [f"d{n}-{rnd.randrange(4000)}" for _ in range(240)]
+        texts += [" ".join(words), " ".join(altered(rnd, words, rnd.choice((3, 4, 5))))]
+    rolling = neardup.Rolling()
+    sets = [neardup.shingles(rolling, t) for t in texts]
+    near = [n for n in range(300) if 0.8 <= neardup.similarity(sets[2 * n], sets[2 * n + 1]) < 0.85]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.k: r.class_id for r in neardup.classes(df, "doc_id", "text").collect()}
+    found = [n for n in near if got[2 * n] == got[2 * n + 1]]
+    print("recall", len(found), "of", len(near))
+    assert len(near) > 50 and len(found) >= 0.99 * len(near)
+
+
 def test_near_duplicates_of_given_documents(spark):
     rows = documents()
     got = {r.doc_id: r.class_id for r in catalog.op1_neardup(spark, SF).collect()}
