@@ -28,7 +28,7 @@ SELECT document_id, pos,
   CASE k WHEN 0 THEN concat('<h2>', CASE WHEN doc_id % 5 = 0 THEN 'A' ELSE CAST(c AS {S}) END, ' ', l, '</h2>')
     WHEN 1 THEN concat('<p>', l, ' shall be so</p>')
     WHEN 2 THEN concat('Table ', CAST(c AS {S}), '.', CAST(pos AS {S}), ' - ', l)
-    WHEN 3 THEN concat(annex, CAST(c AS {S}), '.1')
+    WHEN 3 THEN concat(annex, CAST(c AS {S}), '.1 ', l)
     WHEN 4 THEN concat('<b>Part</b> ', l)
     WHEN 5 THEN (CASE WHEN doc_id % 6 = 0 THEN '' ELSE concat('<table><tr><td>', l, '</td></tr></table>') END)
     WHEN 6 THEN concat('<li>', l, ' should see clause ', CAST(c AS {S}), '.1 and IEC 61000-4-', CAST(doc_id % 7 AS {S}), '</li>')

@@ -207,7 +207,13 @@ def clause_counts(spark, sf):
     return gr.clause_counts(nodes, edges)
 
 
+def clause_ancestors(spark, sf):
+    _, edges = graph(spark, sf)
+    return gr.clause_ancestors(edges).selectExpr("uid", "root", "depth", "array_join(path, ' > ') AS path")
+
+
 QUERIES = {
+    "clause_ancestors": clause_ancestors,
     "check_structural": _flag(ql.check_structural, "structural_ok"),
     "check_referential": _flag(ql.check_referential, "parent_ok"),
     "check_enums": _flag(ql.check_enums, "enums_ok"),
@@ -303,6 +309,13 @@ _SQL_CLAUSES = f"""SELECT {_CL} AS uid, title, 'clause:' || document_id || ':' |
 SQL_ONE_GRAPH = "WITH " + one_document(SQL_GRAPH).strip() + "\n"
 
 SQL = {
+    "clause_ancestors": "WITH RECURSIVE " + SQL_GRAPH.strip() + """,
+        up AS (SELECT source_uid, target_uid FROM edges WHERE rel_type = 'CONTAINS'),
+        walk AS (SELECT DISTINCT source_uid AS uid, source_uid AS root, 0 AS depth, CAST(NULL AS VARCHAR) AS path FROM up
+            WHERE source_uid NOT IN (SELECT target_uid FROM up)
+          UNION ALL SELECT e.target_uid, w.root, w.depth + 1, coalesce(w.path || ' > ', '') || w.uid FROM walk w
+          JOIN up e ON e.source_uid = w.uid)
+        SELECT * FROM walk WHERE depth > 0""",
     "check_structural": _g("SELECT document_id, chunk_id, form <> 0 AND filled AS structural_ok FROM forms"),
     "check_referential": _g("SELECT document_id, chunk_id, parent_ok FROM forms"),
     "check_enums": _g("SELECT document_id, chunk_id, form = 1 OR NOT odd_type AS enums_ok FROM forms"),

@@ -66,21 +66,36 @@ def failures(spark, sf):
         "concat('d', user_id) AS document_id", "event_id AS seq", "concat('E', props) AS error")
 
 
-def sessions(spark, sf):
-    """Sessions written as JSON lines and read back."""
+def _made_sessions(spark, sf):
     rows = fx.read(spark, sf, "conversations").selectExpr(
         "conv_id", "struct(turn, role, text AS content, CAST(NULL AS STRING) AS timestamp, concat('m', conv_id, '-', turn) AS message_id) AS m")
-    made = rows.groupBy("conv_id").agg(F.expr("array_sort(collect_list(m))").alias("ms")).selectExpr(
+    return rows.groupBy("conv_id").agg(F.expr("array_sort(collect_list(m))").alias("ms")).selectExpr(
         "concat('s', conv_id) AS session_id", "concat('u', conv_id % 7) AS user_id", "concat('Chat ', substring(ms[0].content, 1, 12)) AS title",
         "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, conv_id) AS created_at",
         "timestamp'2024-01-02 00:00:00' + make_dt_interval(0, 0, 0, conv_id * 37 % 101) AS updated_at",
         "conv_id % 3 = 0 AS starred", "map(ms[0].message_id, concat('/files/', conv_id, '.docx')) AS test_plan_files",
         "transform(ms, x -> struct(x.role, x.content, x.timestamp, x.message_id)) AS messages")
+
+
+def sessions(spark, sf):
+    """Sessions written as JSON lines and read back."""
     path = fresh_path(spark, "sessions")
-    made.write.json(path)
+    _made_sessions(spark, sf).write.json(path)
     return fl.read_sessions(spark, path, lines=True)
 
 
+def read_sessions_files(spark, sf):
+    """A file of many lines per session, every eleventh of them broken off."""
+    made, path = _made_sessions(spark, sf), fresh_path(spark, "session-files")
+    whole = made.selectExpr("session_id AS folder", f"to_json(struct({', '.join(made.columns)}), map('pretty', 'true')) AS value")
+    cut = "CASE WHEN CAST(substring(folder, 2) AS BIGINT) % 11 = 3 THEN substring(value, 1, length(value) - 20) ELSE value END AS value"
+    whole.selectExpr("folder", cut).repartition("folder").write.partitionBy("folder").text(path)
+    found = fl.read_sessions(spark, path)
+    return found.selectExpr(*_SESSION_COLS, "size(messages) AS n_messages", "md5(array_join(transform(messages, m -> m.content), '|')) AS contents")
+
+
+
+
 SQL_SESSIONS = """
 firsts AS (SELECT conv_id, arg_min(text, turn) AS t0, min(turn) AS turn0 FROM conversations GROUP BY conv_id),
 sessions AS (SELECT conv_id, 's' || conv_id AS session_id, 'u' || conv_id % 7 AS user_id, 'Chat ' || t0[1:12] AS title,
@@ -90,29 +105,32 @@ _SESSION_COLS = ("session_id", "user_id", "title", "created_at", "updated_at", "
 
 
 def log_lines(spark, sf):
-    """Access lines and messages written as text files and read back."""
-    lines = fx.read(spark, sf, "events").selectExpr(
-        """concat(event_id, ' ', CASE event_type
+    """Access lines and messages written as a log that was rotated twice, and read back."""
+    events = fx.read(spark, sf, "events")
+    last = events.agg(F.max("event_id")).first()[0]
+    lines = events.selectExpr(
+        "event_id", f"concat('app.log', CASE WHEN event_id * 3 < {last} THEN '.2' WHEN event_id * 3 < {2 * last} THEN '.1' ELSE '' END) AS log",
+        """concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ' ', event_id, ' ', CASE event_type
              WHEN 'error' THEN concat('Fatal: ', CASE WHEN user_id % 3 = 0 THEN 'no error' ELSE 'connection refused' END, ' ', props)
              WHEN 'view' THEN concat('"GET /', CASE user_id % 4 WHEN 0 THEN 'test/a' WHEN 1 THEN 'api/auth/signup' ELSE 'api/x' END, ' HTTP/1.1" ', CASE event_id % 4 WHEN 0 THEN 200 WHEN 1 THEN 400 WHEN 2 THEN 404 ELSE 503 END)
              WHEN 'click' THEN concat('Warning: old ', props)
              WHEN 'purchase' THEN concat('Traceback in job ', user_id)
              ELSE concat('ok ', value) END) AS value""")
     path = fresh_path(spark, "logs")
-    lines.write.text(path)
-    return fl.read_logs(spark, path).selectExpr("'app' AS source", "CAST(regexp_extract(line, '^([0-9]+)', 1) AS BIGINT) AS line_no", "line")
+    lines.repartition("log").sortWithinPartitions("log", "event_id").select("log", "value").write.partitionBy("log").text(path)
+    return fl.read_logs(spark, path, named_by="folder")
 
 
 SQL_LOGS = """
-logs AS (SELECT event_id AS line_no, event_id || ' ' || CASE event_type
+logs AS (SELECT row_number() OVER (ORDER BY event_id) AS line_no, ts, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || event_id || ' ' || CASE event_type
    WHEN 'error' THEN 'Fatal: ' || CASE WHEN user_id % 3 = 0 THEN 'no error' ELSE 'connection refused' END || ' ' || props
    WHEN 'view' THEN '"GET /' || CASE user_id % 4 WHEN 0 THEN 'test/a' WHEN 1 THEN 'api/auth/signup' ELSE 'api/x' END || ' HTTP/1.1" ' || CASE event_id % 4 WHEN 0 THEN 200 WHEN 1 THEN 400 WHEN 2 THEN 404 ELSE 503 END
    WHEN 'click' THEN 'Warning: old ' || props WHEN 'purchase' THEN 'Traceback in job ' || user_id ELSE 'ok ' || value END AS line, lower(line) AS low FROM events),
 http AS (SELECT line_no, regexp_extract(line, '"(\\w+)\\s+([^\\s]+)\\s+HTTP[^"]*"\\s+(\\d{3})', 1) AS m, regexp_extract(line, '"(\\w+)\\s+([^\\s]+)\\s+HTTP[^"]*"\\s+(\\d{3})', 2) AS p,
    TRY_CAST(regexp_extract(line, '"(\\w+)\\s+([^\\s]+)\\s+HTTP[^"]*"\\s+(\\d{3})', 3) AS INT) AS st FROM logs WHERE regexp_matches(line, 'HTTP[^"]*" \\d{3}')),
-http_errors AS (SELECT 'app' AS source, line_no, CASE WHEN st >= 500 THEN 'critical' WHEN st >= 404 THEN 'error' ELSE 'warning' END AS severity,
+http_errors AS (SELECT 'app.log' AS source, line_no, CASE WHEN st >= 500 THEN 'critical' WHEN st >= 404 THEN 'error' ELSE 'warning' END AS severity,
    'HTTP ' || st || ': ' || m || ' ' || p AS message, 'http' AS type FROM http WHERE st >= 400 AND NOT contains(p, '/test') AND NOT (st = 400 AND contains(p, '/api/auth/signup'))),
-server AS (SELECT 'app' AS source, line_no, CASE WHEN contains(line, 'Warning:') THEN 'warning'
+server AS (SELECT 'app.log' AS source, line_no, CASE WHEN contains(line, 'Warning:') THEN 'warning'
      WHEN (contains(low, 'error') OR contains(low, 'exception') OR contains(low, 'traceback') OR contains(low, 'failed') OR contains(low, 'fatal'))
        AND NOT (contains(low, '200 ok') OR contains(low, '304') OR contains(low, '301') OR contains(low, '302') OR contains(low, 'no error')) THEN 'error' END AS severity,
    line[1:300] AS message, CASE WHEN contains(line, 'Warning:') THEN 'warning' ELSE 'exception' END AS type FROM logs WHERE NOT regexp_matches(line, 'HTTP[^"]*" \\d{3}')),
@@ -173,15 +191,29 @@ def extract_documents(spark, sf):
     return fl.flatten_blocks(trees).selectExpr("document_id", "pos", "block_type", "md5(html) AS html_hash")
 
 
-def flatten_blocks(spark, sf):
-    """The layout blocks as nested JSON, three to a page group, parsed back into rows; broken JSON is rejected."""
+def _tree_texts(spark, sf):
+    """The layout blocks as nested JSON, three to a page group; some of it is broken off."""
     blocks = fx.document_blocks(spark, sf).selectExpr("document_id", "pos", "struct(pos % 3 AS o, block_type, html, caption, rows) AS b")
     pages = blocks.groupBy("document_id", F.expr("CAST(floor(pos / 3) AS INT)").alias("page")).agg(F.expr("array_sort(collect_list(b))").alias("children"))
     group = "struct(page, CASE WHEN page % 9 = 8 THEN 'PageFooter' ELSE 'Group' END AS block_type, children) AS p"
     docs = pages.selectExpr("document_id", group).groupBy("document_id").agg(F.expr("array_sort(collect_list(p))").alias("children"))
-    text = docs.selectExpr("document_id", "concat(to_json(struct(children)), '') AS j").withColumn(
+    return docs.selectExpr("document_id", "concat(to_json(struct(children)), '') AS j").withColumn(
         "j", F.expr("CASE WHEN substring(document_id, -1) = '7' THEN substring(j, 1, length(j) - 3) ELSE j END"))
-    trees, rejects = fl.parse_block_trees(text, "document_id", "j")
+
+
+def flatten_blocks(spark, sf):
+    """Block trees parsed back into rows; broken JSON is rejected."""
+    return _flattened(*fl.parse_block_trees(_tree_texts(spark, sf), "document_id", "j"))
+
+
+def read_block_trees(spark, sf):
+    """The same from files, one per document in a folder of its own."""
+    path = fresh_path(spark, "trees")
+    _tree_texts(spark, sf).selectExpr("document_id AS document", "j AS value").repartition("document").write.partitionBy("document").text(path)
+    return _flattened(*fl.read_block_trees(spark, path, named_by="folder"))
+
+
+def _flattened(trees, rejects):
     rows = fl.flatten_blocks(trees).selectExpr("document_id", "pos", "block_type", "html", "caption", "to_json(rows) AS rows")
     return rows.unionByName(rejects.selectExpr("document_id", "-1L AS pos", "error AS block_type"), allowMissingColumns=True)
 
@@ -261,6 +293,9 @@ QUERIES = {
     "registry_lookup": lambda s, d: rg.registry_lookup(registry(s, d), fx.read(s, d, "lineitem").selectExpr("sha2(concat('h', l_orderkey * 3), 256) AS hash"), "hash").select("id", "hash", "status"),
     "list_documents": lambda s, d: rg.list_documents(registry(s, d), 50, 25).select("id", "status", "upload_timestamp"),
     "flatten_blocks": flatten_blocks,
+    "read_block_trees": read_block_trees,
+    "read_sessions_files": read_sessions_files,
+    "read_logs": lambda s, d: log_lines(s, d).selectExpr("source", "rotation", "line_no", "date_format(ts, 'yyyy-MM-dd HH:mm:ss') AS ts", "md5(line) AS line_hash"),
     "extract_documents": extract_documents,
     "write_chunks": write_chunks,
     "event_log": event_log,
@@ -292,6 +327,7 @@ QUERIES = {
     "ingestion_errors": lambda s, d: rg.ingestion_errors(_job_files(s, d)),
     "list_sessions": lambda s, d: ss.list_sessions(sessions(s, d)).select(*_SESSION_COLS),
     "search_sessions": lambda s, d: _search(s, d),
+    "search_sessions_many": lambda s, d: search_sessions_many(s, d),
     "update_sessions": lambda s, d: _update_sessions(s, d),
     "session_titles": lambda s, d: ss.session_titles(fl.session_messages(sessions(s, d))),
     "list_users": lambda s, d: ss.list_users(fx.read(s, d, "customer").selectExpr("c_custkey AS user_id", "c_name AS username", "CASE WHEN c_custkey % 10 <> 0 THEN timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, c_custkey * 7 % 997) END AS created_at")),
@@ -302,14 +338,14 @@ QUERIES = {
     "message_rules": lambda s, d: ss.message_rules(_messages(s, d)).drop("content"),
     "parse_http_errors": lambda s, d: ops.parse_http_errors(log_lines(s, d)),
     "classify_log_lines": lambda s, d: ops.classify_log_lines(log_lines(s, d), "server"),
-    "classify_log_lines_container": lambda s, d: ops.classify_log_lines(log_lines(s, d), "container").drop("message"),
-    "classify_log_lines_container_tail": lambda s, d: ops.classify_log_lines(log_lines(s, d), "container_tail").drop("message"),
-    "classify_log_lines_server_tail": lambda s, d: ops.classify_log_lines(log_lines(s, d), "server_tail").drop("message"),
-    "classify_log_lines_health": lambda s, d: ops.classify_log_lines(log_lines(s, d), "health").drop("message"),
+    "classify_log_lines_container": lambda s, d: ops.classify_log_lines(log_lines(s, d), "container"),
+    "classify_log_lines_container_tail": lambda s, d: ops.classify_log_lines(log_lines(s, d), "container_tail"),
+    "classify_log_lines_server_tail": lambda s, d: ops.classify_log_lines(log_lines(s, d), "server_tail"),
+    "classify_log_lines_health": lambda s, d: ops.classify_log_lines(log_lines(s, d), "health"),
     "tail_lines": lambda s, d: ops.tail_lines(log_lines(s, d), 100).select("line_no", "line"),
     "rank_errors": lambda s, d: ops.rank_errors(errors(s, d), 100).drop("type"),
     "error_summary": lambda s, d: ops.error_summary(errors(s, d)),
-    "dedupe_errors": lambda s, d: ops.dedupe_errors(errors(s, d).withColumn("message", F.expr("regexp_replace(message, '^[0-9]+ ', '')")), 20),
+    "dedupe_errors": lambda s, d: ops.dedupe_errors(errors(s, d).withColumn("message", F.expr("regexp_replace(message, '^[0-9: -]+ ', '')")), 20),
     "recent_samples": lambda s, d: ops.recent_samples(fx.read(s, d, "events").selectExpr("event_type AS metric", "ts", "event_id AS sample_id", "value")).select("metric", "sample_id", "rank", "shown"),
     "run_metrics": lambda s, d: ops.run_metrics(fx.read(s, d, "events").selectExpr("user_id AS run_id", "CAST(value AS DECIMAL(12, 2)) AS seconds")).selectExpr("run_id", "calls", "CAST(total_sec AS DOUBLE) AS total_sec"),
     "chapter_times": lambda s, d: ops.chapter_times(fx.read(s, d, "events").selectExpr("user_id AS run_id", "event_type AS chapter", "CAST(value AS DECIMAL(12, 2)) AS seconds")).withColumn("seconds", F.expr("CAST(seconds AS DOUBLE)")),
@@ -331,6 +367,13 @@ def _search(spark, sf):
     return ss.search_sessions(found, fl.session_messages(found), "Que LA").select("session_id", "title")
 
 
+def search_sessions_many(spark, sf):
+    """What each conversation begins with, from no character to seven, as a search of its own."""
+    found = sessions(spark, sf)
+    asked = fx.read(spark, sf, "conversations").filter("turn = 1").selectExpr("conv_id AS search_id", "upper(substring(text, 3, conv_id % 8)) AS q")
+    return ss.search_sessions_many(found, fl.session_messages(found), asked).select("search_id", "session_id", "title")
+
+
 def _update_sessions(spark, sf):
     changes = fx.read(spark, sf, "conversations").selectExpr(
         "concat('s', conv_id) AS session_id", "turn AS seq",
@@ -358,7 +401,7 @@ SELECT key, request_id, allowed, round(CASE WHEN allowed THEN 0 ELSE (cost - aft
 
 
 def _log_rule(case):
-    return _l(f"SELECT 'app' AS source, line_no, severity, type FROM (SELECT line_no, unnest([{case}]) FROM logs) WHERE severity IS NOT NULL")
+    return _l(f"SELECT 'app.log' AS source, line_no, severity, type FROM (SELECT line_no, unnest([{case}]) FROM logs) WHERE severity IS NOT NULL")
 
 
 def _w(*words):
@@ -383,6 +426,10 @@ SQL = {
           CASE WHEN k = 5 THEN CAST(to_json([[l, 'x'], [CAST(c AS VARCHAR)]]) AS VARCHAR) END AS rows FROM blocks WHERE document_id[-1:] <> '7' AND (pos // 3) % 9 <> 8
         UNION ALL SELECT document_id, 4 * (g - g // 9), 'Group', NULL, NULL, NULL FROM (SELECT DISTINCT document_id, pos // 3 AS g FROM blocks WHERE document_id[-1:] <> '7') WHERE g % 9 <> 8
         UNION ALL SELECT DISTINCT document_id, -1, 'invalid JSON', NULL, NULL, NULL FROM blocks WHERE document_id[-1:] = '7'"""),
+    "read_sessions_files": _s("""SELECT session_id, user_id, title, created_at, updated_at, starred, (SELECT count(*) FROM conversations c WHERE c.conv_id = s.conv_id) AS n_messages,
+        (SELECT md5(string_agg(text, '|' ORDER BY turn)) FROM conversations c WHERE c.conv_id = s.conv_id) AS contents FROM sessions s WHERE conv_id % 11 <> 3"""),
+    "read_logs": _l("""SELECT 'app.log' AS source, CASE WHEN event_id * 3 < m THEN 2 WHEN event_id * 3 < 2 * m THEN 1 ELSE 0 END AS rotation, line_no,
+        strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, md5(line) AS line_hash FROM logs, (SELECT max(event_id) AS m FROM events)"""),
     "write_chunks": fx.with_ctes(fx.SQL_PARTS, """SELECT c.document_id, c.clause_id AS chunk_id, c.title,
         (SELECT count(*) FROM content x WHERE x.document_id = c.document_id AND x.clause_id = c.clause_id) AS n_content,
         (SELECT count(*) FROM tree t WHERE t.document_id = c.document_id AND t.tree_parent_id = c.clause_id) AS n_children FROM clauses c"""),
@@ -454,6 +501,9 @@ SQL = {
     "list_sessions": _s("SELECT session_id, user_id, title, created_at, updated_at, starred FROM sessions"),
     "search_sessions": _s("""SELECT session_id, title FROM sessions s WHERE contains(lower(title), 'que la')
         OR EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = s.conv_id AND contains(lower(text), 'que la'))"""),
+    "search_sessions_many": _s("""SELECT q.conv_id AS search_id, s.session_id, s.title FROM (SELECT conv_id, lower(upper(substring(text, 3, CAST(conv_id % 8 AS INT)))) AS q
+          FROM conversations WHERE turn = 1) q JOIN sessions s ON contains(lower(title), q.q)
+          OR EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = s.conv_id AND contains(lower(c.text), q.q))"""),
     "update_sessions": _s("""
         , ch AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'star' WHEN turn % 3 = 1 THEN 'rename' WHEN conv_id % 10 = 4 THEN 'delete' ELSE 'star' END AS action FROM conversations),
         net AS (SELECT conv_id, count(*) FILTER (action = 'star') AS stars, max(turn) FILTER (action = 'rename') AS t, count(*) FILTER (action = 'delete') AS gone FROM ch GROUP BY conv_id)
@@ -471,21 +521,21 @@ SQL = {
         FROM (SELECT conv_id, turn, CASE WHEN turn = 4 THEN repeat(text, 9) ELSE text END AS c FROM conversations UNION ALL SELECT conv_id, -1, '' FROM conversations WHERE turn = 3)""",
     "parse_http_errors": _l("SELECT * FROM http_errors"),
     "classify_log_lines": _l("SELECT * FROM server WHERE severity IS NOT NULL"),
-    "classify_log_lines_container": _l(f"""SELECT * FROM (SELECT 'app' AS source, line_no, CASE
+    "classify_log_lines_container": _l(f"""SELECT * FROM (SELECT 'app.log' AS source, line_no, CASE
         WHEN {_w('error', 'fatal', 'failed', 'exception', 'refused', 'timeout', 'denied')} THEN CASE WHEN {_w('no error', 'error=0', 'without error', 'error_action')} THEN NULL WHEN {_w('fatal', 'critical')} THEN 'critical' ELSE 'error' END
-        WHEN {_w('warn', 'deprecated')} THEN 'warning' END AS severity, 'container' AS type FROM logs) WHERE severity IS NOT NULL"""),
-    "classify_log_lines_container_tail": _l(f"""SELECT 'app' AS source, line_no, CASE WHEN {_w('fatal', 'critical')} THEN 'critical' ELSE 'error' END AS severity, 'container' AS type FROM logs
+        WHEN {_w('warn', 'deprecated')} THEN 'warning' END AS severity, 'container' AS type, line[1:300] AS message FROM logs) WHERE severity IS NOT NULL"""),
+    "classify_log_lines_container_tail": _l(f"""SELECT 'app.log' AS source, line_no, CASE WHEN {_w('fatal', 'critical')} THEN 'critical' ELSE 'error' END AS severity, 'container' AS type, line[1:500] AS message FROM logs
         WHERE {_w('error', 'exception', 'failed', 'fatal', 'critical')} AND NOT {_w('no error', 'error=0', 'errors: 0', 'without error')}"""),
-    "classify_log_lines_server_tail": _l(f"""SELECT 'app' AS source, line_no, 'error' AS severity, 'log' AS type FROM logs
+    "classify_log_lines_server_tail": _l(f"""SELECT 'app.log' AS source, line_no, 'error' AS severity, 'log' AS type, line[1:500] AS message FROM logs
         WHERE {_w('error', 'exception', 'traceback', 'failed')} AND NOT {_w('no error', 'error=0')}"""),
-    "classify_log_lines_health": _l(f"""SELECT * FROM (SELECT 'app' AS source, line_no, CASE WHEN contains(line, '" 5') AND contains(low, 'http/1.1"') THEN 'error' WHEN {_w('exception', 'traceback')} THEN 'error'
-        WHEN {_w('deprecationwarning', 'futurewarning')} THEN 'warning' END AS severity, CASE WHEN contains(line, '" 5') THEN 'http_error' ELSE 'exception' END AS type FROM logs) WHERE severity IS NOT NULL"""),
+    "classify_log_lines_health": _l(f"""SELECT * FROM (SELECT 'app.log' AS source, line_no, CASE WHEN contains(line, '" 5') AND contains(low, 'http/1.1"') THEN 'error' WHEN {_w('exception', 'traceback')} THEN 'error'
+        WHEN {_w('deprecationwarning', 'futurewarning')} THEN 'warning' END AS severity, CASE WHEN contains(line, '" 5') THEN 'http_error' ELSE 'exception' END AS type, line[1:200] AS message FROM logs) WHERE severity IS NOT NULL"""),
     "tail_lines": _l("SELECT line_no, line FROM logs ORDER BY line_no DESC LIMIT 100"),
     "rank_errors": _l("""SELECT source, line_no, severity, message, (SELECT count(*) FROM all_errors) AS total,
         CASE severity WHEN 'critical' THEN 0 WHEN 'error' THEN 1 ELSE 2 END AS severity_rank FROM all_errors ORDER BY severity_rank, source, line_no LIMIT 100"""),
     "error_summary": _l("""SELECT count(*) AS total, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'error') AS error,
         count(*) FILTER (severity = 'warning') AS warning FROM all_errors"""),
-    "dedupe_errors": _l("""SELECT source, line_no, severity, message FROM (SELECT source, line_no, severity, regexp_replace(message, '^[0-9]+ ', '') AS message FROM all_errors)
+    "dedupe_errors": _l("""SELECT source, line_no, severity, message FROM (SELECT source, line_no, severity, regexp_replace(message, '^[0-9: -]+ ', '') AS message FROM all_errors)
         QUALIFY row_number() OVER (PARTITION BY source, message[1:50] ORDER BY line_no) = 1 ORDER BY line_no LIMIT 20"""),
     "recent_samples": """SELECT metric, sample_id, rank, rank <= 30 AS shown FROM (SELECT event_type AS metric, event_id AS sample_id,
         row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rank FROM events) WHERE rank <= 60""",
@@ -494,3 +544,4 @@ SQL = {
     "rate_limit_replay": "WITH RECURSIVE " + _BUCKET.format(key="event_type", cap=70 * 60_000_000, start=60 * 60_000_000, rate=60).strip(),
     "rate_limit_split": "WITH RECURSIVE " + _BUCKET.format(key="'all'", cap=35 * 60_000_000, start=100 * 60_000_000, rate=30).strip(),
 }
+SQL["read_block_trees"] = SQL["flatten_blocks"]

@@ -148,7 +148,8 @@ def expand_context(spark, sf):
 
 
 def anchor_expand(spark, sf):
-    return _context(spark, sf)[0].select("query_id", "uid", "is_expansion", "rank", "score", "retrieval_score", "node_type")
+    return _context(spark, sf)[0].selectExpr(
+        "query_id", "uid", "is_expansion", "rank", "score", "retrieval_score", "node_type", "title", "md5(content) AS content_hash")
 
 
 def graph_expand(spark, sf):
@@ -202,14 +203,11 @@ def document_requirements(spark, sf):
 def retrieval_audit(spark, sf):
     context, _, _ = _context(spark, sf)
     asked = fx.read(spark, sf, "documents").selectExpr("doc_id AS query_id", "text")
-    return rt.retrieval_audit(context, asked).selectExpr(
-        "query_id", "action", "array_join(chunk_ids, '|') AS chunk_ids", "query_hash",
-        "size(retrieval_scores) AS n_scores", "aggregate(map_values(retrieval_scores), 0D, (a, x) -> a + x) AS score_sum")
+    return rt.retrieval_audit(context, asked)
 
 
 def plan_audit(spark, sf):
-    return gd.plan_audit(_context(spark, sf)[0]).selectExpr(
-        "query_id", "array_join(seed_chunks, '|') AS seed_chunks", "size(expanded_chunks) AS n_expanded", "total_context_chunks")
+    return gd.plan_audit(_context(spark, sf)[0])
 
 
 _WORDS = {"mandatory": ["the", "que"], "recommended": ["and", "und"], "optional": ["of", "los"]}
@@ -277,8 +275,7 @@ def coverage(spark, sf):
 
 
 def covered_by(spark, sf):
-    return gd.covered_by(_reqs(spark, sf), _cases(spark, sf)).selectExpr(
-        "requirement_id", "part", "array_join(covered_by_tests, '|') AS covered_by_tests")
+    return gd.covered_by(_reqs(spark, sf), _cases(spark, sf))
 
 
 def test_type_lookup(spark, sf):
@@ -449,7 +446,7 @@ SQL = {
     "vector_search": fx.with_ctes(_COS, _TOPK.format(where="")),
     "vector_search_filtered": fx.with_ctes(_COS, _TOPK.format(where="WHERE label = query_id")),
     "expand_context": _c("SELECT query_id, seed_uid, seed_rank, rel_rank, uid, title, md5(content) AS content_hash, node_type FROM near"),
-    "anchor_expand": _c("SELECT query_id, uid, is_expansion, rank, score, retrieval_score, node_type FROM ctx"),
+    "anchor_expand": _c("SELECT query_id, uid, is_expansion, rank, score, retrieval_score, node_type, title, md5(content) AS content_hash FROM ctx"),
     "graph_expand": _c(f"""SELECT {cg._CL} AS uid, 'self' AS relation, clause_id AS id, title, md5(content_text) AS content_hash,
           (SELECT count(*) FROM edges WHERE source_uid = 'clause:' || l.document_id || ':' || l.clause_id AND rel_type = 'HAS_TABLE') AS tables,
           (SELECT count(*) FROM edges WHERE source_uid = 'clause:' || l.document_id || ':' || l.clause_id AND rel_type = 'HAS_FIGURE') AS figures FROM levels l
@@ -468,10 +465,10 @@ SQL = {
     "document_requirements": _c(f"""SELECT query_id, 'REQ_' || lpad(CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS VARCHAR), 3, '0') AS requirement_id,
         uid AS source_chunk_id, requirement_type, md5(content[1:500]) AS description_hash
         FROM (SELECT *, {_REQ_CASE} AS requirement_type FROM ctx WHERE contains(uid, 'doc' || query_id) OR contains(document_id, 'doc' || query_id)) WHERE requirement_type IS NOT NULL"""),
-    "retrieval_audit": _c("""SELECT query_id, 'retrieve_grounded_context' AS action, string_agg(uid, '|' ORDER BY rank) AS chunk_ids,
-        (SELECT md5(text)[1:16] FROM documents WHERE doc_id = query_id) AS query_hash, count(*) AS n_scores, sum(retrieval_score) AS score_sum FROM ctx GROUP BY query_id"""),
-    "plan_audit": _c("""SELECT query_id, coalesce(string_agg(uid, '|' ORDER BY rank) FILTER (score > 0), '') AS seed_chunks,
-        count(*) FILTER (score = 0) AS n_expanded, count(*) AS total_context_chunks FROM ctx GROUP BY query_id"""),
+    "retrieval_audit": _c("""SELECT query_id, 'retrieve_grounded_context' AS action, md5(text)[1:16] AS query_hash, rank, uid AS chunk_id, retrieval_score
+        FROM ctx JOIN documents ON doc_id = query_id"""),
+    "plan_audit": _c("""SELECT query_id, rank, uid AS chunk_id, CASE WHEN score > 0 THEN 'seed' WHEN score = 0 THEN 'expanded' END AS role,
+        count(*) OVER (PARTITION BY query_id) AS total_context_chunks FROM ctx"""),
     "classify_requirements": fx.with_ctes(_MSG_REQ, """SELECT query_id, 'REQ_' || lpad(CAST(n AS VARCHAR), 3, '0') AS requirement_id,
         source_chunk_id, requirement_type, description FROM found"""),
     "context_requirements_by_type": fx.with_ctes(_MSG_REQ, """SELECT query_id, count(*) FILTER (requirement_type = 'mandatory') AS mandatory,
@@ -501,8 +498,7 @@ SQL = {
     "requirement_priority": fx.with_ctes(_REQS, """SELECT requirement_id, requirement_text, type, source_clause, CASE type WHEN 'mandatory' THEN 'critical'
         WHEN 'prohibition' THEN 'high' WHEN 'recommendation' THEN 'medium' ELSE 'low' END AS priority FROM reqs"""),
     "coverage_matrix": fx.with_ctes(_REQS, "SELECT * FROM matrix"),
-    "covered_by": fx.with_ctes(_REQS, """SELECT requirement_id, 0 AS part, string_agg(test_case_id, '|' ORDER BY test_case_id) AS covered_by_tests
-        FROM links WHERE requirement_id IN (SELECT requirement_id FROM reqs) GROUP BY requirement_id"""),
+    "covered_by": fx.with_ctes(_REQS, "SELECT DISTINCT requirement_id, test_case_id FROM links WHERE requirement_id IN (SELECT requirement_id FROM reqs)"),
     "coverage_summary": fx.with_ctes(_REQS, """SELECT count(*) AS total_requirements, count(*) FILTER (n_tests > 0) AS covered_requirements,
         count(*) FILTER (n_tests = 0) AS not_covered, round(100.0 * count(*) FILTER (n_tests > 0) / count(*), 1) AS coverage_percentage FROM matrix"""),
     "test_type_lookup": fx.with_ctes(fx.SQL_PARTS + f""",

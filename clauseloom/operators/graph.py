@@ -321,23 +321,49 @@ def graph_transactions(
     )
 
 
-def clause_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Clauses each document reaches over CONTAINS, zero kept.
+def _doubled(jumps: DataFrame, more: str = "true", also: tuple[str, ...] = ()) -> DataFrame:
+    """Jumps ``(uid, top, ended)`` from each node upwards, made to end at nodes without a parent.
 
-    One join per level of the hierarchy; a clause that was reached before is not followed again, so the loop ends
-    at any depth and also on a cycle. Every level is written to the shared folder, so a lost executor costs no
-    recomputation and the plan does not grow.
+    Every round a jump that has not ended takes the jumps of the node it came to, so its length doubles: a hierarchy of any
+    depth takes its logarithm in rounds. What has not ended when jumps are longer than there are nodes goes round a cycle
+    and is dropped. ``also`` are further expressions over both jumps a and b, and ``more`` a condition a joined jump must meet.
     """
-    contains = stage(edges.filter("rel_type = 'CONTAINS'").select("source_uid", "target_uid"), "contains")
-    documents = stage(nodes.filter("label = 'Document'").selectExpr("document_id", "uid"), "documents")
-    frontier, levels = documents, [documents]
-    while not frontier.isEmpty():
-        step = frontier.join(contains, F.expr("uid = source_uid")).selectExpr("document_id", "target_uid AS uid").distinct()
-        frontier = stage(step.join(_union(levels), ["document_id", "uid"], "left_anti"), "frontier")
-        levels.append(frontier)
-    is_clause = nodes.filter("label = 'Clause'").select("uid")
-    counts = _union(levels).join(is_clause, "uid", "left_semi").groupBy("document_id").agg(F.count("*").alias("n"))
-    return documents.join(counts, "document_id", "left").selectExpr("document_id", "coalesce(n, 0) AS clause_count")
+    jumps = stage(jumps, "jumps")
+    rounds = max(1, jumps.select("uid").distinct().count()).bit_length() + 1
+    done = [jumps.filter("ended")]
+    while rounds and not jumps.filter("NOT ended").isEmpty():
+        longer = jumps.filter("NOT ended").alias("a").join(jumps.alias("b"), F.expr("a.top = b.uid")).filter(more)
+        longer = longer.selectExpr("a.uid AS uid", "b.top AS top", "b.ended AS ended", *also).distinct()
+        # Those that have ended are needed by others as well.
+        jumps = stage(longer.unionByName(jumps.filter("ended")).distinct(), "jumps")
+        done, rounds = [jumps.filter("ended")], rounds - 1
+    return done[0]
+
+
+def _parents(edges: DataFrame) -> DataFrame:
+    """Jumps over one CONTAINS edge; one to a node that nothing contains has ended."""
+    up = stage(edges.filter("rel_type = 'CONTAINS'").selectExpr("target_uid AS uid", "source_uid AS top").distinct(), "contains")
+    inner = up.selectExpr("uid AS _inner").distinct()
+    return up.join(inner, F.expr("top = _inner"), "left").selectExpr("uid", "top", "_inner IS NULL AS ended")
+
+
+def clause_ancestors(edges: DataFrame) -> DataFrame:
+    """``uid, root, depth, path``: the way from the root down to each contained node, one row per way.
+
+    A root is a document, or a clause whose own parent is not there. A cycle has none."""
+    first = _parents(edges).withColumn("path", F.array("top"))
+    ways = _doubled(first, "size(array_distinct(concat(a.path, b.path))) = size(a.path) + size(b.path)", ("concat(a.path, b.path) AS path",))
+    return ways.selectExpr("uid", "top AS root", "size(path) AS depth", "reverse(path) AS path")
+
+
+def clause_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Clauses each document reaches over CONTAINS, zero kept, at any depth and also with a cycle, in as many rounds as the
+    depth has binary digits. Every round is written to the shared folder, so a lost executor costs no recomputation."""
+    reached = _doubled(_parents(edges))
+    is_clause = nodes.filter("label = 'Clause'").select("uid").distinct()
+    counts = reached.join(is_clause, "uid", "left_semi").groupBy("top").agg(F.count("*").alias("n"))
+    documents = nodes.filter("label = 'Document'").selectExpr("document_id", "uid AS top")
+    return documents.join(counts, "top", "left").selectExpr("document_id", "coalesce(n, 0) AS clause_count")
 
 
 def list_graph_documents(nodes: DataFrame) -> DataFrame:

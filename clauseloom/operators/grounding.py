@@ -113,17 +113,11 @@ def validate_sources(plans: DataFrame, context: DataFrame) -> DataFrame:
     )
 
 
-def plan_audit(context: DataFrame, part_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """Seed and expanded ids of a plan's context, in parts of bounded size, and the total."""
+def plan_audit(context: DataFrame) -> DataFrame:
+    """One row per chunk of a plan's context, in its order: whether it is a seed or came by expansion, and how many there are."""
     total = context.groupBy("query_id").agg(F.count("*").alias("total_context_chunks"))
-    parts = (
-        context.selectExpr("query_id", f"{segment_of('rank - 1', part_rows)} AS part", "struct(rank, uid, score) AS e")
-        .groupBy("query_id", "part")
-        .agg(F.expr("array_sort(collect_list(e))").alias("e"))
-    )
-    return parts.join(total, "query_id").selectExpr(
-        "query_id", "part", "transform(filter(e, x -> x.score > 0), x -> x.uid) AS seed_chunks",
-        "transform(filter(e, x -> x.score = 0), x -> x.uid) AS expanded_chunks", "total_context_chunks",
+    return context.join(total, "query_id").selectExpr(
+        "query_id", "rank", "uid AS chunk_id", "CASE WHEN score > 0 THEN 'seed' WHEN score = 0 THEN 'expanded' END AS role", "total_context_chunks",
     )
 
 
@@ -188,19 +182,9 @@ def coverage_matrix(requirements: DataFrame, cases: DataFrame) -> DataFrame:
     )
 
 
-def covered_by(requirements: DataFrame, cases: DataFrame, part_rows: int = 1024) -> DataFrame:
-    """``covered_by_tests``: the case ids of each requirement, sorted, in parts by a hash of the id."""
-    linked = cases.select("requirement_id", "test_case_id").distinct().join(
-        requirements.select("requirement_id"), "requirement_id", "left_semi"
-    )
-    numbered = ordinal(
-        linked.selectExpr("*", "substring(md5(test_case_id), 1, 2) AS _s"), ["requirement_id"], ["_s"], ["test_case_id"], "n"
-    )
-    return (
-        numbered.selectExpr("requirement_id", f"{segment_of('n - 1', part_rows)} AS part", "test_case_id")
-        .groupBy("requirement_id", "part")
-        .agg(F.expr("array_sort(collect_list(test_case_id))").alias("covered_by_tests"))
-    )
+def covered_by(requirements: DataFrame, cases: DataFrame) -> DataFrame:
+    """One row per requirement and case that covers it."""
+    return cases.select("requirement_id", "test_case_id").distinct().join(requirements.select("requirement_id").distinct(), "requirement_id", "left_semi")
 
 
 def coverage_summary(matrix: DataFrame) -> DataFrame:

@@ -122,7 +122,7 @@ def insert_if_absent(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return table.unionByName(one.join(table.select(key), key, "left_anti"))
 
 
-_OPTIONAL = ("error_message", "marker_version", "s3_json_path", "page_count")
+OPTIONAL = ("error_message", "marker_version", "s3_json_path", "page_count")
 
 
 def document_states(updates: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def document_states(updates: DataFrame) -> DataFrame:
         F.expr(f"max_by(status, {at})").alias("status"),
         F.expr("max(ts) FILTER (WHERE status = 'PROCESSING')").alias("processing_started"),
         F.expr("max(ts) FILTER (WHERE status IN ('COMPLETED', 'FAILED'))").alias("processing_completed"),
-        *[F.expr(f"max_by({c}, {at}) FILTER (WHERE {c} IS NOT NULL)").alias(c) for c in _OPTIONAL if c in updates.columns],
+        *[F.expr(f"max_by({c}, {at}) FILTER (WHERE {c} IS NOT NULL)").alias(c) for c in OPTIONAL if c in updates.columns],
     )
 
 

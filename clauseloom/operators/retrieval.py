@@ -448,17 +448,9 @@ def document_requirements(results: DataFrame, documents: DataFrame) -> DataFrame
     return results.join(asked, "query_id").filter("contains(uid, asked_id) OR contains(document_id, asked_id)")
 
 
-def retrieval_audit(context: DataFrame, queries: DataFrame, action: str = "retrieve_grounded_context", part_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """One audit row per query, continued in further parts beyond ``part_rows`` entries."""
-    rows = context.selectExpr(
-        "query_id", f"{segment_of('rank - 1', part_rows)} AS part", "struct(rank, uid, retrieval_score) AS e"
-    )
-    return (
-        rows.groupBy("query_id", "part")
-        .agg(F.expr("array_sort(collect_list(e))").alias("e"))
-        .join(queries.selectExpr("query_id", f"{ids.query_hash('text')} AS query_hash"), "query_id")
-        .selectExpr(
-            "query_id", "part", f"'{action}' AS action", "transform(e, x -> x.uid) AS chunk_ids", "query_hash",
-            "map_from_entries(transform(e, x -> struct(x.uid, x.retrieval_score))) AS retrieval_scores",
-        )
+def retrieval_audit(context: DataFrame, queries: DataFrame, action: str = "retrieve_grounded_context") -> DataFrame:
+    """One audit row per query and chunk of its context."""
+    hashed = queries.selectExpr("query_id", f"{ids.query_hash('text')} AS query_hash")
+    return context.join(hashed, "query_id").selectExpr(
+        "query_id", f"'{action}' AS action", "query_hash", "rank", "uid AS chunk_id", "retrieval_score"
     )

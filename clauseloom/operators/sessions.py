@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.functions.text import quote
+from clauseloom.plans.stage import stage
 
 
 def list_sessions(sessions: DataFrame, user_id: str | None = None) -> DataFrame:
@@ -27,6 +28,44 @@ def search_sessions(sessions: DataFrame, messages: DataFrame, q: str) -> DataFra
     )
 
 
+#: Characters of the pieces by which texts are found.
+GRAM = 3
+
+
+def _grams(text: str, size: str) -> str:
+    """The distinct pieces of ``size`` characters of a text; none if it is shorter."""
+    return (
+        f"CASE WHEN length({text}) >= {size} THEN array_distinct(transform(sequence(1, length({text}) - {size} + 1), "
+        f"i -> substring({text}, i, {size}))) ELSE CAST(array() AS ARRAY<STRING>) END"
+    )
+
+
+def search_sessions_many(sessions: DataFrame, messages: DataFrame, searches: DataFrame) -> DataFrame:
+    """:func:`search_sessions` for any number of ``searches(search_id, q)`` in one read of titles and messages.
+
+    Texts are posted under their pieces of ``GRAM`` characters, as far as some search asks for them, and a search looks only at the texts
+    under its rarest piece, which are then compared with the whole of it. A search of fewer characters is one piece of its own length.
+    """
+    asked = stage(searches.selectExpr("search_id", "lower(coalesce(q, '')) AS q").distinct().selectExpr("*", f"least({GRAM}, length(q)) AS size"), "searches")
+    pieces = asked.filter("size > 0").selectExpr("search_id", "q", f"explode({_grams('q', 'size')}) AS gram")
+    wanted = stage(pieces.select("gram").distinct(), "wanted-grams")
+    # At most GRAM rows.
+    sizes = [r["size"] for r in asked.filter("size > 0").select("size").distinct().collect()]
+    texts = sessions.selectExpr("session_id", "-1L AS turn", "lower(coalesce(title, '')) AS low").unionByName(
+        messages.selectExpr("session_id", "CAST(turn AS BIGINT) AS turn", "lower(content) AS low"))
+    found = asked.filter("size = 0").select("search_id").join(sessions.select("session_id"))
+    if sizes:
+        every = ", ".join(_grams("low", str(n)) for n in sizes)
+        posted = texts.selectExpr("session_id", "turn", f"explode(flatten(array({every}))) AS gram").join(wanted, "gram", "left_semi")
+        posted = stage(posted.select("gram", "session_id", "turn"), "postings")
+        counts = wanted.join(posted.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left").selectExpr("gram", "coalesce(n, 0) AS n")
+        rarest = pieces.join(counts, "gram").groupBy("search_id", "q").agg(F.expr("min_by(gram, struct(n, gram))").alias("gram"))
+        likely = rarest.join(posted, "gram").select("search_id", "q", "session_id", "turn")
+        held = likely.join(texts, ["session_id", "turn"]).filter("contains(low, q)").select("search_id", "session_id").distinct()
+        found = found.unionByName(held)
+    return found.join(sessions, "session_id")
+
+
 def update_sessions(sessions: DataFrame, changes: DataFrame) -> DataFrame:
     """Sessions after change rows ``(session_id, seq, action, title, ts)``: ``star`` toggles, ``rename`` sets
     the title and the update time, ``delete`` removes."""

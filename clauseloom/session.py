@@ -33,6 +33,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def input_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a path, in whatever store it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+
+
 def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
     """Apply the runtime settings to a session somebody else created.
 

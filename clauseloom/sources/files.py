@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions import ids
 from clauseloom.functions.text import strip
+from clauseloom.plans.ordered import ordinal
 from clauseloom.plans.stage import stage
 from clauseloom.schemas import SESSIONS
 
@@ -79,12 +80,16 @@ def parse_block_trees(df: DataFrame, key: str, text: str) -> tuple[DataFrame, Da
     return parsed.filter("tree IS NOT NULL").select("document_id", "tree"), rejects
 
 
-def read_block_trees(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """One JSON file per document; the document id is the file name without its suffix."""
-    files = spark.read.text(path, wholetext=True).selectExpr(
-        r"regexp_extract(_metadata.file_name, r'^(.*)\.[^.]*$', 1) AS document_id", "value"
-    )
-    return parse_block_trees(files, "document_id", "value")
+#: What names the content of a file: the file's own name, or that of its folder (what stands behind the ``=`` of a partition's).
+_NAMED = {"file": "_metadata.file_name", "folder": r"regexp_extract(_metadata.file_path, r'([^/=]+)/[^/]+$', 1)"}
+
+
+def read_block_trees(spark: SparkSession, path: str, named_by: str = "file") -> tuple[DataFrame, DataFrame]:
+    """One JSON file per document, in any depth of folders. The document id is the file's name without its suffix, or with
+    ``named_by="folder"`` that of its folder."""
+    name = r"regexp_extract(_metadata.file_name, r'^(.*)\.[^.]*$', 1)" if named_by == "file" else _NAMED[named_by]
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    return parse_block_trees(files.selectExpr(f"{name} AS document_id", "value"), "document_id", "value")
 
 
 def flatten_blocks(trees: DataFrame) -> DataFrame:
@@ -221,9 +226,9 @@ def read_event_log(spark: SparkSession, path: str, streaming: bool = False) -> D
 
 
 def read_sessions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Session JSON, one per file or one per line; what cannot be read is skipped."""
+    """Session JSON, one per file in any depth of folders or one per line; what cannot be read is skipped."""
     raw = (
-        spark.read.schema(SESSIONS + ", _corrupt string")
+        spark.read.schema(SESSIONS + ", _corrupt string").option("recursiveFileLookup", True)
         .option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
         .json(path)
     )
@@ -236,11 +241,36 @@ def session_messages(sessions: DataFrame) -> DataFrame:
     )
 
 
-def read_logs(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Log lines with the file they come from; ``line_no`` rises within a file."""
+#: The number that rotation puts behind a log's name, before a suffix of compression; and the time a line may begin with.
+_ROTATED = r"^(.*?)(?:\.([0-9]+))?(?:\.(?:gz|bz2|zst))?$"
+_STAMP = r"^\[?([0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.,][0-9]{1,6})?)"
+
+
+def _log_columns(name: str) -> list[str]:
+    return [
+        f"regexp_extract({name}, r'{_ROTATED}', 1) AS source",
+        f"coalesce(try_cast(nullif(regexp_extract({name}, r'{_ROTATED}', 2), '') AS INT), 0) AS rotation",
+    ]
+
+
+_TS = f"try_to_timestamp(replace(replace(nullif(regexp_extract(line, r'{_STAMP}', 1), ''), ',', '.'), 'T', ' ')) AS ts"
+
+
+def read_logs(spark: SparkSession, path: str, streaming: bool = False, named_by: str = "file") -> DataFrame:
+    """Log lines: ``source`` (the log's name without the number of its rotation), ``rotation``, ``line_no``, ``ts`` if the line begins
+    with a time, ``line``.
+
+    Lines are numbered from 1 through all files of a source, oldest rotation first. A file is cut at its splits: each is numbered by
+    itself, and counts of splits give what stands before. A stream takes a file whole when it comes, so ``line_no`` begins
+    again with each file there.
+    """
+    name = _NAMED[named_by]
     if streaming:
-        return spark.readStream.text(path).selectExpr("_metadata.file_name AS source", "value AS line")
-    return spark.read.text(path).selectExpr(
-        "_metadata.file_name AS source",
-        "_metadata.file_block_start * 1000000 + monotonically_increasing_id() % 8589934592 AS line_no", "value AS line",
-    )
+        files = spark.readStream.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+        lines = files.selectExpr(*_log_columns(name), r"posexplode(split(regexp_replace(value, r'\r?\n$', ''), r'\r?\n')) AS (at, line)")
+        return lines.selectExpr("source", "rotation", "CAST(at + 1 AS BIGINT) AS line_no", _TS, "line")
+    raw = spark.read.option("recursiveFileLookup", True).text(path).selectExpr(
+        *_log_columns(name), "_metadata.file_path AS _file", "_metadata.file_block_start AS _block", "monotonically_increasing_id() AS _at", "value AS line"
+    ).withColumn("_age", F.expr("-rotation"))
+    numbered = ordinal(raw, ["source"], ["_age", "_file", "_block"], ["_at"], "line_no")
+    return numbered.selectExpr("source", "rotation", "line_no", _TS, "line")

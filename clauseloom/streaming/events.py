@@ -132,9 +132,73 @@ def exactly_once_events(events: DataFrame, keys: tuple[str, ...] = ("ts", "docum
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def document_lifecycle(updates: DataFrame) -> DataFrame:
-    """The registry state of each document as its updates arrive (update mode); same rule as in batch."""
-    return rg.document_states(updates)
+class _Lifecycle(StatefulProcessor):
+    """The state of one document, kept until some time after it has ended.
+
+    Rows come in batches in any order; each is reduced to the newest values before it meets the state.
+    """
+
+    def __init__(self, optional: list[str], kinds: list[str], retain_us: int):
+        self.optional, self.kinds, self.retain_us = optional, kinds, retain_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # Per optional field its value and the place (time, number) of the update that gave it.
+        fields = ", ".join(f"v{i} {kind}, t{i} long, s{i} long" for i, kind in enumerate(self.kinds))
+        self.state = handle.getValueState("state", ", ".join(["status string", "t long", "s long", "started long", "completed long", *([fields] if fields else [])]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = list(self.state.get()) if self.state.exists() else [None, None, None, None, None] + [None, None, None] * len(self.optional)
+
+        def newer(at: tuple[int, int], t: int | None, s: int | None) -> bool:
+            return t is None or at >= (t, s)
+
+        for pdf in rows:
+            pdf = pdf.sort_values(["t", "seq"])
+            last = pdf.iloc[-1]
+            if newer((int(last["t"]), int(last["seq"])), held[1], held[2]):
+                held[:3] = [last["status"], int(last["t"]), int(last["seq"])]
+            for place, ends in ((3, ("PROCESSING",)), (4, ("COMPLETED", "FAILED"))):
+                times = pdf.loc[pdf["status"].isin(ends), "t"]
+                if len(times):
+                    held[place] = max(int(times.max()), held[place] if held[place] is not None else int(times.max()))
+            for i, name in enumerate(self.optional):
+                given = pdf.loc[pdf[name].notna()]
+                if len(given) and newer((int(given["t"].iloc[-1]), int(given["seq"].iloc[-1])), held[6 + 3 * i], held[7 + 3 * i]):
+                    value = given[name].iloc[-1]
+                    held[5 + 3 * i : 8 + 3 * i] = [value.item() if hasattr(value, "item") else value, int(given["t"].iloc[-1]), int(given["seq"].iloc[-1])]
+        self.state.update(tuple(held))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        if held[0] in ("COMPLETED", "FAILED"):
+            self.handle.registerTimer((held[1] + self.retain_us) // 1000)
+        out = {"id": [key[0]], "status": [held[0]], "started": [held[3]], "completed": [held[4]]}
+        out.update({name: [held[5 + 3 * i]] for i, name in enumerate(self.optional)})
+        yield pd.DataFrame(out).astype({"started": "Int64", "completed": "Int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # What the document came to is in the batches written.
+        self.state.clear()
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def document_lifecycle(updates: DataFrame, late: str = LATE, retain_hours: float = 24) -> DataFrame:
+    """The registry state of each document as its updates arrive (update mode); same rule as in batch.
+
+    State of a document that has ended is dropped ``retain_hours`` of event time after its last update, unless another one came; one
+    that comes later than that starts anew.
+    """
+    optional = [c for c in rg.OPTIONAL if c in updates.columns]
+    kinds = [updates.schema[c].dataType.simpleString() for c in optional]
+    rows = updates.withWatermark("ts", late).select("document_id", "ts", F.expr("unix_micros(ts) AS t"), F.col("seq").cast("long").alias("seq"), "status", *optional)
+    typed = ", ".join(["id string", "status string", "started long", "completed long", *(f"{c} {k}" for c, k in zip(optional, kinds))])
+    told = rows.groupBy("document_id").transformWithStateInPandas(
+        statefulProcessor=_Lifecycle(optional, kinds, int(retain_hours * 3_600_000_000)), outputStructType=typed, outputMode="update", timeMode="EventTime",
+    )
+    return told.selectExpr("id", "status", "timestamp_micros(started) AS processing_started", "timestamp_micros(completed) AS processing_completed", *optional)
 
 
 def latest_states(batches: DataFrame) -> DataFrame:

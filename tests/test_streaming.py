@@ -42,6 +42,26 @@ def test_states_equal_the_batch(spark, tmp_path):
     assert sorted(map(str, live.collect())) == sorted(map(str, batch.select(*live.columns).collect()))
 
 
+def test_state_of_documents_that_have_ended_goes(spark, tmp_path):
+    schema = "document_id string, t long, seq long, status string, error_message string"
+    hour, start = 3600, 10**6
+    # Ten documents end in each of three batches, which lie days apart; one goes on and on.
+    frames = [spark.createDataFrame(
+        [(f"d{b}-{i}", start + b * 48 * hour + i, i, "COMPLETED", None) for i in range(10)] + [("open", start + b * 48 * hour, b, "PROCESSING", f"e{b}" if b < 2 else None)], schema
+    ).withColumn("ts", F.timestamp_seconds("t")) for b in range(3)]
+    stream = batches(spark, str(tmp_path / "in"), frames)
+    kept = []
+    live = ev.document_lifecycle(stream)
+    query = live.writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.parquet(f"{tmp_path}/out/batch_id={n}")).option(
+        "checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    for p in query.recentProgress:
+        kept += [o["numRowsTotal"] for o in p.stateOperators]
+    assert kept and max(kept) <= 21 and kept[-1] <= 11
+    states = {r.id: r for r in ev.latest_states(spark.read.parquet(f"{tmp_path}/out")).collect()}
+    assert len(states) == 31 and states["open"].error_message == "e1" and states["open"].status == "PROCESSING"
+
+
 def test_duplicates_and_late_events(spark, tmp_path):
     schema = "document_id string, t long"
     frames = [spark.createDataFrame(r, schema).withColumn("ts", F.timestamp_seconds("t")) for r in (
