@@ -55,6 +55,9 @@ class Vocabulary:
         self.ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
         self.tokens = {i: t for t, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
+        self.sizes = [0] * (max(self.tokens) + 1)
+        for token, data in self.tokens.items():
+            self.sizes[token] = len(data)
         self.pairs: dict[tuple[int, int], bool] = {}
         self._splits: dict[int, tuple[int, int] | None] = {}
 
@@ -125,8 +128,17 @@ class Prefixes:
         """Earlier entries stay as they are: what ends a prefix does not depend on what follows it."""
         data = self.data = self.data + more
         vocabulary, last = self.vocabulary, self.last
-        ids, pairs, fits, longest = vocabulary.ids, vocabulary.pairs, vocabulary.fits, vocabulary.longest
+        ids, pairs, fits, longest, sizes = vocabulary.ids, vocabulary.pairs, vocabulary.fits, vocabulary.longest, vocabulary.sizes
         for end in range(len(last), len(data) + 1):
+            if end > 1:
+                # Only one token is right; most often it is the one before, grown by a byte.
+                start = end - 1 - sizes[last[-1]]
+                token = ids.get(data[start:end])
+                if token is not None:
+                    known = pairs.get((last[start], token)) if start else vocabulary.alone(token)
+                    if fits(last[start], token) if known is None else known:
+                        last.append(token)
+                        continue
             start = end - 1
             while True:
                 token = ids.get(data[start:end])
@@ -171,10 +183,11 @@ class Prefixes:
         return len(changed) - start
 
     def ids(self) -> list[int]:
-        out, end = [], len(self.data)
+        out, end, last, sizes = [], len(self.data), self.last, self.vocabulary.sizes
         while end:
-            out.append(self.last[end])
-            end -= len(self.vocabulary.tokens[self.last[end]])
+            token = last[end]
+            out.append(token)
+            end -= sizes[token]
         return out[::-1]
 
 
@@ -198,7 +211,7 @@ class Encoder(dict):
             kept[name] = Encoder(ranks, pattern)
         return kept[name]
 
-    def __missing__(self, unit: str) -> list[int]:
+    def __missing__(self, unit: str) -> tuple[int, ...]:
         self.learn([unit])
         return self[unit]
 
@@ -213,14 +226,16 @@ class Encoder(dict):
             if unit in older:
                 self[unit] = older[unit]
             else:
-                pieces[unit] = self.pieces(unit)
+                # Letters with a blank before them or none are one piece.
+                pieces[unit] = [unit] if unit.isascii() and unit.removeprefix(" ").isalpha() else self.pieces(unit)
         ids, known, entries = self.vocabulary.ids, {}, Prefixes(self.vocabulary)
         for data, piece in sorted([(p.encode(), p) for p in {p for parts in pieces.values() for p in parts}]):
             # A piece that is a token is that token, whatever merging would make of it.
             whole = ids.get(data)
-            known[piece] = entries.become(data) if whole is None else [whole]
+            # Tuples of numbers are no work for the garbage collector.
+            known[piece] = tuple(entries.become(data)) if whole is None else (whole,)
         for unit, parts in pieces.items():
-            self[unit] = known[parts[0]] if len(parts) == 1 else [i for p in parts for i in known[p]]
+            self[unit] = known[parts[0]] if len(parts) == 1 else tuple(i for p in parts for i in known[p])
 
     def blocks(self, text: str) -> Iterator[str]:
         start = 0
@@ -230,19 +245,30 @@ class Encoder(dict):
             yield text[start:end]
             start = end
 
-    def encode(self, text: str) -> Iterator[list[int]]:
-        """The ids of a text, block after block."""
+    def learned(self, text: str) -> Iterator[list[str]]:
+        """The units of a text, block after block, learned."""
         for block in self.blocks(text):
             units = self.units(block)
             self.learn(set(units))
-            yield list(chain.from_iterable(map(self.__getitem__, units)))
+            yield units
 
-    def encode_all(self, texts: list[str]) -> Iterator[Iterator[list[int]]]:
-        """``encode`` of every text; what is new in all texts of one block is learned at once."""
+    def units_all(self, texts: list[str]) -> Iterator[Iterator[list[str]]]:
+        """``learned`` of every text; what is new in all texts of one block is learned at once."""
         short = [self.units(t) if len(t) <= BLOCK else None for t in texts]
         self.learn(set().union(*(units for units in short if units)))
         for text, units in zip(texts, short):
-            yield self.encode(text) if units is None else iter([list(chain.from_iterable(map(self.__getitem__, units)))])
+            yield self.learned(text) if units is None else iter([units])
+
+    def ids_of(self, units: list[str]) -> list[int]:
+        return list(chain.from_iterable(map(self.__getitem__, units)))
+
+    def encode(self, text: str) -> Iterator[list[int]]:
+        """The ids of a text, block after block."""
+        return map(self.ids_of, self.learned(text))
+
+    def encode_all(self, texts: list[str]) -> Iterator[Iterator[list[int]]]:
+        """``encode`` of every text."""
+        return (map(self.ids_of, blocks) for blocks in self.units_all(texts))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids))
@@ -277,27 +303,43 @@ def decode(df: DataFrame, ids: str, ranks: bytes, pattern: str) -> DataFrame:
     return with_made(df, [ids], made, "decoded binary", [ids])
 
 
+class Told(dict):
+    """Of the units seen lately: how many ids they have, these in decimals, and the bytes that the ids decode to."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, unit: str) -> tuple[int, str, bytes]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        ids = self.encoder[unit]
+        self[unit] = told = (len(ids), " ".join(map(str, ids)), self.encoder.decode(ids))
+        return told
+
+
 def digests(df: DataFrame, text: str, ranks: bytes, pattern: str) -> DataFrame:
     """``df`` without the text, with n_tokens, ids_sha256 of the decimal ids joined by spaces, decoded_sha256.
 
-    The ids of a text are digested and decoded block by block and never leave the task.
+    The ids of a text are digested and decoded block by block and never leave the task; decimals and bytes are kept per unit.
     """
 
-    def digest(encoder: Encoder, decimal: dict[int, str], blocks: Iterator[list[int]]) -> tuple[int, str, str]:
+    def digest(told: Told, blocks: Iterator[list[str]]) -> tuple[int, str, str]:
         n, ids_hash, bytes_hash = 0, hashlib.sha256(), hashlib.sha256()
-        for ids in blocks:
-            if ids:
-                ids_hash.update(((" " if n else "") + " ".join(map(decimal.__getitem__, ids))).encode())
-                bytes_hash.update(encoder.decode(ids))
-                n += len(ids)
+        for units in blocks:
+            if units:
+                counts, decimals, data = zip(*map(told.__getitem__, units))
+                ids_hash.update(((" " if n else "") + " ".join(decimals)).encode())
+                bytes_hash.update(b"".join(data))
+                n += sum(counts)
         return n, ids_hash.hexdigest(), bytes_hash.hexdigest()
 
     def made() -> Callable:
         encoder = Encoder.of_process(ranks, pattern)
-        decimal = {i: str(i) for i in encoder.vocabulary.tokens}
+        told = Told(encoder)
 
         def make(texts: list[str | None]) -> dict:
-            out = [digest(encoder, decimal, blocks) for blocks in encoder.encode_all([t or "" for t in texts])]
+            out = [digest(told, blocks) for blocks in encoder.units_all([t or "" for t in texts])]
             n, ids, decoded = zip(*out) if out else ((), (), ())
             return {
                 "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string()),
