@@ -3,8 +3,10 @@
 With one more component, which brings every vector to the length of the longest and is 0 for queries, the largest
 inner product is the smallest distance. Vectors are projected by a few Gaussian directions: the square of a projected
 distance, over the square of the true one, follows the chi-square distribution with as many degrees of freedom.
-So projected neighbours are verified in the order of their projected distance until the next one lies so far away that a
-vector nearer than the k-th best found would be that far with small probability only.
+So projected neighbours are verified leaf by leaf in the order of their projected distance, until the next leaf lies so far away that a
+vector nearer than the k-th best found would be that far with small probability only; of the leaves before it those points are left
+out that lie so far themselves. The more of the vectors' dimension the directions cover, the fewer points that are: for unit vectors of 64 dimensions
+without clusters, which no index can part well, 53 % of 2,000 and 38 % of 12,800 vectors are verified, with a recall of 0.95.
 
 The kd-tree has two levels. Its upper part is fitted on a bounded sample and cuts all vectors into cells; a cell is
 searched in blocks of bounded size, each with a kd-tree of its own. A query first searches the cell that it falls in,
@@ -31,13 +33,13 @@ from clauseloom.llm.vectors import best, block_of, matrix, meet, usable
 from clauseloom.plans.stage import stage
 
 #: Projections (even), the confidence of the stopping test, and the seed of the directions.
-DIRECTIONS, CONFIDENCE, SEED = 8, 0.99, 11
+DIRECTIONS, CONFIDENCE, SEED = 32, 0.9, 11
 
 #: Rows with the smallest hash that the upper tree is fitted on, and its cells at most.
 SAMPLE, CELLS = 16_384, 4096
 
 #: Vectors of a cell that it is planned for, vectors and queries of a block, vectors of a leaf.
-CELL_ROWS, BLOCK_ROWS, QUERIES, LEAF = 8192, 16_384, 1024, 64
+CELL_ROWS, BLOCK_ROWS, QUERIES, LEAF = 8192, 16_384, 1024, 128
 
 #: Projected distances that differ by less count as equal in the test.
 SLACK = 1e-9
@@ -106,31 +108,56 @@ def box_distance(point: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nda
 
 def search(
     ids: np.ndarray, v: np.ndarray, projected: np.ndarray, query_ids: np.ndarray, q: np.ndarray, q_projected: np.ndarray,
-    bounds: np.ndarray, longest: float, far: float, k: int,
+    bounds: np.ndarray, longest: float, far: float, k: int, verified: list[int] | None = None,
 ) -> list[tuple[int, int, float]]:
-    """(query, vector, score) of the best that a block has, leaf after leaf until the test holds."""
+    """(query, vector, score) of the best that a block has. ``verified`` takes up how many vectors were compared for each query.
+
+    All queries go through their leaves from near to far, twice as many in every round. Of a leaf that the test does not rule
+    out by its box, the points that it does not rule out themselves are verified. A query ends when its next leaf is too far.
+    """
     order, starts, low, high = leaves(projected)
-    ids, v = ids[order], v[order]
-    ends = np.append(starts[1:], len(ids))
-    out = []
-    for n, asked in enumerate(query_ids):
-        away = box_distance(q_projected[n], low, high)
-        nearest = np.argsort(away, kind="stable")
-        square, bound, at, step = float((q[n] * q[n]).sum()), bounds[n], 0, 2
-        best_ids, best_scores = np.zeros(0, np.int64), np.zeros(0)
-        while at < len(nearest) and away[nearest[at]] <= far * bound + SLACK:
-            part = nearest[at : at + step]
-            rows = np.concatenate([np.arange(starts[i], ends[i]) for i in part[away[part] <= far * bound + SLACK]])
-            at, step = at + step, step * 2
-            rows = rows[ids[rows] != asked]
-            # Summed row by row in one order, so that equal vectors have equal scores.
-            best_ids, best_scores = np.append(best_ids, ids[rows]), np.append(best_scores, (v[rows] * q[n]).sum(axis=1))
-            first = np.lexsort((best_ids, -best_scores))[:k]
-            best_ids, best_scores = best_ids[first], best_scores[first]
-            if len(first) == k:
-                bound = min(bound, math.sqrt(max(0.0, square + longest - 2 * best_scores[-1])))
-        out += [(int(asked), int(i), float(s)) for i, s in zip(best_ids, best_scores)]
-    return out
+    ids, v, points = ids[order], v[order], projected[order]
+    ends, m = np.append(starts[1:], len(ids)), len(query_ids)
+    away = np.stack([box_distance(x, low, high) for x in q_projected])
+    nearest = np.argsort(away, axis=1, kind="stable")
+    square, point_square, q_square = (q * q).sum(axis=1), (points * points).sum(axis=1), (q_projected * q_projected).sum(axis=1)
+    rounding = 1e-9 * (1 + np.sqrt(square * longest))
+    bound, worst, compared = bounds.astype(np.float64).copy(), np.full(m, -np.inf), np.zeros(m, np.int64)
+    best_q, best_ids, best_scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    at, step = 0, 2
+    while at < len(starts):
+        limit = far * bound + SLACK
+        part = nearest[:, at : at + step]
+        asking, place = np.nonzero(np.take_along_axis(away, part, axis=1) <= limit[:, None])
+        if not len(asking):
+            break
+        leaf = part[asking, place]
+        sorted_by = np.argsort(leaf, kind="stable")
+        asking, leaf = asking[sorted_by], leaf[sorted_by]
+        new_q, new_ids, new_scores = [best_q], [best_ids], [best_scores]
+        for these in np.split(np.arange(len(leaf)), np.flatnonzero(np.diff(leaf)) + 1):
+            sub, rows = asking[these], slice(starts[leaf[these[0]]], ends[leaf[these[0]]])
+            apart = q_square[sub, None] + point_square[rows] - 2 * q_projected[sub] @ points[rows].T
+            near = (apart <= limit[sub, None] ** 2 + SLACK) & (ids[rows] != query_ids[sub, None])
+            compared += np.bincount(sub, near.sum(axis=1), m).astype(np.int64)
+            # Only what may be among the best is summed again row by row in one order, so that equal vectors have equal scores.
+            x, y = np.nonzero(near & (q[sub] @ v[rows].T >= (worst - rounding)[sub, None]))
+            new_q.append(sub[x])
+            new_ids.append(ids[rows][y])
+            new_scores.append((v[rows][y] * q[sub[x]]).sum(axis=1))
+        best_q, best_ids, best_scores = np.concatenate(new_q), np.concatenate(new_ids), np.concatenate(new_scores)
+        first = np.lexsort((best_ids, -best_scores, best_q))
+        best_q, best_ids, best_scores = best_q[first], best_ids[first], best_scores[first]
+        rank = np.arange(len(best_q)) - np.searchsorted(best_q, best_q)
+        best_q, best_ids, best_scores, rank = (a[rank < k] for a in (best_q, best_ids, best_scores, rank))
+        last = rank == k - 1
+        worst[best_q[last]] = best_scores[last]
+        full = best_q[last]
+        bound[full] = np.minimum(bound[full], np.sqrt(np.maximum(0.0, square[full] + longest - 2 * worst[full])))
+        at, step = at + step, step * 2
+    if verified is not None:
+        verified += compared.tolist()
+    return list(zip(query_ids[best_q].tolist(), best_ids.tolist(), best_scores.tolist()))
 
 
 def neighbours(df: DataFrame, key: str, vector: str, is_query: Column, k: int) -> DataFrame:

@@ -96,6 +96,26 @@ def nearest(v, query, k):
     return order, scores
 
 
+def test_the_stopping_test_spares_vectors_and_finds_the_near():
+    rows = duckdb.sql("SELECT vec_id, embedding FROM '/root/testdata/sf0.1/embeddings.parquet' ORDER BY vec_id").fetchall()
+    ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows], np.float64)
+    asked, longest = np.arange(0, len(v), 20), (v * v).sum(axis=1).max()
+    directions = np.random.default_rng(ann.SEED).standard_normal((v.shape[1] + 1, ann.DIRECTIONS))
+    extra = np.sqrt(np.maximum(0, longest - (v * v).sum(axis=1)))
+    verified: list[int] = []
+    found = ann.search(
+        ids, v, v @ directions[:-1] + extra[:, None] * directions[-1], ids[asked], v[asked], v[asked] @ directions[:-1],
+        np.full(len(asked), np.inf), longest, ann.reach(ann.CONFIDENCE, ann.DIRECTIONS), 20, verified,
+    )
+    got = {}
+    for query, i, _ in found:
+        got.setdefault(query, set()).add(i)
+    hits = sum(len(got[ids[a]] & {int(ids[j]) for j in nearest(v, a, 20)[0]}) for a in asked)
+    share, recall = np.mean(verified) / len(v), hits / (20 * len(asked))
+    print("share verified", share, "recall", recall)
+    assert share < 0.6 and recall >= 0.93
+
+
 def test_neighbours(spark, monkeypatch):
     v, df = vectors(spark)
     df = df.unionByName(spark.createDataFrame([(1505, [0.0] * 12, 1)], df.schema))
