@@ -61,6 +61,10 @@ HIDES = frozenset("comment comments commentlist discussion replies reply respond
 PILOTS, SUPPORT, INSIDE, LEAST = 3, 0.5, 0.9, 5
 
 
+#: Elements that are open inside each other; what is nested deeper stands side by side, as in browsers, at a greater depth there.
+DEPTH = 200
+
+
 class Node:
     __slots__ = ("label", "items", "out", "tag", "words")
 
@@ -76,6 +80,7 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("", "", False, frozenset())
         self.open = [self.root]
+        self.run = self.run_of = None
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
@@ -98,8 +103,11 @@ class Tree(HTMLParser):
                 self._close(ENDS[tag], tag)
         out = hidden or tag in NOT_TEXT or tag in NOT_MAIN or says_so and tag not in ("html", "body", "main")
         label = " ".join([tag, *sorted(w for w in words if not w.isdigit())])
-        node = Node(tag, label, out, words)
-        self.open[-1].items.append(node)
+        # Beyond the depth an element is left out with those it stands in, and its texts stand on the deepest node (handle_data).
+        deep = len(self.open) > DEPTH
+        node = Node(tag, label, out or deep and self.open[-1].out, words)
+        if not deep:
+            self.open[-1].items.append(node)
         self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -128,6 +136,13 @@ class Tree(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.open[-1].tag not in NOT_TEXT:
             items = self.open[-1].items
+            if len(self.open) > DEPTH + 1:
+                # One node per run of an element's text, so that all texts keep their order.
+                own, beside = self.open[-1], self.open[DEPTH].items
+                if not beside or beside[-1] is not self.run or self.run_of is not own:
+                    self.run, self.run_of = Node(own.tag, own.label, own.out, own.words), own
+                    beside.append(self.run)
+                items = self.run.items
             if items and type(items[-1]) is str:
                 items[-1] += data
             else:
@@ -286,10 +301,12 @@ def extract(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
     """``df`` without its html, with ``text`` and ``n_chars`` of the main text."""
     spark = df.sparkSession
     small_batches(spark)
-    pages = df.withColumn("_host", _host(url)).withColumn("_html", F.coalesce(F.col(html), F.lit(""))).drop(html)
+    # The table's own columns go by other names until the end, so that none is taken for a helper.
+    own = {c: f"_own{i}" for i, c in enumerate(df.columns) if c != html and c.lower() not in ("text", "n_chars")}
+    pages = df.select(*[F.col(f"`{c}`").alias(name) for c, name in own.items()], _host(url).alias("_host"), F.coalesce(F.col(html), F.lit("")).alias("_html"))
 
     # The pages with the smallest hash in each third of a host's pages; minima combine before the shuffle.
-    place = F.xxhash64("_html", F.col(key).cast("string"))
+    place = F.xxhash64("_html", F.col(own[key]).cast("string"))
     chosen = pages.groupBy("_host", F.pmod(place, F.lit(PILOTS)).alias("nth")).agg(F.min(F.struct(place.alias("x"), "_html"))["_html"].alias("_html"))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -345,5 +362,6 @@ def extract(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
 
         return make
 
-    whole = pages.drop("text", "n_chars").join(wrappers, "_host", "left")
-    return with_made(whole, ["_host", "_html", "pilots", "template"], made, "text string, n_chars long", ["_host", "_html", "pilots", "template"])
+    whole = pages.join(wrappers, "_host", "left")
+    made_of = with_made(whole, ["_host", "_html", "pilots", "template"], made, "text string, n_chars long", ["_host", "_html", "pilots", "template"])
+    return made_of.withColumnsRenamed({name: c for c, name in own.items()})
