@@ -49,12 +49,13 @@ def beside(batch: pa.RecordBatch, names: list[str], more: dict[str, object], row
 
 
 def with_made(df: DataFrame, read: list[str], made: Callable[[], Callable], schema: str, drop: list[str]) -> DataFrame:
-    """``df`` without ``drop`` and with the columns of ``schema``.
+    """``df`` without ``drop`` and with the columns of ``schema``, which take the place of columns of the same name.
 
     ``made`` is called once per task and returns a function from lists of the values of ``read`` to those columns.
     """
     small_batches(df.sparkSession)
-    names = [c for c in df.columns if c not in drop]
+    new = {field.split()[0].lower() for field in schema.split(", ")}
+    names = [c for c in df.columns if c not in drop and c.lower() not in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = made()

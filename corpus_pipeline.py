@@ -18,8 +18,10 @@ from clauseloom.plans.stage import stage
 
 def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good ones. It learns from the labelled documents among ``docs``."""
-    scored = quality.score(docs, "text", catalog.quality_model(spark, docs, sf_dir))
-    return scored.filter(F.col("score") >= catalog.GOOD).drop("score")
+    # A column of this name that the documents have already stays what it was.
+    own = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c.lower() == "score"}
+    scored = quality.score(docs.withColumnsRenamed(own), "text", catalog.quality_model(spark, docs, sf_dir))
+    return scored.filter(F.col("score") >= catalog.GOOD).drop("score").withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,14 +32,16 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that stand somewhere else too; a document may be left empty."""
     made = substring.remove(docs, "doc_id", "text", catalog.REPEAT_WORDS)
+    if "n_chars" not in docs.columns:
+        return made
     return made.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it, which may be never."""
     rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "mixing-docs")
-    copies = catalog.mixed(rows, ("_row",)).filter("copies > 0").select("_row", "copies")
-    return rows.join(copies, "_row").withColumn("_epoch", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    copies = catalog.mixed(rows, ("_row",)).filter("copies > 0").selectExpr("_row", "copies AS _copies")
+    return rows.join(copies, "_row").withColumn("_epoch", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
