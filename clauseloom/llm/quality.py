@@ -58,9 +58,12 @@ class Voters:
     """The labelled vectors, the projection they were made by, and the vote."""
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray, rank: int, neighbours: int, sharpness: float):
-        seen = (counts > 0).sum(axis=0)
+        # In place and block by block: the driver holds the counts once.
+        seen = np.sum([(counts[i : i + BLOCK] > 0).sum(axis=0) for i in range(0, len(counts), BLOCK)], axis=0)
         self.idf = np.log((1 + len(counts)) / (1 + seen)).astype(np.float32) + 1
-        rows = _unit(np.log1p(counts) * self.idf)
+        rows = counts
+        for i in range(0, len(rows), BLOCK):
+            rows[i : i + BLOCK] = _unit(np.log1p(rows[i : i + BLOCK]) * self.idf)
         _, vectors = np.linalg.eigh((rows.T @ rows).astype(np.float64))
         self.basis = vectors[:, ::-1][:, :rank].astype(np.float32)
         self.vectors, self.labels = _unit(rows @ self.basis), labels.astype(np.float32)
@@ -96,8 +99,12 @@ def fit(
     found = rows.mapInPandas(count, f"k {kind}, label int, counts binary").toPandas().sort_values(["k", "counts"])
     if not len(found):
         return None
-    counts = np.stack([np.frombuffer(c, np.float32) for c in found["counts"]])
-    return Voters(counts, found["label"].to_numpy(), rank, neighbours, sharpness)
+    labelled = found["label"].to_numpy()
+    counts = np.empty((len(found), TERMS), np.float32)
+    for i, c in enumerate(found.pop("counts")):
+        counts[i] = np.frombuffer(c, np.float32)
+    del found
+    return Voters(counts, labelled, rank, neighbours, sharpness)
 
 
 def score(docs: DataFrame, text: str, voters: Voters | None, drop: tuple[str, ...] = ()) -> DataFrame:
