@@ -167,9 +167,11 @@ class VectorIndex:
 
     @staticmethod
     def create(vectors: DataFrame, root: str, key: str = "vec_id", seed: int = 7) -> VectorIndex:
-        """Fit a model to ``vectors`` and store them by it."""
+        """Fit a model to ``vectors`` and store them by it. There must be at least one that is usable."""
         spark, log, started = vectors.sparkSession, Log(vectors.sparkSession, root), now()
         fine = rt.usable(vectors)
+        if fine.isEmpty():
+            raise ValueError("no usable vectors to fit an index to")
         model = _fit(fine, key, seed)
         folder = log.fresh()
         rows = [("centre", i, 0, c.tolist()) for i, c in enumerate(model.centres)]
