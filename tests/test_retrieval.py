@@ -219,3 +219,43 @@ def test_passages_are_kept_whole(spark, monkeypatch):
     monkeypatch.setattr(rt.st, "text_passages", lambda chunks, n: chunks)
     assert rt.embedding_text(said).first().content == "x" * 7000
     assert rt.embedding_text(said, kept_chars=2000).first().content == "x" * 2000
+
+
+def test_a_vector_goes_to_few_cells(spark, monkeypatch):
+    _, vectors = make(spark)
+    queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(np.random.default_rng(4).normal(size=(300, 8)))], "query_id long, embedding array<double>")
+    sent, real = [], rt.in_cells
+
+    def counting(asked, held, *args, **kwargs):
+        sent.append((asked.count(), held.count()))
+        return real(asked, held, *args, **kwargs)
+
+    monkeypatch.setattr(rt, "in_cells", counting)
+    for match in (None, "document_id"):
+        asked = queries if match is None else queries.selectExpr("*", "CASE WHEN query_id % 3 > 0 THEN concat('d', query_id % 5) END AS document_id")
+        rt.vector_search(asked, vectors, 3, match=match, block=4).count()
+    assert sent[0] == (300, 400) and sent[1][0] == 300 and sent[1][1] <= 800
+
+
+def test_the_best_of_many_ties_and_odd_lengths():
+    rng = np.random.default_rng(9)
+    v = rng.integers(-1, 2, size=(700, 3)).astype(float)
+    v[5], v[6], v[7] = [1e200, 1e200, 0], [1e-160, 0, 0], [0, 0, 0]
+    q = np.vstack([rng.integers(-1, 2, size=(40, 3)), np.zeros((1, 3)), [[1e-170, 0, 0]]]).astype(float)
+    keys = np.arange(700)
+    with np.errstate(all="ignore"):
+        length = np.outer(rt._lengths(q), rt._lengths(v))
+        score = np.divide(q @ v.T, length, out=np.zeros(length.shape), where=length > 0)
+    for ordered in (True, False):
+        order = np.arange(700) if ordered else rng.permutation(700)
+        best = rt._Best(q, np.arange(len(q)), 6, 7, ordered)
+        for at in np.array_split(order, 5):
+            best.see(v[at], keys[at].astype(object))
+        for i in range(len(q)):
+            assert best.key[i].tolist() == sorted(keys[np.isfinite(score[i])], key=lambda j: (-score[i, j], j))[:6]
+
+
+def test_letters_are_counted_in_one_pass(spark):
+    texts = spark.createDataFrame([("Aa zZ é",), ("",), (None,), ("ÀÁ qA",)], "text string")
+    got = texts.select("text", catalog._letters("text")).selectExpr("text", "embedding", f"array({catalog._COUNTS}) AS want").collect()
+    assert all(r.embedding == (r.want if r.text is not None else None) for r in got)
