@@ -39,6 +39,9 @@ AGAIN = 8
 #: Vectors of a list, and queries that probe it, that meet in one cell.
 CELL_ROWS, CELL_QUERIES = 262_144, 4096
 
+#: Numbers of one matrix of distances.
+DISTANCES = 1_000_000
+
 _MODEL = "kind string, a int, b int, v array<float>"
 
 
@@ -51,6 +54,9 @@ class Model:
 
     def lists(self, unit: np.ndarray, n: int = 1) -> np.ndarray:
         """The ``n`` nearest lists of each vector, nearest first."""
+        return np.concatenate([self._lists(part, n) for part in _pieces(unit, len(self.centres))])
+
+    def _lists(self, unit: np.ndarray, n: int) -> np.ndarray:
         far = (self.centres * self.centres).sum(axis=1) - 2.0 * unit @ self.centres.T
         if n >= far.shape[1]:
             return np.argsort(far, axis=1, kind="stable")
@@ -72,8 +78,15 @@ class Model:
         return self.centres[at] + whole[:, : self.centres.shape[1]]
 
 
+def _pieces(rows: np.ndarray | pd.DataFrame, width: int) -> list:
+    """``rows`` in pieces whose distances to ``width`` others are at most about ``DISTANCES``; at least one piece."""
+    step = max(1, DISTANCES // width)
+    return [rows[i : i + step] for i in range(0, max(1, len(rows)), step)]
+
+
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((centres * centres).sum(axis=1) - 2.0 * x @ centres.T).argmin(axis=1)
+    own = (centres * centres).sum(axis=1)
+    return np.concatenate([(own - 2.0 * part @ centres.T).argmin(axis=1) for part in _pieces(x, len(centres))])
 
 
 def _centres_of(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
@@ -225,8 +238,9 @@ class VectorIndex:
 
         def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                if len(pdf):
-                    yield pdf.assign(list_id=list(model.lists(_units(pdf["embedding"]), probe).astype("int32")))
+                for rows in _pieces(pdf, max(probe, len(model.centres))):
+                    if len(rows):
+                        yield rows.assign(list_id=list(model.lists(_units(rows["embedding"]), probe).astype("int32")))
 
         asked = rt.one_per_query(queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")))
         probes = stage(asked.mapInPandas(near, "query_id long, embedding array<double>, list_id array<int>").withColumn("list_id", F.explode("list_id")), "probes")

@@ -259,3 +259,14 @@ def test_letters_are_counted_in_one_pass(spark):
     texts = spark.createDataFrame([("Aa zZ é",), ("",), (None,), ("ÀÁ qA",)], "text string")
     got = texts.select("text", catalog._letters("text")).selectExpr("text", "embedding", f"array({catalog._COUNTS}) AS want").collect()
     assert all(r.embedding == (r.want if r.text is not None else None) for r in got)
+
+
+def test_distances_come_in_pieces(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = vi.Model(rng.normal(size=(30, 6)), rng.normal(size=(3, 8, 2)))
+    unit = rng.normal(size=(100, 6))
+    whole, codes = model.lists(unit, 4), model.encode(unit, np.zeros(100, int))
+    monkeypatch.setattr(vi, "DISTANCES", 100)
+    assert max(len(p) for p in vi._pieces(unit, 30)) == 3
+    assert (model.lists(unit, 4) == whole).all() and (model.encode(unit, np.zeros(100, int)) == codes).all()
+    assert model.lists(unit[:0], 4).shape == (0, 4)
