@@ -88,10 +88,11 @@ def error_stream(spark, sf):
 
 
 def _batches(spark, chunks, by):
-    """A chunk table as a stream of three batches or more into the graph."""
+    """A chunk table as a stream of three batches or more into the graph, each of as many files as a third of the tasks."""
     path = fresh_path(spark, "chunk-stream")
-    chunks.repartition(3, F.expr(by)).write.parquet(path)
-    stream = file_stream(spark, path, "*.parquet", spark.read.parquet(path).schema, files_per_trigger=1)
+    chunks.repartition(max(3, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.expr(by)).write.parquet(path)
+    written = spark.read.parquet(path)
+    stream = file_stream(spark, path, "*.parquet", written.schema, files_per_trigger=max(1, len(written.inputFiles()) // 3))
     return incremental_graph(stream, fresh_path(spark, "graph"), fresh_path(spark, "graph-checkpoint"))
 
 
