@@ -50,3 +50,14 @@ def test_tree_files_are_written_by_tasks(spark):
     got = {r.document_id: r.value for r in spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
         F.regexp_extract("_metadata.file_path", "=([^/]+)/", 1).alias("document_id"), "value").collect()}
     assert got == {"doc1": "{}\n", "doc2": "é\n[\n"}
+
+
+def test_a_text_may_end_in_a_number_alone(spark, tmp_path):
+    sf = documents(spark, tmp_path / "sf", [(2, "a\nb"), (1, "\n".join(f"l{i}" for i in range(30))), (9, None)])
+    blocks = [(b.pos, b.block_type, b.html) for b in fx.document_blocks(spark, sf, numbers_end=True).filter("document_id = 'doc2'").orderBy("pos").collect()]
+    assert blocks[1:] == [(1, "SectionHeader", "1.1"), (2, "Text", "b")]
+    # The rest is as ever.
+    same = fx.document_blocks(spark, sf).filter("document_id = 'doc1'").drop("images")
+    assert fx.document_blocks(spark, sf, numbers_end=True).filter("document_id = 'doc1'").drop("images").exceptAll(same).isEmpty()
+    roots = {(r.document_id, r.clause_id) for r in cs.QUERIES["order_roots"](spark, sf).collect()}
+    assert ("doc2", "1.1") not in roots and {d for d, _ in roots} == {"doc1"}
