@@ -3,6 +3,7 @@ import os
 from pyspark.sql import functions as F
 
 from clauseloom.catalog import fixtures as fx
+from clauseloom.catalog import graph as cg
 from clauseloom.catalog import records, streams
 from clauseloom.catalog import structure as cs
 from clauseloom.plans.stage import fresh_path
@@ -61,3 +62,5 @@ def test_a_text_may_end_in_a_number_alone(spark, tmp_path):
     assert fx.document_blocks(spark, sf, numbers_end=True).filter("document_id = 'doc1'").drop("images").exceptAll(same).isEmpty()
     roots = {(r.document_id, r.clause_id) for r in cs.QUERIES["order_roots"](spark, sf).collect()}
     assert ("doc2", "1.1") not in roots and {d for d, _ in roots} == {"doc1"}
+    listed = {r.document_id: r.total_clauses for r in cg.QUERIES["list_graph_documents"](spark, sf).collect()}
+    assert listed["doc2"] == 0 and listed["doc1"] > 0 and len(listed) == 2
