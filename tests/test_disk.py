@@ -3,6 +3,7 @@ import time
 
 from clauseloom.catalog import graph as cg
 from clauseloom.catalog import retrieval
+from clauseloom.catalog import structure as cs
 from clauseloom.plans.stage import fresh_path, passing, settled, stage, work_dir
 
 
@@ -58,3 +59,9 @@ def test_a_transaction_log_reads_one_chunk_table(spark, tmp_path):
     sf, left = documents(spark, tmp_path / "sf"), Left(spark)
     assert cg.graph_transactions(spark, sf).count() == 5
     assert left.kinds() == ["batch", "batch"]
+
+
+def test_long_chunks_are_all_that_stays(spark, tmp_path):
+    sf, left = documents(spark, tmp_path / "sf"), Left(spark)
+    assert retrieval.QUERIES["embedding_text_long"](spark, sf).count() > 0 and left.kinds() == ["long-chunks"]
+    assert cs.long_chunks(spark, sf).filter("part > 0").count() > 0
