@@ -2,7 +2,7 @@ import os
 import time
 
 from clauseloom.catalog import graph as cg
-from clauseloom.catalog import retrieval
+from clauseloom.catalog import retrieval, streams
 from clauseloom.catalog import structure as cs
 from clauseloom.plans.stage import fresh_path, passing, settled, stage, work_dir
 
@@ -65,3 +65,11 @@ def test_long_chunks_are_all_that_stays(spark, tmp_path):
     sf, left = documents(spark, tmp_path / "sf"), Left(spark)
     assert retrieval.QUERIES["embedding_text_long"](spark, sf).count() > 0 and left.kinds() == ["long-chunks"]
     assert cs.long_chunks(spark, sf).filter("part > 0").count() > 0
+
+
+def test_what_a_batch_sends_goes_when_it_is_in_the_log(spark, tmp_path):
+    sf, left = documents(spark, tmp_path / "sf"), Left(spark)
+    assert streams.incremental_edges(spark, sf).count() > 0
+    assert left.kinds() == ["chunk-stream", "graph", "graph-checkpoint"]
+    streams.graph_commits(spark, sf).count()
+    assert left.kinds() == ["chunk-stream", "graph", "graph", "graph-checkpoint"]
