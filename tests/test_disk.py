@@ -1,10 +1,12 @@
+import json
 import os
 import time
 
 from clauseloom.catalog import graph as cg
-from clauseloom.catalog import retrieval, streams
+from clauseloom.catalog import records, retrieval, streams
 from clauseloom.catalog import structure as cs
 from clauseloom.plans.stage import fresh_path, passing, settled, stage, work_dir
+from clauseloom.sources import files as fl
 
 
 def documents(spark, folder, n=6):
@@ -73,3 +75,22 @@ def test_what_a_batch_sends_goes_when_it_is_in_the_log(spark, tmp_path):
     assert left.kinds() == ["chunk-stream", "graph", "graph-checkpoint"]
     streams.graph_commits(spark, sf).count()
     assert left.kinds() == ["chunk-stream", "graph", "graph", "graph-checkpoint"]
+
+
+def test_tree_files_go_when_their_levels_are_written(spark, tmp_path):
+    sf, left = documents(spark, tmp_path / "sf", 10), Left(spark)
+    from_files = sorted(map(str, records.read_block_trees(spark, sf).collect()))
+    assert not {"layout-blocks", "trees", "tree-files"} & set(left.kinds())
+    assert from_files == sorted(map(str, records.flatten_blocks(spark, sf).collect()))
+
+
+def test_trees_whose_levels_are_mixed(spark):
+    leaf = lambda h: {"block_type": "Text", "html": h}
+    tree = {"children": [leaf("a"), {"block_type": "Group", "html": "b", "children": [leaf("c"), {"html": "d", "children": [leaf("e")]}, leaf("f")]}, leaf("g"),
+                         {"block_type": "PageFooter", "children": [leaf("x")]}]}
+    rows = [("t", json.dumps(tree)), ("none", "{}"), ("bad", "{")]
+    trees, rejects = fl.parse_block_trees(spark.createDataFrame(rows, "d string, j string"), "d", "j")
+    got = [(r.pos, r.html, r.block_type) for r in fl.flatten_blocks(trees).orderBy("pos").collect()]
+    assert [h for _, h, _ in got] == list("abcdefg") and [p for p, _, _ in got] == list(range(7)) and got[3][2] is None
+    assert [r.document_id for r in rejects.collect()] == ["bad"]
+    assert fl.flatten_blocks(trees.filter("document_id = 'none'")).isEmpty()
