@@ -2,9 +2,12 @@ import json
 import os
 import time
 
+import numpy as np
+
 from clauseloom.catalog import graph as cg
 from clauseloom.catalog import records, retrieval, streams
 from clauseloom.catalog import structure as cs
+from clauseloom.operators import retrieval as rt
 from clauseloom.plans.stage import fresh_path, passing, settled, stage, work_dir
 from clauseloom.sources import files as fl
 
@@ -94,3 +97,15 @@ def test_trees_whose_levels_are_mixed(spark):
     assert [h for _, h, _ in got] == list("abcdefg") and [p for p, _, _ in got] == list(range(7)) and got[3][2] is None
     assert [r.document_id for r in rejects.collect()] == ["bad"]
     assert fl.flatten_blocks(trees.filter("document_id = 'none'")).isEmpty()
+
+
+def test_a_grid_of_many_groups_takes_rounds(spark, monkeypatch):
+    at = np.random.default_rng(5)
+    vectors = spark.createDataFrame([(i, at.normal(size=4).tolist(), i % 3) for i in range(60)], "vec_id long, embedding array<double>, label long")
+    asked = vectors.selectExpr("vec_id AS query_id", "embedding", "CASE WHEN vec_id % 5 > 0 THEN label END AS label")
+    found = lambda match: sorted((r.query_id, r.vec_id, round(r.score, 9), r.rank) for r in rt.vector_search(asked, vectors, 3, match=match, block=4).collect())
+    plain, filtered = found(None), found("label")
+    monkeypatch.setattr(rt, "CELL_BYTES", 500)
+    left = Left(spark)
+    assert found(None) == plain and left.kinds().count("round") > 2
+    assert found("label") == filtered and len(filtered) == len(plain) == 180
